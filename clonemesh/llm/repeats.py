@@ -202,8 +202,10 @@ def repeated_runs(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, "Cove
     docs = docs.withColumns({"_cm_text": text_or_empty(), "_cm_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))})
     total = docs.select(F.sum(F.octet_length("_cm_text"))).first()[0] or 0
     parts = shuffle_partitions(spark)
-    batches = max(2 * parts, -(-total // batch_bytes))
-    buckets = max(2 * parts, -(-total // (2 * batch_bytes)))
+    # enough batches and buckets for all tasks, but none so small that there are more
+    # (batch, bucket) rows than the input calls for
+    batches = int(max(1, -(-total // batch_bytes), min(2 * parts, total >> 18)))
+    buckets = int(max(1, -(-total // (2 * batch_bytes)), min(2 * parts, total >> 20)))
     docs = docs.withColumn("_cm_batch", F.pmod(F.xxhash64("_cm_id"), F.lit(batches)).cast("int"))
     slim = docs.select("_cm_batch", "_cm_id", "_cm_text")
 
