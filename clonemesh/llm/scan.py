@@ -71,6 +71,7 @@ class Words:
     ends: np.ndarray
     first: np.ndarray
     h: np.ndarray
+    text_offsets: np.ndarray
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -110,7 +111,7 @@ def words(arr: pa.Array, lower: bool = False, target: int = 1 << 20) -> Iterator
         s, e = b[:-1], b[1:]
         keep = ~sp[s] if len(s) else np.zeros(0, bool)
         s, e = s[keep], e[keep]
-        yield Words(r0, r1, part, s, e, np.searchsorted(s, cut), _hash_words(part, s, e))
+        yield Words(r0, r1, part, s, e, np.searchsorted(s, cut), _hash_words(part, s, e), cut)
         r0 = r1
 
 
