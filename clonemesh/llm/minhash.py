@@ -3,8 +3,8 @@
 Two small collections of ``tuples`` MinHash tuples are computed for each set; a table key
 is a pair of one tuple from each, so tuples * tuples keys of 2 * rows values cost only
 2 * tuples * rows MinHash values. Documents that share a key are compared on their full
-sets; what is compared first is each document with the key's hub, and only between parts
-that this leaves apart are further pairs of a key compared.
+sets; each document is compared with the key's hub first, and only what this leaves in several
+parts is compared further, in blocks.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataF
             yield pa.record_batch([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = written(docs.join(ids, "doc_id", "left_semi").select("doc_id", "_cm_text"), "texts")
+    texts = written(docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "_cm_text"), "texts")
     ta, tb = (texts.select(F.col("doc_id").alias(x), F.col("_cm_text").alias(f"t{x}")) for x in "ab")
     joined = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
     out = written(joined.mapInArrow(run, "a long, b long").distinct(), "links")
@@ -92,6 +92,63 @@ def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataF
     return out
 
 
+#: Documents and shingles of one block.
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 18
+
+
+def _blocked(parts: DataFrame, sizes: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataFrame:
+    """Links between documents of one candidate cluster that are not in one part yet.
+
+    Documents that share keys form clusters; a cluster's documents are dealt into blocks,
+    and each pair of blocks is one small group whose intersections are products of
+    incidence matrices. No pair becomes a row: a group gives each document with links the
+    smallest document that these reach within the group."""
+    cluster = components(parts.select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    own = parts.groupBy("rep").agg(F.min("part").alias("part"))
+    own = own.join(cluster.withColumnRenamed("node", "rep"), "rep").join(sizes, "rep")
+    n = own.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = own.join(n, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "part", F.col("rep").alias("doc_id"))
+    ids = own.select("doc_id").distinct()
+    texts = docs.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("_cm_text").alias("_cm_text"))
+
+    def run(t: pa.Table) -> pa.Table:
+        ids_, part = t.column("doc_id").to_numpy(), t.column("part").to_numpy()
+        block, i, j = t.column("block").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        sets = [s for w in words(t.column("_cm_text"), lower=True) for s in shingle_sets(w, k)]
+        size = np.array([len(s) for s in sets], np.float64)
+        h, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        o = np.argsort(h, kind="stable")
+        h, doc = h[o], doc[o]
+        st = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        count = np.diff(np.r_[st, len(h)])
+        term = np.repeat(np.cumsum(count > 1) - 1, count)
+        several = np.repeat(count > 1, count)
+        term, doc = term[several], doc[several]
+        both = np.zeros((len(sets), len(sets)), np.float64)
+        step = 4096
+        cut = np.searchsorted(term, np.arange(0, (int(term[-1]) if len(term) else -1) + step + 1, step))
+        for c, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+            m = np.zeros((len(sets), step), np.float32)
+            m[doc[a:b], term[a:b] - c * step] = 1
+            both += m @ m.T
+        linked = (100 * both >= threshold * (size[:, None] + size[None, :] - both)) & (both > 0) & (part[:, None] != part[None, :])
+        if i != j:
+            linked &= block[:, None] != block[None, :]
+        label = ids_.copy()
+        while True:
+            now = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1))
+            if (now == label).all():
+                break
+            label = now
+        hit = label < ids_
+        return pa.table([ids_[hit], label[hit]], names=["a", "b"])
+
+    joined = own.join(texts.hint("merge"), "doc_id")
+    return written(joined.groupBy("root", "i", "j").applyInArrow(run, "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, tuples: int = 8, rows: int = 3) -> DataFrame:
     """Classes of near-duplicate documents.
 
@@ -102,7 +159,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, tuples: in
     over links), kept (doc_id = component_id).
 
     Equal sets form one class first, so copies are never expanded into pairs. A pair at
-    similarity s shares a key with probability (1 - (1 - s^rows)^tuples)^2: 0.9990 at 0.85
+    similarity s has a key in common with probability (1 - (1 - s^rows)^tuples)^2: 0.9990 at 0.85
     and 0.9936 at 0.8 by default. Texts that are null, empty or without words are linked
     with nothing. Rows with a null doc_id are linked with nothing and kept. Rows that
     repeat a doc_id are one document. An empty table gives an empty result.
@@ -126,15 +183,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, tuples: in
     links = _confirm(pairs, docs, threshold, k)
     roots = components(links)
 
-    # keys whose members are still in several parts: pairs across parts, unless compared
+    # keys whose members are still in several parts: their candidate clusters, in blocks
     parts = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("part"))
-    mixed = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    parts = written(parts.join(mixed, "key", "left_semi"), "parts")
-    x, y = (parts.select("key", F.col("rep").alias(r), F.col("part").alias(f"p{r}")) for r in "ab")
-    more = x.join(y, "key").where("a < b and pa <> pb").select("a", "b").distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        roots = components(links.union(_confirm(more, docs, threshold, k)))
+    mixed = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("rep").alias("low")).where("lo < hi").select("key", "low")
+    parts = written(parts.join(mixed, "key").select("rep", "part", "low"), "parts")
+    if not parts.isEmpty():
+        roots = components(links.union(_blocked(parts, classes.select("rep", "n"), docs, threshold, k)))
     reps = classes.select("n", "s1", "s2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("component"))
     out = sk.select("doc_id", "n", "s1", "s2").join(reps, ["n", "s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
