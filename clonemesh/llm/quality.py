@@ -2,8 +2,9 @@
 
 Indicators are byte 1- to 3-grams and 1- to 3-grams of word shapes (case, last mark, length
 class, equal to one of the two words before), so that invented or rare words do not matter.
-Class counts come from all labelled training rows; the linear model, over indicators scaled
-by the classes' log-count ratios, is fitted by dual coordinate descent on a bounded sample.
+Class counts come from a bounded sample of the labelled training rows; the linear model,
+over indicators scaled by the classes' log-count ratios, is fitted by dual coordinate
+descent on a part of it.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from .scan import U, Words, mix, rolling, run_starts, words
 BITS = 17
 DIM = 1 << BITS
 _SLICES = 64
-#: Sampled training rows of each class.
-SAMPLE = 4000
+#: Sampled training rows of each class: for the linear model, and for class counts. The ids
+#: of the latter, some 16 bytes each, are all that is broadcast.
+SAMPLE, COUNTED = 4000, 16_384
 
 
 def _shapes(w: Words) -> np.ndarray:
@@ -157,10 +159,10 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -35.0), 35.0))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on the labelled rows that are not held out (crc32 of doc_id as text modulo 5 is
-    0). Class counts cover all of them; ``sample`` rows of each class, chosen by a hash of
-    doc_id, fit the linear model and its calibration."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, counted: int = COUNTED) -> Model:
+    """Fit on labelled rows that are not held out (crc32 of doc_id as text modulo 5 is 0).
+    About ``counted`` rows of each class, chosen by a hash of doc_id, give the class counts,
+    and ``sample`` of them fit the linear model and its calibration."""
     y = F.col(label).cast("int")
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), y.alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     ids = ids.where(~_held_out("doc_id"))
@@ -169,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         p = min(max(n.get(1, 0) / max(sum(n.values()), 1), 0.001), 0.999) if n else 0.5
         return Model(np.zeros(DIM), 0.0, np.ones(DIM), 0.0, float(np.log(p / (1 - p))))
     pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(ids, "doc_id").select("text", "y", pick.alias("pick"))
+    picked = ids.withColumn("pick", pick).where(" or ".join(f"(y = {k} and pick < {counted / v})" for k, v in n.items()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("text", "y", "pick")
     both = rows.mapInArrow(_train_rows({k: sample / v for k, v in n.items()}), "slice int, y int, idx array<int>, low array<bigint>, high array<bigint>")
     from .common import written
 
