@@ -1,8 +1,64 @@
-"""A corpus pipeline over the operators of ``clonemesh.llm``."""
+"""A corpus pipeline over operators of ``clonemesh.llm``.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all
+but the last return the columns of ``docs``. Their results are written as Parquet and read
+again between stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from clonemesh.llm.common import table, written
+from clonemesh.llm.minhash import near_duplicates
+from clonemesh.llm.mixing import sample_mixture
+from clonemesh.llm.quality import keep_good
+from clonemesh.llm.queries import piece_model
+from clonemesh.llm.repeats import remove_repeats
+from clonemesh.llm.sentencepiece_codec import encode_decode
+
+#: Two documents of which 100 * intersection >= 80 * union hold for their 5-word shingles are
+#: near-duplicates.
+SIMILARITY = 80
+#: Words of a window that stays in one document only.
+WINDOW = 13
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on labelled rows, does not reject."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that with the smallest id."""
+    gone = near_duplicates(docs, SIMILARITY).where("not kept").select("doc_id")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that a document with a smaller id has in the same window."""
+    return remove_repeats(docs, WINDOW, keep_text=True)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of documents whose tokens follow the target shares."""
+    return sample_mixture(docs).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with a check that they decode to it."""
+    return encode_decode(docs, piece_model(), keep=("doc_id", "lang", "source", "n_chars"))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("tokens", tokens)]
+
+#: Classifier, near-duplicates and tokenizer have no SQL form; tests hold the stages against
+#: brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
