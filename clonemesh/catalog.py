@@ -1,11 +1,766 @@
-"""Queries of the library's operators and the SQL that gives the same rows."""
+"""Queries of the library's operators, by name, and the SQL that gives the same rows.
+
+``@query`` registers a function of (spark, sf_dir) with its SQL for DuckDB, where SQL can
+express it. Doubles are rounded on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.sequences import RESIDUES, SIMILAR, group_scores, trim_cdr3
+from .operators import calibrate, clusterers, consensus, fusion, graph, metrics, motif, nulls, pairs, preprocess, profile, refine, simjoin
+from .plans import benchmark, engine, planner, report, stability, weights
+from .schema import DatasetProfile
+from .sources import readers
+from .storage import written
+from .testviews import ASSIGN, RAW, TCR, WEIGHTS, assign, tcr, view
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def r6(*names: str) -> list:
+    return [F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
+
+
+_T = f"WITH RECURSIVE tcr AS ({TCR})"
+_A = f"{_T}, assign AS ({ASSIGN}), weights(method, w) AS (VALUES {', '.join(f'({m!r}, CAST({w} AS DOUBLE))' for m, w in WEIGHTS.items())})"
+_EDGES = f"""{_A}, edges AS (SELECT l.tcr_id AS tcr_id_a, r.tcr_id AS tcr_id_b, count(*) AS method_support_count, sum(w) AS weighted_support
+ FROM assign l JOIN assign r ON l.method = r.method AND l.cluster_id = r.cluster_id AND l.tcr_id < r.tcr_id JOIN weights ON weights.method = l.method GROUP BY ALL)"""
+
+
+def _components(edges: str, a: str = "a", b: str = "b") -> str:
+    """CTEs walk and roots (node, root) of an edge query: smallest reachable node."""
+    return f"""both_ AS (SELECT {a} AS x, {b} AS y FROM {edges} UNION SELECT {b}, {a} FROM {edges}),
+ walk(node, root) AS (SELECT x, x FROM both_ UNION SELECT b.y, w.root FROM walk w JOIN both_ b ON b.x = w.node WHERE w.root < b.y),
+ roots AS (SELECT node, min(root) AS root FROM walk GROUP BY node)"""
+
+
+# --- normalising, filtering, cleaning -------------------------------------------------------
+
+_NORM = f"""WITH raw AS ({RAW}) SELECT tcr_id, 'beta_only' AS chain_mode, nullif(trim(cdr3_beta), '') AS cdr3_beta, v_beta, j_beta, nullif(epitope, '') AS epitope,
+ coalesce(TRY_CAST(count AS BIGINT), 1) AS count FROM raw WHERE trim(cdr3_beta) <> ''"""
+
+
+@query(_NORM)
+def normalize_tcr(spark, sf_dir):
+    return preprocess.normalize(view(spark, sf_dir, RAW)).select("tcr_id", "chain_mode", "cdr3_beta", "v_beta", "j_beta", "epitope", "count")
+
+
+_GOOD = f"regexp_full_match(c, '[{RESIDUES}]+') AND length(c) BETWEEN 5 AND 30 AND c LIKE 'C%'"
+
+
+@query(f"WITH raw AS ({RAW}), u AS (SELECT *, upper(trim(cdr3_beta)) AS c FROM raw) SELECT tcr_id, c AS cdr3_beta FROM u WHERE {_GOOD}")
+def clean_cdr3(spark, sf_dir):
+    return preprocess.clean_cdr3(view(spark, sf_dir, RAW)).select("tcr_id", "cdr3_beta")
+
+
+@query(f"""WITH raw AS ({RAW}), u AS (SELECT upper(trim(cdr3_beta)) AS c FROM raw), v AS (SELECT CASE WHEN c = '' THEN 'empty' WHEN NOT regexp_full_match(c, '[{RESIDUES}]+') THEN 'invalid' WHEN length(c) NOT BETWEEN 5 AND 30 THEN 'length' WHEN c NOT LIKE 'C%' THEN 'start' ELSE 'good' END AS r FROM u)
+ SELECT count(*) FILTER (r = 'invalid') AS cdr3_beta_invalid, count(*) FILTER (r = 'length') AS cdr3_beta_length, count(*) FILTER (r = 'start') AS cdr3_beta_start FROM v""")
+def cleaning_report(spark, sf_dir):
+    return preprocess.cleaning_report(view(spark, sf_dir, RAW))
+
+
+@query(f"WITH raw AS ({RAW}) SELECT tcr_id, gene FROM raw WHERE upper(gene) = 'TRB'")
+def filter_chain(spark, sf_dir):
+    return preprocess.filter_chain(view(spark, sf_dir, RAW), "TRB").select("tcr_id", "gene")
+
+
+@query(f"WITH raw AS ({RAW}) SELECT tcr_id, score FROM raw WHERE coalesce(TRY_CAST(score AS DOUBLE), 0) >= 40")
+def filter_score(spark, sf_dir):
+    return preprocess.filter_score(view(spark, sf_dir, RAW), 40).select("tcr_id", "score")
+
+
+@query(f"{_T}, k AS (SELECT *, row_number() OVER (PARTITION BY cdr3_beta, v_beta ORDER BY ord) AS rn FROM tcr) SELECT tcr_id, cdr3_beta, v_beta FROM k WHERE rn = 1")
+def dedup_keep_first(spark, sf_dir):
+    return preprocess.dedup(tcr(spark, sf_dir)).select("tcr_id", "cdr3_beta", "v_beta")
+
+
+@query(f"""{_T}, k AS (SELECT *, row_number() OVER (PARTITION BY cdr3_beta ORDER BY (CASE WHEN cdr3_alpha IS NOT NULL THEN 3 ELSE 0 END) DESC, ord) AS rn FROM tcr) SELECT tcr_id, cdr3_beta FROM k WHERE rn = 1""")
+def dedup_most_complete(spark, sf_dir):
+    return preprocess.dedup(tcr(spark, sf_dir), ("cdr3_beta",), "keep_most_complete").select("tcr_id", "cdr3_beta")
+
+
+_V = r"regexp_matches(v_beta, '^TR[AB][VDJ][0-9]+(-[0-9]+)?$')"
+
+
+@query(f"""WITH raw AS ({RAW}), c AS (SELECT tcr_id, trim(cdr3_beta) AS s, v_beta, TRY_CAST(count AS BIGINT) - 5 AS n FROM raw)
+ SELECT tcr_id, CAST((s = '')::INT + (s <> '' AND NOT regexp_full_match(upper(s), 'C[A-Z]{{3,}}[FW]'))::INT + (NOT {_V})::INT + coalesce((n < 1)::INT, 0) AS INT) AS n_errors FROM c""")
+def validate_records(spark, sf_dir):
+    d = view(spark, sf_dir, RAW).withColumns({"chain_mode": F.lit("beta_only"), "cdr3_beta": F.trim("cdr3_beta"), "count": F.col("count").try_cast("long") - 5, "j_beta": F.lit(""), "frequency": F.lit(0.5)})
+    d = d.withColumns({c: F.lit(None).cast("string") for c in ("cdr3_alpha", "v_alpha", "j_alpha")})
+    return preprocess.validate(d).select("tcr_id", F.size("errors").alias("n_errors"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def extract_json_meta(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", preprocess.json_field(F.col("props"), "k").alias("k"))
+
+
+@query(f"""{_T}, good AS (SELECT epitope FROM tcr GROUP BY epitope HAVING count(DISTINCT (cdr3_alpha, cdr3_beta)) >= 5) SELECT tcr_id, epitope FROM tcr WHERE epitope IN (SELECT epitope FROM good)""")
+def epitope_min_pairs(spark, sf_dir):
+    t = tcr(spark, sf_dir).withColumn("cdr3_alpha", F.coalesce("cdr3_alpha", F.lit("")))
+    return preprocess.min_pairs_per_label(t, least=5).select("tcr_id", "epitope")
+
+
+_POOLED = f"""SELECT ord, cdr3_alpha AS "CDR3_alpha", cdr3_beta AS "CDR3_beta", v_alpha AS "V_alpha", j_alpha AS "J_alpha", v_beta AS "V_beta", j_beta AS "J_beta", epitope AS "Epitope",
+ cast(1 + ord % 3 AS varchar(10)) AS "Verified_score", cast(ord % 9 AS varchar(10)) AS "Identification_score", concat('P', cast(ord % 6 AS varchar(10))) AS "PubMed_ID", CASE WHEN ord % 5 = 0 THEN 'CD4' ELSE 'CD8' END AS "Cell_subset" FROM ({TCR}) t"""
+
+
+@query(f"""WITH p AS ({_POOLED}), f AS (SELECT * FROM p WHERE TRY_CAST(Verified_score AS DOUBLE) = 1 AND TRY_CAST(Identification_score AS DOUBLE) > 4.3 AND Epitope IS NOT NULL AND PubMed_ID NOT IN ('P3') AND Cell_subset = 'CD8'
+   AND V_alpha IS NOT NULL AND J_alpha IS NOT NULL AND V_beta IS NOT NULL AND J_beta IS NOT NULL AND length(CDR3_alpha) BETWEEN 6 AND 23 AND length(CDR3_beta) BETWEEN 6 AND 23),
+ e AS (SELECT Epitope FROM f GROUP BY 1 HAVING count(DISTINCT (CDR3_alpha, CDR3_beta)) >= 2),
+ d AS (SELECT *, row_number() OVER (PARTITION BY V_alpha, CDR3_alpha, J_alpha, V_beta, CDR3_beta, J_beta, Epitope, PubMed_ID, Cell_subset ORDER BY ord) AS rn FROM f WHERE Epitope IN (SELECT Epitope FROM e))
+ SELECT concat('tcr_', lpad(cast(row_number() OVER (ORDER BY ord) AS varchar), 6, '0')) AS tcr_id, CDR3_beta AS cdr3_beta, Epitope AS epitope FROM d WHERE rn = 1""")
+def benchmark_filter_chain(spark, sf_dir):
+    p = view(spark, sf_dir, _POOLED.replace('"', ""))
+    b = preprocess.benchmark_rows(p, min_verified=1, bad_publications=("P3",), cd8_only=True)
+    return b.select("tcr_id", F.col("CDR3_beta").alias("cdr3_beta"), F.col("Epitope").alias("epitope"))
+
+
+@query(f"{_T} SELECT cdr3 FROM (SELECT cdr3_alpha AS cdr3 FROM tcr UNION SELECT cdr3_beta FROM tcr) z WHERE cdr3 IS NOT NULL")
+def cdr3_union_list(spark, sf_dir):
+    return preprocess.cdr3_list(tcr(spark, sf_dir))
+
+
+_SUB = "SELECT tcr_id FROM tcr WHERE ord % 7 = 0"
+
+
+@query(f"{_T} SELECT tcr_id, cdr3_beta FROM tcr WHERE tcr_id IN ({_SUB})")
+def semi_filter_ids(spark, sf_dir):
+    t = tcr(spark, sf_dir)
+    return preprocess.keep_ids(t, t.where("ord % 7 = 0")).select("tcr_id", "cdr3_beta")
+
+
+@query(f"{_T} SELECT tcr_id, cdr3_beta FROM tcr WHERE tcr_id NOT IN ({_SUB})")
+def anti_filter_ids(spark, sf_dir):
+    t = tcr(spark, sf_dir)
+    return preprocess.drop_ids(t, t.where("ord % 7 = 0")).select("tcr_id", "cdr3_beta")
+
+
+@query(f"{_A} SELECT l.tcr_id, a.cluster_id, l.epitope AS label FROM tcr l LEFT JOIN assign a ON a.tcr_id = l.tcr_id AND a.method = 'prefix7' AND a.ord % 4 <> 0")
+def label_join(spark, sf_dir):
+    m = assign(spark, sf_dir).where("method = 'prefix7' and ord % 4 <> 0")
+    return metrics.joined(m, tcr(spark, sf_dir)).select("tcr_id", "cluster_id", "label")
+
+
+@query(f"WITH raw AS ({RAW}) SELECT tcr_id, regexp_replace(regexp_replace(trim(cdr3_beta), '^C', ''), '[FWY]$', '') AS trimmed FROM raw")
+def trim_sequences(spark, sf_dir):
+    return view(spark, sf_dir, RAW).select("tcr_id", trim_cdr3(F.trim("cdr3_beta")).alias("trimmed"))
+
+
+@query(f"""WITH raw AS ({RAW}), m AS (SELECT tcr_id, cdr3_beta AS "CDR3", v_beta AS "V", j_beta AS "J", epitope AS "Epitope" FROM raw) SELECT tcr_id, CDR3 AS cdr3_beta, V AS v_beta, J AS j_beta, Epitope AS epitope FROM m""")
+def map_columns(spark, sf_dir):
+    d = view(spark, sf_dir, RAW).selectExpr("tcr_id", "cdr3_beta as CDR3", "v_beta as V", "j_beta as J", "epitope as Epitope")
+    return readers.map_columns(d, "vdjdb").select("tcr_id", "cdr3_beta", "v_beta", "j_beta", "epitope")
+
+
+@query(f"""WITH raw AS ({RAW}), u AS (SELECT *, upper(trim(cdr3_beta)) AS c FROM raw), f AS (SELECT * FROM u WHERE upper(gene) = 'TRB' AND coalesce(TRY_CAST(score AS DOUBLE), 0) >= 10 AND {_GOOD}),
+ d AS (SELECT *, row_number() OVER (PARTITION BY c, v_beta ORDER BY ord) AS rn FROM f) SELECT tcr_id, c AS cdr3_beta, v_beta, coalesce(TRY_CAST(count AS BIGINT), 1) AS count FROM d WHERE rn = 1""")
+def preprocess_chain(spark, sf_dir):
+    return readers.preprocess(view(spark, sf_dir, RAW), gene="TRB", min_score=10).select("tcr_id", "cdr3_beta", "v_beta", "count")
+
+
+# --- profile ---------------------------------------------------------------------------------
+
+
+@query(f"{_T} SELECT round(avg(length(cdr3_beta)), 6) AS mean, round(stddev_samp(length(cdr3_beta)), 6) AS std, min(length(cdr3_beta)) AS min, max(length(cdr3_beta)) AS max FROM tcr")
+def profile_lengths(spark, sf_dir):
+    return profile.length_summary(tcr(spark, sf_dir)).select(*r6("mean", "std"), F.col("min").cast("long").alias("min"), F.col("max").cast("long").alias("max"))
+
+
+@query(f"""{_T}, s AS (SELECT cdr3_beta, count(DISTINCT subject_id) AS n FROM tcr GROUP BY 1) SELECT round(avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END), 6) AS publicity FROM s""")
+def publicity(spark, sf_dir):
+    return profile.publicity(tcr(spark, sf_dir)).select(*r6("publicity"))
+
+
+@query(f"{_T} SELECT round(avg((CASE WHEN v_alpha IS NOT NULL THEN 1.0 ELSE 0 END + CASE WHEN j_alpha IS NOT NULL THEN 1.0 ELSE 0 END) / 2), 6) AS vj_completeness FROM tcr")
+def vj_completeness(spark, sf_dir):
+    return profile.vj_completeness(tcr(spark, sf_dir), "alpha_only").select(*r6("vj_completeness"))
+
+
+@query(f"{_T} SELECT round(max(count) / CAST(sum(count) AS DOUBLE), 6) AS clone_expansion FROM tcr")
+def clone_expansion(spark, sf_dir):
+    return profile.clone_expansion(tcr(spark, sf_dir)).select(*r6("clone_expansion"))
+
+
+@query(f"{_T} SELECT round(count(DISTINCT cdr3_beta) / CAST(count(cdr3_beta) AS DOUBLE), 6) AS unique_ratio FROM tcr")
+def unique_ratio(spark, sf_dir):
+    return profile.unique_ratio(tcr(spark, sf_dir)).select(*r6("unique_ratio"))
+
+
+_NOISE = f"""{_T}, p AS (SELECT cdr3_beta, count(*) AS n FROM tcr GROUP BY 1), t AS (SELECT sum(n) AS total, count(*) AS k FROM p),
+ x AS (SELECT avg(CASE WHEN n = 1 THEN 1.0 ELSE 0 END) AS singleton, avg(CASE WHEN n / CAST(total AS DOUBLE) < CAST(0.01 AS DOUBLE) THEN 1.0 ELSE 0 END) AS lowfreq, least(1.0, max(total) / CAST(max(k) AS DOUBLE)) AS density FROM p, t),
+ v AS (SELECT max(n) / CAST(sum(n) AS DOUBLE) AS skew FROM (SELECT v_beta, count(*) AS n FROM tcr GROUP BY 1) q)
+ SELECT round(0.3 * singleton + 0.2 * lowfreq + 0.2 * skew + 0.15 * density + 0.15 * 0.3, 6) AS noise_score FROM x, v"""
+
+
+@query(_NOISE)
+def noise_score(spark, sf_dir):
+    return profile.noise_score(tcr(spark, sf_dir)).select(*r6("noise_score"))
+
+
+@query()
+def profile_summary(spark, sf_dir):
+    return profile.summary(tcr(spark, sf_dir)).select("n_tcrs", "labels", *r6("mean", "std", "vj_completeness", "unique_ratio", "clone_expansion", "publicity", "noise_score"))
+
+
+# --- weights and plans -----------------------------------------------------------------------
+
+_PRIOR_ROWS = ", ".join(f"('{m}', {', '.join(f'CAST({p[k]} AS DOUBLE)' for k in weights.COEFFICIENTS)})" for m, p in weights.PRIORS.items())
+_PRIOR_SUM = " + ".join(f"{v} * {k}" for k, v in weights.COEFFICIENTS.items())
+
+
+@query(f"WITH p(method, {', '.join(weights.COEFFICIENTS)}) AS (VALUES {_PRIOR_ROWS}), s AS (SELECT method, greatest({_PRIOR_SUM}, 0.05) AS s FROM p) SELECT method, round(s / sum(s) OVER (), 6) AS weight FROM s")
+def method_weights_empirical(spark, sf_dir):
+    return weights.as_table(spark, weights.empirical_weights(list(weights.PRIORS))).select("method", *r6("weight"))
+
+
+def _config_rows() -> str:
+    from .plans.config import DEFAULT
+
+    p = DEFAULT["consensus"]["weights"]["global_priors"]
+    return ", ".join(f"('{m}', {', '.join(f'CAST({v[k]} AS DOUBLE)' for k in ('purity', 'sensitivity', 'noise_robust', 'speed'))})" for m, v in p.items())
+
+
+@query(f"WITH p(method, a, b, c, d) AS (VALUES {_config_rows()}), s AS (SELECT method, 0.5 * a + 0.1 * b + 0.2 * c + 0.2 * d AS s FROM p) SELECT method, round(s * count(*) OVER () / sum(s) OVER (), 6) AS weight FROM s")
+def method_weights_config(spark, sf_dir):
+    from .plans.config import DEFAULT
+
+    return weights.as_table(spark, weights.method_weights(list(DEFAULT["consensus"]["weights"]["global_priors"]), "high_purity", DEFAULT)).select("method", *r6("weight"))
+
+
+@query("SELECT * FROM (VALUES (0, 'hd_baseline'), (1, 'levenshtein'), (2, 'giana'), (3, 'tcrdist3'), (4, 'gliph2'), (5, 'tcrmatch')) t(pos, method)")
+def select_methods(spark, sf_dir):
+    plan = planner.select_methods(DatasetProfile(background_noise_score=0.1))
+    return spark.createDataFrame(list(enumerate(plan.selected_methods)), "pos int, method string")
+
+
+_FRACTION = f"{_EDGES}, f AS (SELECT *, weighted_support / CAST({sum(WEIGHTS.values())} AS DOUBLE) AS fraction FROM edges)"
+
+
+@query(f"{_FRACTION} SELECT DISTINCT tcr_id FROM (SELECT tcr_id_a AS tcr_id FROM f WHERE fraction > 0 AND fraction < 1 - 1e-9 UNION SELECT tcr_id_b FROM f WHERE fraction > 0 AND fraction < 1 - 1e-9) z")
+def divergent_tcrs(spark, sf_dir):
+    return planner.divergent_ids(assign(spark, sf_dir), WEIGHTS)
+
+
+@query(f"{_FRACTION} SELECT count(*) FILTER (fraction >= 1 - 1e-9) AS together, count(*) FILTER (fraction > 0 AND fraction < 1 - 1e-9) AS divergent, (SELECT count(*) * (count(*) - 1) // 2 FROM tcr) - count(*) AS apart, (SELECT count(*) * (count(*) - 1) // 2 FROM tcr) AS total FROM f")
+def divergence_stats(spark, sf_dir):
+    return planner.divergence_stats(assign(spark, sf_dir), WEIGHTS, tcr(spark, sf_dir).count())
+
+
+# --- similarity joins and clusterers ---------------------------------------------------------
+
+_SEQ = "seqs AS (SELECT DISTINCT cdr3_beta AS seq FROM tcr)"
+
+
+@query(f"{_T}, {_SEQ} SELECT l.seq AS a, r.seq AS b, 1 AS dist FROM seqs l JOIN seqs r ON length(l.seq) = length(r.seq) AND l.seq < r.seq AND hamming(l.seq, r.seq) = 1")
+def hamming_pairs(spark, sf_dir):
+    return simjoin.hamming_pairs(tcr(spark, sf_dir).select(F.col("cdr3_beta").alias("seq")))
+
+
+@query(f"{_T}, {_SEQ} SELECT l.seq AS a, r.seq AS b, CAST(hamming(l.seq, r.seq) AS INT) AS dist FROM seqs l JOIN seqs r ON length(l.seq) = length(r.seq) AND l.seq < r.seq AND hamming(l.seq, r.seq) <= 2")
+def hamming_pairs_2(spark, sf_dir):
+    return simjoin.hamming_pairs(tcr(spark, sf_dir).select(F.col("cdr3_beta").alias("seq")), 2)
+
+
+_LEV = f"{_SEQ}, lp AS (SELECT l.seq AS a, r.seq AS b FROM seqs l JOIN seqs r ON l.seq < r.seq AND abs(length(l.seq) - length(r.seq)) <= 1 AND levenshtein(l.seq, r.seq) <= 1)"
+
+
+@query(f"{_T}, {_LEV} SELECT a, b, 1 AS dist FROM lp")
+def levenshtein_pairs(spark, sf_dir):
+    return simjoin.levenshtein_pairs(tcr(spark, sf_dir).select(F.col("cdr3_beta").alias("seq")))
+
+
+@query(f"{_T}, {_LEV}, {_components('lp')}, m AS (SELECT tcr_id, coalesce(root, cdr3_beta) AS cluster_id FROM tcr LEFT JOIN roots ON node = cdr3_beta) SELECT tcr_id, cluster_id FROM m WHERE cluster_id IN (SELECT cluster_id FROM m GROUP BY 1 HAVING count(*) >= 2)")
+def levenshtein_clusters(spark, sf_dir):
+    return clusterers.levenshtein_clusters(tcr(spark, sf_dir)).select("tcr_id", "cluster_id")
+
+
+@query()
+def hamming_leader_clusters(spark, sf_dir):
+    return clusterers.hamming_clusters(tcr(spark, sf_dir)).select("tcr_id", "cluster_id")
+
+
+@query(f"""{_T}, h AS (SELECT tcr_id, regexp_replace(regexp_replace(cdr3_beta, '^C', ''), '[FWY]$', '') AS q, substr(v_beta, 1, 5) || substr(cdr3_beta, 4, 2) AS g FROM tcr), e AS (SELECT DISTINCT 'q:' || q AS a, 'g:' || g AS b FROM h), {_components('e')},
+ m AS (SELECT tcr_id, root AS cluster_id FROM h JOIN roots ON node = 'q:' || q) SELECT tcr_id, cluster_id FROM m WHERE cluster_id IN (SELECT cluster_id FROM m GROUP BY 1 HAVING count(*) >= 2)""")
+def receptor_group_clusters(spark, sf_dir):
+    t = tcr(spark, sf_dir)
+    m = clusterers.tcrmatch_input(t)
+    hits = t.select(trim_cdr3(F.col("cdr3_beta")).alias("query"), F.concat(F.substring("v_beta", 1, 5), F.substring("cdr3_beta", 4, 2)).alias("receptor_group"))
+    return clusterers.receptor_groups(hits, m).select("tcr_id", "cluster_id")
+
+
+@query(f"{_T} SELECT cdr3_beta || coalesce(cdr3_alpha, '') AS junction, count(*) AS n FROM tcr GROUP BY 1")
+def junction_groups(spark, sf_dir):
+    return clusterers.junctions(tcr(spark, sf_dir)).select("junction", F.size("tcr_ids").cast("long").alias("n"))
+
+
+@query(f"{_T} SELECT DISTINCT cdr3, v, tcr_id FROM (SELECT cdr3_beta AS cdr3, v_beta AS v, tcr_id FROM tcr UNION ALL SELECT cdr3_alpha, v_alpha, tcr_id FROM tcr) z WHERE cdr3 IS NOT NULL")
+def giana_input(spark, sf_dir):
+    return clusterers.giana_input(tcr(spark, sf_dir))
+
+
+@query(f"{_T} SELECT concat_ws('_', coalesce(v_alpha || '*01', ''), coalesce(cdr3_alpha, ''), coalesce(j_alpha || '*01', ''), v_beta || '*01', cdr3_beta, j_beta || '*01') AS clonotype, count(*) AS n FROM tcr GROUP BY 1")
+def clonotype_groups(spark, sf_dir):
+    return clusterers.clonotypes(tcr(spark, sf_dir)).groupBy("clonotype").agg(F.count("*").alias("n"))
+
+
+@query()
+def hierarchical_clusters(spark, sf_dir):
+    t = tcr(spark, sf_dir)
+    p = simjoin.levenshtein_matrix(t.select(F.col("cdr3_beta").alias("seq"))).select(F.col("a").alias("tcr_id_a"), F.col("b").alias("tcr_id_b"), (F.col("dist") * 100).alias("dist"))
+    return clusterers.hierarchical_clusters(p).select(F.col("tcr_id").alias("cdr3_beta"), "cluster_id")
+
+
+# --- co-association --------------------------------------------------------------------------
+
+
+@query(f"{_EDGES} SELECT tcr_id_a, tcr_id_b, method_support_count, round(weighted_support, 6) AS weighted_support FROM edges")
+def coassociation_edges(spark, sf_dir):
+    return pairs.coassociation(assign(spark, sf_dir), WEIGHTS).select("tcr_id_a", "tcr_id_b", "method_support_count", *r6("weighted_support"))
+
+
+@query(f"""{_EDGES}, apart AS (SELECT e.tcr_id_a, e.tcr_id_b, sum(w) AS rep FROM edges e JOIN assign x ON x.tcr_id = e.tcr_id_a JOIN assign y ON y.tcr_id = e.tcr_id_b AND y.method = x.method JOIN weights ON weights.method = x.method
+  WHERE x.cluster_id <> y.cluster_id AND x.method IN ('clonotype', 'prefix7') GROUP BY ALL) SELECT e.tcr_id_a, e.tcr_id_b, round(coalesce(rep, 0), 6) AS repulsion_support FROM edges e LEFT JOIN apart a ON a.tcr_id_a = e.tcr_id_a AND a.tcr_id_b = e.tcr_id_b""")
+def signed_edges(spark, sf_dir):
+    a = assign(spark, sf_dir)
+    e = pairs.repulsion(pairs.coassociation(a, WEIGHTS), a, WEIGHTS, {"clonotype": 0.95, "prefix7": 0.9, "vj": 0.2})
+    return e.select("tcr_id_a", "tcr_id_b", *r6("repulsion_support"))
+
+
+@query(f"""{_A}, t AS (SELECT l.method AS method_a, r.method AS method_b, l.cluster_id AS ca, r.cluster_id AS cb, count(*) AS n FROM assign l JOIN assign r ON l.tcr_id = r.tcr_id AND l.method < r.method GROUP BY ALL),
+ b AS (SELECT method_a, method_b, sum(n * (n - 1) / 2) AS both_ FROM t GROUP BY ALL), pa AS (SELECT method_a, method_b, sum(n * (n - 1) / 2) AS pa FROM (SELECT method_a, method_b, ca, sum(n) AS n FROM t GROUP BY ALL) q GROUP BY ALL),
+ pb AS (SELECT method_a, method_b, sum(n * (n - 1) / 2) AS pb FROM (SELECT method_a, method_b, cb, sum(n) AS n FROM t GROUP BY ALL) q GROUP BY ALL)
+ SELECT method_a, method_b, round(CAST(both_ AS DOUBLE) / (pa + pb - both_), 6) AS jaccard FROM b JOIN pa USING (method_a, method_b) JOIN pb USING (method_a, method_b)""")
+def method_agreement_jaccard(spark, sf_dir):
+    return pairs.method_agreement(assign(spark, sf_dir)).select("method_a", "method_b", *r6("jaccard"))
+
+
+@query(f"{_EDGES}, big AS (SELECT tcr_id_a AS a, tcr_id_b AS b FROM edges), {_components('big')} SELECT node AS tcr_id, root AS cluster_id FROM roots")
+def star_clusters(spark, sf_dir):
+    return pairs.star_clusters(assign(spark, sf_dir)).select("tcr_id", "cluster_id")
+
+
+# --- consensus -------------------------------------------------------------------------------
+
+
+def _cons(where: str) -> str:
+    return f"{_EDGES}, kept AS (SELECT tcr_id_a AS a, tcr_id_b AS b FROM edges WHERE {where}), {_components('kept')} SELECT node AS tcr_id, root AS cluster_id FROM roots"
+
+
+@query(_cons("method_support_count >= 2 AND weighted_support >= 0.1"))
+def consensus_conservative(spark, sf_dir):
+    return consensus.conservative(assign(spark, sf_dir), WEIGHTS).members.select("tcr_id", "cluster_id")
+
+
+@query(_cons("weighted_support >= 1.15"))
+def consensus_balanced(spark, sf_dir):
+    return consensus.balanced(assign(spark, sf_dir), WEIGHTS, 1.15).members.select("tcr_id", "cluster_id")
+
+
+@query(_cons("weighted_support >= 0.75"))
+def consensus_coverage(spark, sf_dir):
+    return consensus.coverage(assign(spark, sf_dir), WEIGHTS, 0.75).members.select("tcr_id", "cluster_id")
+
+
+_P = "s AS (SELECT method, cluster_id, count(*) AS s FROM assign GROUP BY ALL), p AS (SELECT method, CAST(sum(s * (s - 1)) AS DOUBLE) / (CAST(sum(s) AS DOUBLE) * (sum(s) - 1)) AS p FROM s GROUP BY 1)"
+
+
+@query(f"{_A}, {_P} SELECT method, round(p, 9) AS p FROM p")
+def null_probs(spark, sf_dir):
+    return nulls.cocluster_prob(assign(spark, sf_dir)).select("method", F.round("p", 9).alias("p"))
+
+
+@query(f"{_A}, {_P} SELECT round(sum(w * p), 9) AS expected, round(sum(p * (1 - p)) / (count(*) * count(*)), 9) AS variance FROM p JOIN weights USING (method)")
+def expected_vote(spark, sf_dir):
+    return nulls.expected_vote(assign(spark, sf_dir), WEIGHTS).select(F.round("expected", 9).alias("expected"), F.round("variance", 9).alias("variance"))
+
+
+@query(f"{_EDGES} SELECT tcr_id_a, tcr_id_b, round(greatest(weighted_support - 0.8, 0), 6) AS final_score FROM edges")
+def edge_significance(spark, sf_dir):
+    return nulls.edge_significance(pairs.scored_edges(assign(spark, sf_dir), WEIGHTS), 0.8).select("tcr_id_a", "tcr_id_b", *r6("final_score"))
+
+
+_OBS = f"SELECT CAST(ord % 97 AS DOUBLE) / 10 AS score FROM ({TCR}) t"
+_NULL = f"SELECT CAST(ord % 31 AS DOUBLE) / 10 AS score FROM ({TCR}) t WHERE ord % 3 = 0"
+
+
+@query(f"WITH o AS ({_OBS}), n AS ({_NULL}), d AS (SELECT DISTINCT score FROM o), c AS (SELECT score, (SELECT count(*) FROM o WHERE o.score >= d.score) AS n_obs, (SELECT count(*) FROM n WHERE n.score >= d.score) AS n_null FROM d) SELECT score, n_obs, n_null, round(CAST(n_null AS DOUBLE) / n_obs, 6) AS fdr FROM c")
+def fdr_table(spark, sf_dir):
+    return nulls.fdr_table(view(spark, sf_dir, _OBS), view(spark, sf_dir, _NULL)).select("score", F.col("n_obs").cast("long"), F.col("n_null").cast("long"), *r6("fdr"))
+
+
+@query(f"{_A}, s AS (SELECT method, cluster_id, count(*) AS size FROM assign GROUP BY ALL) SELECT method, size, 3 * count(*) AS clusters FROM s GROUP BY ALL")
+def permutation_null_sizes(spark, sf_dir):
+    p = nulls.permuted(assign(spark, sf_dir), 3, 5)
+    return p.groupBy("b", "method", "cluster_id").agg(F.count("*").alias("size")).groupBy("method", "size").agg(F.count("*").alias("clusters"))
+
+
+# --- fusion ----------------------------------------------------------------------------------
+
+_PAIRS2 = "pp AS (SELECT l.tcr_id AS tcr_id_a, r.tcr_id AS tcr_id_b, l.cdr3_beta AS sa, r.cdr3_beta AS sb, l.v_beta AS va, r.v_beta AS vb, l.j_beta AS ja, r.j_beta AS jb FROM tcr l JOIN tcr r ON r.ord = l.ord + 1)"
+_GROUP = "CASE " + " ".join(f"WHEN contains('{g}', x) THEN '{i}'" for i, g in enumerate(SIMILAR)) + " ELSE x END"
+_BLOSUM = f"""g AS (SELECT tcr_id_a, tcr_id_b, unnest(string_split(substr(sa, 1, least(length(sa), length(sb))), '')) AS x, unnest(string_split(substr(sb, 1, least(length(sa), length(sb))), '')) AS y FROM pp),
+ sc AS (SELECT tcr_id_a, tcr_id_b, avg(CASE WHEN x = y THEN 5 WHEN ({_GROUP}) = ({_GROUP.replace('x)', 'y)').replace('ELSE x', 'ELSE y')}) THEN 1 ELSE -2 END) AS score FROM g GROUP BY ALL)"""
+
+
+def _next_pairs(t: DataFrame) -> DataFrame:
+    l, r = t.select("ord", F.col("tcr_id").alias("tcr_id_a")), t.select((F.col("ord") - 1).alias("ord"), F.col("tcr_id").alias("tcr_id_b"))
+    return l.join(r, "ord").select("tcr_id_a", "tcr_id_b", F.lit(1.0).alias("weighted_support"), F.lit(0.0).alias("repulsion_support"))
+
+
+@query(f"{_T}, {_PAIRS2}, {_BLOSUM} SELECT tcr_id_a, tcr_id_b, round(1 / (1 + exp(-(score - 2) / 3)), 6) AS sequence_support FROM sc")
+def substitution_similarity(spark, sf_dir):
+    t = tcr(spark, sf_dir)
+    return fusion.pair_signals(_next_pairs(t), t, scores=group_scores()).select("tcr_id_a", "tcr_id_b", *r6("sequence_support"))
+
+
+@query(f"{_T}, {_PAIRS2} SELECT tcr_id_a, tcr_id_b, CAST((va = vb)::INT * 0.5 + (ja = jb)::INT * 0.5 AS DOUBLE) AS vj_support FROM pp")
+def vj_support(spark, sf_dir):
+    t = tcr(spark, sf_dir)
+    return fusion.pair_signals(_next_pairs(t), t).select("tcr_id_a", "tcr_id_b", "vj_support")
+
+
+@query(f"""{_T}, {_PAIRS2}, {_BLOSUM} SELECT pp.tcr_id_a, pp.tcr_id_b, round(1 / (1 + exp(-(1.0 + 0.8 / (1 + exp(-(score - 2) / 3)) + 0.4 * ((va = vb)::INT * 0.5 + (ja = jb)::INT * 0.5)))), 6) AS final_score FROM pp JOIN sc USING (tcr_id_a, tcr_id_b)""")
+def fused_score(spark, sf_dir):
+    t = tcr(spark, sf_dir)
+    return fusion.fuse(_next_pairs(t), t).select("tcr_id_a", "tcr_id_b", *r6("final_score"))
+
+
+@query(f"{_T} SELECT tcr_id, round(least(-log10(CAST(ord % 500 + 1 AS DOUBLE) / 501) / 3, 1), 6) AS noise FROM tcr")
+def noise_significance(spark, sf_dir):
+    from .functions.sequences import noise_significance as f
+
+    return tcr(spark, sf_dir).select("tcr_id", F.round(f((F.col("ord") % 500 + 1) / 501.0), 6).alias("noise"))
+
+
+# --- refinement ------------------------------------------------------------------------------
+
+
+def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Members by gene pair, and edges with graded scores."""
+    a = assign(spark, sf_dir)
+    m = a.where("method = 'vj'").select("cluster_id", "tcr_id")
+    e = pairs.scored_edges(a, WEIGHTS)
+    return m, e.withColumn("final_score", F.round(F.col("weighted_support") / 3, 6))
+
+
+_REF = f"""{_EDGES}, e AS (SELECT tcr_id_a, tcr_id_b, method_support_count, round(weighted_support / 3, 6) AS s FROM edges), m AS (SELECT cluster_id, tcr_id FROM assign WHERE method = 'vj'),
+ inner_ AS (SELECT x.cluster_id, e.* FROM e JOIN m x ON x.tcr_id = tcr_id_a JOIN m y ON y.tcr_id = tcr_id_b AND y.cluster_id = x.cluster_id)"""
+
+
+@query(f"{_REF} SELECT cluster_id, n AS size, round(coalesce(c, 0), 6) AS cluster_confidence FROM (SELECT cluster_id, count(*) AS n FROM m GROUP BY 1) a LEFT JOIN (SELECT cluster_id, avg(s) AS c FROM inner_ GROUP BY 1) b USING (cluster_id)")
+def cluster_confidence(spark, sf_dir):
+    return refine.cluster_confidence(*_parts(spark, sf_dir)).select("cluster_id", "size", *r6("cluster_confidence"))
+
+
+_MS = "sc AS (SELECT cluster_id, tcr_id, avg(s) AS sc FROM (SELECT cluster_id, tcr_id_a AS tcr_id, s FROM inner_ UNION ALL SELECT cluster_id, tcr_id_b, s FROM inner_) z GROUP BY ALL), ms AS (SELECT m.cluster_id, m.tcr_id, coalesce(sc, 0) AS sc FROM m LEFT JOIN sc USING (cluster_id, tcr_id))"
+
+
+@query(f"{_REF}, {_MS} SELECT cluster_id, tcr_id, CASE WHEN sc >= 0.6 THEN 'core' WHEN sc >= 0.3 THEN 'peripheral' ELSE 'low_confidence' END AS label, round(sc, 5) AS member_score FROM ms")
+def member_labels(spark, sf_dir):
+    return refine.label_members(*_parts(spark, sf_dir)).select("cluster_id", "tcr_id", "label", F.round("member_score", 5).alias("member_score"))
+
+
+@query(f"{_REF}, {_MS}, k AS (SELECT cluster_id, count(*) AS n, count(*) FILTER (sc >= 0.2401) AS good FROM ms GROUP BY 1) SELECT cluster_id, tcr_id FROM ms JOIN k USING (cluster_id) WHERE n <= 2 OR good < 2 OR sc >= 0.2401")
+def member_filter(spark, sf_dir):
+    return refine.filter_members(*_parts(spark, sf_dir), 0.2401)
+
+
+@query(f"""{_REF}, cf AS (SELECT cluster_id FROM m GROUP BY 1 HAVING count(*) > 3), weak AS (SELECT cluster_id FROM cf LEFT JOIN (SELECT cluster_id, avg(s) AS c FROM inner_ GROUP BY 1) b USING (cluster_id) WHERE coalesce(c, 0) < 0.3),
+ good AS (SELECT tcr_id_a AS a, tcr_id_b AS b FROM inner_ WHERE s >= 0.3 AND cluster_id IN (SELECT cluster_id FROM weak)), {_components('good')}
+ SELECT CASE WHEN cluster_id IN (SELECT cluster_id FROM weak) THEN cluster_id || '_s_' || coalesce(root, tcr_id) ELSE cluster_id END AS cluster_id, tcr_id FROM m LEFT JOIN roots ON node = tcr_id""")
+def cluster_split(spark, sf_dir):
+    return refine.split_clusters(*_parts(spark, sf_dir), 0.3).select("cluster_id", "tcr_id")
+
+
+@query(f"{_REF} SELECT least(x.cluster_id, y.cluster_id) AS ca, greatest(x.cluster_id, y.cluster_id) AS cb, round(sum(s), 4) AS total, count(*) AS n FROM e JOIN m x ON x.tcr_id = tcr_id_a JOIN m y ON y.tcr_id = tcr_id_b WHERE x.cluster_id <> y.cluster_id GROUP BY ALL")
+def cross_cluster_scores(spark, sf_dir):
+    return refine.cross_scores(*_parts(spark, sf_dir)).select("ca", "cb", F.round("total", 4).alias("total"), "n")
+
+
+@query()
+def cluster_merge(spark, sf_dir):
+    return refine.merge_clusters(*_parts(spark, sf_dir), 0.4)
+
+
+@query()
+def refine_full(spark, sf_dir):
+    m, e = _parts(spark, sf_dir)
+    return refine.refine(m, written(e, "edges")).select("cluster_id", "tcr_id", "label", *r6("member_score", "cluster_confidence"))
+
+
+_AA = ", ".join(f"('{a}')" for a in RESIDUES)
+_PWM = f"""{_T}, m AS (SELECT v_beta AS cluster_id, cdr3_beta AS seq FROM tcr), z AS (SELECT cluster_id, count(*) AS n, max(length(seq)) AS len FROM m GROUP BY 1),
+ k AS (SELECT cluster_id, pos, substr(seq, pos + 1, 1) AS aa, count(*) AS k FROM (SELECT *, unnest(range(length(seq))) AS pos FROM m) q GROUP BY ALL), at_ AS (SELECT cluster_id, pos, sum(k) AS at_ FROM k GROUP BY ALL),
+ g AS (SELECT cluster_id, n, pos, aa FROM (SELECT *, unnest(range(len)) AS pos FROM z) q, (VALUES {_AA}) r(aa)),
+ pwm AS (SELECT g.cluster_id, CAST(g.pos AS INT) AS pos, g.aa, (coalesce(k, 0) + (n - coalesce(at_, 0)) / CAST(20 AS DOUBLE) + 0.5) / CAST(n + 10 AS DOUBLE) AS p FROM g LEFT JOIN k ON k.cluster_id = g.cluster_id AND k.pos = g.pos AND k.aa = g.aa LEFT JOIN at_ ON at_.cluster_id = g.cluster_id AND at_.pos = g.pos)"""
+
+
+def _by_gene(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    t = tcr(spark, sf_dir)
+    return t.select(F.col("v_beta").alias("cluster_id"), "tcr_id"), t
+
+
+@query(f"{_PWM} SELECT cluster_id, pos, aa, round(p, 6) AS p FROM pwm")
+def pwm(spark, sf_dir):
+    return motif.pwm_table(*_by_gene(spark, sf_dir)).select("cluster_id", "pos", "aa", *r6("p"))
+
+
+@query(f"{_PWM} SELECT cluster_id, round(sum(p * log2(p * 20)), 6) AS ic FROM pwm GROUP BY 1")
+def pwm_information(spark, sf_dir):
+    return motif.information_content(motif.pwm_table(*_by_gene(spark, sf_dir))).select("cluster_id", *r6("ic"))
+
+
+@query(f"{_PWM} SELECT a.cluster_id AS ca, b.cluster_id AS cb, round(sum((a.p - b.p) * log2(a.p / b.p)) / 2, 6) AS kl FROM pwm a JOIN pwm b ON a.pos = b.pos AND a.aa = b.aa AND a.cluster_id < b.cluster_id GROUP BY ALL")
+def pwm_kl(spark, sf_dir):
+    m, t = _by_gene(spark, sf_dir)
+    names = m.select("cluster_id").distinct()
+    p = names.toDF("ca").join(F.broadcast(names.toDF("cb")), F.col("ca") < F.col("cb"))
+    return motif.kl_pairs(m, t, p).select("ca", "cb", *r6("kl"))
+
+
+_LF = lambda x: f"lgamma(CAST({x} AS DOUBLE) + 1)"
+_CH = lambda a, b: f"({_LF(a)} - {_LF(b)} - {_LF(f'({a} - {b})')})"
+
+
+@query(f"""{_T}, t AS (SELECT count(*) AS total FROM tcr), bk AS (SELECT j_beta AS gene, count(*) AS big_k FROM tcr GROUP BY 1), n AS (SELECT v_beta AS cluster_id, count(*) AS n FROM tcr GROUP BY 1),
+ k AS (SELECT v_beta AS cluster_id, j_beta AS gene, count(*) AS k FROM tcr GROUP BY ALL), x AS (SELECT *, unnest(range(k, least(n, big_k) + 1)) AS x FROM k JOIN n USING (cluster_id) JOIN bk USING (gene), t),
+ p AS (SELECT cluster_id, gene, k, sum(exp({_CH('big_k', 'x')} + {_CH('(total - big_k)', '(n - x)')} - {_CH('total', 'n')})) AS p FROM x GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(-log10(least(p, 1)), 9) DESC, k DESC, gene DESC) AS rn FROM p) SELECT cluster_id, gene, k, round(-log10(least(p, 1)), 5) AS score FROM r WHERE rn = 1""")
+def vj_enrichment(spark, sf_dir):
+    return motif.gene_enrichment(*_by_gene(spark, sf_dir), "j_beta").select("cluster_id", "gene", "k", F.round("score", 5).alias("score"))
+
+
+# --- calibration -----------------------------------------------------------------------------
+
+_FEAT = f"{_REF}, f AS (SELECT cluster_id, avg(s) AS mean_edge, min(s) AS min_edge, quantile_cont(s, 0.5) AS median_edge, avg(method_support_count) AS mean_support, count(*) AS n_edges FROM inner_ GROUP BY 1)"
+
+
+@query(f"{_FEAT} SELECT cluster_id, n AS size, round(coalesce(mean_edge, 0), 5) AS mean_edge, round(coalesce(min_edge, 0), 5) AS min_edge, round(coalesce(median_edge, 0), 5) AS median_edge, round(coalesce(mean_support, 0), 5) AS mean_support, coalesce(n_edges, 0) AS n_edges FROM (SELECT cluster_id, count(*) AS n FROM m GROUP BY 1) a LEFT JOIN f USING (cluster_id)")
+def cluster_features(spark, sf_dir):
+    f = calibrate.cluster_features(*_parts(spark, sf_dir))
+    return f.select("cluster_id", "size", *(F.round(c, 5).alias(c) for c in ("mean_edge", "min_edge", "median_edge", "mean_support")), "n_edges")
+
+
+@query(f"{_FEAT} SELECT cluster_id, round(CASE WHEN n_edges > 0 THEN greatest(0, least(1, mean_edge + 0.05 * (mean_support - 1))) ELSE 0 END, 5) AS raw_confidence FROM (SELECT DISTINCT cluster_id FROM m) a LEFT JOIN f USING (cluster_id)")
+def raw_confidence(spark, sf_dir):
+    return calibrate.raw_confidence(calibrate.cluster_features(*_parts(spark, sf_dir))).select("cluster_id", F.round("raw_confidence", 5).alias("raw_confidence"))
+
+
+_CONF = f"SELECT CAST(ord % 101 AS DOUBLE) / 100 AS confidence, CAST(ord % 7 AS DOUBLE) / 6 AS purity FROM ({TCR}) t"
+
+
+@query(f"WITH p AS ({_CONF}), b AS (SELECT least(floor(confidence * 10), 9) AS b, count(*) AS n, avg(confidence) AS c, avg(purity) AS a FROM p GROUP BY 1) SELECT round(sum(n * abs(a - c)) / sum(n), 6) AS ece FROM b")
+def ece(spark, sf_dir):
+    return calibrate.calibration_error(view(spark, sf_dir, _CONF)).select(*r6("ece"))
+
+
+@query(f"WITH p AS ({_CONF}), g AS (SELECT CAST(i AS DOUBLE) / 20 AS threshold FROM range(21) r(i)) SELECT threshold, round(count(*) FILTER (confidence + 1e-9 >= threshold) / CAST(count(*) AS DOUBLE), 6) AS coverage, round(coalesce(avg(purity) FILTER (confidence + 1e-9 >= threshold), 0), 6) AS mean_purity FROM g, p GROUP BY 1")
+def coverage_curve(spark, sf_dir):
+    return calibrate.coverage_curve(view(spark, sf_dir, _CONF), 21).select("threshold", *r6("coverage", "mean_purity"))
+
+
+# --- metrics ---------------------------------------------------------------------------------
+
+_C = f"{_A}, c AS (SELECT a.cluster_id, t.epitope AS label, count(*) AS n FROM assign a JOIN tcr t USING (tcr_id) WHERE a.method = 'vj' GROUP BY ALL), ra AS (SELECT cluster_id, sum(n) AS a, max(n) AS top, sum(n * n) AS sq FROM c GROUP BY 1), cb AS (SELECT label, sum(n) AS b, sum(n * (n - 1) / 2) AS together, sum(n * n) AS sq FROM c GROUP BY 1), nn AS (SELECT CAST(sum(n) AS DOUBLE) AS n FROM c)"
+
+
+def _table(spark, sf_dir) -> DataFrame:
+    m = assign(spark, sf_dir).where("method = 'vj'")
+    return metrics.contingency(metrics.joined(m, tcr(spark, sf_dir)))
+
+
+@query(f"{_C} SELECT cluster_id, label, n FROM c")
+def contingency(spark, sf_dir):
+    return _table(spark, sf_dir)
+
+
+@query(f"{_C} SELECT round(sum(top) / CAST(sum(a) AS DOUBLE), 6) AS purity, round(avg(top / CAST(a AS DOUBLE)) FILTER (a >= 2), 6) AS unweighted_purity FROM ra")
+def purity_metrics(spark, sf_dir):
+    return metrics.purity(_table(spark, sf_dir)).select(*r6("purity", "unweighted_purity"))
+
+
+@query(f"{_C}, x AS (SELECT sum(n * (n - 1) / 2) AS tp FROM c), p AS (SELECT sum(a * (a - 1) / 2) AS pa FROM ra), q AS (SELECT sum(b * (b - 1) / 2) AS pb FROM cb) SELECT round(CAST(tp AS DOUBLE) / pb, 6) AS pairwise_sensitivity, round(CAST(tp AS DOUBLE) / pa, 6) AS pairwise_precision, round(2 * CAST(tp AS DOUBLE) / (pa + pb), 6) AS pairwise_f1 FROM x, p, q")
+def pairwise_metrics(spark, sf_dir):
+    return metrics.pair_scores(_table(spark, sf_dir)).select(*r6("pairwise_sensitivity", "pairwise_precision", "pairwise_f1"))
+
+
+@query(f"{_C} SELECT round(avg(CAST(together AS DOUBLE) / (b * (b - 1) / 2)) FILTER (b >= 2), 6) AS sensitivity FROM cb")
+def sensitivity(spark, sf_dir):
+    return metrics.sensitivity(_table(spark, sf_dir)).select(*r6("sensitivity"))
+
+
+@query(f"{_C}, x AS (SELECT CAST(sum(n * (n - 1) / 2) AS DOUBLE) AS tp FROM c), p AS (SELECT CAST(sum(a * (a - 1) / 2) AS DOUBLE) AS pa FROM ra), q AS (SELECT CAST(sum(b * (b - 1) / 2) AS DOUBLE) AS pb FROM cb) SELECT round((tp - pa * pb / (n * (n - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (n * (n - 1) / 2)), 6) AS ari FROM x, p, q, nn")
+def ari(spark, sf_dir):
+    return metrics.ari(_table(spark, sf_dir)).select(*r6("ari"))
+
+
+_MI = f"{_C}, mi AS (SELECT sum(c.n / nn.n * ln(c.n * nn.n / (a * b))) AS mi FROM c JOIN ra USING (cluster_id) JOIN cb USING (label), nn), ha AS (SELECT -sum(a / n * ln(a / n)) AS ha FROM ra, nn), hb AS (SELECT -sum(b / n * ln(b / n)) AS hb FROM cb, nn)"
+
+
+@query(f"{_MI} SELECT round(mi / ((ha + hb) / 2), 6) AS nmi FROM mi, ha, hb")
+def nmi(spark, sf_dir):
+    return metrics.nmi(_table(spark, sf_dir)).select(*r6("nmi"))
+
+
+@query(f"{_MI} SELECT round(mi / hb, 6) AS homogeneity, round(mi / ha, 6) AS completeness, round(2 * mi / (ha + hb), 6) AS v_measure FROM mi, ha, hb")
+def v_measure(spark, sf_dir):
+    return metrics.v_measure(_table(spark, sf_dir)).select(*r6("homogeneity", "completeness", "v_measure"))
+
+
+@query(f"""{_MI}, g AS (SELECT a, ca, b, cb_, CAST(n AS BIGINT) AS n, unnest(range(greatest(1, CAST(a + b - n AS BIGINT)), CAST(least(a, b) AS BIGINT) + 1)) AS x FROM (SELECT a, count(*) AS ca FROM ra GROUP BY 1) p, (SELECT b, count(*) AS cb_ FROM cb GROUP BY 1) q, nn),
+ emi AS (SELECT sum(CAST(x AS DOUBLE) / n * ln(CAST(n AS DOUBLE) * x / (a * b)) * exp({_LF('a')} + {_LF('b')} + {_LF('(n - a)')} + {_LF('(n - b)')} - {_LF('n')} - {_LF('x')} - {_LF('(a - x)')} - {_LF('(b - x)')} - {_LF('(n - a - b + x)')}) * ca * cb_) AS emi FROM g)
+ SELECT round((mi - emi) / ((ha + hb) / 2 - emi), 5) AS ami FROM mi, ha, hb, emi""")
+def ami(spark, sf_dir):
+    return metrics.ami(_table(spark, sf_dir)).select(F.round("ami", 5).alias("ami"))
+
+
+@query(f"{_C}, p AS (SELECT sum(sq / CAST(a AS DOUBLE)) / sum(a) AS p FROM ra), q AS (SELECT sum(sq / CAST(b AS DOUBLE)) / sum(b) AS q FROM cb) SELECT round(p, 6) AS bcubed_precision, round(q, 6) AS bcubed_recall, round(2 * p * q / (p + q), 6) AS bcubed_f1 FROM p, q")
+def bcubed(spark, sf_dir):
+    return metrics.bcubed(_table(spark, sf_dir)).select(*r6("bcubed_precision", "bcubed_recall", "bcubed_f1"))
+
+
+@query(f"{_C}, j AS (SELECT label, CAST(sum(n * (n - 1) / 2) AS DOUBLE) AS tp, sum(a * (a - 1) / 2) AS pa FROM c JOIN ra USING (cluster_id) GROUP BY 1), s AS (SELECT label, CASE WHEN pa > 0 THEN tp / pa ELSE 0 END AS p, CASE WHEN b > 1 THEN tp / (b * (b - 1) / 2) ELSE 0 END AS r FROM j JOIN cb USING (label)) SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM s")
+def per_epitope_f1(spark, sf_dir):
+    return metrics.per_label_f1(_table(spark, sf_dir)).select("label", *r6("precision", "recall", "f1"))
+
+
+@query(f"{_C}, j AS (SELECT label, a, row_number() OVER (PARTITION BY label ORDER BY n DESC, a DESC, cluster_id DESC) AS rn FROM c JOIN ra USING (cluster_id)) SELECT label, CAST(b AS BIGINT) AS n, round(CASE WHEN b > 1 THEN CAST(together AS DOUBLE) / (b * (b - 1) / 2) ELSE 0 END, 6) AS sensitivity, round(CAST(b AS DOUBLE) / a, 6) AS largest_cluster_ratio FROM cb JOIN j USING (label) WHERE rn = 1")
+def per_epitope_metrics(spark, sf_dir):
+    return metrics.per_label_metrics(_table(spark, sf_dir)).select("label", "n", *r6("sensitivity", "largest_cluster_ratio"))
+
+
+@query()
+def all_metrics(spark, sf_dir):
+    m = metrics.all_metrics(metrics.joined(assign(spark, sf_dir).where("method = 'vj'"), tcr(spark, sf_dir)))
+    return m.select(*r6(*m.columns))
+
+
+_OVER = "o AS (SELECT tcr_id, 0 AS k, v_beta AS community FROM tcr UNION ALL SELECT tcr_id, 1, j_beta FROM tcr WHERE ord % 2 = 0)"
+
+
+@query(f"{_T}, {_OVER}, pr AS (SELECT DISTINCT x.tcr_id AS a, y.tcr_id AS b FROM o x JOIN o y ON x.community = y.community AND x.tcr_id < y.tcr_id), tp AS (SELECT count(*) AS pa, count(*) FILTER (l.epitope = r.epitope) AS tp FROM pr JOIN tcr l ON l.tcr_id = a JOIN tcr r ON r.tcr_id = b), pb AS (SELECT sum(n * (n - 1) / 2) AS pb FROM (SELECT epitope, count(*) AS n FROM tcr GROUP BY 1) q), s AS (SELECT tp / CAST(pa AS DOUBLE) AS p, tp / CAST(pb AS DOUBLE) AS r FROM tp, pb) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM s")
+def overlapping_pair_f1(spark, sf_dir):
+    t = tcr(spark, sf_dir)
+    o = t.select("tcr_id", F.col("v_beta").alias("community")).union(t.where("ord % 2 = 0").select("tcr_id", "j_beta"))
+    return metrics.overlapping_pair_f1(o, t.select("tcr_id", "epitope")).select(*r6("precision", "recall", "f1"))
+
+
+@query(f"{_T}, {_OVER} SELECT tcr_id, count(DISTINCT community) AS communities FROM o GROUP BY 1")
+def membership_counts(spark, sf_dir):
+    t = tcr(spark, sf_dir)
+    return metrics.membership_counts(t.select("tcr_id", F.col("v_beta").alias("community")).union(t.where("ord % 2 = 0").select("tcr_id", "j_beta")))
+
+
+_F = f"SELECT tcr_id, ord, CAST(ord % 5 AS DOUBLE) / 4 AS f0, CAST(ord % 7 AS DOUBLE) / 60 AS f1, CAST(ord % 3 AS DOUBLE) / 2 AS f2 FROM ({TCR}) t"
+
+
+@query(f"WITH f AS ({_F}), u AS (SELECT tcr_id, 0 AS community, f0 AS strength FROM f UNION ALL SELECT tcr_id, 1, f1 FROM f UNION ALL SELECT tcr_id, 2, f2 FROM f), m AS (SELECT tcr_id, max(strength) AS m FROM u GROUP BY 1) SELECT tcr_id, community, round(strength, 6) AS strength FROM u JOIN m USING (tcr_id) WHERE strength >= greatest(0.0, 0.1 * m, 0.001)")
+def overlap_memberships(spark, sf_dir):
+    f = view(spark, sf_dir, _F).select("tcr_id", F.array("f0", "f1", "f2").alias("f"))
+    return graph.extract_memberships(f).select("tcr_id", "community", *r6("strength"))
+
+
+@query()
+def paired_diff_ci(spark, sf_dir):
+    t = tcr(spark, sf_dir).select(F.col("tcr_id").alias("id"), (F.col("ord") % 13).cast("double").alias("a"), (F.col("ord") % 11).cast("double").alias("b"))
+    return metrics.paired_bootstrap_ci(t, rounds=200).select(*r6("mean", "low", "high", "share_positive"))
+
+
+@query(f"""{_T}, d AS (SELECT CAST(ord % 13 - ord % 11 AS DOUBLE) AS d FROM tcr), z AS (SELECT d, abs(d) AS m FROM d WHERE d <> 0), k AS (SELECT *, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0 AS r FROM z) SELECT least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)) AS statistic FROM k""")
+def wilcoxon(spark, sf_dir):
+    t = tcr(spark, sf_dir).select((F.col("ord") % 13).cast("double").alias("a"), (F.col("ord") % 11).cast("double").alias("b"))
+    return metrics.wilcoxon(t).select("statistic")
+
+
+# --- graphs, experiments, reports ------------------------------------------------------------
+
+
+@query()
+def louvain_communities(spark, sf_dir):
+    return graph.louvain(consensus.balanced(assign(spark, sf_dir), WEIGHTS, 1.15).edges.where("final_score >= 1.15")).select("tcr_id", "cluster_id")
+
+
+@query(f"{_EDGES} SELECT t.threshold, count(e.tcr_id_a) AS edges FROM (VALUES (0.5), (1.0), (1.5), (2.0), (2.5)) t(threshold) LEFT JOIN edges e ON e.weighted_support >= t.threshold - 1e-9 GROUP BY 1")
+def tradeoff_sweep(spark, sf_dir):
+    e = pairs.coassociation(assign(spark, sf_dir), WEIGHTS)
+    t = spark.createDataFrame([(Decimal(x),) for x in ("0.5", "1.0", "1.5", "2.0", "2.5")], "threshold decimal(2,1)")
+    counted = e.groupBy(F.round("weighted_support", 6).alias("s")).agg(F.count("*").alias("k"))
+    j = t.join(F.broadcast(counted), F.col("s") >= F.col("threshold").cast("double") - 1e-9, "left")
+    return j.groupBy("threshold").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("edges"))
+
+
+@query()
+def noise_mix(spark, sf_dir):
+    return benchmark.noise_mix(tcr(spark, sf_dir), 0.25).select("tcr_id", "cdr3_beta")
+
+
+@query(f"{_A}, n AS (SELECT cluster_id, count(*) AS size FROM assign WHERE method = 'vj' GROUP BY 1) SELECT size, count(*) AS clusters FROM n GROUP BY 1")
+def cluster_size_histogram(spark, sf_dir):
+    return report.cluster_sizes(assign(spark, sf_dir).where("method = 'vj'"))
+
+
+@query(f"{_A}, n AS (SELECT cluster_id, count(*) AS size FROM assign WHERE method = 'vj' GROUP BY 1) SELECT count(*) AS clusters, CAST(sum(size) AS BIGINT) AS members, min(size) AS min, quantile_cont(size, 0.5) AS median, max(size) AS max, round(avg(size), 6) AS mean FROM n")
+def cluster_size_statistics(spark, sf_dir):
+    return report.size_statistics(assign(spark, sf_dir).where("method = 'vj'")).select("clusters", "members", "min", "median", "max", *r6("mean"))
+
+
+@query(f"{_EDGES}, ids AS (SELECT tcr_id FROM (SELECT tcr_id_a AS tcr_id FROM edges UNION SELECT tcr_id_b FROM edges) z ORDER BY 1 LIMIT 200), k AS (SELECT * FROM edges WHERE tcr_id_a IN (SELECT tcr_id FROM ids) AND tcr_id_b IN (SELECT tcr_id FROM ids)) SELECT tcr_id_a AS row, tcr_id_b AS \"column\", round(weighted_support, 6) AS value FROM k UNION ALL SELECT tcr_id_b, tcr_id_a, round(weighted_support, 6) FROM k")
+def coassociation_heatmap(spark, sf_dir):
+    return report.heatmap(pairs.coassociation(assign(spark, sf_dir), WEIGHTS)).select("row", "column", *r6("value"))
+
+
+@query(f"{_T}, s AS (SELECT DISTINCT cdr3_beta AS seq FROM tcr ORDER BY 1 LIMIT 200) SELECT l.seq AS a, r.seq AS b, round(levenshtein(l.seq, r.seq) / CAST(greatest(length(l.seq), length(r.seq)) AS DOUBLE), 6) AS dist FROM s l JOIN s r ON l.seq < r.seq")
+def distance_table(spark, sf_dir):
+    return report.distance_table(tcr(spark, sf_dir)).select("a", "b", *r6("dist"))
+
+
+@query()
+def loo_accuracy(spark, sf_dir):
+    acc = stability.leave_one_out(assign(spark, sf_dir), WEIGHTS, 1.0)
+    return spark.createDataFrame(sorted((m, round(v, 6)) for m, v in acc.items()), "method string, nmi double")
+
+
+@query()
+def reweighted_methods(spark, sf_dir):
+    w, _ = stability.iterative_reweight(written(assign(spark, sf_dir), "assign"), WEIGHTS, rounds=2, threshold=1.0)
+    return spark.createDataFrame(sorted((m, round(v, 6)) for m, v in w.items()), "method string, weight double")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receptors clustered by agreement of the two built-in methods; clusters by confidence."""
+    r = engine.Engine(spark).fit_predict(tcr(spark, sf_dir), methods=["hd_baseline", "levenshtein"])
+    return engine.rank_clusters(r.members).orderBy(F.desc("confidence"), "cluster_id")
+
 
-def queries() -> dict:
-    return {}
+@query()
+def flagship_clusters(spark, sf_dir):
+    return flagship(spark, sf_dir)
 
 
-def oracle_sql() -> dict:
-    return {}
