@@ -7,7 +7,6 @@ express it. Doubles are rounded on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
-from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -707,12 +706,12 @@ def louvain_communities(spark, sf_dir):
     return graph.louvain(consensus.balanced(assign(spark, sf_dir), WEIGHTS, 1.15).edges.where("final_score >= 1.15")).select("tcr_id", "cluster_id")
 
 
-@query(f"{_EDGES} SELECT t.threshold, count(e.tcr_id_a) AS edges FROM (VALUES (0.5), (1.0), (1.5), (2.0), (2.5)) t(threshold) LEFT JOIN edges e ON e.weighted_support >= t.threshold - 1e-9 GROUP BY 1")
+@query(f"{_EDGES} SELECT CAST(t.threshold AS DOUBLE) AS threshold, count(e.tcr_id_a) AS edges FROM (VALUES (0.5), (1.0), (1.5), (2.0), (2.5)) t(threshold) LEFT JOIN edges e ON e.weighted_support >= t.threshold - 1e-9 GROUP BY 1")
 def tradeoff_sweep(spark, sf_dir):
     e = pairs.coassociation(assign(spark, sf_dir), WEIGHTS)
-    t = spark.createDataFrame([(Decimal(x),) for x in ("0.5", "1.0", "1.5", "2.0", "2.5")], "threshold decimal(2,1)")
+    t = spark.createDataFrame([(x,) for x in (0.5, 1.0, 1.5, 2.0, 2.5)], "threshold double")
     counted = e.groupBy(F.round("weighted_support", 6).alias("s")).agg(F.count("*").alias("k"))
-    j = t.join(F.broadcast(counted), F.col("s") >= F.col("threshold").cast("double") - 1e-9, "left")
+    j = t.join(F.broadcast(counted), F.col("s") >= F.col("threshold") - 1e-9, "left")
     return j.groupBy("threshold").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("edges"))
 
 

@@ -11,9 +11,13 @@ CDR3_PATTERN = "(?i)^C[A-Z]{3,}[FW]$"
 GENE_PATTERN = r"(?i)^TR[AB][VDJ]\d+(-\d+)?$"
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def blank_to_null(c: Column, as_null: tuple[str, ...] = ("",)) -> Column:
-    t = F.trim(c.cast("string"))
-    return F.when(~t.isin(*as_null), t)
+    return let(F.trim(c.cast("string")), lambda t: F.when(~t.isin(*as_null), t))
 
 
 def number(c: Column, kind: str = "double") -> Column:

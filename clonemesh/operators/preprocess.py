@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import RESIDUES, basic_cdr3, blank_to_null, number, valid_cdr3, valid_gene
+from ..functions.sequences import RESIDUES, basic_cdr3, blank_to_null, let, number, valid_cdr3, valid_gene
 from ..schema import CANONICAL, ORD, ChainMode
 
 NULLS = ("", "NA", "na", "N/A", "nan", "None")
@@ -82,9 +82,8 @@ def cdr3_reason(c: Column, min_length: int = 5, max_length: int = 30, c_start: b
 def clean_cdr3(df: DataFrame, min_length: int = 5, max_length: int = 30, c_start: bool = True, upper: bool = True, residues: bool = True, columns: tuple[str, ...] = ("cdr3_beta", "cdr3_alpha")) -> DataFrame:
     """Blank bad CDR3s (to null), then drop rows without any."""
     have = [c for c in columns if c in df.columns]
-    up = {c: F.upper(F.trim(F.col(c))) if upper else F.col(c) for c in have}
-    df = df.withColumns({c: F.when(up[c] != "", up[c]) for c in have})
-    df = df.withColumns({c: F.when(cdr3_reason(F.col(c), min_length, max_length, c_start, residues).isNull(), F.col(c)) for c in have})
+    good = lambda v: F.when((v != "") & cdr3_reason(v, min_length, max_length, c_start, residues).isNull(), v)
+    df = df.withColumns({c: let(F.upper(F.trim(F.col(c))) if upper else F.col(c), good) for c in have})
     return df.where(_any_set(*have)) if have else df
 
 

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequences import blank_to_null
 from ..operators.preprocess import NULLS, clean_cdr3, dedup, extract_metadata, filter_chain, filter_score, normalize, with_order
 
 # Columns of each source format and the canonical columns they become.
@@ -127,7 +128,7 @@ def map_columns(df: DataFrame, fmt: str = "auto") -> DataFrame:
 def preprocess(source: DataFrame | str, spark: SparkSession | None = None, fmt: str = "auto", gene: str | None = None, min_score: float = 0, do_dedup: bool = True, strategy: str = "keep_first", by: tuple[str, ...] = ("cdr3_beta", "v_beta"), clean: bool = True, json_columns: tuple[str, ...] = ()) -> DataFrame:
     """Load, map, filter by chain and score, clean, deduplicate, extract, normalise."""
     df = read_text_table(spark, source) if isinstance(source, str) else with_order(source)
-    df = df.select(*(F.when(~F.trim(_q(c).cast("string")).isin(*NULLS[:4]), _q(c)).alias(c) if c != "ord" else _q(c) for c in df.columns))
+    df = df.select(*(blank_to_null(_q(c), NULLS[:4]).alias(c) if c != "ord" else _q(c) for c in df.columns))
     df = map_columns(df, fmt).transform(filter_chain, gene).transform(filter_score, min_score)
     df = clean_cdr3(df) if clean else df
     df = dedup(df, by, strategy) if do_dedup else df
