@@ -124,7 +124,9 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     both = both.select("_cm_key", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), terms(F.col("_cm_text")).alias("t1"), terms(F.col("edited")).alias("t2"))
     tagged = F.concat(F.array(F.struct(F.lit(None).cast("long").alias("term"), F.lit(0).alias("kind"))), _tagged("t1", 1), _tagged("t2", 2))
     whole = [F.xxhash64(F.sort_array(c)).alias(f"w{c}") for c in ("t1", "t2")]
-    rows = both.select("_cm_key", "n_chars", "edited_sha256", *whole, F.explode(tagged).alias("x")).select("*", F.col("x.term").alias("term"), F.col("x.kind").alias("kind")).drop("x")
+    # what stands beside explode() is evaluated for each of its rows, so it comes first
+    rows = both.select("_cm_key", "n_chars", "edited_sha256", *whole, tagged.alias("xs")).select("_cm_key", "n_chars", "edited_sha256", "wt1", "wt2", F.explode("xs").alias("x"))
+    rows = rows.select("_cm_key", "n_chars", "edited_sha256", "wt1", "wt2", "x.term", "x.kind")
     lex = words.withColumn("ok", F.lit(True))
     rows = rows.join(F.broadcast(lex) if words.count() <= MOST_BROADCAST else lex, "term", "left").where("ok or kind = 0")
     got = rows.groupBy("_cm_key").agg(
