@@ -9,10 +9,12 @@ descent on a part of it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,20 +179,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     from .common import written
 
     both = written(both, "training")
-    counts = both.where("slice >= 0").select("slice", "low", "high").groupBy("slice").applyInArrow(_sum_slices, "slice int, low array<bigint>, high array<bigint>").collect()
+    counts = both.where("slice >= 0").select("slice", "low", "high").groupBy("slice").applyInArrow(_sum_slices, "slice int, low array<bigint>, high array<bigint>").toArrow()
     count = np.zeros((2, DIM))
-    for r in counts:
-        at = slice(r.slice * DIM // _SLICES, (r.slice + 1) * DIM // _SLICES)
-        count[0, at], count[1, at] = r.low, r.high
-    got = both.where("slice < 0").select("y", "idx").collect()
+    for i, k in enumerate(counts.column("slice").to_pylist()):
+        at = slice(k * DIM // _SLICES, (k + 1) * DIM // _SLICES)
+        count[0, at], count[1, at] = (np.asarray(counts.column(c)[i].values) for c in ("low", "high"))
+    # as Arrow: the sampled indices stay in one buffer of 4-byte numbers on the driver
+    got = both.where("slice < 0").select("y", "idx").toArrow().combine_chunks()
     p, q = count[1] + 1, count[0] + 1
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    ratio = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
     ratio[(count[0] + count[1]) < 3] = 0.0
-    xs = [np.array(r.idx, np.int64) for r in got]
+    lists = got.column("idx").chunk(0) if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    flat, cut = np.asarray(lists.flatten()), np.r_[0, np.cumsum(np.asarray(pc.list_value_length(lists)))]
+    y01 = got.column("y").to_numpy() if got.num_rows else np.zeros(0, np.int32)
+    xs = [flat[i:j] for i, j in zip(cut[:-1], cut[1:])]
     # a fixed order, whatever order the rows came in
-    order = sorted(range(len(xs)), key=lambda i: (got[i].y, len(xs[i]), xs[i].tobytes()))
-    xs, ys = [xs[i] for i in order], np.array([1.0 if got[i].y else -1.0 for i in order])
-    vals = [ratio[x] / (np.sqrt((ratio[x] ** 2).sum()) or 1.0) for x in xs]
+    order = sorted(range(len(xs)), key=lambda i: (y01[i], len(xs[i]), zlib.crc32(xs[i].tobytes())))
+    xs, ys = [xs[i] for i in order], np.where(y01[order] > 0, 1.0, -1.0)
+    vals = [ratio[x] / (np.sqrt((ratio[x].astype(np.float64) ** 2).sum()) or 1.0) for x in xs]
+    vals = [v.astype(np.float32) for v in vals]
     have = {v: max((ys == v).sum(), 1) for v in (-1, 1)}
     weight = np.where(ys > 0, n[1] / have[1], n[0] / have[-1])
     margin = np.zeros(len(ys))
@@ -202,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             margin[i] = w[xs[i]] @ vals[i] + w[-1]
     a, b = _platt(margin, ys, weight)
     w = descend(xs, vals, ys, DIM)
-    return Model(w[:-1] * ratio, float(w[-1]), ratio**2, a, b)
+    return Model(w[:-1] * ratio, float(w[-1]), ratio.astype(np.float64) ** 2, a, b)
 
 
 def _held_out(col: str):
