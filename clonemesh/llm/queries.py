@@ -5,6 +5,7 @@ Operator modules are imported by the functions, so one can be read without the o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,10 +81,66 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return {name: f for name, f in globals().items() if re.match(r"op\d+_(?!sql$)", name)}
+
+
+#: Words of a text, and letters of upper case, for DuckDB.
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _windows(size: int) -> str:
+    return f"""w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents), n AS (SELECT doc_id, ws, len(ws) AS n FROM w),
+ p AS (SELECT doc_id, unnest(range(n - {size} + 1)) AS pos, ws FROM n WHERE n >= {size}), h AS (SELECT doc_id, pos, md5(array_to_string(ws[pos + 1 : pos + {size}], chr(1))) AS h FROM p),
+ o AS (SELECT h, min(doc_id) AS low, max(doc_id) AS high FROM h GROUP BY 1),
+ later AS (SELECT DISTINCT doc_id, pos + k AS pos FROM h JOIN o USING (h), range({size}) r(k) WHERE low < doc_id)"""
+
+
+def op10_sql(size: int = 13) -> str:
+    return f"""WITH {_windows(size)}, words AS (SELECT doc_id, unnest(range(n)) AS pos, unnest(ws) AS word FROM n),
+ kept AS (SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY pos)) AS s, count(*) AS k FROM words ANTI JOIN later USING (doc_id, pos) GROUP BY 1)
+ SELECT n.doc_id, n.n AS n_words, n.n - coalesce(k, 0) AS n_removed, coalesce(s, sha256('')) AS kept_sha256 FROM n LEFT JOIN kept USING (doc_id)"""
+
+
+def op1_sql(size: int = 50) -> str:
+    return f"""WITH {_windows(size)}, words AS (SELECT doc_id, unnest(range(n)) AS pos, unnest(ws) AS word FROM n),
+ shared AS (SELECT DISTINCT doc_id, pos + k AS pos FROM h JOIN o USING (h), range({size}) r(k) WHERE low < high),
+ isl AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM shared),
+ spans AS (SELECT i.doc_id, min(i.pos) AS a, max(i.pos) + 1 AS b, sha256(string_agg(word, ' ' ORDER BY i.pos)) AS s, count(later.pos) = 0 AS f FROM isl i JOIN words USING (doc_id, pos) LEFT JOIN later USING (doc_id, pos) GROUP BY i.doc_id, g)
+ SELECT doc_id, a AS start_word, b AS end_word, b - a AS n_words, CAST(sum(b - a) OVER (PARTITION BY doc_id) AS BIGINT) AS n_repeated, f AS first, s AS span_sha256 FROM spans"""
+
+
+def op7_sql(threshold: int = 85) -> str:
+    text = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text)} AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(ws[pos + 1 : pos + 5], chr(1)) AS x FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 4, least(len(ws), 1)))) AS pos FROM w) q),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ b AS (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS k FROM s l JOIN s r ON l.x = r.x AND l.doc_id < r.doc_id GROUP BY 1, 2),
+ e AS (SELECT a, b FROM b JOIN n l ON l.doc_id = a JOIN n r ON r.doc_id = b WHERE 100 * k >= {threshold} * (l.n + r.n - k)),
+ both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk(node, root) AS (SELECT a, a FROM both_ UNION SELECT b.b, w.root FROM walk w JOIN both_ b ON b.a = w.node WHERE w.root < b.b),
+ roots AS (SELECT node, min(root) AS root FROM walk GROUP BY 1)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN roots ON node = d.doc_id"""
+
+
+def op8_sql() -> str:
+    return """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+ l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.9),
+ walk(node, root) AS (SELECT a, a FROM l UNION SELECT l.b, w.root FROM walk w JOIN l ON l.a = w.node WHERE w.root < l.b), roots AS (SELECT node, min(root) AS root FROM walk GROUP BY 1),
+ k AS (SELECT a, count(*) AS k FROM l GROUP BY 1)
+ SELECT vec_id, coalesce(k, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept FROM v LEFT JOIN k ON a = vec_id LEFT JOIN roots ON node = vec_id"""
+
+
+def op9_sql() -> str:
+    piece = lambda i: f"CAST('0x' || substr(x, {10 * i + 1}, 10) AS UBIGINT)"
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((({piece(i)} >> {35 - 5 * k}) & 31) + 1 AS BIGINT), 1)" for i in range(4) for k in range(8))
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), g AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS last FROM p)
+ SELECT page_id, strlen(h) AS payload_bytes, {letters} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to,
+ CAST(1 + greatest(0, (strlen(h) - 1) // 1048576) AS INT) AS chunks, true AS verified FROM g"""
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL for the queries that it can express; the others are held against brute force, the
+    tokenizer's library or held-out labels in tests."""
     from .mixing import mixture_sql
 
-    return {"op4_mixing": mixture_sql()}
+    return {"op1_suffix_array_dedup": op1_sql(), "op4_mixing": mixture_sql(), "op7_minhash_dedup": op7_sql(), "op8_embedding_dedup": op8_sql(), "op9_warc": op9_sql(), "op10_substring_dedup": op10_sql()}
