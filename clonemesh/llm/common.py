@@ -3,12 +3,15 @@ batch sizes for Arrow exchange, small input helpers."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of one Arrow batch sent to Python; texts are kilobytes on average and may be far longer.
 ARROW_ROWS = 512
 
@@ -47,7 +50,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     executor can be lost afterwards."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # its shuffle files go as soon as the table is there
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, was) if was is not None else spark.conf.unset(_CLEAN)
     out = spark.read.schema(df.schema).parquet(path)
     out.clonemesh_path = path
     return out
@@ -58,6 +66,8 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     files of phases that have ended."""
     for t in tables:
         drop_path(spark, t.clonemesh_path)
+    gc.collect()  # plans that Python still holds in cycles keep their shuffles
+    time.sleep(0.3)  # the gateway hands over what Python let go in a thread of its own
     spark.sparkContext._jvm.System.gc()
 
 

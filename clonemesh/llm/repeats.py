@@ -101,7 +101,7 @@ class _Batch:
         ids = t.column("_cm_id").to_numpy()
         self.order = np.argsort(ids, kind="stable")
         self.t, self.rule, self.ids = t.take(pa.array(self.order)), rule, ids[self.order]
-        self.blocks = list(words(self.t.column("_cm_text")))
+        self.blocks = list(words(self.t.column("text")))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         self.found = [self.rule.anchors(w, self.rule.size) for w in self.blocks]
@@ -199,15 +199,15 @@ def repeated_runs(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, "Cove
     """Find the words covered by windows that occur in several documents, then give each
     batch with its masks to ``finish``."""
     spark = docs.sparkSession
-    docs = docs.withColumns({"_cm_text": text_or_empty(), "_cm_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))})
-    total = docs.select(F.sum(F.octet_length("_cm_text"))).first()[0] or 0
+    docs = docs.withColumn("_cm_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))))
+    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = shuffle_partitions(spark)
     # enough batches and buckets for all tasks, but none so small that there are more
     # (batch, bucket) rows than the input calls for
     batches = int(max(1, -(-total // batch_bytes), min(2 * parts, total >> 18)))
     buckets = int(max(1, -(-total // (2 * batch_bytes)), min(2 * parts, total >> 20)))
     docs = docs.withColumn("_cm_batch", F.pmod(F.xxhash64("_cm_id"), F.lit(batches)).cast("int"))
-    slim = docs.select("_cm_batch", "_cm_id", "_cm_text")
+    slim = docs.select("_cm_batch", "_cm_id", text_or_empty().alias("text"))
 
     def first(t: pa.Table) -> pa.Table:
         return _send(*_Batch(t, rule).anchors(), t.column("_cm_batch")[0].as_py(), buckets, False)
@@ -286,11 +286,11 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep_text: bool = False) ->
 
     def finish(t: pa.Table, c: Covered) -> pa.Table:
         n, gone, sha, texts = [], [], [], []
-        col = t.column("_cm_text")
+        col = t.column("text")
         for w, mask in zip(c.blocks, c.later()):
             data = w.data.tobytes()
             size_of = np.diff(np.r_[0, np.cumsum(mask)][w.first])
-            raw = [x.as_py() for x in col.slice(w.r0, w.r1 - w.r0)]
+            raw = [x.as_py() or "" for x in col.slice(w.r0, w.r1 - w.r0)]
             for i, text in enumerate(raw):
                 ws, k = text.encode().split(), int(size_of[i])
                 if k:
