@@ -101,7 +101,6 @@ class Pieces:
         self.runs = [0] + [len(sp.encode(" " * (r - 1))) if r > 1 else 1 for r in range(1, self.RUNS)]
         if any(self.runs[r] != self.runs[r - 16] + 1 for r in range(self.RUNS // 2, self.RUNS)):
             raise ValueError("runs of spaces are not periodic in this model")
-        self._fits: dict[tuple[int, int], bool] = {}
 
     def _merges(self) -> None:
         rank = {p: -float(self.score[i]) for p, i in self.ids.items()}
@@ -120,25 +119,17 @@ class Pieces:
         the border came first."""
         if u < 0 or t < 0:
             return True
-        key = u, t
-        known = self._fits.get(key)
-        if known is None:
-            limit, known = np.inf, True
-            while True:
-                if self.pair.get((u, t), np.inf) < limit:
-                    known = False
-                    break
-                ru, rt = self.rank[u], self.rank[t]
-                if ru < 0 and rt < 0:
-                    break
-                if ru > rt:
-                    limit, u = ru, self.right[u]
-                else:  # of equal ranks the left merge comes first
-                    limit, t = rt + 0.5, self.left[t]
-            if len(self._fits) > 1_000_000:
-                self._fits.clear()
-            self._fits[key] = known
-        return known
+        limit = np.inf
+        while True:
+            if self.pair.get((u, t), np.inf) < limit:
+                return False
+            ru, rt = self.rank[u], self.rank[t]
+            if ru < 0 and rt < 0:
+                return True
+            if ru > rt:
+                limit, u = ru, self.right[u]
+            else:  # of equal ranks the left merge comes first
+                limit, t = rt + 0.5, self.left[t]
 
     def run_tokens(self, r: int) -> int:
         """Tokens of r space marks alone."""

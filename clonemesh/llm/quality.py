@@ -24,6 +24,8 @@ from .scan import U, Words, mix, rolling, run_starts, words
 BITS = 17
 DIM = 1 << BITS
 _SLICES = 64
+#: Bytes of texts whose n-grams are hashed at once.
+BLOCK = 1 << 18
 #: Sampled training rows of each class: for the linear model, and for class counts. The ids
 #: of the latter, some 16 bytes each, are all that is broadcast.
 SAMPLE, COUNTED = 4000, 16_384
@@ -90,7 +92,7 @@ def _train_rows(rate: dict[int, float]):
         for b in batches:
             ys, picks = b.column(1).to_pylist(), b.column(2).to_pylist()
             out_y, out_x, i = [], [], 0
-            for w in words(b.column(0)):
+            for w in words(b.column(0), target=BLOCK):
                 for idx in features(w):
                     count[ys[i], idx] += 1
                     if picks[i] < rate[ys[i]]:
@@ -228,7 +230,7 @@ def score(docs: DataFrame, model: Model, column: str = "score", threshold: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [m.value.score(idx) for w in words(b.column(at).cast(pa.string())) for idx in features(w)]
+            s = [m.value.score(idx) for w in words(b.column(at).cast(pa.string()), target=BLOCK) for idx in features(w)]
             yield pa.record_batch([*b.columns, pa.array(s, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)

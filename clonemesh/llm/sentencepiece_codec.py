@@ -39,7 +39,7 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Codec:
     """Encodes batches of texts; units met before are kept, up to ``most`` of them."""
 
-    def __init__(self, p: Pieces, most: int = 1_000_000, merges: bool = True):
+    def __init__(self, p: Pieces, most: int = 600_000, merges: bool = True):
         self.p, self.most, self.merges = p, most, merges
         text = "".join(p.words)
         size = np.array([len(w) for w in p.words])
@@ -64,11 +64,19 @@ class Codec:
         self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     @staticmethod
-    def _hashes(cp: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        up, down = powers(_P, len(cp) + 1)
-        acc = np.zeros(len(cp) + 1, U)
-        np.cumsum((cp.astype(U) + U(1)) * up[: len(cp)], out=acc[1:])
-        return mix((acc[start + size] - acc[start]) * down[start] + size.astype(U))
+    def _hashes(cp: np.ndarray, start: np.ndarray, size: np.ndarray, piece: int = 1 << 17) -> np.ndarray:
+        """A hash of each range of code points; ranges are in order, and taken in pieces."""
+        out, i, end = np.empty(len(start), U), 0, start + size
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + piece, "right")))
+            lo, hi = int(start[i]), int(end[j - 1])
+            up, down = powers(_P, hi - lo + 1)
+            acc = np.zeros(hi - lo + 1, U)
+            np.cumsum((cp[lo:hi].astype(U) + U(1)) * up[: hi - lo], out=acc[1:])
+            a, b = start[i:j] - lo, end[i:j] - lo
+            out[i:j] = mix((acc[b] - acc[a]) * down[a] + size[i:j].astype(U))
+            i = j
+        return out
 
     def _probe(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1)
@@ -86,7 +94,7 @@ class Codec:
         miss = np.flatnonzero(v < 0)
         if len(miss):
             new = np.unique(k[miss])
-            if self.fit.n > 2_000_000:
+            if self.fit.n > 500_000:
                 self.fit = PairMap(18)
                 return self._fits(u, t)
             self.fit.add(new, np.array([self.p.fits(int(x) // self.p.size, int(x) % self.p.size) for x in new], np.int64))
@@ -148,7 +156,7 @@ class Codec:
         cut = np.flatnonzero(np.r_[True, np.diff(body[order]) != 0, True])
         for a, b in zip(cut[:-1], cut[1:]):
             length = int(body[order[a]])
-            step = max(1, (1 << 21) // (length + 1))
+            step = max(1, (1 << 19) // (length + 1))
             for lo in range(a, b, step):
                 rows = order[lo : min(lo + step, b)]
                 m = cp[(start + skip)[rows][:, None] + np.arange(length)]

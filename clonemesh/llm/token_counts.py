@@ -31,7 +31,7 @@ CHUNK, BLOCK = 512, 1 << 20
 class Transducer:
     """States are met and compiled lazily; when ``most`` are known, all are forgotten."""
 
-    def __init__(self, p: Pieces, most: int = 300_000):
+    def __init__(self, p: Pieces, most: int = 150_000):
         self.p, self.most = p, most
         self.trie: list[dict[int, int]] = [{}]
         self.token: list[int | None] = [None]
@@ -57,6 +57,7 @@ class Transducer:
 
     def reset(self) -> None:
         self.known: dict[tuple, int] = {}
+        self.fit: dict[int, bool] = {}
         self.states: list[tuple] = []
         self.map = PairMap(18)
         self.start = self.state(((0, START, 0),), 0)
@@ -84,7 +85,7 @@ class Transducer:
             child = self.trie[node].get(c)
             if child is not None:
                 t = self.token[child]
-                if t is not None and self.p.fits(last, t):
+                if t is not None and self.fits(last, t):
                     best = rel + 1, t
                 if self.trie[child]:
                     on.append((child, last, rel))
@@ -93,6 +94,14 @@ class Transducer:
         d, t = best
         return self.state((*((n, e, r - d) for n, e, r in on), (0, t, 0)), 0), d
 
+    def fits(self, last: int, t: int) -> bool:
+        key = (last << 32) + t
+        if key not in self.fit:
+            if len(self.fit) > self.most:
+                self.fit.clear()
+            self.fit[key] = self.p.fits(last, t)
+        return self.fit[key]
+
     def step(self, q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = (q << _CLASS_BITS) | c
         v = self.map.find(k)
