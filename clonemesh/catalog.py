@@ -6,6 +6,7 @@ express it. Doubles are rounded on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,8 @@ from .functions.sequences import RESIDUES, SIMILAR, group_scores, trim_cdr3
 from .operators import calibrate, clusterers, consensus, fusion, graph, metrics, motif, nulls, pairs, preprocess, profile, refine, simjoin
 from .plans import benchmark, engine, planner, report, stability, weights
 from .schema import DatasetProfile
-from .sources import readers
-from .storage import written
+from .sources import readers, sinks
+from .storage import shared_dir, written
 from .testviews import ASSIGN, RAW, TCR, WEIGHTS, assign, tcr, view
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -752,6 +753,175 @@ def reweighted_methods(spark, sf_dir):
     return spark.createDataFrame(sorted((m, round(v, 6)) for m, v in w.items()), "method string, weight double")
 
 
+# --- files, sinks and streams ----------------------------------------------------------------
+
+
+def _file(df: DataFrame, name: str, lines: bool = False, sep: str = "\t") -> str:
+    """``df`` as one text file in the shared folder, in the order of its rows."""
+    path = f"{shared_dir(df.sparkSession)}/clonemesh/{name}-{uuid.uuid4().hex[:10]}"
+    one = df.coalesce(1)
+    one.write.text(path) if lines else one.write.option("sep", sep).option("header", True).option("emptyValue", "").csv(path)
+    return path
+
+
+@query(_NORM)
+def read_custom_file(spark, sf_dir):
+    raw = view(spark, sf_dir, RAW).orderBy("ord").drop("ord", "score", "gene")
+    d = readers.read_tcr(spark, _file(raw, "custom"), "custom", {"cdr3_beta": "cdr3_beta"})
+    return d.select("tcr_id", "chain_mode", "cdr3_beta", "v_beta", "j_beta", "epitope", "count")
+
+
+@query(f"WITH raw AS ({RAW}) SELECT tcr_id, trim(cdr3_beta) AS cdr3_beta, v_beta, coalesce(TRY_CAST(count AS BIGINT), 1) AS count FROM raw WHERE trim(cdr3_beta) <> ''")
+def read_airr_file(spark, sf_dir):
+    raw = view(spark, sf_dir, RAW).orderBy("ord").selectExpr("tcr_id as sequence_id", "cdr3_beta as cdr3", "v_beta as v_call", "j_beta as j_call", "count as clone_count")
+    return readers.read_tcr(spark, _file(raw, "airr")).select("tcr_id", "cdr3_beta", "v_beta", "count")
+
+
+@query(f"WITH raw AS ({RAW}) SELECT trim(cdr3_beta) AS cdr3_beta, v_beta, j_beta, nullif(epitope, '') AS epitope, count(*) AS n FROM raw WHERE trim(cdr3_beta) <> '' GROUP BY ALL")
+def read_vdjdb_file(spark, sf_dir):
+    raw = view(spark, sf_dir, RAW).orderBy("ord").selectExpr("cdr3_beta as CDR3", "v_beta as V", "j_beta as J", "epitope as Epitope")
+    return readers.read_tcr(spark, _file(raw, "vdjdb")).groupBy("cdr3_beta", "v_beta", "j_beta", "epitope").agg(F.count("*").alias("n"))
+
+
+@query(f"{_T} SELECT cdr3_beta AS cdr3, arg_max(v_beta, ord) AS cluster FROM tcr GROUP BY 1")
+def giana_output(spark, sf_dir):
+    t = tcr(spark, sf_dir).orderBy("ord").select(F.when(F.col("ord") % 50 == 0, F.lit("## note")).otherwise(F.lit("")).alias("c"), F.concat_ws("\t", "cdr3_beta", "v_beta").alias("value"))
+    lines = t.select(F.explode(F.filter(F.array("c", "value"), lambda x: x != "")).alias("value"))
+    return readers.read_giana(spark, _file(lines, "giana", True))
+
+
+@query(f"{_T}, k AS (SELECT v_beta, count(*) AS n FROM tcr GROUP BY 1) SELECT t.cdr3_beta AS cdr3, count(*) AS n FROM tcr t JOIN k USING (v_beta) WHERE n % 2 = 0 GROUP BY 1")
+def gliph2_output(spark, sf_dir):
+    g = tcr(spark, sf_dir).groupBy("v_beta").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("cdr3_beta")).alias("m"))
+    lines = g.select(F.concat_ws(" ", F.lit("0.01 x"), F.col("n").cast("string"), F.when(F.col("n") % 2 == 0, "motif").otherwise("single"), F.array_join("m", " ")).alias("value"))
+    return readers.read_gliph2(spark, _file(lines, "gliph2", True)).groupBy("cdr3").agg(F.count("*").alias("n"))
+
+
+@query(f"{_T} SELECT cdr3_beta AS query, v_beta AS receptor_group, CAST(round(sum(CASE WHEN ord % 5 = 0 THEN 0 ELSE ord % 100 END) / CAST(100 AS DOUBLE), 6) AS DOUBLE) AS score FROM tcr GROUP BY 1, 2")
+def tcrmatch_output(spark, sf_dir):
+    t = tcr(spark, sf_dir)
+    lines = t.select(F.concat_ws("\t", "cdr3_beta", "cdr3_beta", F.when(F.col("ord") % 5 == 0, "?").otherwise((F.col("ord") % 100 / 100).cast("string")), "v_beta", "epitope").alias("value"))
+    head = spark.createDataFrame([("trimmed_input_sequence\tmatch\tscore\tgroup\tepitope",)], "value string")
+    return readers.read_tcrmatch(spark, _file(head.union(lines), "tcrmatch", True)).groupBy("query", "receptor_group").agg(F.round(F.sum("score"), 6).alias("score"))
+
+
+@query(f"{_A} SELECT cluster_id, tcr_id, CASE WHEN ord % 3 = 0 THEN 'core' ELSE 'low_confidence' END AS label FROM assign WHERE method = 'vj'")
+def members_sink(spark, sf_dir):
+    m = assign(spark, sf_dir).where("method = 'vj'").select("cluster_id", "tcr_id", F.when(F.col("ord") % 3 == 0, "core").alias("label"))
+    path = f"{shared_dir(spark)}/clonemesh/members-{uuid.uuid4().hex[:10]}"
+    sinks.write_table(m.withColumn("label", F.coalesce("label", F.lit("low_confidence"))), path)
+    return spark.read.csv(path, sep="\t", header=True)
+
+
+@query(f"{_T}, {_LEV} SELECT a, b FROM lp")
+def stream_edges(spark, sf_dir):
+    """The table as a stream of two micro-batches; edges found batch by batch are all edges."""
+    from .streaming import ingest
+
+    base = f"{shared_dir(spark)}/clonemesh/stream-{uuid.uuid4().hex[:10]}"
+    t = tcr(spark, sf_dir).select("cdr3_beta", "v_beta", F.timestamp_seconds(F.col("ord")).alias("ts"))
+    for k in (0, 1):
+        t.where(F.col("ts").cast("long") % 2 == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    src = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    ingest.start(src, f"{base}/out", f"{base}/state", "36500 days").awaitTermination()
+    return ingest.EdgeSink(f"{base}/out").read(spark).select("a", "b")
+
+
+# --- more of plans and reports ---------------------------------------------------------------
+
+
+@query(f"{_T} SELECT round(count(*) FILTER (ord % 4 <> 0) / CAST(count(*) AS DOUBLE), 6) AS retention FROM tcr")
+def retention(spark, sf_dir):
+    m = assign(spark, sf_dir).where("method = 'vj' and ord % 4 <> 0")
+    return metrics.retention(metrics.joined(m, tcr(spark, sf_dir))).select(*r6("retention"))
+
+
+@query(f"{_A}, o AS (SELECT a.method, a.cluster_id AS own, m.cluster_id AS c, count(*) AS n FROM assign a JOIN assign m ON m.tcr_id = a.tcr_id AND m.method = 'prefix7' GROUP BY ALL HAVING count(*) >= 2), w AS (SELECT *, CAST(length(c) + ascii(substr(c, 4, 1)) % 7 AS DOUBLE) / 14 AS conf FROM o) SELECT method, round(sum(n * conf) / sum(n), 6) AS reliability FROM w GROUP BY 1")
+def method_reliability(spark, sf_dir):
+    a = assign(spark, sf_dir)
+    m = a.where("method = 'prefix7'")
+    conf = m.select("cluster_id").distinct().withColumn("c", (F.length("cluster_id") + F.ascii(F.substring("cluster_id", 4, 1)) % 7) / 14.0)
+    got = stability.method_reliability(a, m, conf)
+    return spark.createDataFrame(sorted((k, round(v, 6)) for k, v in got.items()), "method string, reliability double")
+
+
+@query(f"{_A} SELECT method, cluster_id, count(DISTINCT tcr_id) AS size FROM assign GROUP BY ALL")
+def method_cluster_sizes(spark, sf_dir):
+    return stability.method_clusters(assign(spark, sf_dir)).select("method", "cluster_id", F.size("members").cast("long").alias("size"))
+
+
+_CM = f"{_REF}, cc AS (SELECT cluster_id, CAST(count(*) AS DOUBLE) AS size, CAST(count(*) % 7 AS DOUBLE) / 7 AS c FROM m GROUP BY 1)"
+
+
+def _scored_members(spark, sf_dir) -> DataFrame:
+    m, _ = _parts(spark, sf_dir)
+    n = m.groupBy("cluster_id").agg((F.count("*") % 7 / 7).alias("cluster_confidence"))
+    return m.join(n, "cluster_id")
+
+
+@query(f"{_CM} SELECT round(corr(size, c), 6) AS r, round(regr_slope(c, size), 6) AS slope, round(regr_intercept(c, size), 6) AS intercept, round(quantile_cont(c, 0.5), 6) AS median FROM cc")
+def confidence_fit(spark, sf_dir):
+    return report.confidence_fit(_scored_members(spark, sf_dir)).select(*r6("r", "slope", "intercept", "median"))
+
+
+@query(f"{_CM} SELECT CAST(least(floor(c * 20), 19) AS BIGINT) AS bin, count(*) AS clusters FROM cc GROUP BY 1")
+def confidence_histogram(spark, sf_dir):
+    return report.confidence_histogram(_scored_members(spark, sf_dir)).select(F.col("bin").cast("long").alias("bin"), "clusters")
+
+
+@query(f"{_REF}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY tcr_id) AS k FROM m) SELECT cluster_id, tcr_id FROM r ORDER BY k, cluster_id LIMIT 300")
+def network_nodes(spark, sf_dir):
+    m, e = _parts(spark, sf_dir)
+    return report.network(m, e)[0]
+
+
+@query(f"{_EDGES}, i AS (SELECT tcr_id FROM tcr WHERE ord % 2 = 0), k AS (SELECT * FROM edges WHERE tcr_id_a IN (SELECT tcr_id FROM i) AND tcr_id_b IN (SELECT tcr_id FROM i)) SELECT tcr_id_a AS row, tcr_id_b AS \"column\", round(weighted_support, 6) AS value FROM k UNION ALL SELECT tcr_id_b, tcr_id_a, round(weighted_support, 6) FROM k")
+def coassociation_matrix(spark, sf_dir):
+    ids = tcr(spark, sf_dir).where("ord % 2 = 0")
+    return pairs.coassociation_matrix(pairs.scored_edges(assign(spark, sf_dir), WEIGHTS), ids).select("row", "column", *r6("value"))
+
+
+@query(f"WITH o AS ({_OBS}), n AS ({_NULL}), d AS (SELECT DISTINCT score FROM o), c AS (SELECT score, (SELECT count(*) FROM o WHERE o.score >= d.score) AS n_obs, (SELECT count(*) FROM n WHERE n.score >= d.score) AS n_null FROM d) SELECT min(score) AS threshold FROM c WHERE CAST(n_null AS DOUBLE) / n_obs <= 0.05")
+def fdr_threshold(spark, sf_dir):
+    t = nulls.fdr_threshold(view(spark, sf_dir, _OBS), view(spark, sf_dir, _NULL))
+    return spark.createDataFrame([(t,)], "threshold double")
+
+
+@query(f"{_EDGES}, l AS (SELECT (x.epitope = y.epitope)::INT AS same FROM edges JOIN tcr x ON x.tcr_id = tcr_id_a JOIN tcr y ON y.tcr_id = tcr_id_b), k AS (SELECT same, count(*) AS n FROM l GROUP BY 1) SELECT same, (SELECT min(n) FROM k) AS n FROM k")
+def labeled_pairs(spark, sf_dir):
+    e = pairs.scored_edges(assign(spark, sf_dir), WEIGHTS)
+    got = fusion.labeled_pairs(e, tcr(spark, sf_dir).select("tcr_id", "epitope"), max_pairs=None)
+    return got.groupBy("same").agg(F.count("*").alias("n"))
+
+
+@query()
+def calibrated_confidence(spark, sf_dir):
+    m, e = _parts(spark, sf_dir)
+    e = written(e, "edges")
+    c = calibrate.fit_calibration(m, e, tcr(spark, sf_dir).select("tcr_id", "epitope"))
+    return c.predict(calibrate.raw_confidence(calibrate.cluster_features(m, e))).select("cluster_id", *r6("raw_confidence", "calibrated"))
+
+
+@query()
+def motif_splits(spark, sf_dir):
+    m, t = _by_gene(spark, sf_dir)
+    return refine.motif_split(m, t, kl=0.5, gain=0.02)
+
+
+@query()
+def analytical_fdr(spark, sf_dir):
+    a = assign(spark, sf_dir)
+    e = nulls.expected_vote(a, WEIGHTS).first()
+    return spark.createDataFrame([(nulls.analytical_fdr_threshold(pairs.scored_edges(a, WEIGHTS), e["expected"], e["variance"]),)], "threshold double")
+
+
+@query()
+def fused_consensus(spark, sf_dir):
+    """Signals fused, permutation null, threshold at a false discovery rate."""
+    c = consensus.balanced(assign(spark, sf_dir), WEIGHTS, tcr=tcr(spark, sf_dir), signals=fusion.SIGNALS, fdr_q=0.2, rounds=5)
+    return c.members.select("tcr_id", "cluster_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receptors clustered by agreement of the two built-in methods; clusters by confidence."""
     r = engine.Engine(spark).fit_predict(tcr(spark, sf_dir), methods=["hd_baseline", "levenshtein"])
