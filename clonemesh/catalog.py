@@ -6,7 +6,6 @@ express it. Doubles are rounded on both sides.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from .operators import calibrate, clusterers, consensus, fusion, graph, metrics,
 from .plans import benchmark, engine, planner, report, stability, weights
 from .schema import DatasetProfile
 from .sources import readers, sinks
-from .storage import shared_dir, written
+from .storage import new_path, written
 from .testviews import ASSIGN, RAW, TCR, WEIGHTS, assign, tcr, view
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -758,7 +757,7 @@ def reweighted_methods(spark, sf_dir):
 
 def _file(df: DataFrame, name: str, lines: bool = False, sep: str = "\t") -> str:
     """``df`` as one text file in the shared folder, in the order of its rows."""
-    path = f"{shared_dir(df.sparkSession)}/clonemesh/{name}-{uuid.uuid4().hex[:10]}"
+    path = new_path(df.sparkSession, name)
     one = df.coalesce(1)
     one.write.text(path) if lines else one.write.option("sep", sep).option("header", True).option("emptyValue", "").csv(path)
     return path
@@ -808,7 +807,7 @@ def tcrmatch_output(spark, sf_dir):
 @query(f"{_A} SELECT cluster_id, tcr_id, CASE WHEN ord % 3 = 0 THEN 'core' ELSE 'low_confidence' END AS label FROM assign WHERE method = 'vj'")
 def members_sink(spark, sf_dir):
     m = assign(spark, sf_dir).where("method = 'vj'").select("cluster_id", "tcr_id", F.when(F.col("ord") % 3 == 0, "core").alias("label"))
-    path = f"{shared_dir(spark)}/clonemesh/members-{uuid.uuid4().hex[:10]}"
+    path = new_path(spark, "members")
     sinks.write_table(m.withColumn("label", F.coalesce("label", F.lit("low_confidence"))), path)
     return spark.read.csv(path, sep="\t", header=True)
 
@@ -818,7 +817,7 @@ def stream_edges(spark, sf_dir):
     """The table as a stream of two micro-batches; edges found batch by batch are all edges."""
     from .streaming import ingest
 
-    base = f"{shared_dir(spark)}/clonemesh/stream-{uuid.uuid4().hex[:10]}"
+    base = new_path(spark, "stream")
     t = tcr(spark, sf_dir).select("cdr3_beta", "v_beta", F.timestamp_seconds(F.col("ord")).alias("ts"))
     for k in (0, 1):
         t.where(F.col("ts").cast("long") % 2 == k).coalesce(1).write.mode("append").parquet(f"{base}/in")

@@ -2,28 +2,66 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where the session names none."""
+    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
+
+    Only where the session names none, as in local tests, a temporary folder is set.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        sc = spark.sparkContext
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="clonemesh-"))
-        base = sc._jsc.sc().getCheckpointDir().get()
+        jsc = spark.sparkContext._jsc.sc()
+        if jsc.getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clonemesh-"))
+        base = jsc.getCheckpointDir().get()
     return base.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, removed when the session's file systems close."""
+    path = f"{shared_dir(spark)}/clonemesh/{name}-{uuid.uuid4().hex[:12]}"
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written to the shared folder and read again; removed when the session ends."""
+    """Write ``df`` to the shared folder and read it again: lineage ends here, any executor
+    can be lost afterwards, and the shuffle files that made the table go at once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/clonemesh/{name}-{uuid.uuid4().hex[:12]}"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(spark, name)
+    was = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, was) if was is not None else spark.conf.unset(_CLEAN)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.clonemesh_path = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that :func:`written` made, and let the JVM drop what no plan holds."""
+    for t in tables:
+        drop_path(spark, t.clonemesh_path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
