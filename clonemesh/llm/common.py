@@ -1,74 +1,17 @@
-"""What the operators of this subpackage share: tables in the cluster's shared folder,
-batch sizes for Arrow exchange, small input helpers."""
+"""What the operators of this subpackage share: batch sizes for Arrow exchange, small input
+helpers, and the library's tables in the shared folder."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows of one Arrow batch sent to Python; texts are kilobytes on average and may be far longer.
-ARROW_ROWS = 512
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in local tests, a temporary folder is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clonemesh-"))
-        base = jsc.getCheckpointDir().get()
-    return base.rstrip("/")
-
+from ..storage import new_path, release, written
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the session's file systems close."""
-    path = f"{shared_dir(spark)}/clonemesh/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
+__all__ = ["arrow_batches", "new_path", "release", "shuffle_partitions", "table", "text_or_empty", "written"]
 
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends here, and any
-    executor can be lost afterwards."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    was = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")  # its shuffle files go as soon as the table is there
-    try:
-        df.select("*").write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, was) if was is not None else spark.conf.unset(_CLEAN)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.clonemesh_path = path
-    return out
-
-
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables that :func:`written` made and let the JVM's cleaner drop the shuffle
-    files of phases that have ended."""
-    for t in tables:
-        drop_path(spark, t.clonemesh_path)
-    gc.collect()  # plans that Python still holds in cycles keep their shuffles
-    time.sleep(0.3)  # the gateway hands over what Python let go in a thread of its own
-    spark.sparkContext._jvm.System.gc()
+#: Rows of one Arrow batch sent to Python; texts are kilobytes on average and may be far longer.
+ARROW_ROWS = 512
 
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
