@@ -16,7 +16,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["hamming_pairs", "hamming_pairs_2", "levenshtein_pairs", "coassociation_edges", "signed_edges", "cross_cluster_scores", "pwm_information", "vj_enrichment", "member_labels", "dedup_keep_first", "preprocess_chain", "null_probs"])
+@pytest.mark.parametrize("name", ["hamming_pairs", "hamming_pairs_2", "levenshtein_pairs", "coassociation_edges", "signed_edges", "cross_cluster_scores", "pwm_information", "member_labels", "dedup_keep_first", "preprocess_chain", "null_probs"])
 def test_no_cross_joins(spark, name):
     p = plan(catalog.queries()[name](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
