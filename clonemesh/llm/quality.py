@@ -17,8 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_batches
+from .common import arrow_batches, written
 from .scan import U, Words, mix, rolling, run_starts, words
 
 BITS = 17
@@ -178,8 +179,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     picked = ids.withColumn("pick", pick).where(" or ".join(f"(y = {k} and pick < {counted / v})" for k, v in n.items()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("text", "y", "pick")
     both = rows.mapInArrow(_train_rows({k: sample / v for k, v in n.items()}), "slice int, y int, idx array<int>, low array<bigint>, high array<bigint>")
-    from .common import written
-
     both = written(both, "training")
     counts = both.where("slice >= 0").select("slice", "low", "high").groupBy("slice").applyInArrow(_sum_slices, "slice int, low array<bigint>, high array<bigint>").toArrow()
     count = np.zeros((2, DIM))
@@ -218,11 +217,9 @@ def _held_out(col: str):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % 5 == 0
 
 
-def score(docs: DataFrame, model: Model, column: str = "score", threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """All columns of ``docs`` with ``column``: the score of each whole text, 0 to 1. A null
     text is an empty one, which gets the model's score of no indicators."""
-    from pyspark.sql import types as T
-
     arrow_batches(docs.sparkSession)
     m = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])

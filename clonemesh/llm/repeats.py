@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import release, shuffle_partitions, text_or_empty, written
 from .scan import U, Words, rolling, run_starts, word_rows, words
@@ -179,18 +180,13 @@ def _meet(kind: int, with_doc: bool):
     return meet
 
 
-def _answer(t: pa.Table, kind: int, h: np.ndarray, name: str = "_cm_bits") -> np.ndarray:
-    """The bits that came back for the sorted distinct hashes h of a batch."""
-    rows = sorted((r["_cm_bucket"], r[name]) for r in t.to_pylist() if r["_cm_kind"] == kind)
-    if not len(h):
-        return np.zeros(0, bool)
-    buckets = np.array([b for b, _ in rows])
-    # a bucket's entries are contiguous in h; their number is known from h itself
-    n = t.schema.metadata and int(t.schema.metadata.get(b"buckets", b"0"))
-    own = _bucket(h, n) if n else None
-    cut = np.searchsorted(own, buckets), np.searchsorted(own, buckets, "right")
-    out = np.zeros(len(h), bool)
-    for (_, raw), i, j in zip(rows, *cut):
+def _answer(t: pa.Table, kind: int, h: np.ndarray, buckets: int, name: str = "_cm_bits") -> np.ndarray:
+    """The bits that came back for the sorted distinct hashes h of a batch, of which those of
+    a bucket are contiguous."""
+    rows = [(r["_cm_bucket"], r[name]) for r in t.to_pylist() if r["_cm_kind"] == kind]
+    own, out = _bucket(h, buckets), np.zeros(len(h), bool)
+    for b, raw in rows:
+        i, j = np.searchsorted(own, b), np.searchsorted(own, b, "right")
         out[i:j] = _bits(raw, j - i)
     return out
 
@@ -213,25 +209,22 @@ def repeated_runs(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, "Cove
         return _send(*_Batch(t, rule).anchors(), t.column("_cm_batch")[0].as_py(), buckets, False)
 
     def recall(t: pa.Table, replies: pa.Table) -> tuple[_Batch, np.ndarray, np.ndarray]:
-        replies = replies.replace_schema_metadata({"buckets": str(buckets)})
         b = _Batch(t, rule)
         h = _entries(*b.anchors())[0]
-        return b, *b.windows(h[_answer(replies, 1, h)]), replies
+        return b, *b.windows(h[_answer(replies, 1, h, buckets)])
 
     def second(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _SENT_PA.empty_table()
-        _, h, doc, _ = recall(t, replies)
+        _, h, doc = recall(t, replies)
         return _send(h, doc, t.column("_cm_batch")[0].as_py(), buckets, True)
 
     def third(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table([[]] * len(empty), schema=empty)
-        b, h, doc, replies = recall(t, replies)
+        b, h, doc = recall(t, replies)
         h, low, _ = _entries(h, doc)
-        return finish(b.t, Covered(b, h, low, _answer(replies, 2, h), _answer(replies, 2, h, "_cm_less")))
-
-    from pyspark.sql.pandas.types import to_arrow_schema
+        return finish(b.t, Covered(b, h, low, _answer(replies, 2, h, buckets), _answer(replies, 2, h, buckets, "_cm_less")))
 
     empty = to_arrow_schema(schema)
     one = written(slim.groupBy("_cm_batch").applyInArrow(first, _SENT).groupBy("_cm_bucket").applyInArrow(_meet(1, False), _REPLY), "anchors")
@@ -288,7 +281,6 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep_text: bool = False) ->
         n, gone, sha, texts = [], [], [], []
         col = t.column("text")
         for w, mask in zip(c.blocks, c.later()):
-            data = w.data.tobytes()
             size_of = np.diff(np.r_[0, np.cumsum(mask)][w.first])
             raw = [x.as_py() or "" for x in col.slice(w.r0, w.r1 - w.r0)]
             for i, text in enumerate(raw):
@@ -301,7 +293,6 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep_text: bool = False) ->
                     sha.append(hashlib.sha256(b" ".join(ws)).hexdigest())
             n.append(w.counts())
             gone.append(size_of)
-            del data
         if not keep_text:
             return pa.table([t.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(gone), pa.int64()), pa.array(sha, pa.string())], names=schema.names)
         cols = {f.name: t.column(f.name) for f in schema}

@@ -92,13 +92,12 @@ def _writer(base: str, date: str):
                 if no == 0:
                     end()
                     member, open_, count = zlib.compressobj(1, zlib.DEFLATED, 31), True, count + 1
-                    block = _HTTP if response is not None else _HTTP + b""
                     fields = [("WARC-Type", "response" if response is None else "revisit"), ("WARC-Record-ID", _urn(page_id)), ("WARC-Date", date)]
                     fields += [("WARC-Target-URI", "".join((uri or f"urn:page:{page_id}").split()))]
                     fields += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Page-ID", "" if page_id is None else str(page_id)), ("Payload-Length", str(n))]
                     if response is not None:
                         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(response)), ("Refers-To-Page-ID", str(response))]
-                    put(_header(fields, len(block) + (n if response is None else 0)) + block)
+                    put(_header(fields, len(_HTTP) + (n if response is None else 0)) + _HTTP)
                 if data is not None:
                     put(data)
         end()
