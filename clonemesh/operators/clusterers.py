@@ -253,7 +253,7 @@ class LabelPredictor:
     def predict(self, df: DataFrame) -> DataFrame:
         from pyspark.ml import PipelineModel
 
-        return PipelineModel(stages=self.model.stages[1:]).transform(self._kmers(df)).select("tcr_id", "predicted", F.array_max(F.expr("cast(null as array<double>)")).alias("_")).drop("_")
+        return PipelineModel(stages=self.model.stages[1:]).transform(self._kmers(df)).select("tcr_id", "predicted", "probability")
 
 
 #: Clusterers that run here; others come in as assignments of outside tools.

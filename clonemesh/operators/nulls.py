@@ -31,14 +31,12 @@ def expected_vote(assignments: DataFrame, weights: dict[str, float] | None = Non
 def permuted(assignments: DataFrame, rounds: int, seed: int = 0) -> DataFrame:
     """(b, method, tcr_id, cluster_id): cluster labels shuffled within each method ``rounds``
     times; sizes stay. Receptors and labels are both ranked, by hashes, and joined on rank."""
-    spark = assignments.sparkSession
     a = assignments.select("method", "tcr_id", "cluster_id").distinct()
     b = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
     rep = a.withColumn("b", b)
     w = Window.partitionBy("b", "method")
     ids = rep.select("b", "method", "tcr_id", F.row_number().over(w.orderBy("tcr_id", "cluster_id")).alias("r"))
     labels = rep.select("b", "method", "cluster_id", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "b", "method", "tcr_id", "cluster_id"), "tcr_id", "cluster_id")).alias("r"))
-    del spark
     return ids.join(labels, ["b", "method", "r"]).select("b", "method", "tcr_id", "cluster_id")
 
 

@@ -305,3 +305,11 @@ def test_profile_bounds(spark, tcr):
 def test_bootstrap_stability(spark, tcr):
     s = stability.bootstrap_stability(clusterers.levenshtein_clusters, tcr, rounds=2)
     assert 0 <= s <= 1
+
+
+def test_label_predictor(spark):
+    rows = [(f"t{i}", ("CAAA" if i % 2 else "CDDD") + "ACDEF"[i % 5] + "F", "AB"[i % 2]) for i in range(40)]
+    d = spark.createDataFrame(rows, "tcr_id string, cdr3_beta string, epitope string")
+    m = clusterers.LabelPredictor().fit(d)
+    got = {r.tcr_id: r.predicted for r in m.predict(d).collect()}
+    assert m.is_fitted and got == {t: e for t, _, e in rows}
