@@ -223,7 +223,8 @@ def noise_score(spark, sf_dir):
     return profile.noise_score(tcr(spark, sf_dir)).select(*r6("noise_score"))
 
 
-@query()
+@query(f"""SELECT n_tcrs, labels, mean, std, vj_completeness, unique_ratio, clone_expansion, publicity, noise_score FROM ({_T} SELECT count(*) AS n_tcrs, bool_or(epitope IS NOT NULL) AS labels, round(avg((CASE WHEN v_beta IS NOT NULL THEN 1.0 ELSE 0 END + CASE WHEN j_beta IS NOT NULL THEN 1.0 ELSE 0 END) / 2), 6) AS vj_completeness FROM tcr) a,
+ ({_SQL['profile_lengths']}) b, ({_SQL['unique_ratio']}) c, ({_SQL['clone_expansion']}) d, ({_SQL['publicity']}) e, ({_SQL['noise_score']}) f""")
 def profile_summary(spark, sf_dir):
     return profile.summary(tcr(spark, sf_dir)).select("n_tcrs", "labels", *r6("mean", "std", "vj_completeness", "unique_ratio", "clone_expansion", "publicity", "noise_score"))
 
@@ -655,10 +656,14 @@ def per_epitope_metrics(spark, sf_dir):
     return metrics.per_label_metrics(_table(spark, sf_dir)).select("label", "n", *r6("sensitivity", "largest_cluster_ratio"))
 
 
-@query()
+_ALL = ("purity_metrics", "sensitivity", "pairwise_metrics", "ari", "ami", "nmi", "v_measure", "bcubed")
+
+
+@query(f"SELECT *, round(2 * purity * sensitivity / (purity + sensitivity), 4) AS f1, CAST(1 AS DOUBLE) AS retention FROM {', '.join(f'({_SQL[q]}) {q}_' for q in _ALL)}")
 def all_metrics(spark, sf_dir):
     m = metrics.all_metrics(metrics.joined(assign(spark, sf_dir).where("method = 'vj'"), tcr(spark, sf_dir)))
-    return m.select(*r6(*m.columns))
+    digits = {"ami": 5, "f1": 4}
+    return m.select(*(F.round(F.col(c).cast("double"), digits.get(c, 6)).alias(c) for c in m.columns))
 
 
 _OVER = "o AS (SELECT tcr_id, 0 AS k, v_beta AS community FROM tcr UNION ALL SELECT tcr_id, 1, j_beta FROM tcr WHERE ord % 2 = 0)"
