@@ -95,9 +95,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, probes: int = 4, sa
     spark = vectors.sparkSession
     arrow_batches(spark, 4096)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda v: v.cast("double")).alias("embedding"))
+    # 128 bits stand for a vector wherever only equality matters
+    rows = rows.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(7), "embedding")})
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     good = rows.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
-    classes = written(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies")), "vectors")
+    classes = written(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("embedding").alias("embedding")), "vectors")
     sizes = classes.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     result = None
     if sizes:
@@ -129,10 +131,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, probes: int = 4, sa
     linked = result if result is not None else spark.createDataFrame([], "rep long, links long, label long")
     total = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("rep").alias("a"), F.col("label").alias("b"))).withColumnRenamed("node", "rep")
-    done = classes.join(total, "rep", "left").join(roots, "rep", "left")
-    done = done.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"), F.lit(True).alias("_cm_ok"))
+    done = classes.select("h1", "h2", "rep", "copies").join(total, "rep", "left").join(roots, "rep", "left")
+    done = done.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     out = rows.withColumn("_cm_ok", F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
-    keyed = out.where("_cm_ok").join(done.drop("_cm_ok"), "embedding", "left")
+    keyed = out.where("_cm_ok").select("vec_id", "h1", "h2").join(done, ["h1", "h2"], "left")
     alone = out.where("not _cm_ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     both = keyed.select("vec_id", "n_links", "component_id").unionByName(alone)
     return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
