@@ -140,20 +140,17 @@ class Codec:
     def _segment(self, cp: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of units, one after another, and their number for each unit. A unit is a
         run of space marks and the word after it."""
-        out: list[np.ndarray] = [None] * len(start)
         mark = cp == _MARK
         run = np.zeros(len(start), np.int64)
-        longest_run = int(size.max()) if len(size) else 0
-        alive = np.arange(len(start))
-        for j in range(longest_run):
-            alive = alive[(size[alive] > j)]
-            alive = alive[mark[start[alive] + j]] if len(alive) else alive
-            if not len(alive):
-                break
+        alive, j = np.arange(len(start)), 0
+        while len(alive := alive[size[alive] > j]) and len(alive := alive[mark[start[alive] + j]]):
             run[alive] += 1
-        body, skip = size - np.maximum(run - 1, 0), np.maximum(run - 1, 0)
+            j += 1
+        skip = np.maximum(run - 1, 0)
+        body = size - skip
         order = np.argsort(body, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(body[order]) != 0, True])
+        units, counts, flats, chars = [], [], [], []
         for a, b in zip(cut[:-1], cut[1:]):
             length = int(body[order[a]])
             step = max(1, (1 << 19) // (length + 1))
@@ -161,31 +158,52 @@ class Codec:
                 rows = order[lo : min(lo + step, b)]
                 m = cp[(start + skip)[rows][:, None] + np.arange(length)]
                 token, back = self._viterbi(m)
-                at = np.full(len(rows), length)
+                at, r = np.full(len(rows), length), np.arange(len(rows))
                 ends = np.zeros(token.shape, bool)
-                while True:
-                    r = np.flatnonzero(at > 0)
-                    if not len(r):
-                        break
+                while len(r):
                     ends[r, at[r]] = True
                     at[r] -= back[r, at[r]]
-                for i, row in enumerate(rows.tolist()):
-                    e = np.flatnonzero(ends[i])
-                    out[row] = self._expand(token[i, e], m[i, e - 1])
-        for i in np.flatnonzero(run > 1).tolist():
-            bare = out[i][0] == self.p.ids[SPACE]
-            spaces = self._spaces(int(run[i]) - (not bare))
-            out[i] = np.r_[spaces, out[i][1:] if bare else out[i]]
-        return np.concatenate([np.zeros(0, np.int64), *out]), np.array([len(x) for x in out], np.int64)
-
-    def _expand(self, t: np.ndarray, char: np.ndarray) -> np.ndarray:
+                    r = r[at[r] > 0]
+                r, e = np.nonzero(ends)
+                units.append(rows)
+                counts.append(ends.sum(axis=1))
+                flats.append(token[r, e])
+                chars.append(m[r, e - 1])
+        unit, count, flat, char = (np.concatenate(x) for x in (units, counts, flats, chars))
+        back_to = np.argsort(unit)
+        at = _ragged((np.cumsum(count) - count)[back_to], count[back_to])
+        count, flat, char = count[back_to], flat[at], char[at]
+        flat, count = self._expand(flat, char, count)
+        return self._with_runs(flat, count, run)
+
+    def _expand(self, flat: np.ndarray, char: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece become their bytes."""
-        if (t >= 0).all():
-            return t
-        parts = []
-        for x, c in zip(t.tolist(), char.tolist()):
-            parts.extend([x] if x >= 0 else self.byte_ids[list(chr(c).encode())].tolist())
-        return np.array(parts)
+        gone = np.flatnonzero(flat < 0)
+        if not len(gone):
+            return flat, count
+        ids = [self.byte_ids[list(chr(c).encode())] for c in char[gone].tolist()]
+        n = np.ones(len(flat), np.int64)
+        n[gone] = [len(x) for x in ids]
+        out = np.repeat(flat, n)
+        out[_ragged((np.cumsum(n) - n)[gone], n[gone])] = np.concatenate(ids)
+        end = np.cumsum(count)
+        return out, np.diff(np.r_[0, np.cumsum(n)][np.r_[0, end]])
+
+    def _with_runs(self, flat: np.ndarray, count: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units that begin with several marks: all but the last, and this as well if it is a
+        token of its own, are a run of marks."""
+        long = np.flatnonzero(run > 1)
+        if not len(long):
+            return flat, count
+        first = (np.cumsum(count) - count)[long]
+        bare = flat[first] == self.p.ids[SPACE]
+        ids = [self._spaces(int(r) - (not x)) for r, x in zip(run[long], bare)]
+        n = np.array([len(x) for x in ids])
+        flat = np.insert(flat, np.repeat(first, n), np.concatenate(ids))
+        at = first + np.cumsum(n)  # where the old first tokens are now
+        count = count.copy()
+        count[long] += n - bare
+        return np.delete(flat, at[bare]), count
 
     def _spaces(self, r: int) -> list[int]:
         """Tokens of r space marks alone, as the library merges them."""
