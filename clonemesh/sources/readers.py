@@ -25,7 +25,7 @@ FULL_MAPS = {
     "airr": {"sequence_id": "tcr_id", "cdr3": "cdr3_beta", "cdr3_aa": "cdr3_beta", "v_call": "v_beta", "j_call": "j_beta", "d_call": "d_beta", "clone_count": "count", "clone_frequency": "frequency", "locus": "_locus", "productive": "_productive", "sequence_alignment": "_seq_alignment"},
     "10x": {"barcode": "tcr_id", "cdr3": "cdr3_beta", "cdr3s_aa": "cdr3_beta", "v_gene": "v_beta", "j_gene": "j_beta", "d_gene": "d_beta", "chain": "_chain", "clono_id": "_clono_id", "raw_clono_id": "_raw_clono_id", "freq": "frequency"},
 }
-#: Canonical column -> other names it goes by in files of no known format.
+# Canonical column -> other names it goes by in files of no known format.
 ALIASES = {
     "cdr3_beta": ("cdr3", "cdr3b", "junction_aa", "junctionaa", "amino_acid"),
     "cdr3_alpha": ("cdr3a",),
