@@ -13,6 +13,7 @@ no border at all.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ CHUNK, BLOCK = 512, 1 << 20
 class Transducer:
     """States are met and compiled lazily; when ``most`` are known, all are forgotten."""
 
-    def __init__(self, p: Pieces, most: int = 150_000):
+    def __init__(self, p: Pieces, most: int = 400_000):
         self.p, self.most = p, most
         self.trie: list[dict[int, int]] = [{}]
         self.token: list[int | None] = [None]
@@ -56,14 +57,14 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[tuple, int] = {}
+        self.known: dict[bytes, int] = {}
         self.fit: dict[int, bool] = {}
-        self.states: list[tuple] = []
+        self.states: list[bytes] = []
         self.map = PairMap(18)
-        self.start = self.state(((0, START, 0),), 0)
+        self.start = self.state([(0, START, 0)], 0)
 
-    def state(self, live: tuple, run: int) -> int:
-        key = (run, live)
+    def state(self, live: list[tuple[int, int, int]], run: int) -> int:
+        key = array("i", [run, *(x for entry in live for x in entry)]).tobytes()
         q = self.known.get(key)
         if q is None:
             q = self.known[key] = len(self.states)
@@ -72,14 +73,15 @@ class Transducer:
 
     def compile(self, q: int, c: int) -> tuple[int, int]:
         """(next state, change in tokens) of state q for character class c."""
-        run, live = self.states[q]
+        packed = array("i", self.states[q])
+        run, live = packed[0], zip(packed[1::3], packed[2::3], packed[3::3])
         if c == self.space:
             run += 1
             if run >= self.p.RUNS:
                 run -= 16  # from there on, 16 more space marks are one more token
             f, g = self.p.runs[run], self.p.runs[run - 1]
             node = self.trie[0][c]
-            return self.state(((node, START, g - f), (0, self.token[node], 0)), run), f - g
+            return self.state([(node, START, g - f), (0, self.token[node], 0)], run), f - g
         best, on = None, []
         for node, last, rel in live:
             child = self.trie[node].get(c)
@@ -92,12 +94,12 @@ class Transducer:
         if best is None:
             best, on = (c if self.p.byte_id else 1, UNKNOWN), []
         d, t = best
-        return self.state((*((n, e, r - d) for n, e, r in on), (0, t, 0)), 0), d
+        return self.state([*((n, e, r - d) for n, e, r in on), (0, t, 0)], 0), d
 
     def fits(self, last: int, t: int) -> bool:
         key = (last << 32) + t
         if key not in self.fit:
-            if len(self.fit) > self.most:
+            if len(self.fit) > 150_000:
                 self.fit.clear()
             self.fit[key] = self.p.fits(last, t)
         return self.fit[key]
