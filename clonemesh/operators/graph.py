@@ -38,7 +38,7 @@ def components(edges: DataFrame, a: str = "tcr_id_a", b: str = "tcr_id_b") -> Da
     every node points at its smallest neighbour, pointers are followed, and the edges
     between what is left go on, so their number falls by half at least each round."""
     spark = edges.sparkSession
-    e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
+    e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v")
     kind = e.schema["u"].dataType
     few = e.limit(SMALL + 1).toArrow()
     if few.num_rows <= SMALL:
@@ -48,7 +48,8 @@ def components(edges: DataFrame, a: str = "tcr_id_a", b: str = "tcr_id_b") -> Da
 
 
 def contract(e: DataFrame) -> DataFrame:
-    """Components of edges (u, v) with u < v, on executors only."""
+    """Components of edges (u, v) with u < v, on executors only. Edges may repeat; from the
+    first contraction on they are distinct."""
     roots = None
     while roots is None or not e.isEmpty():
         both = e.union(e.select("v", "u"))
