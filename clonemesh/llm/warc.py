@@ -215,11 +215,13 @@ def write_archives(pages: DataFrame, base: str, min_bytes: int = 0, date: str =
     arrow_batches(spark, 256)
     known = written(digests(pages), "digests")
     groups = known.where(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(F.max("page_id").alias("last"), F.count("page_id").alias("copies")).where("copies > 1")
-    again = known.join(groups, ["digest", "n_bytes"]).where("page_id < last").groupBy("page_id").agg(F.max("last").alias("response_id"))
+    # a page_id may repeat with another payload, so a decision holds for an id and a payload
+    again = known.join(groups, ["digest", "n_bytes"]).where("page_id < last").groupBy("page_id", "digest", "n_bytes").agg(F.max("last").alias("response_id"))
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("uri"), F.col("html").cast("string").alias("html")).join(again, "page_id", "left")
     text = F.coalesce(F.col("html"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("uri"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumns({"n_bytes": F.octet_length(text).cast("long"), "digest": base32(F.sha1(F.encode(text, "UTF-8")))})
+    rows = rows.join(again, ["page_id", "digest", "n_bytes"], "left")
     return written(chunk_rows(rows).mapInArrow(_writer(base, date), "file string, records long"), "manifest")
 
 

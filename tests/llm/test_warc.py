@@ -29,6 +29,17 @@ def test_round_trip(spark, tmp_path):
     assert next(r for r in got if r.page_id == 1).chunks == 3
 
 
+def test_a_repeated_id_keeps_its_other_payload(spark, tmp_path):
+    rows = [(8, "u", "shared"), (8, "u", "own"), (9, "u", "shared"), (9, "u", "other"), (7, "u", "other"), (7, "u", "shared")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = warc.round_trip(pages, tmp_path.as_uri()).collect()
+    name = {base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(): h for _, _, h in rows}
+    want = [(7, "other", "revisit", 9), (7, "shared", "revisit", 9), (8, "own", "response", None), (8, "shared", "revisit", 9), (9, "other", "response", None), (9, "shared", "response", None)]
+    assert sorted((r.page_id, name[r.payload_digest], r.record_type, r.refers_to) for r in got) == want
+    raw = b"".join(gzip.open(f).read() for f in glob.glob(f"{tmp_path}/*.warc.gz"))
+    assert raw.count(b"\r\n\r\nown\r\n\r\n") == 1
+
+
 def test_files_are_plain_archives(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "")], "page_id long, url string, html string").coalesce(1)
     warc.write_archives(pages, tmp_path.as_uri())
