@@ -18,6 +18,8 @@ from .common import release, text_or_empty, written
 LEVELS, SUBSETS = (3, 5, 7, 9), 16
 #: Document frequencies kept, as shares of all documents.
 BAND = (0.0005, 0.1)
+#: A document with less than one of so many of its terms in the band brings in its others.
+FEW = 8
 #: Lexicon terms that are broadcast at most (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -32,10 +34,23 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
-    """(term) with at least two documents and a document frequency within ``band``."""
+    """(term) with at least two documents and a document frequency within ``band``, and the
+    terms of documents that this leaves with less than one term in FEW.
+
+    Large groups of copies lift the terms of their text over the band. A term outside of it
+    comes in if half of its documents or more are such ones, so words that are frequent
+    everywhere stay out, and each text has one fingerprint wherever it stands."""
     n = docs.count()
-    df = docs.select(F.explode(terms(F.col("_cm_text"))).alias("term")).groupBy("term").count()
-    return df.where((F.col("count") >= max(2.0, band[0] * n)) & (F.col("count") <= max(2.0, band[1] * n))).select("term")
+    of = docs.select(F.xxhash64("_cm_text").alias("text"), terms(F.col("_cm_text")).alias("ts"))
+    df = written(of.select(F.explode("ts").alias("term")).groupBy("term").count(), "frequencies")
+    inside = (F.col("count") >= max(2.0, band[0] * n)) & (F.col("count") <= max(2.0, band[1] * n))
+    words = written(df.where(inside).select("term"), "band")
+    lex = words.withColumn("ok", F.lit(True))
+    known = of.select("text", F.explode("ts").alias("term")).join(F.broadcast(lex) if words.count() <= MOST_BROADCAST else lex, "term", "left")
+    bare = known.groupBy("text").agg(F.count("*").alias("n"), F.count("ok").alias("k")).where(F.col("k") * FEW < F.col("n"))
+    bare = written(bare.select("text"), "bare")
+    own = of.join(F.broadcast(bare) if bare.count() <= MOST_BROADCAST else bare, "text", "left_semi").select(F.explode("ts").alias("term")).groupBy("term").agg(F.count("*").alias("own"))
+    return words.union(df.where(~inside).join(own, "term").where("2 * own >= count").select("term"))
 
 
 def _parts(ts: Column, fallback: Column) -> Column:
@@ -104,7 +119,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     is that with the next larger doc_id; after the last comes the first.
 
     A null text is an empty one, whose fingerprint is all zeros. A text without any term in
-    the band gets a fingerprint of all its terms' hash. A document without an id comes
+    the lexicon gets a fingerprint of all its terms' hash. A document without an id comes
     first; of rows that repeat an id, the smallest text stands for the document. A document
     alone is its own next. An empty table gives an empty result.
     """

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
+
+from pyspark.sql import functions as F
 
 from clonemesh.llm import imatch
 
@@ -22,6 +25,23 @@ def test_edits_and_likeness(clashing, corpus):
     assert got[0].fingerprint != got[1].fingerprint
 
 
+def test_a_third_of_the_rows_are_copies(spark):
+    r = random.Random(5)
+    rest = [" ".join(["the", "of", "and"] + [f"w{r.randrange(1500)}" for _ in range(60)]) for _ in range(60)]
+    base = ["the", "of", "and"] + [f"hot{i}" for i in range(200)]
+    near = [" ".join(base[:i] + [f"new{i}"] + base[i + 1 :]) for i in (50, 90, 130, 170)]
+    texts = [" ".join(base)] * 26 + near + rest
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in imatch.fingerprints(docs).collect()}
+    assert all(got[i].near_edited > 0 for i in range(30))
+    assert len({got[i].fingerprint for i in range(26)}) == 1 and len({got[i].fingerprint for i in range(30)}) > 1
+    assert all(0.5 < got[i].near_next <= 1 for i in range(29)) and got[29].near_next < 0.2
+    # words that are frequent everywhere stay out of the lexicon
+    words = {x.term for x in imatch.lexicon(docs.withColumnRenamed("text", "_cm_text")).collect()}
+    hashes = lambda t: set(spark.createDataFrame([(t,)], "t string").select(imatch.terms(F.col("t"))).first()[0])
+    assert not words & hashes("the of and") and hashes("hot1 hot2 hot199") <= words
+
+
 def test_small_tables(spark, docs):
     assert imatch.fingerprints(docs.limit(0)).count() == 0
     one = spark.createDataFrame([(3, "alpha beta")], "doc_id long, text string")
