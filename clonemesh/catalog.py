@@ -333,7 +333,7 @@ def clonotype_groups(spark, sf_dir):
 @query()
 def hierarchical_clusters(spark, sf_dir):
     t = tcr(spark, sf_dir)
-    p = simjoin.levenshtein_matrix(t.select(F.col("cdr3_beta").alias("seq"))).select(F.col("a").alias("tcr_id_a"), F.col("b").alias("tcr_id_b"), (F.col("dist") * 100).alias("dist"))
+    p = simjoin.all_distances(t.select(F.col("cdr3_beta").alias("seq"))).select(F.col("a").alias("tcr_id_a"), F.col("b").alias("tcr_id_b"), (F.col("dist") * 100).alias("dist"))
     return clusterers.hierarchical_clusters(p).select(F.col("tcr_id").alias("cdr3_beta"), "cluster_id")
 
 

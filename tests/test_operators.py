@@ -313,3 +313,17 @@ def test_label_predictor(spark):
     m = clusterers.LabelPredictor().fit(d)
     got = {r.tcr_id: r.predicted for r in m.predict(d).collect()}
     assert m.is_fitted and got == {t: e for t, _, e in rows}
+
+
+def test_hierarchical_clusters_take_all_sequences(spark):
+    import pytest
+
+    from clonemesh import catalog
+    from clonemesh.operators import simjoin
+
+    sf = "/root/testdata/sf0.01"
+    seqs = sorted(x.cdr3_beta for x in catalog.tcr(spark, sf).select("cdr3_beta").distinct().collect())
+    got = {x.cdr3_beta for x in catalog.hierarchical_clusters(spark, sf).collect()}
+    assert got & set(seqs[200:]) and max(got) > seqs[-50]
+    with pytest.raises(ValueError):
+        simjoin.all_distances(spark.createDataFrame([(x,) for x in seqs], "seq string"), 100)
