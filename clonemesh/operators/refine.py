@@ -107,7 +107,8 @@ def label_members(members: DataFrame, edges: DataFrame, core: float = 0.6, perip
 def motif_split(members: DataFrame, tcr: DataFrame, min_size: int = 8, min_part: int = 4, kl: float = 2.5, gain: float = 0.2, most: int = 50_000) -> DataFrame:
     """Clusters whose sequences fall into two parts with motifs apart: 2-means on one-hot
     positions, parts of ``min_part`` or more, symmetric KL of at least ``kl`` and a gain in
-    information of ``gain``. A cluster is one task; clusters over ``most`` stay whole."""
+    information of ``gain``. A cluster is one task up to ``most`` members; larger ones get the
+    same split from distributed aggregates."""
     m = members.join(tcr.select("tcr_id", F.col("cdr3_beta").alias("seq")), "tcr_id", "left")
     n = m.groupBy("cluster_id").agg(F.count("*").alias("n"))
     m = m.join(n, "cluster_id")
@@ -130,7 +131,31 @@ def motif_split(members: DataFrame, tcr: DataFrame, min_size: int = 8, min_part:
         return pa.table([names, ids], names=["cluster_id", "tcr_id"])
 
     small = m.where(F.col("n") <= most).drop("n").groupBy("cluster_id").applyInArrow(run, "cluster_id string, tcr_id string")
-    return small.unionByName(m.where(F.col("n") > most).select("cluster_id", "tcr_id"))
+    if n.where(F.col("n") > most).isEmpty():
+        return small
+    large = written(m.where(F.col("n") > most).drop("n"), "large")
+    return small.unionByName(_split_large(large, min_size, min_part, kl, gain))
+
+
+def _split_large(m: DataFrame, min_size: int, min_part: int, kl: float, gain: float) -> DataFrame:
+    """The rule of :func:`motif_split` for clusters that are more than one task's."""
+    labels, counts = motif.two_groups_of(m)
+    longest = {(r.cluster_id, r.label): r.len for r in labels.groupBy("cluster_id", "label").agg(F.max(F.length("seq")).alias("len")).collect()}
+    split = []
+    for name, parts in counts.items():
+        sizes = [p[0].sum() for p in parts]
+        if sum(sizes) < min_size or min(sizes) < max(min_part, 1):
+            continue
+        pw = [motif.pwm_of(p, longest[name, k]) for k, p in enumerate(parts)]
+        whole = motif.information(motif.pwm_of(parts[0] + parts[1], len(parts[0])))
+        mean = sum(motif.information(p) * n for p, n in zip(pw, sizes)) / sum(sizes)
+        if motif.symmetric_kl(*pw) >= kl and mean >= (1 + gain) * whole:
+            split.append((name,))
+    which = F.broadcast(m.sparkSession.createDataFrame(split, "cluster_id string").withColumn("split", F.lit(True)))
+    # distinct texts of a hot cluster are many keys, so no task has all of it
+    rows = m.join(labels, ["cluster_id", "seq"], "left").join(which, "cluster_id", "left")
+    name = F.when(F.col("split"), F.concat("cluster_id", F.lit("_m"), F.coalesce("label", F.lit(0)).cast("string"))).otherwise(F.col("cluster_id"))
+    return rows.select(name.alias("cluster_id"), "tcr_id")
 
 
 def motif_merge(members: DataFrame, edges: DataFrame, tcr: DataFrame, kl: float = 1.0, min_overlap: float = 0.3) -> DataFrame:

@@ -315,6 +315,21 @@ def test_label_predictor(spark):
     assert m.is_fitted and got == {t: e for t, _, e in rows}
 
 
+def test_large_clusters_are_split_as_small_ones(spark):
+    import random
+
+    from clonemesh.operators import refine
+
+    r = random.Random(3)
+    rows = [(f"t{i:03}", c, r.choice("AG") + a * r.randint(4, 6) + r.choice("XKF")) for c, kinds in (("c1", "DW"), ("c2", "D"), ("c3", "LKQ")) for a in kinds for i in r.sample(range(1000), 40)]
+    rows = [(f"{c}{t}{i}", c, s) for i, (t, c, s) in enumerate(rows)] + [("c1z", "c1", None), ("c1y", "c1", "")]
+    d = spark.createDataFrame(rows, "tcr_id string, cluster_id string, cdr3_beta string").repartition(5)
+    key = lambda m: sorted(map(tuple, m.select("tcr_id", "cluster_id").collect()))
+    m, t = d.select("cluster_id", "tcr_id"), d.select("tcr_id", "cdr3_beta")
+    small, large = (key(refine.motif_split(m, t, kl=0.5, gain=0.02, most=most)) for most in (1000, 10))
+    assert small == large and {"c1_m0", "c1_m1"} <= {c for _, c in small}
+
+
 def test_hierarchical_clusters_take_all_sequences(spark):
     import pytest
 
