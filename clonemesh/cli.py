@@ -29,6 +29,7 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--mode", default="balanced", choices=["conservative", "balanced", "coverage"])
         if name == "benchmark":
             c.add_argument("--labels", required=True)
+            c.add_argument("--datasets", nargs="*", default=[], help="tables for leave-one-dataset-out")
     a = p.parse_args(argv)
     spark = _spark()
     from .plans.benchmark import full_benchmark
@@ -43,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "benchmark":
         from .sources.readers import read_labels
 
-        found = full_benchmark(e, e.load(a.input), read_labels(spark, a.labels), a.out, methods=a.methods)
+        found = full_benchmark(e, e.load(a.input), read_labels(spark, a.labels), a.out, {p: e.load(p) for p in a.datasets}, methods=a.methods)
         for name, d in found.items():
             print(name)
             d.show(truncate=False)

@@ -65,9 +65,11 @@ def ablation(engine: Engine, tcr: DataFrame, labels: DataFrame, **kw) -> DataFra
     return union(rows)
 
 
-def leave_one_label_out(engine: Engine, tcr: DataFrame, labels: DataFrame, most: int = 50, **kw) -> DataFrame:
-    """Metrics without each of the labels (the ``most`` commonest); the label table counts."""
-    names = [x[0] for x in labels.where("epitope is not null").groupBy("epitope").count().orderBy(F.desc("count"), "epitope").limit(most).select("epitope").collect()]
+def leave_one_label_out(engine: Engine, tcr: DataFrame, labels: DataFrame, most: int | None = None, **kw) -> DataFrame:
+    """Metrics without each of the labels of two rows or more (or the ``most`` commonest); the
+    label table counts."""
+    n = labels.where("epitope is not null").groupBy("epitope").count().where("count >= 2").orderBy(F.desc("count"), "epitope")
+    names = [x[0] for x in (n if most is None else n.limit(most)).select("epitope").collect()]
     rows = []
     for name in names:
         gone = labels.where(F.col("epitope") == name).select("tcr_id")
@@ -90,11 +92,18 @@ def tradeoff(edges: DataFrame, labels: DataFrame, thresholds: tuple[float, ...]
     return union(metrics.all_metrics(metrics.joined(cluster_members(threshold_edges(edges, t)), labels)).withColumn("threshold", F.lit(float(t))) for t in thresholds)
 
 
-def full_benchmark(engine: Engine, tcr: DataFrame, labels: DataFrame, out_dir: str, **kw) -> dict[str, DataFrame]:
+def full_benchmark(engine: Engine, tcr: DataFrame, labels: DataFrame, out_dir: str, sets: dict[str, DataFrame] | None = None, **kw) -> dict[str, DataFrame]:
+    """All experiments: leave-one-label-out from three labels on with one of two rows or more,
+    and leave-one-dataset-out for two ``sets`` or more."""
     from ..sources import sinks
 
     r, base = run_dataset(engine, tcr, labels, **kw)
     found = {"base": base, "noise": noise_stress(engine, tcr, labels, **kw), "ablation": ablation(engine, tcr, labels, **kw), "tradeoff": tradeoff(r.edges, labels)}
+    n = labels.where("epitope is not null").groupBy("epitope").count()
+    if n.limit(3).count() == 3 and not n.where("count >= 2").isEmpty():
+        found["leave_one_label_out"] = leave_one_label_out(engine, tcr, labels, **kw)
+    if sets and len(sets) >= 2:
+        found["leave_one_dataset_out"] = leave_one_dataset_out(engine, sets, labels, **kw)
     for name, d in found.items():
         sinks.write_table(d, f"{out_dir}/{name}")
     return found

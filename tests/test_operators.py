@@ -342,3 +342,17 @@ def test_hierarchical_clusters_take_all_sequences(spark):
     assert got & set(seqs[200:]) and max(got) > seqs[-50]
     with pytest.raises(ValueError):
         simjoin.all_distances(spark.createDataFrame([(x,) for x in seqs], "seq string"), 100)
+
+
+def test_all_labels_are_left_out_and_the_benchmark_has_them(spark, monkeypatch, tmp_path):
+    from clonemesh.plans import benchmark
+
+    monkeypatch.setattr(benchmark, "run_dataset", lambda *a, **k: (type("R", (), {"edges": None}), spark.createDataFrame([(1.0,)], "x double")))
+    for f in ("noise_stress", "ablation", "tradeoff"):
+        monkeypatch.setattr(benchmark, f, lambda *a, **k: spark.createDataFrame([(1.0,)], "x double"))
+    labels = spark.createDataFrame([(f"t{i}", f"e{i // 2}") for i in range(121)], "tcr_id string, epitope string")
+    tcr = labels.select("tcr_id")
+    assert {x.left_out for x in benchmark.leave_one_label_out(None, tcr, labels).collect()} == {f"e{i}" for i in range(60)}
+    few = labels.where("epitope in ('e0', 'e1', 'e2')")
+    found = benchmark.full_benchmark(None, tcr, few, str(tmp_path), sets={"a": tcr, "b": tcr})
+    assert found["leave_one_label_out"].count() == 3 and found["leave_one_dataset_out"].count() == 4
