@@ -65,25 +65,39 @@ def uniform(docs: DataFrame, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.encode(key, "UTF-8")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def sample_mixture(docs: DataFrame, alpha: float = 0.5, share: float = 0.8, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
+def raked_cells(d: DataFrame, alpha: float, share: float | None, rounds: int) -> tuple[DataFrame, bool]:
+    """The cells of :func:`described` documents with weight and probability, and whether they
+    are few enough to be broadcast. Without a ``share`` the probabilities are the largest in
+    proportion to weight per token of which none is over 1."""
+    cells = written(d.groupBy("_cm_source", "_cm_lang", "_cm_topic").agg(F.sum("_cm_tokens").alias("tokens")), "cells")
+    few = cells.count() <= MOST_BROADCAST
+    small = cells.select(F.col("_cm_source").alias("source"), F.col("_cm_lang").alias("lang"), F.col("_cm_topic").alias("topic"), "tokens")
+    if few:
+        small = small.coalesce(1)  # cells are few: every window of the raking is in one task
+    raked = written(d.sparkSession.sql(raking_sql("{cells}", alpha, 1.0 if share is None else share, rounds), cells=small), "raked")
+    if share is None:
+        both = raked.join(small, ["source", "lang", "topic"])
+        rate = F.col("weight") / F.col("tokens")
+        top = both.agg(F.max(rate)).first()[0]
+        raked = both.select("source", "lang", "topic", "weight", (rate / F.lit(top)).alias("probability"))
+    return raked, few
+
+
+def sample_mixture(docs: DataFrame, alpha: float = 0.5, share: float | None = 0.8, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
     """The kept rows of ``docs`` with all their columns, and _cm_source, _cm_lang, _cm_topic,
     _cm_tokens, _cm_weight (the cell's raked share of tokens) and _cm_probability.
 
     Target shares of each source, language and topic are in proportion to their tokens to
-    the power ``alpha``; ``share`` of all tokens is kept in expectation. A null text has one
-    token. Rows that repeat an id are kept or dropped together; rows without an id by their
-    text. An empty table gives an empty result.
+    the power ``alpha``; ``share`` of all tokens is kept in expectation. Where that
+    needs a probability over 1, cells are capped and kept tokens miss the targets; with None
+    it is the largest share that needs none, and they meet them. A null text has one token. Rows that repeat an id are kept
+    or dropped together; rows without an id by their text. An empty table gives an empty
+    result.
     """
-    spark = docs.sparkSession
     d = described(docs)
-    cells = written(d.groupBy("_cm_source", "_cm_lang", "_cm_topic").agg(F.sum("_cm_tokens").alias("tokens")), "cells")
-    n = cells.count()
-    small = cells.select(F.col("_cm_source").alias("source"), F.col("_cm_lang").alias("lang"), F.col("_cm_topic").alias("topic"), "tokens")
-    if n <= MOST_BROADCAST:
-        small = small.coalesce(1)  # cells are few: every window of the raking is in one task
-    raked = written(spark.sql(raking_sql("{cells}", alpha, share, rounds), cells=small), "raked")
+    raked, few = raked_cells(d, alpha, share, rounds)
     raked = raked.select(*(F.col(c).alias(f"_cm_{c}") for c in raked.columns))
-    raked = F.broadcast(raked) if n <= MOST_BROADCAST else raked
+    raked = F.broadcast(raked) if few else raked
     kept = d.withColumn("_cm_u", uniform(docs, seed)).join(raked, ["_cm_source", "_cm_lang", "_cm_topic"])
     return kept.where("_cm_u < _cm_probability").drop("_cm_u")
 

@@ -41,8 +41,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of documents whose tokens follow the target shares."""
-    return sample_mixture(docs).select(docs.columns)
+    """The largest sample of documents whose tokens follow the target shares."""
+    return sample_mixture(docs, share=None).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

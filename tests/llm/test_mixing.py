@@ -47,6 +47,45 @@ def test_rows_are_those_of_sql(spark):
     assert got == want and 0 < len(got) < docs.count()
 
 
+def marginals(rows):
+    """By dimension, the share of each value in the (source, lang, topic, tokens) rows."""
+    total, out = sum(r[3] for r in rows), [{}, {}, {}]
+    for r in rows:
+        for d in range(3):
+            out[d][r[d]] = out[d].get(r[d], 0) + r[3] / total
+    return out
+
+
+def targets(rows, alpha=0.5):
+    out = []
+    for m in marginals(rows):
+        p = {x: v**alpha for x, v in m.items()}
+        out.append({x: v / sum(p.values()) for x, v in p.items()})
+    return out
+
+
+def test_the_reachable_share_meets_the_targets(spark):
+    docs = mixing.described(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    raked, _ = mixing.raked_cells(docs, 0.5, None, mixing.ROUNDS)
+    cells = {tuple(r)[:3]: r[3] for r in docs.groupBy("_cm_source", "_cm_lang", "_cm_topic").agg({"_cm_tokens": "sum"}).collect()}
+    raked = raked.collect()
+    assert max(r.probability for r in raked) == pytest.approx(1) and len(raked) == len(cells)
+    got = marginals([(r.source, r.lang, r.topic, r.probability * cells[r.source, r.lang, r.topic]) for r in raked])
+    for g, t in zip(got, targets([(*k, v) for k, v in cells.items()])):
+        assert g == pytest.approx(t, abs=2e-3)
+
+
+def test_the_stage_of_the_pipeline_meets_the_targets(spark):
+    import corpus_pipeline
+
+    rows = [(i, "word " * 40 if i % 50 else "1234 " * 40, "en" if i % 10 else "de", f"s{min(i % 7, 1)}", 200) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.mixing(spark, docs, "")
+    cells = lambda d: [tuple(r) for r in mixing.described(d).select("_cm_source", "_cm_lang", "_cm_topic", "_cm_tokens").collect()]
+    for g, t in zip(marginals(cells(kept)), targets(cells(docs))):
+        assert g == pytest.approx(t, abs=0.03)
+
+
 def test_columns_nulls_and_empty(clashing, docs):
     kept = mixing.sample_mixture(clashing, share=1.0)
     assert kept.count() == clashing.count()
