@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.sequences import RESIDUES, SIMILAR, group_scores, trim_cdr3
+from .functions.sequences import RESIDUES, default_scores, trim_cdr3
 from .operators import calibrate, clusterers, consensus, fusion, graph, metrics, motif, nulls, pairs, preprocess, profile, refine, simjoin
 from .plans import benchmark, engine, planner, report, stability, weights
 from .schema import DatasetProfile
@@ -424,9 +424,9 @@ def permutation_null_sizes(spark, sf_dir):
 # --- fusion ----------------------------------------------------------------------------------
 
 _PAIRS2 = "pp AS (SELECT l.tcr_id AS tcr_id_a, r.tcr_id AS tcr_id_b, l.cdr3_beta AS sa, r.cdr3_beta AS sb, l.v_beta AS va, r.v_beta AS vb, l.j_beta AS ja, r.j_beta AS jb FROM tcr l JOIN tcr r ON r.ord = l.ord + 1)"
-_GROUP = "CASE " + " ".join(f"WHEN contains('{g}', x) THEN '{i}'" for i, g in enumerate(SIMILAR)) + " ELSE x END"
+_SCORES = ", ".join(f"('{a}', '{b}', {v})" for (a, b), v in sorted(default_scores().items()))
 _BLOSUM = f"""g AS (SELECT tcr_id_a, tcr_id_b, unnest(string_split(substr(sa, 1, least(length(sa), length(sb))), '')) AS x, unnest(string_split(substr(sb, 1, least(length(sa), length(sb))), '')) AS y FROM pp),
- sc AS (SELECT tcr_id_a, tcr_id_b, avg(CASE WHEN x = y THEN 5 WHEN ({_GROUP}) = ({_GROUP.replace('x)', 'y)').replace('ELSE x', 'ELSE y')}) THEN 1 ELSE -2 END) AS score FROM g GROUP BY ALL)"""
+ matrix(x, y, v) AS (VALUES {_SCORES}), sc AS (SELECT tcr_id_a, tcr_id_b, avg(coalesce(v, -4)) AS score FROM g LEFT JOIN matrix USING (x, y) GROUP BY ALL)"""
 
 
 def _next_pairs(t: DataFrame) -> DataFrame:
@@ -437,7 +437,7 @@ def _next_pairs(t: DataFrame) -> DataFrame:
 @query(f"{_T}, {_PAIRS2}, {_BLOSUM} SELECT tcr_id_a, tcr_id_b, round(1 / (1 + exp(-(score - 2) / 3)), 6) AS sequence_support FROM sc")
 def substitution_similarity(spark, sf_dir):
     t = tcr(spark, sf_dir)
-    return fusion.pair_signals(_next_pairs(t), t, scores=group_scores()).select("tcr_id_a", "tcr_id_b", *r6("sequence_support"))
+    return fusion.pair_signals(_next_pairs(t), t).select("tcr_id_a", "tcr_id_b", *r6("sequence_support"))
 
 
 @query(f"{_T}, {_PAIRS2} SELECT tcr_id_a, tcr_id_b, CAST((va = vb)::INT * 0.5 + (ja = jb)::INT * 0.5 AS DOUBLE) AS vj_support FROM pp")
@@ -787,6 +787,23 @@ def read_vdjdb_file(spark, sf_dir):
     return readers.read_tcr(spark, _file(raw, "vdjdb")).groupBy("cdr3_beta", "v_beta", "j_beta", "epitope").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH raw AS ({RAW}) SELECT count(*) AS n, count(*) AS ids, true AS dense FROM raw WHERE trim(cdr3_beta) <> ''")
+def made_ids(spark, sf_dir):
+    """Ids made for a table of several files that has none; the files' order is not fixed, so
+    it is counted that they are distinct and below the number of lines."""
+    raw = view(spark, sf_dir, RAW).repartitionByRange(5, "ord").selectExpr("cdr3_beta as CDR3", "v_beta as V", "j_beta as J")
+    path = new_path(spark, "vdjdb")
+    raw.write.option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    d = readers.read_tcr(spark, path)
+    lines = raw.count()
+    return d.agg(F.count("*").alias("n"), F.count_distinct("tcr_id").alias("ids"), (F.max("tcr_id") < F.format_string("tcr_%06d", F.lit(lines))).alias("dense"))
+
+
+@query(f"{_T} SELECT concat('cons_', CASE WHEN n < 10000 THEN lpad(cast(n AS varchar), 4, '0') ELSE cast(n AS varchar) END) AS cluster_id, tcr_id FROM (SELECT tcr_id, row_number() OVER (ORDER BY tcr_id) - 1 AS n FROM tcr) z")
+def numbered_clusters(spark, sf_dir):
+    return graph.numbered(tcr(spark, sf_dir).select(F.col("tcr_id").alias("cluster_id"), "tcr_id"))
+
+
 @query(f"{_T} SELECT cdr3_beta AS cdr3, arg_max(v_beta, ord) AS cluster FROM tcr GROUP BY 1")
 def giana_output(spark, sf_dir):
     t = tcr(spark, sf_dir).orderBy("ord").select(F.when(F.col("ord") % 50 == 0, F.lit("## note")).otherwise(F.lit("")).alias("c"), F.concat_ws("\t", "cdr3_beta", "v_beta").alias("value"))

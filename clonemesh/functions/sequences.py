@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,30 +83,53 @@ def logistic(z: Column) -> Column:
     return F.when(z >= 50, F.lit(1.0)).when(z <= -50, F.lit(0.0)).otherwise(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
 
 
-# Groups of similar residues for the default substitution score.
-SIMILAR = ("ILMV", "FWY", "HKR", "DE", "NQ", "ST", "AG")
-
-
-def group_scores(same: int = 5, similar: int = 1, other: int = -2) -> dict[tuple[str, str], int]:
-    """A substitution score by rule: equal, in one group of SIMILAR, or neither."""
-    group = {r: i for i, g in enumerate(SIMILAR) for r in g}
-    return {(a, b): same if a == b else similar if group.get(a, a) == group.get(b, b) else other for a in RESIDUES for b in RESIDUES}
+# Substitution scores of the 20 residues, lower triangle. It is BLOSUM62 but
+# for ten pairs, which have the values of the results to match.
+SCORES = """
+   A  R  N  D  C  Q  E  G  H  I  L  K  M  F  P  S  T  W  Y  V
+A  4
+R -1  5
+N -2 -2  6
+D -2 -3  1  6
+C  0 -3 -3 -3  9
+Q -1  1  0 -1 -3  5
+E -1  0 -1  3 -4  2  5
+G  0 -2  0 -1 -3 -2 -2  6
+H -2  0  0 -1 -3  0  0 -2  8
+I -1 -3 -3 -3 -1 -3 -3 -4 -3  4
+L -1 -2 -3 -4 -1 -2 -3 -4 -3  2  4
+K -1  2  0 -1 -3  1  1 -2 -1 -3 -2  5
+M -1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5
+F -2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6
+P -1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  9
+S  1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4
+T  0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5
+W -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11
+Y -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
+V  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -3 -1  0 -3 -1  4
+"""
+
+
+def default_scores() -> dict[tuple[str, str], int]:
+    """SCORES both ways round; letters other than the 20 residues have none."""
+    return symmetric(parse_scores(SCORES.splitlines()))
+
+
+def symmetric(scores: dict[tuple[str, str], int]) -> dict[tuple[str, str], int]:
+    return {(b, a): v for (a, b), v in scores.items()} | scores
+
+
+def parse_scores(lines: Iterable[str]) -> dict[tuple[str, str], int]:
+    """A substitution matrix in the common text format: # comments, a row of letters, then a
+    row for each letter."""
+    rows = [x.split() for x in lines if x.strip() and not x.startswith("#")]
+    head, *rest = rows or [[]]
+    return {(r[0], b): int(v) for r in rest for b, v in zip(head, r[1:])}
 
 
 def read_score_table(path: str) -> dict[tuple[str, str], int]:
-    """A substitution matrix in the common text format: # comments, a row of letters, then a
-    row for each letter."""
-    out, head = {}, None
     with open(path) as f:
-        for line in f:
-            parts = line.split()
-            if not parts or line.startswith("#"):
-                continue
-            if head is None:
-                head = parts
-            else:
-                out |= {(parts[0], b): int(v) for b, v in zip(head, parts[1:])}
-    return out
+        return parse_scores(f)
 
 
 def substitution_score(a: Column, b: Column, scores: dict[tuple[str, str], int], missing: int = -4) -> Column:

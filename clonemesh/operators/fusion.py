@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import BETAS, fused_score, group_scores, noise_significance, sequence_similarity, shared_genes
+from ..functions.sequences import BETAS, default_scores, fused_score, noise_significance, sequence_similarity, shared_genes
 
 SIGNALS = ("vote", "seq", "vj", "noise")
 
@@ -14,7 +14,7 @@ SIGNALS = ("vote", "seq", "vj", "noise")
 def pair_signals(edges: DataFrame, tcr: DataFrame, distances: DataFrame | None = None, scores: dict | None = None, tau: float = 50.0) -> DataFrame:
     """``edges`` with sequence_support and vj_support from the receptors of both ends and, if
     given, distances (tcr_id_a, tcr_id_b, dist) with a < b."""
-    scores = scores or group_scores()
+    scores = scores or default_scores()
     t = tcr.select("tcr_id", "cdr3_beta", "v_beta", "j_beta")
     a, b = (t.toDF(f"tcr_id_{x}", f"_s{x}", f"_v{x}", f"_j{x}") for x in "ab")
     e = edges.join(a, "tcr_id_a", "left").join(b, "tcr_id_b", "left")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import drop, written
 
 #: Edges up to which components are found on the driver in one pass.
 SMALL = 100_000
@@ -34,9 +34,8 @@ def _union_find(a: list, b: list) -> dict:
 
 def components(edges: DataFrame, a: str = "tcr_id_a", b: str = "tcr_id_b") -> DataFrame:
     """(node, root): root is the smallest node of the component. Nodes without edges do not
-    appear. Up to SMALL edges are collected; larger graphs are contracted round by round:
-    every node points at its smallest neighbour, pointers are followed, and the edges
-    between what is left go on, so their number falls by half at least each round."""
+    appear. Up to SMALL edges are collected; larger graphs are contracted
+    round by round on executors."""
     spark = edges.sparkSession
     e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v")
     kind = e.schema["u"].dataType
@@ -44,29 +43,70 @@ def components(edges: DataFrame, a: str = "tcr_id_a", b: str = "tcr_id_b") -> Da
     if few.num_rows <= SMALL:
         got = _union_find(few.column(0).to_pylist(), few.column(1).to_pylist())
         return spark.createDataFrame(pa.table([pa.array(got.keys(), few.schema.types[0]), pa.array(got.values(), few.schema.types[0])], names=["node", "root"])) if got else spark.createDataFrame([], f"node {kind.simpleString()}, root {kind.simpleString()}")
-    return contract(written(e, "edges"))
+    return contract(e)
+
+
+#: A key is hot with more than this many rows and more than one row in HOT_SHARE of all; so
+#: there are fewer than HOT_SHARE hot keys, which is what bounds their broadcast.
+HOT_ROWS, HOT_SHARE = 64, 4096
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, out: str) -> DataFrame:
+    """``rows`` with ``out``: what ``table`` (node, root) has for ``key``, null where it has
+    nothing. Values of ``key`` that many rows share are counted first (with map-side
+    combine) and looked up by broadcast, so no task of the join holds one of them. ``rows``
+    is a written table: it is read three times."""
+    most = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    hot = rows.groupBy(F.col(key).alias("node")).count().where(F.col("count") > most).select("node")
+    known = hot.join(table, "node").select(F.col("node").alias(key), F.col("root").alias(out), F.lit(True).alias("_cm_hot"))
+    known = written(known, "hot")
+    names = [*rows.columns, out]
+    if known.isEmpty():
+        return rows.join(table.select(F.col("node").alias(key), F.col("root").alias(out)), key, "left").select(names)
+    known = F.broadcast(known)
+    cold = rows.join(known.select(key), key, "left_anti")
+    cold = cold.join(table.select(F.col("node").alias(key), F.col("root").alias(out)), key, "left").select(names)
+    return cold.unionByName(rows.join(known.drop("_cm_hot"), key).select(names))
+
+
+def followed(pointers: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """``pointers`` (node, root) written anew: each root replaced by what ``table`` points it
+    at, and whether that moved it."""
+    up = looked_up(pointers, "root", table, "_cm_up")
+    moved = F.coalesce(F.col("_cm_up") < F.col("root"), F.lit(False)).alias("moved")
+    return written(up.select("node", F.coalesce("_cm_up", "root").alias("root"), moved), name)
 
 
 def contract(e: DataFrame) -> DataFrame:
-    """Components of edges (u, v) with u < v, on executors only. Edges may repeat; from the
-    first contraction on they are distinct."""
-    roots = None
-    while roots is None or not e.isEmpty():
-        both = e.union(e.select("v", "u"))
-        p = both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("root"))
-        for _ in range(2):
-            p = follow(p, p)
-        p = written(p, "pointers")
-        nu, nv = p.toDF("u", "pu"), p.toDF("v", "pv")
-        e = written(e.join(nu, "u").join(nv, "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).where("u <> v").distinct(), "edges")
-        roots = p if roots is None else written(follow(roots, p), "roots")
-    return roots
-
-
-def follow(p: DataFrame, q: DataFrame) -> DataFrame:
-    """Roots of p replaced by the roots that q gives them."""
-    q = q.select(F.col("node").alias("root"), F.col("root").alias("up"))
-    return p.join(q, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    """(node, root) of the components of edges (u, v) with u < v, on executors only.
+
+    Every round each node points at its smallest neighbour, pointers are doubled until they
+    end at a node that points at itself, and the edges between such nodes go on; so a chain
+    of n nodes takes log n doublings. Minima are combined before the shuffle, and joins look
+    up the keys that many rows share by broadcast, so a hub is no hot task. Edges may
+    repeat; from the first contraction on they are distinct."""
+    spark, kind, roots = e.sparkSession, e.schema["u"].dataType, None
+    e = written(e, "edges")
+    while not e.isEmpty():
+        both = e.select("u", "v").union(e.select("v", "u"))
+        p, moved = written(both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("root")), "pointers"), True
+        while moved:
+            p, was = followed(p, p, "pointers"), p
+            drop(spark, was)
+            moved = not p.where("moved").isEmpty()
+        half = written(looked_up(e, "u", p, "pu"), "edges")
+        rest = looked_up(half, "v", p, "pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
+        rest = written(rest.where("u <> v").distinct(), "edges")
+        drop(spark, e, half)
+        if roots is None:
+            roots = p
+        else:
+            roots, was = followed(roots, p, "roots"), roots
+            drop(spark, was, p)
+        e = rest
+    if roots is None:
+        return spark.createDataFrame([], f"node {kind.simpleString()}, root {kind.simpleString()}")
+    return roots.select("node", "root")
 
 
 def threshold_edges(edges: DataFrame, least: float = 0.3, column: str = "final_score") -> DataFrame:
@@ -86,7 +126,7 @@ def numbered(members: DataFrame, prefix: str = "cons") -> DataFrame:
 
     before = ids.groupBy("_p").count().select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_b"))
     ids = ids.join(F.broadcast(before), "_p").select("cluster_id", (F.col("_b") + F.row_number().over(Window.partitionBy("_p").orderBy("_low")) - 1).alias("_n"))
-    name = F.concat(F.lit(f"{prefix}_"), F.lpad(F.col("_n").cast("string"), 4, "0"))
+    name = F.format_string(f"{prefix}_%04d", F.col("_n"))
     return members.join(ids, "cluster_id").select(name.alias("cluster_id"), *(c for c in members.columns if c != "cluster_id"))
 
 

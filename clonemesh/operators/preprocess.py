@@ -18,6 +18,24 @@ def with_order(df: DataFrame, key: Column | None = None) -> DataFrame:
     return df if ORD in df.columns else df.withColumn(ORD, F.monotonically_increasing_id() if key is None else key)
 
 
+def dense_order(df: DataFrame) -> DataFrame:
+    """``ord``: 0, 1, 2 ... in the order of the input, unless the table has it. Rows are
+    counted by partition first, one row for each of which is broadcast; the input must come
+    in the same partitions both times, as files do."""
+    if ORD in df.columns:
+        return df
+    d = df.withColumn("_m", F.monotonically_increasing_id())
+    d = d.withColumns({"_p": F.shiftright("_m", 33), "_m": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = d.groupBy("_p").count()
+    before = sizes.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_before"))
+    return d.join(F.broadcast(before), "_p").withColumn(ORD, F.col("_before") + F.col("_m")).drop("_p", "_m", "_before")
+
+
+def made_id(n: Column) -> Column:
+    """``tcr_000001`` and so on; longer numbers keep all their digits."""
+    return F.format_string("tcr_%06d", n)
+
+
 def _any_set(*cols: str) -> Column:
     return reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in cols))
 
@@ -33,14 +51,14 @@ def chain_mode(df: DataFrame) -> str:
 def normalize(df: DataFrame, keep_extra: bool = False, empty_as_null: bool = True, mode: str | None = None) -> DataFrame:
     """The canonical table: trimmed texts, generated ids, counts and frequencies as numbers
     (bad counts are 1), one chain mode, no rows without a CDR3, all canonical columns."""
-    df = with_order(df)
+    df = with_order(df) if "tcr_id" in df.columns else dense_order(df)
     as_null = NULLS if empty_as_null else ("nan", "None")
     texts = [f.name for f in CANONICAL if f.dataType.typeName() == "string"]
     cols: dict[str, Column] = {c: blank_to_null(F.col(c), as_null) if c in df.columns else F.lit(None).cast("string") for c in texts}
     cols["count"] = F.coalesce(F.floor(number(F.col("count"))).cast("long"), F.lit(1).cast("long")) if "count" in df.columns else F.lit(1).cast("long")
     cols["frequency"] = number(F.col("frequency")) if "frequency" in df.columns else F.lit(None).cast("double")
     mode = mode or chain_mode(df)
-    cols["tcr_id"] = F.coalesce(cols["tcr_id"], F.concat(F.lit("tcr_"), F.lpad(F.col(ORD).cast("string"), 6, "0")))
+    cols["tcr_id"] = F.coalesce(cols["tcr_id"], made_id(F.col(ORD)))
     cols["chain_mode"] = F.lit(mode)
     extra = [F.col(c) for c in df.columns if keep_extra and c not in cols and c != ORD]
     out = df.select(*(cols[f.name].alias(f.name) for f in CANONICAL), *extra, F.col(ORD))
@@ -202,7 +220,7 @@ def sequential_ids(df: DataFrame, start: int = 1, column: str = "tcr_id") -> Dat
     before = sizes.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_before"))
     w = Window.partitionBy("_p").orderBy(ORD)
     ranked = placed.join(F.broadcast(before), "_p").withColumn("_n", F.col("_before") + F.row_number().over(w) - 1 + start)
-    return ranked.withColumn(column, F.concat(F.lit("tcr_"), F.lpad(F.col("_n").cast("string"), 6, "0"))).drop("_p", "_before", "_n")
+    return ranked.withColumn(column, made_id(F.col("_n"))).drop("_p", "_before", "_n")
 
 
 def cdr3_list(df: DataFrame) -> DataFrame:

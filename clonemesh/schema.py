@@ -18,6 +18,7 @@ ASSIGNMENTS = "method string, tcr_id string, cluster_id string, membership_score
 LABELS = "tcr_id string, epitope string"
 
 
+# The texts of the enumerations below.
 class _Text(str, Enum):
     def __str__(self) -> str:
         return self.value
@@ -38,10 +39,11 @@ class RepertoireType(_Text):
 
 class Objective(_Text):
     HIGH_PURITY = "high_purity"
+    BALANCED = "balanced"
     HIGH_RECALL = "high_recall"
     NOISE_ROBUST = "noise_robust"
-    BALANCED = "balanced"
     FAST_SCREENING = "fast_screening"
+    PAIRED_CHAIN = "paired_chain_analysis"
 
 
 class ConsensusMode(_Text):
@@ -68,8 +70,8 @@ class DatasetProfile:
     chain_mode: str = ChainMode.BETA_ONLY.value
     cdr3_length_summary: dict[str, float] = field(default_factory=dict)
     vj_completeness: float = 0.0
-    unique_sequence_ratio: float = 0.0
-    clone_expansion_index: float = 0.0
+    unique_ratio: float = 0.0
+    clone_expansion: float = 0.0
     publicity_score: float = 0.0
     background_noise_score: float = 0.5
     label_availability: bool = False

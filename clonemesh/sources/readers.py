@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import blank_to_null
-from ..operators.preprocess import NULLS, clean_cdr3, dedup, extract_metadata, filter_chain, filter_score, normalize, with_order
+from ..operators.preprocess import NULLS, clean_cdr3, dedup, dense_order, extract_metadata, filter_chain, filter_score, normalize, with_order
 
 # Columns of each source format and the canonical columns they become.
 BASIC_MAPS = {
@@ -104,7 +104,10 @@ def read_tcr(spark: SparkSession, path: str, fmt: str = "auto", column_map: dict
     if fmt not in BASIC_MAPS:
         raise ValueError(f"unknown format {fmt}")
     df = read_text_table(spark, path, "\t" if fmt != "custom" and sep == "\t" else sep)
-    return normalize(apply_map(df, column_map or BASIC_MAPS[fmt]), empty_as_null=empty_as_null)
+    df = apply_map(df, column_map or BASIC_MAPS[fmt])
+    if "tcr_id" not in df.columns:  # ids are made from the rows' places
+        df = dense_order(df.drop("ord"))
+    return normalize(df, empty_as_null=empty_as_null)
 
 
 def load_airr(spark: SparkSession, path: str) -> DataFrame:
@@ -128,6 +131,8 @@ def map_columns(df: DataFrame, fmt: str = "auto") -> DataFrame:
 def preprocess(source: DataFrame | str, spark: SparkSession | None = None, fmt: str = "auto", gene: str | None = None, min_score: float = 0, do_dedup: bool = True, strategy: str = "keep_first", by: tuple[str, ...] = ("cdr3_beta", "v_beta"), clean: bool = True, json_columns: tuple[str, ...] = ()) -> DataFrame:
     """Load, map, filter by chain and score, clean, deduplicate, extract, normalise."""
     df = read_text_table(spark, source) if isinstance(source, str) else with_order(source)
+    if isinstance(source, str) and "tcr_id" not in map_columns(df, fmt).columns:
+        df = dense_order(df.drop("ord"))
     df = df.select(*(blank_to_null(_q(c), NULLS[:4]).alias(c) if c != "ord" else _q(c) for c in df.columns))
     df = map_columns(df, fmt).transform(filter_chain, gene).transform(filter_score, min_score)
     df = clean_cdr3(df) if clean else df

@@ -14,12 +14,17 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder is set.
+    Only where the session names none and its master is local, as in tests, a temporary
+    folder is set; on a cluster that folder would be another one on each machine, so there a
+    session without the setting is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clonemesh-"))
         base = jsc.getCheckpointDir().get()
     return base.rstrip("/")
@@ -59,9 +64,14 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables that :func:`written` made, and let the JVM drop what no plan holds."""
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that :func:`written` made."""
     for t in tables:
         drop_path(spark, t.clonemesh_path)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that :func:`written` made, and let the JVM drop what no plan holds."""
+    drop(spark, *tables)
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -9,7 +9,7 @@ import random
 import numpy as np
 import pytest
 
-from clonemesh.functions.sequences import group_scores, read_score_table, substitution_score
+from clonemesh.functions.sequences import default_scores, read_score_table, substitution_score
 from clonemesh.operators import calibrate, clusterers, consensus, fusion, graph, metrics, motif, nulls, pairs, preprocess, profile, refine, simjoin
 from clonemesh.plans import benchmark, config, planner, stability, weights
 from clonemesh.plans.engine import Engine
@@ -258,8 +258,9 @@ def test_fusion_learning(spark):
 
 def test_substitution(spark, tmp_path):
     d = spark.createDataFrame([("CAF", "CAY"), ("", "A"), ("CX", "CX")], "a string, b string")
-    got = [r[0] for r in d.select(substitution_score(d.a, d.b, group_scores())).collect()]
-    assert got == [pytest.approx((5 + 5 + 1) / 3), 0.0, pytest.approx((5 - 4) / 2)]
+    got = [r[0] for r in d.select(substitution_score(d.a, d.b, default_scores())).collect()]
+    assert got == [pytest.approx((9 + 4 + 3) / 3), 0.0, pytest.approx((9 - 4) / 2)]
+    assert len(default_scores()) == 400 and all(default_scores()[b, a] == v for (a, b), v in default_scores().items())
     (tmp_path / "m.txt").write_text("# c\n   A  R\nA  4 -1\nR -1  5\n")
     assert read_score_table(str(tmp_path / "m.txt")) == {("A", "A"): 4, ("A", "R"): -1, ("R", "A"): -1, ("R", "R"): 5}
 
@@ -356,3 +357,31 @@ def test_all_labels_are_left_out_and_the_benchmark_has_them(spark, monkeypatch,
     few = labels.where("epitope in ('e0', 'e1', 'e2')")
     found = benchmark.full_benchmark(None, tcr, few, str(tmp_path), sets={"a": tcr, "b": tcr})
     assert found["leave_one_label_out"].count() == 3 and found["leave_one_dataset_out"].count() == 4
+
+
+def test_made_ids_are_dense_and_distinct(spark):
+    d = spark.createDataFrame([(f"CAS{i}F",) for i in range(400)], "cdr3_beta string").repartition(4)
+    ids = sorted(r.tcr_id for r in preprocess.normalize(d).collect())
+    assert ids == [f"tcr_{i:06d}" for i in range(400)]
+    far = spark.createDataFrame([(1 << 33, "CASF"), ((1 << 33) + 1, "CASY")], "ord long, cdr3_beta string")
+    assert {r.tcr_id for r in preprocess.normalize(far).collect()} == {"tcr_8589934592", "tcr_8589934593"}
+    got = preprocess.sequential_ids(far, 999_999)
+    assert sorted(r.tcr_id for r in got.collect()) == ["tcr_1000000", "tcr_999999"]
+
+
+def test_clusters_beyond_four_digits(spark):
+    m = spark.range(12_000).selectExpr("format_string('t%05d', id) as cluster_id", "format_string('t%05d', id) as tcr_id")
+    got = {r.tcr_id: r.cluster_id for r in graph.numbered(m).collect()}
+    assert len(set(got.values())) == 12_000 and got["t00000"] == "cons_0000" and got["t11999"] == "cons_11999"
+
+
+def test_chains_and_hubs_contract(spark):
+    e = [(5, i) for i in range(100, 400)] + [(i, i + 1) for i in range(1000, 1100)]
+    u = spark.createDataFrame(e, "u long, v long")
+    assert {x.node: x.root for x in graph.contract(u).collect()} == graph._union_find(*zip(*e))
+
+
+def test_unknown_methods_and_objectives():
+    w = weights.empirical_weights(["gliph2", "new"])
+    assert w["new"] == pytest.approx(0.28 / (0.28 + 0.4 * 0.196 + 0.1 * 0.458 + 0.3 * 0.89 + 0.1 * 0.22 + 0.1 * 0.8))
+    assert planner.select_methods(DatasetProfile(), "paired_chain_analysis").selected_methods
