@@ -6,17 +6,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import new_path, release, written
+from ..storage import drop, new_path, release, written
 
-__all__ = ["arrow_batches", "new_path", "release", "shuffle_partitions", "table", "text_or_empty", "written"]
+__all__ = ["arrow_batches", "drop", "new_path", "release", "shuffle_partitions", "table", "text_or_empty", "written"]
 
 #: Rows of one Arrow batch sent to Python; texts are kilobytes on average and may be far longer.
 ARROW_ROWS = 512
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows that Python workers get at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound the rows that Python workers get at once. Results are lazy, so the bound has to
+    outlast the call: it is one for all operators, and a session that has a bound of its own
+    keeps it if that is smaller."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if not 0 < now <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

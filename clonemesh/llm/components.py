@@ -1,44 +1,18 @@
-"""Connected components of a distributed edge table by contraction."""
+"""Connected components of links between documents or vectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from ..operators.graph import contract
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): root is the smallest node reachable over the undirected ``edges``.
+    """(node, root): root is the smallest node reachable over the undirected ``edges``, found
+    by contraction on executors; nothing is collected, and a hub is no hot task.
 
-    Every round each node points at its smallest neighbour, pointers are followed twice,
-    and the edges between what is left are contracted, so the edge table at least halves
-    where nodes remain. Minima are combined before the shuffle, so a hub with many edges
-    is no hot task; joins on a hot root are left to adaptive skew splitting. Rows with a
-    null end and loops are ignored; an empty table gives an empty result. Nodes without
-    edges do not appear.
+    Rows with a null end and loops are ignored; repeated rows count once; an empty table
+    gives an empty result. Nodes without edges do not appear.
     """
-    spark = edges.sparkSession
-    e = written(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    roots = None
-    while not e.isEmpty():
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        p = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("root"))
-        for _ in range(2):
-            q = p.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            p = p.join(q, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        p = written(p, "pointers")
-        pu, pv = (p.select(F.col("node").alias(x), F.col("root").alias(f"p{x}")) for x in "uv")
-        rest = e.join(pu, "u").join(pv, "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
-        rest = written(rest.where("u <> v").distinct(), "edges")
-        if roots is None:
-            merged = p
-        else:
-            q = p.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            merged = written(roots.join(q, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
-            release(spark, roots, p)
-        release(spark, e)
-        roots, e = merged, rest
-    if roots is None:
-        roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots
+    return contract(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct())

@@ -93,7 +93,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, probes: int = 4, sa
     component null, and kept. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    arrow_batches(spark, 4096)
+    arrow_batches(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda v: v.cast("double")).alias("embedding"))
     # 128 bits stand for a vector wherever only equality matters
     rows = rows.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(7), "embedding")})

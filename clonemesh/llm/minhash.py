@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, tuples: in
     repeat a doc_id are one document. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 128)
+    arrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_cm_text"))
     sk = docs.mapInArrow(_sketches(tuples, rows, k), "doc_id long, n long, s1 long, s2 long, ta array<long>, tb array<long>")
     sk = written(sk, "sketches")

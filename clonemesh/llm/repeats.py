@@ -1,15 +1,17 @@
 """Word runs that repeat across documents, found from sampled anchors in three passes.
 
-Documents are dealt by a hash of their id into batches of a few megabytes. Pass one sends
-the anchors of each batch (each hash once a batch) to hash buckets, where equal hashes of
-different documents meet; a bit for each entry goes back to its batch. Pass two extends:
-every window of ``size`` words round a repeated anchor is hashed, and the windows of each
-batch (each once, with its smallest document) meet in buckets in the same way. Pass three
-applies the answer to the texts. A hash sends at most one entry from each batch however
-many documents hold it, so a passage shared by a third of all documents makes no hot task;
-no pair of documents is ever formed, and no entry is dropped.
+Rows are dealt by a hash of id and text into batches of a few megabytes. Pass one sends the
+anchors of each batch (each hash once a batch) as rows, which are sorted by the shuffle so
+that equal ones are neighbours; those that stand beside another go back to their batches.
+Pass two extends: every window of ``size`` words round a repeated anchor is hashed (twice, 128
+bits), and the windows of each batch (each once, with its smallest and largest document)
+are sorted and compared in the same way. Pass three applies the answer to the texts. A
+hash sends at most one row from each batch however many documents hold it, so a passage
+shared by a third of all documents makes no hot task; no pair of documents is ever formed, no
+row is dropped, and rows shuffled grow in proportion to the input.
 
 A document without an id (null) counts as the last of all. Rows of one id are one document.
+A batch, and so any single text, is held whole in a worker with some 60 bytes a word of it.
 """
 
 from __future__ import annotations
@@ -21,29 +23,27 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import release, shuffle_partitions, text_or_empty, written
-from .scan import U, Words, rolling, run_starts, word_rows, words
+from .scan import U, Words, mix, rolling, run_starts, word_rows, words
 
 NO_ID = np.iinfo(np.int64).max
-_SENT = T.StructType([T.StructField("_cm_bucket", T.IntegerType()), T.StructField("_cm_batch", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("_cm_h", "_cm_doc", "_cm_multi"))])
-_REPLY = T.StructType([T.StructField("_cm_batch", T.IntegerType()), T.StructField("_cm_kind", T.IntegerType()), T.StructField("_cm_bucket", T.IntegerType()), T.StructField("_cm_bits", T.BinaryType()), T.StructField("_cm_less", T.BinaryType())])
-_SENT_PA = pa.schema([("_cm_bucket", pa.int32()), ("_cm_batch", pa.int32()), ("_cm_h", pa.binary()), ("_cm_doc", pa.binary()), ("_cm_multi", pa.binary())])
-_REPLY_PA = pa.schema([("_cm_batch", pa.int32()), ("_cm_kind", pa.int32()), ("_cm_bucket", pa.int32()), ("_cm_bits", pa.binary()), ("_cm_less", pa.binary())])
 
 
 @dataclass(frozen=True)
 class Rule:
     """anchors(words) gives (hashes, word positions); an anchor at p stands for windows of
-    ``size`` words that start at p - reach to p."""
+    ``size`` words that start at p - reach to p. With ``depth`` the anchors are suffixes that
+    are sorted by their words, up to so many of them."""
 
     size: int
     reach: int
     anchors: Callable[[Words, int], tuple[np.ndarray, np.ndarray]]
+    depth: int = 0
 
 
 #: Differences of {1, 2, 4} modulo 7 are all residues, so of any two runs of 13 words there
@@ -82,39 +82,81 @@ def minimiser_anchors(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return rolling(w.h, size - SPREAD + 1)[p], p
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return (((h >> U(32)) * U(n)) >> U(32)).astype(np.int64)
-
-
-def _entries(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes; the smallest document of each; whether it has several."""
-    o = np.argsort(h, kind="stable")
-    h, doc = h[o], doc[o]
-    st = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-    low = np.minimum.reduceat(doc, st) if len(st) else doc
-    return h[st], low, (low < np.maximum.reduceat(doc, st)) if len(st) else np.zeros(0, bool)
+def suffix_array(codes: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes of ``codes`` that start at ``at`` by their first ``depth``
+    codes, and the length of the prefix that each has in common with the one before it. Word
+    by word, only suffixes that are still tied are sorted on."""
+    n = len(at)
+    order, common = np.arange(n), np.zeros(n, np.int64)
+    group = np.zeros(n, np.int64)  # of each place of the order: the first place of its ties
+    todo = np.arange(n)
+    for d in range(depth):
+        if not len(todo):
+            break
+        key = codes[at[order[todo]] + d]
+        o = np.lexsort((key, group[todo]))
+        order[todo] = order[todo[o]]
+        key, was = key[o], group[todo]
+        edge = np.r_[True, (key[1:] != key[:-1]) | (was[1:] != was[:-1])]
+        new = edge & np.r_[False, was[1:] == was[:-1]]
+        common[todo[new]] = d
+        group[todo] = todo[np.maximum.accumulate(np.where(edge, np.arange(len(todo)), 0))]
+        tied = ~edge | np.r_[~edge[1:], False]
+        todo = todo[tied]
+    if len(todo):
+        common[todo[group[todo] != todo]] = depth
+    return order, common
+
+
+def _runs(first: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of runs; the smallest and the largest document of each."""
+    st = np.flatnonzero(first)
+    return st, np.minimum.reduceat(doc, st) if len(st) else doc, np.maximum.reduceat(doc, st) if len(st) else doc
+
+
+def _changes(h: np.ndarray) -> np.ndarray:
+    return np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
 
 
 class _Batch:
-    """The documents of a batch in the order of their ids, and what both first passes find."""
+    """The documents of a batch, and what both first passes find."""
 
     def __init__(self, t: pa.Table, rule: Rule):
-        ids = t.column("_cm_id").to_numpy()
-        self.order = np.argsort(ids, kind="stable")
-        self.t, self.rule, self.ids = t.take(pa.array(self.order)), rule, ids[self.order]
-        self.blocks = list(words(self.t.column("text")))
+        self.t, self.rule, self.ids = t, rule, t.column("_cm_id").to_numpy()
+        self.blocks = list(words(t.column("text")))
+
+    def docs(self, w: Words, at: np.ndarray) -> np.ndarray:
+        return self.ids[w.r0 + word_rows(w.first)[at]]
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(self) -> None:
         self.found = [self.rule.anchors(w, self.rule.size) for w in self.blocks]
-        docs = [self.ids[w.r0 + word_rows(w.first)[p]] for w, (_, p) in zip(self.blocks, self.found)]
-        return np.concatenate([np.zeros(0, U), *(h for h, _ in self.found)]), np.concatenate([np.zeros(0, np.int64), *docs])
 
-    def windows(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """repeated: sorted hashes of the anchors that other documents share."""
+    def entries(self) -> list[np.ndarray]:
+        """Of each distinct anchor: its first two words (suffixes only), hash, and whether
+        several documents have it."""
+        h = np.concatenate([np.zeros(0, U), *(h for h, _ in self.found)])
+        doc = np.concatenate([np.zeros(0, np.int64), *(self.docs(w, p) for w, (_, p) in zip(self.blocks, self.found))])
+        if not self.rule.depth:
+            o = np.argsort(h, kind="stable")
+            st, low, high = _runs(_changes(h[o]), doc[o])
+            return [h[o][st].view(np.int64), low < high]
+        codes = np.concatenate([np.zeros(0, U), *(w.h for w in self.blocks)])
+        base = np.cumsum([0, *(len(w.h) for w in self.blocks)])
+        at = np.concatenate([np.zeros(0, np.int64), *(p + k for (_, p), k in zip(self.found, base))])
+        o, common = suffix_array(codes, at, self.rule.depth)
+        first = common < self.rule.depth
+        first[:1] = True
+        st, low, high = _runs(first, doc[o])
+        start = at[o[st]]
+        return [codes[start].view(np.int64), codes[start + 1].view(np.int64), h[o[st]].view(np.int64), low < high]
+
+    def windows(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both hashes and the document of every window that extends an anchor in
+        ``repeated`` (sorted hashes of those that other documents share)."""
         size, self.at = self.rule.size, []
-        hs, docs = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for w, (h, p) in zip(self.blocks, self.found):
             ok = run_starts(w.first, size)
+            at = np.zeros(0, np.int64)
             if len(repeated) and len(ok) and len(p):
                 k = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
                 hit = p[repeated[k] == h]
@@ -122,18 +164,28 @@ class _Batch:
                 np.add.at(d, np.maximum(0, hit - self.rule.reach), 1)
                 np.add.at(d, hit + 1, -1)
                 at = np.flatnonzero(ok & (np.cumsum(d)[: len(ok)] > 0))
-            else:
-                at = np.zeros(0, np.int64)
             self.at.append(at)
-            hs.append(rolling(w.h, size)[at])
-            docs.append(self.ids[w.r0 + word_rows(w.first)[at]])
-        return np.concatenate(hs), np.concatenate(docs)
-
-    def covered(self, judge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
-        """For each block a mask of words in windows that judge(hashes, documents) takes."""
+        own = [self._window(w, at) for w, at in zip(self.blocks, self.at)]
+        return tuple(np.concatenate([np.zeros(0, k), *(x[i] for x in own)]) for i, k in enumerate((U, U, np.int64)))
+
+    def _window(self, w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not len(at):
+            return np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
+        size = self.rule.size
+        return rolling(w.h, size)[at], rolling(mix(w.h + U(1)), size)[at], self.docs(w, at)
+
+    def covered(self, h: np.ndarray, g: np.ndarray, low: np.ndarray, later: bool) -> list[np.ndarray]:
+        """For each block a mask of words in windows that are among (h, g), sorted by h, which
+        several documents have; with ``later`` only if one with a smaller id (low) does."""
         out = []
         for w, at in zip(self.blocks, self.at):
-            hit = at[judge(rolling(w.h, self.rule.size)[at], self.ids[w.r0 + word_rows(w.first)[at]])] if len(at) else at
+            hit = at
+            if len(at) and len(h):
+                wh, wg, doc = self._window(w, at)
+                k = np.minimum(np.searchsorted(h, wh), len(h) - 1)
+                hit = at[(h[k] == wh) & (g[k] == wg) & ((low[k] < doc) if later else True)]
+            elif len(at):
+                hit = at[:0]
             d = np.zeros(len(w.h) + 1, np.int32)
             d[hit] += 1
             d[hit + self.rule.size] -= 1
@@ -141,54 +193,12 @@ class _Batch:
         return out
 
 
-def _send(h: np.ndarray, doc: np.ndarray, batch: int, buckets: int, with_doc: bool) -> pa.Table:
-    h, low, multi = _entries(h, doc)
-    b = _bucket(h, buckets)
-    cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(h) else np.zeros(1, np.int64)
-    rows = [(int(b[i]), batch, h[i:j].tobytes(), low[i:j].tobytes() if with_doc else None, np.packbits(multi[i:j]).tobytes()) for i, j in zip(cut[:-1], cut[1:])]
-    return pa.table([list(c) for c in zip(*rows)] or [[]] * 5, schema=_SENT_PA)
-
-
-def _bits(raw: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
-
-
-def _meet(kind: int, with_doc: bool):
-    """In a bucket: sort the entries of all batches, compare neighbours, answer each batch."""
-
-    def meet(t: pa.Table) -> pa.Table:
-        parts = t.to_pylist()
-        hs = [np.frombuffer(r["_cm_h"], U) for r in parts]
-        h = np.concatenate(hs)
-        o = np.argsort(h, kind="stable")
-        st = np.flatnonzero(np.r_[True, h[o][1:] != h[o][:-1]])
-        size = np.diff(np.r_[st, len(h)])
-        multi = np.concatenate([_bits(r["_cm_multi"], len(x)) for r, x in zip(parts, hs)])[o]
-        again = np.repeat((size > 1) | np.logical_or.reduceat(multi, st), size)
-        less = np.zeros(len(h), bool)
-        if with_doc:
-            doc = np.concatenate([np.frombuffer(r["_cm_doc"], np.int64) for r in parts])[o]
-            low, high = np.minimum.reduceat(doc, st), np.maximum.reduceat(doc, st)
-            again = np.repeat((low < high) | np.logical_or.reduceat(multi, st), size)
-            less = np.repeat(low, size) < doc
-        back, back_less = np.empty(len(h), bool), np.empty(len(h), bool)
-        back[o], back_less[o] = again, less
-        end = np.cumsum([len(x) for x in hs])
-        rows = [(r["_cm_batch"], kind, r["_cm_bucket"], np.packbits(back[e - len(x) : e]).tobytes(), np.packbits(back_less[e - len(x) : e]).tobytes() if with_doc else None) for r, x, e in zip(parts, hs, end)]
-        return pa.table([list(c) for c in zip(*rows)], schema=_REPLY_PA)
-
-    return meet
-
-
-def _answer(t: pa.Table, kind: int, h: np.ndarray, buckets: int, name: str = "_cm_bits") -> np.ndarray:
-    """The bits that came back for the sorted distinct hashes h of a batch, of which those of
-    a bucket are contiguous."""
-    rows = [(r["_cm_bucket"], r[name]) for r in t.to_pylist() if r["_cm_kind"] == kind]
-    own, out = _bucket(h, buckets), np.zeros(len(h), bool)
-    for b, raw in rows:
-        i, j = np.searchsorted(own, b), np.searchsorted(own, b, "right")
-        out[i:j] = _bits(raw, j - i)
-    return out
+def _reply(t: pa.Table, kind: int) -> list[np.ndarray]:
+    """h, g and low of the answers of a kind, sorted by h."""
+    own = np.flatnonzero(t.column("_cm_kind").to_numpy() == kind)
+    h = t.column("_cm_h").to_numpy()[own].view(U)
+    o = np.argsort(h, kind="stable")
+    return [h[o], *(t.column(c).to_numpy(zero_copy_only=False)[own][o].view(k) for c, k in (("_cm_g", U), ("_cm_low", np.int64)))]
 
 
 def repeated_runs(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, "Covered"], pa.Table], schema: T.StructType, batch_bytes: int = 4 << 20) -> DataFrame:
@@ -198,39 +208,53 @@ def repeated_runs(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, "Cove
     docs = docs.withColumn("_cm_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))))
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = shuffle_partitions(spark)
-    # enough batches and buckets for all tasks, but none so small that there are more
-    # (batch, bucket) rows than the input calls for
     batches = int(max(1, -(-total // batch_bytes), min(2 * parts, total >> 18)))
-    buckets = int(max(1, -(-total // (2 * batch_bytes)), min(2 * parts, total >> 20)))
-    docs = docs.withColumn("_cm_batch", F.pmod(F.xxhash64("_cm_id"), F.lit(batches)).cast("int"))
+    docs = docs.withColumn("_cm_batch", F.pmod(F.xxhash64("_cm_id", "text"), F.lit(batches)).cast("int"))
     slim = docs.select("_cm_batch", "_cm_id", text_or_empty().alias("text"))
+    lead = ["k1", "k2"] if rule.depth else []
 
-    def first(t: pa.Table) -> pa.Table:
-        return _send(*_Batch(t, rule).anchors(), t.column("_cm_batch")[0].as_py(), buckets, False)
-
-    def recall(t: pa.Table, replies: pa.Table) -> tuple[_Batch, np.ndarray, np.ndarray]:
+    def of(t: pa.Table) -> _Batch:
         b = _Batch(t, rule)
-        h = _entries(*b.anchors())[0]
-        return b, *b.windows(h[_answer(replies, 1, h, buckets)])
+        b.anchors()
+        return b
+
+    def batch(t: pa.Table, n: int) -> pa.Array:
+        return pa.array(np.full(n, t.column("_cm_batch")[0].as_py(), np.int32))
+
+    def first(t: pa.Table) -> pa.Table:
+        cols = of(t).entries()
+        return pa.table([*(pa.array(c) for c in cols), batch(t, len(cols[0]))], names=[*lead, "h", "multi", "batch"])
 
     def second(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return _SENT_PA.empty_table()
-        _, h, doc = recall(t, replies)
-        return _send(h, doc, t.column("_cm_batch")[0].as_py(), buckets, True)
+            return pa.table([pa.array([], x) for x in (*[pa.int64()] * 4, pa.int32())], names=["h", "g", "low", "high", "batch"])
+        h, g, doc = of(t).windows(_reply(replies, 1)[0])
+        o = np.lexsort((g, h))
+        h, g = h[o], g[o]
+        st, low, high = _runs(_changes(h) | _changes(g), doc[o])
+        return pa.table([pa.array(x) for x in (h[st].view(np.int64), g[st].view(np.int64), low, high)] + [batch(t, len(st))], names=["h", "g", "low", "high", "batch"])
 
     def third(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table([[]] * len(empty), schema=empty)
-        b, h, doc = recall(t, replies)
-        h, low, _ = _entries(h, doc)
-        return finish(b.t, Covered(b, h, low, _answer(replies, 2, h, buckets), _answer(replies, 2, h, buckets, "_cm_less")))
+        b = of(t)
+        b.windows(_reply(replies, 1)[0])
+        return finish(t, Covered(b, *_reply(replies, 2)))
 
     empty = to_arrow_schema(schema)
-    one = written(slim.groupBy("_cm_batch").applyInArrow(first, _SENT).groupBy("_cm_bucket").applyInArrow(_meet(1, False), _REPLY), "anchors")
+    one = slim.groupBy("_cm_batch").applyInArrow(first, "".join(f"{c} long, " for c in lead) + "h long, multi boolean, batch int")
+    if rule.depth:  # the batches' arrays become one, in the order of their words
+        one = written(one, "suffixes").repartitionByRange(*lead, "h")
+    same = Window.partitionBy(*lead, "h")
+    one = one.withColumns({"n": F.count("*").over(same), "any": F.max("multi").over(same)}).where("n > 1 or any")
+    one = one.select(F.col("batch").alias("_cm_batch"), F.lit(1).alias("_cm_kind"), F.col("h").alias("_cm_h"), F.lit(0).cast("long").alias("_cm_g"), F.lit(0).cast("long").alias("_cm_low"))
+    one = written(one, "anchors")
     release(spark)
-    two = slim.groupBy("_cm_batch").cogroup(one.groupBy("_cm_batch")).applyInArrow(second, _SENT)
-    two = written(two.groupBy("_cm_bucket").applyInArrow(_meet(2, True), _REPLY), "windows")
+    two = slim.groupBy("_cm_batch").cogroup(one.groupBy("_cm_batch")).applyInArrow(second, "h long, g long, low long, high long, batch int")
+    same = Window.partitionBy("h", "g")
+    two = two.withColumns({"least": F.min("low").over(same), "most": F.max("high").over(same)}).where("least < most")
+    two = two.select(F.col("batch").alias("_cm_batch"), F.lit(2).alias("_cm_kind"), F.col("h").alias("_cm_h"), F.col("g").alias("_cm_g"), F.col("least").alias("_cm_low"))
+    two = written(two, "windows")
     release(spark)
     return docs.groupBy("_cm_batch").cogroup(one.unionByName(two).groupBy("_cm_batch")).applyInArrow(third, schema)
 
@@ -238,22 +262,16 @@ def repeated_runs(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, "Cove
 class Covered:
     """Masks of words of a batch, by block of texts."""
 
-    def __init__(self, batch: _Batch, h: np.ndarray, low: np.ndarray, again: np.ndarray, less: np.ndarray):
-        self.batch, self.h, self.low, self.again, self.less = batch, h, low, again, less
-        self.blocks = batch.blocks
+    def __init__(self, batch: _Batch, h: np.ndarray, g: np.ndarray, low: np.ndarray):
+        self.batch, self.known, self.blocks = batch, (h, g, low), batch.blocks
 
     def later(self) -> list[np.ndarray]:
         """Words in windows that also start in a document with a smaller id."""
-
-        def judge(h, doc):
-            k = np.searchsorted(self.h, h)
-            return self.less[k] | (self.low[k] < doc)
-
-        return self.batch.covered(judge)
+        return self.batch.covered(*self.known, True)
 
     def shared(self) -> list[np.ndarray]:
         """Words in windows that another document has, too."""
-        return self.batch.covered(lambda h, doc: self.again[np.searchsorted(self.h, h)])
+        return self.batch.covered(*self.known, False)
 
 
 def remove_repeats(docs: DataFrame, size: int = 13, keep_text: bool = False) -> DataFrame:
@@ -310,9 +328,13 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
     """Sparse-suffix-array dedup: the maximal runs of words of each document that are made
     of windows of ``size`` words which another document has, too.
 
-    Suffixes are kept at minimisers only and known by their leading size - 11 words; sorted,
-    equal neighbours of different documents match, and matches are extended to the left and
-    right over every window of ``size`` words round them. Returns one row for each span:
+    Suffixes are kept at minimisers only: of 12 neighbouring ones that whose first 13 words
+    have the smallest hash. Each batch sorts its suffixes word by word (:func:`suffix_array`)
+    and takes the common prefixes of neighbours; runs of neighbours with size - 11 words in
+    common are one entry. The batches' arrays are merged by range, in the order of the first
+    two words and, within these, of a hash of the size - 11, and neighbours are compared again.
+    Matches are extended by up to 11 words to the left and as many to the right, so that each
+    window of ``size`` words round them is decided. Returns one row for each span:
     doc_id, start_word, end_word (exclusive), n_words, n_repeated (words of the document in
     any span), first boolean (no word of the span is in such a window of a document with a
     smaller id, so this copy can stay), span_sha256 (of the words joined by one space).
@@ -344,4 +366,4 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
                 rows.append((ids[w.r0 + i], a - f, b - f, b - a, int(per[i]), bool(seen[b] == seen[a]), hashlib.sha256(text).hexdigest()))
         return pa.table([list(x) for x in zip(*rows)] or [[]] * 7, schema=pa.schema([*((x, pa.int64()) for x in names), ("first", pa.bool_()), ("span_sha256", pa.string())]))
 
-    return repeated_runs(docs.select("doc_id", "text"), Rule(size, SPREAD - 1, minimiser_anchors), finish, schema)
+    return repeated_runs(docs.select("doc_id", "text"), Rule(size, SPREAD - 1, minimiser_anchors, size - SPREAD + 1), finish, schema)

@@ -212,7 +212,7 @@ def write_archives(pages: DataFrame, base: str, min_bytes: int = 0, date: str =
     without a page_id is always a response.
     """
     spark = pages.sparkSession
-    arrow_batches(spark, 256)
+    arrow_batches(spark)
     known = written(digests(pages), "digests")
     groups = known.where(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(F.max("page_id").alias("last"), F.count("page_id").alias("copies")).where("copies > 1")
     # a page_id may repeat with another payload, so a decision holds for an id and a payload

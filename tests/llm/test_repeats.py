@@ -113,3 +113,41 @@ def test_scan_hashes_equal_words_equally():
                 by.setdefault(bytes(w.data[w.starts[k] : w.ends[k]]), set()).add(int(w.h[k]))
     assert all(len(v) == 1 for v in by.values()) and len(set.union(*by.values())) == len(by) == 4
     assert np.array_equal(scan.rolling(np.arange(5, dtype=np.uint64), 9), np.zeros(0))
+
+
+def test_suffixes_are_sorted_by_their_words():
+    r = np.random.default_rng(3)
+    codes = r.integers(0, 3, 400).astype(np.uint64)
+    at = np.sort(r.choice(380, 150, replace=False))
+    for depth in (1, 4, 12):
+        order, common = repeats.suffix_array(codes, at, depth)
+        rows = [tuple(codes[p : p + depth].tolist()) for p in at[order]]
+        assert rows == sorted(rows) and sorted(order.tolist()) == list(range(len(at)))
+        for k in range(1, len(rows)):
+            same = 0
+            while same < depth and rows[k][same] == rows[k - 1][same]:
+                same += 1
+            assert common[k] == same
+    assert len(repeats.suffix_array(codes, np.zeros(0, np.int64), 5)[0]) == 0
+
+
+def test_rows_without_an_id_and_of_one_id(spark):
+    """Rows of one id are one document whatever their texts, and all rows without one are the last."""
+    run = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, run + " a"), (5, "b " + run), (None, run), (None, "c " + run + " d"), (7, "e " + run)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 99, r.n_words, r.n_removed) for r in repeats.remove_repeats(d).collect())
+    assert got == [(5, 61, 0), (5, 61, 0), (7, 61, 60), (99, 60, 60), (99, 62, 60)]
+    spans = sorted((r.doc_id or 99, r.start_word, r.end_word, r.first) for r in repeats.repeated_spans(d).collect())
+    assert spans == [(5, 0, 60, True), (5, 1, 61, True), (7, 1, 61, False), (99, 0, 60, False), (99, 1, 61, False)]
+
+
+def test_texts_beyond_a_batch_and_clashing_columns(spark, clashing):
+    r = random.Random(9)
+    long = " ".join(f"w{r.randrange(900)}" for _ in range(400_000))  # over 1 MB, blocks are cut at 1 MB
+    part = " ".join(long.split()[200_000:200_100])
+    d = spark.createDataFrame([(1, part), (2, long)], "doc_id long, text string")
+    got = {x.doc_id: x.n_removed for x in repeats.remove_repeats(d).collect()}
+    assert got == {1: 0, 2: 100}
+    assert {(x.doc_id, x.start_word, x.end_word) for x in repeats.repeated_spans(d).collect()} == {(1, 0, 100), (2, 200_000, 200_100)}
+    assert repeats.repeated_spans(clashing).count() == repeats.repeated_spans(clashing.select("doc_id", "text")).count()
