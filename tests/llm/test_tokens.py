@@ -55,7 +55,7 @@ def test_forgetting_states_changes_nothing(model, lib):
         cp = np.frombuffer(("▁" + t).encode("utf-32-le"), np.uint32)
         fresh = np.zeros(len(cp), bool)
         fresh[0] = True
-        assert small.deltas(small.cls[cp], fresh).sum() == len(lib.encode(t))
+        assert small.deltas(small.cls[cp], fresh)[0].sum() == len(lib.encode(t))
 
 
 def test_operators(clashing, corpus, lib):
@@ -75,3 +75,27 @@ def test_pair_map():
     for part in np.array_split(r.permutation(k), 7):
         m.add(part, part % 97)
     assert (m.find(k) == k % 97).all() and (m.find(k + (1 << 41)) == -1).all()
+
+
+def test_long_texts_without_a_border(model, lib, monkeypatch):
+    """Chunks are composed by the scan, and blocks carry their state on."""
+    import random
+    import time
+
+    r = random.Random(1)
+    odd = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(70_000))
+    texts = ["a" * 40_000, "ab" * 9_000 + "c", "-" * 30_001, odd, odd[:30_000] + " " + odd[30_000:], " " * 7_000 + "x" * 6_000 + " " * 5_000 + "日本" * 4_000, "the " * 9_000]
+    fst = token_counts.Transducer(pieces.pieces(model))
+    want = [len(lib.encode(t)) for t in texts]
+    whole = lambda t: fst.deltas(fst.cls[np.frombuffer(("▁" + t).encode("utf-32-le"), np.uint32)], np.arange(len(t) + 1) == 0)[0].sum(dtype=np.int64)
+    assert [whole(t) for t in texts] == want
+    for block in (512, 5000, 1 << 14):
+        monkeypatch.setattr(token_counts, "BLOCK", block)
+        assert [token_counts._long(fst, t) for t in texts] == want
+    monkeypatch.undo()
+    took = []
+    for n in (1, 4):
+        began = time.time()
+        whole(odd * n * 3)
+        took.append(time.time() - began)
+    assert took[1] < 12 * took[0] + 1
