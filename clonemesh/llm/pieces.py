@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -58,13 +59,61 @@ class PairMap:
         self.n += len(k)
 
 
-def _bpe(text: str, rank: dict[str, float], keep_last: bool = True) -> list[str]:
-    """Merges by rank, the leftmost of equal ones first."""
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a serialised message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            byte = raw[at]
+            at, n, shift = at + 1, n | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return n
+
+    while at < len(raw):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, number()
+        else:
+            size = number() if kind == 2 else {1: 8, 5: 4}[kind]
+            yield key >> 3, raw[at : at + size]
+            at += size
+
+
+# Fields of the model file, its two types of segmentation that are read here,
+# and the type of pieces that are matched before segmentation.
+PIECES, TRAINER, NORMALIZER = 1, 2, 3
+MODEL_TYPE, UNIGRAM, MERGES = 3, 1, 2
+CHARSMAP, DUMMY_PREFIX, REMOVE_SPACES, ESCAPE_SPACES = 2, 3, 4, 5
+PIECE_TYPE, USER_DEFINED = 3, 4
+
+
+def model_type(model: bytes) -> int:
+    """UNIGRAM or MERGES, as the model says; models that normalise texts are refused."""
+    kind, rules, own = UNIGRAM, {}, False
+    for n, v in _fields(model):
+        if n == TRAINER:
+            kind = dict(_fields(v)).get(MODEL_TYPE, UNIGRAM)
+        elif n == NORMALIZER:
+            rules = dict(_fields(v))
+        elif n == PIECES:
+            own |= dict(_fields(v)).get(PIECE_TYPE) == USER_DEFINED
+    if rules.get(CHARSMAP) or not rules.get(DUMMY_PREFIX, 1) or rules.get(REMOVE_SPACES, 1) or not rules.get(ESCAPE_SPACES, 1) or own or kind not in (UNIGRAM, MERGES):
+        raise ValueError("only unigram and merge models with a dummy prefix, without normalisation and user-defined pieces, are read")
+    return kind
+
+
+def _bpe(text: str, rank: dict[str, float]) -> list[str]:
+    """The last two pieces that merging by rank leaves of a piece, the leftmost of equal
+    ranks first."""
     t = list(text)
-    while len(t) > (2 if keep_last else 1):
+    while len(t) > 2:
         r, i = min(((rank.get(a + b, np.inf), i) for i, (a, b) in enumerate(zip(t, t[1:]))), default=(np.inf, 0))
         if r == np.inf:
-            break
+            raise ValueError(f"merges do not build the piece {text!r}")
         t[i : i + 2] = [t[i] + t[i + 1]]
     return t
 
@@ -83,6 +132,7 @@ class Pieces:
     def __init__(self, model: bytes):
         import sentencepiece
 
+        self.merges = model_type(model) == MERGES
         self.lib = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.size = sp.get_piece_size()
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) for i in range(self.size)]
@@ -92,22 +142,27 @@ class Pieces:
         self.byte_id = {int(p[1:-1], 16): i for i, p in enumerate(names) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         self.raw = [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else b"" if s else p.encode() for i, (p, s) in enumerate(zip(names, special))]
-        if [sp.id_to_piece(i) for i in sp.encode("a  a ")][:1] != ["▁a"] or any(SPACE in p.lstrip(SPACE) for p in self.ids):
-            raise ValueError("only models with a dummy prefix and pieces within words are read")
-        self._merges()
+        self.raw[self.unknown] = " \u2047 ".encode()
+        if SPACE not in self.ids or any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            raise ValueError("only models with a piece for spaces and pieces within words are read")
+        self.longest = max(map(len, self.ids))
         #: pieces of a word, without those of two or more space marks
         self.words = {p: i for p, i in self.ids.items() if len(p) == 1 or p.strip(SPACE)}
-        self.longest = max(map(len, self.words))
-        self.runs = [0] + [len(sp.encode(" " * (r - 1))) if r > 1 else 1 for r in range(1, self.RUNS)]
-        if any(self.runs[r] != self.runs[r - 16] + 1 for r in range(self.RUNS // 2, self.RUNS)):
-            raise ValueError("runs of spaces are not periodic in this model")
+        if self.merges:
+            self._merges()
+            self.runs = [0] + [len(sp.encode(" " * (r - 1))) if r > 1 else 1 for r in range(1, self.RUNS)]
+
+    @property
+    def periodic(self) -> bool:
+        """Whether 16 more space marks are one more token from some number of them on."""
+        return self.merges and all(self.runs[r] == self.runs[r - 16] + 1 for r in range(self.RUNS // 2, self.RUNS))
 
     def _merges(self) -> None:
         rank = {p: -float(self.score[i]) for p, i in self.ids.items()}
         self.rank, self.left, self.right, self.pair = {}, {}, {}, {}
         for p, i in self.ids.items():
             self.rank[i] = -1.0
-            if len(p) > 1 and p.strip(SPACE):
+            if len(p) > 1:
                 a, b = _bpe(p, rank)
                 self.rank[i], self.left[i], self.right[i] = rank[p], self.ids[a], self.ids[b]
                 for k in range(1, len(p)):
@@ -131,10 +186,6 @@ class Pieces:
             else:  # of equal ranks the left merge comes first
                 limit, t = rt + 0.5, self.left[t]
 
-    def run_tokens(self, r: int) -> int:
-        """Tokens of r space marks alone."""
-        return self.runs[r] if r < self.RUNS else self.runs[r - 16 * (-(-(r - self.RUNS + 1) // 16))] + -(-(r - self.RUNS + 1) // 16)
-
 
 @lru_cache(maxsize=2)
 def pieces(model: bytes) -> Pieces:

@@ -7,6 +7,11 @@ keys, candidates are scored, and the maximum over them stores a backpointer. For
 models a candidate's score is the best score before it plus its own. For merge models it is
 its score if the token may follow the one before it, and nothing otherwise: just one
 candidate may, and the path is what merging gives (see ``Pieces``).
+
+Long units (texts without spaces) are cut into segments, which advance together as well.
+What follows a position depends only on the tokens at the last ``longest`` positions, so a
+segment is begun a little earlier, from a guess; where the guess and the segment before
+disagree, it is done again from what that one ends with, until all agree.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ _P = U(0xA24BAED4963EE407)
 _MARK = ord(SPACE)
 #: Characters of texts that are encoded at once.
 BLOCK = 4 << 20
+#: Characters of a segment of a long unit, and of the run-up to it.
+SEGMENT, RUN_UP = 256, 64
 
 
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -39,13 +46,13 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Codec:
     """Encodes batches of texts; units met before are kept, up to ``most`` of them."""
 
-    def __init__(self, p: Pieces, most: int = 600_000, merges: bool = True):
-        self.p, self.most, self.merges = p, most, merges
-        text = "".join(p.words)
-        size = np.array([len(w) for w in p.words])
+    def __init__(self, p: Pieces, most: int = 600_000):
+        self.p, self.most, self.merges = p, most, p.merges
+        text = "".join(p.ids)
+        size = np.array([len(w) for w in p.ids])
         h = self._hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32), np.cumsum(size) - size, size)
         o = np.argsort(h)
-        self.keys, self.ids = h[o], np.array(list(p.words.values()))[o]
+        self.keys, self.ids = h[o], np.array(list(p.ids.values()))[o]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("piece hashes collide")
         self.likely = np.zeros(1 << 20, bool)
@@ -102,18 +109,23 @@ class Codec:
         ok[i] = v > 0
         return ok
 
-    def _viterbi(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _viterbi(self, m: np.ndarray, seed: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """m: code points of units of one length, a row each. Tokens at each end position,
-        and their lengths."""
+        their lengths, and the scores. seed: tokens and scores at the first positions."""
         n, size = m.shape
         up, down = powers(_P, size + 1)
         acc = np.zeros((n, size + 1), U)
         np.cumsum((m.astype(U) + U(1)) * up[:size], axis=1, out=acc[:, 1:])
         token = np.full((n, size + 1), UNKNOWN)
         back = np.ones((n, size + 1), np.int64)
-        best = np.full((n, size + 1), -np.inf)
-        token[:, 0], best[:, 0] = START, 0
-        for i in range(1, size + 1):
+        best = np.full((n, size + 1), -np.inf, np.float32)
+        given = 1
+        if seed is None:
+            token[:, 0], best[:, 0] = START, 0
+        else:
+            given = seed[0].shape[1]
+            token[:, :given], best[:, :given] = seed
+        for i in range(given, size + 1):
             unknown = np.ones(n, bool)
             for k in range(1, min(i, self.p.longest) + 1):
                 t = self._probe(mix((acc[:, i] - acc[:, i - k]) * down[i - k] + U(k)))
@@ -126,38 +138,78 @@ class Codec:
                 if self.merges:
                     ok = self._fits(token[r, i - k], t)
                     r, t = r[ok], t[ok]
-                    score = self.p.score[t]
+                    score = self.p.score[t].astype(np.float32)
                 else:
-                    score = best[r, i - k] + self.p.score[t]
-                up_ = score > best[r, i]
+                    score = best[r, i - k] + self.p.score[t].astype(np.float32)
+                up_ = score >= best[r, i]  # of equal ones the longest stays
                 r, t = r[up_], t[up_]
                 best[r, i], token[r, i], back[r, i] = score[up_], t, k
             if not self.merges:
-                r = unknown & (best[:, i] == -np.inf)
-                best[r, i] = best[r, i - 1] + self.lowest - 10
-        return token, back
+                score = best[:, i - 1] + np.float32(self.lowest - 10)
+                r = unknown & (score > best[:, i])
+                best[r, i], token[r, i], back[r, i] = score[r], UNKNOWN, 1
+        return token, back, best
+
+    def _long(self, units: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Tokens at each end position and their lengths of units of over a segment."""
+        keep = self.p.longest  # positions that what follows depends on
+        own = [(u, j) for u, x in enumerate(units) for j in range(-(-len(x) // SEGMENT))]
+        n = len(own)
+        width = RUN_UP + SEGMENT
+        m = np.zeros((n, width), np.uint32)
+        for i, (u, j) in enumerate(own):
+            part = units[u][max(0, j * SEGMENT - RUN_UP) : (j + 1) * SEGMENT]
+            m[i, : len(part)] = part
+        lead = np.array([RUN_UP if j else 0 for _, j in own])
+        token, back, best = (np.concatenate(x) for x in zip(*(self._viterbi(m[i : i + 2048]) for i in range(0, n, 2048))))
+        cols = lead[:, None] + np.arange(SEGMENT + 1)
+        rows = np.arange(n)[:, None]
+        edge = lambda x, at: x[np.arange(n)[:, None], at[:, None] + np.arange(1 - keep, 1)]
+        begin = [edge(token, np.maximum(lead, keep)), edge(best, np.maximum(lead, keep))]
+        token, back, best = token[rows, cols], back[rows, cols], best[rows, cols]
+        follows = np.flatnonzero(lead > 0)
+        chars = m[rows, np.minimum(cols[:, :-1], width - 1)]
+        while True:
+            ends = [x[follows - 1, SEGMENT + 1 - keep :] for x in (token, best)]
+            rel = lambda x: x - x[:, -1:]
+            same = (ends[0] == begin[0][follows]).all(axis=1)
+            if not self.merges:
+                with np.errstate(invalid="ignore"):
+                    same &= np.isclose(rel(ends[1]), rel(begin[1][follows]), atol=1e-4).all(axis=1)
+            redo = follows[~same]
+            if not len(redo):
+                break
+            seed = [x[~same] for x in ends]
+            if not self.merges:
+                seed[1] = rel(seed[1])
+            begin[0][redo], begin[1][redo] = seed
+            full = np.concatenate([chars[redo - 1][:, SEGMENT + 1 - keep :], chars[redo]], axis=1)
+            got = self._viterbi(full, tuple(seed))
+            for x, y in zip((token, back, best), got):
+                x[redo, 1:] = y[:, keep:]
+        out, i = [], 0
+        for x in units:
+            k = -(-len(x) // SEGMENT)
+            out.append(tuple(np.r_[y[i, :1], y[i : i + k, 1:].reshape(-1)[: len(x)]] for y in (token, back)))
+            i += k
+        return out
 
     def _segment(self, cp: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of units, one after another, and their number for each unit. A unit is a
         run of space marks and the word after it."""
-        mark = cp == _MARK
-        run = np.zeros(len(start), np.int64)
-        alive, j = np.arange(len(start)), 0
-        while len(alive := alive[size[alive] > j]) and len(alive := alive[mark[start[alive] + j]]):
-            run[alive] += 1
-            j += 1
-        skip = np.maximum(run - 1, 0)
-        body = size - skip
-        order = np.argsort(body, kind="stable")
-        cut = np.flatnonzero(np.r_[True, np.diff(body[order]) != 0, True])
+        order = np.argsort(size, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(size[order]) != 0, True])
         units, counts, flats, chars = [], [], [], []
+        long = order[size[order] > RUN_UP + SEGMENT]
         for a, b in zip(cut[:-1], cut[1:]):
-            length = int(body[order[a]])
+            length = int(size[order[a]])
+            if length > RUN_UP + SEGMENT:
+                break
             step = max(1, (1 << 19) // (length + 1))
             for lo in range(a, b, step):
                 rows = order[lo : min(lo + step, b)]
-                m = cp[(start + skip)[rows][:, None] + np.arange(length)]
-                token, back = self._viterbi(m)
+                m = cp[start[rows][:, None] + np.arange(length)]
+                token, back, _ = self._viterbi(m)
                 at, r = np.full(len(rows), length), np.arange(len(rows))
                 ends = np.zeros(token.shape, bool)
                 while len(r):
@@ -169,46 +221,42 @@ class Codec:
                 counts.append(ends.sum(axis=1))
                 flats.append(token[r, e])
                 chars.append(m[r, e - 1])
+        for u, (token, back) in zip(long.tolist(), self._long([cp[start[u] : start[u] + size[u]] for u in long]) if len(long) else ()):
+            ends, at, step = [], len(token) - 1, back.tolist()
+            while at > 0:
+                ends.append(at)
+                at -= step[at]
+            e = np.array(ends[::-1])
+            units.append(np.array([u]))
+            counts.append(np.array([len(e)]))
+            flats.append(token[e])
+            chars.append(cp[start[u] + e - 1])
         unit, count, flat, char = (np.concatenate(x) for x in (units, counts, flats, chars))
         back_to = np.argsort(unit)
         at = _ragged((np.cumsum(count) - count)[back_to], count[back_to])
         count, flat, char = count[back_to], flat[at], char[at]
-        flat, count = self._expand(flat, char, count)
-        return self._with_runs(flat, count, run)
+        return self._expand(flat, char, count)
 
     def _expand(self, flat: np.ndarray, char: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Characters without a piece become their bytes."""
+        """Characters without a piece become their bytes, or, if the model has no bytes, each
+        run of them the unknown piece."""
         gone = np.flatnonzero(flat < 0)
         if not len(gone):
             return flat, count
-        ids = [self.byte_ids[list(chr(c).encode())] for c in char[gone].tolist()]
+        end = np.cumsum(count)
         n = np.ones(len(flat), np.int64)
-        n[gone] = [len(x) for x in ids]
+        if self.p.byte_id:
+            ids = [self.byte_ids[list(chr(c).encode())] for c in char[gone].tolist()]
+            n[gone] = [len(x) for x in ids]
+            ids = np.concatenate(ids)
+        else:
+            again = np.r_[False, gone[1:] == gone[:-1] + 1] & ~np.isin(gone, end)
+            n[gone[again]] = 0
+            ids = np.full(int((~again).sum()), self.p.unknown)
         out = np.repeat(flat, n)
-        out[_ragged((np.cumsum(n) - n)[gone], n[gone])] = np.concatenate(ids)
-        end = np.cumsum(count)
+        out[_ragged((np.cumsum(n) - n)[gone], n[gone])] = ids
         return out, np.diff(np.r_[0, np.cumsum(n)][np.r_[0, end]])
 
-    def _with_runs(self, flat: np.ndarray, count: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Units that begin with several marks: all but the last, and this as well if it is a
-        token of its own, are a run of marks."""
-        long = np.flatnonzero(run > 1)
-        if not len(long):
-            return flat, count
-        first = (np.cumsum(count) - count)[long]
-        bare = flat[first] == self.p.ids[SPACE]
-        ids = [self._spaces(int(r) - (not x)) for r, x in zip(run[long], bare)]
-        n = np.array([len(x) for x in ids])
-        flat = np.insert(flat, np.repeat(first, n), np.concatenate(ids))
-        at = first + np.cumsum(n)  # where the old first tokens are now
-        count = count.copy()
-        count[long] += n - bare
-        return np.delete(flat, at[bare]), count
-
-    def _spaces(self, r: int) -> list[int]:
-        """Tokens of r space marks alone, as the library merges them."""
-        return self.p.lib.encode(" " * (r - 1)) if r > 1 else [self.p.ids[SPACE]] * r
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, one after another, and their number for each text."""
         size = np.array([len(t) + 1 if t else 0 for t in texts])
@@ -257,7 +305,7 @@ def codec(model: bytes) -> Codec:
     key = (hash(model),)
     if key not in _made:
         _made.clear()
-        _made[key] = Codec(pieces(model), merges=bool(pieces(model).byte_id))
+        _made[key] = Codec(pieces(model))
     return _made[key]
 
 
@@ -269,6 +317,10 @@ def encode_decode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("do
     text); with ``with_text`` also decoded. Ids are those of the SentencePiece library for
     the model at ``model_path`` (read on the driver), without begin or end tokens.
 
+    Whether the model merges pairs or is a unigram one is read from it; models that
+    normalise texts are refused with a ValueError. A text is held whole in a worker, with some
+    60 bytes a character of it; time is in proportion to its length, with or without spaces.
+
     A null text is an empty one: no ids. The mark U+2581 in a text comes back as a space, so
     such a text is not exact. Rows stay as they are, whatever repeats or is null. An empty
     table gives an empty result.

@@ -35,6 +35,8 @@ class Transducer:
     """States are met and compiled lazily; when ``most`` are known, all are forgotten."""
 
     def __init__(self, p: Pieces, most: int = 400_000):
+        if not p.periodic:
+            raise ValueError("only merge models in which long runs of spaces are periodic are compiled")
         self.p, self.most = p, most
         self.trie: list[dict[int, int]] = [{}]
         self.token: list[int | None] = [None]
