@@ -4,7 +4,7 @@ Two small collections of ``tuples`` MinHash tuples are computed for each set; a
 is a pair of one tuple from each, so tuples * tuples keys of 2 * rows values cost only
 2 * tuples * rows MinHash values. Documents that share a key are compared on their full
 sets; each document is compared with the key's hub first, and only what this leaves in several
-parts is compared further, in blocks.
+parts is compared further, in blocks of documents of about one size.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import looked_up
 from .common import arrow_batches, release, text_or_empty, written
 from .components import components
 from .scan import U, Words, mix, rolling, words
@@ -59,64 +60,94 @@ def _sketches(tuples: int, rows: int, k: int):
                 off = pa.array(np.arange(len(x) + 1, dtype=np.int32) * tuples)
                 return pa.ListArray.from_arrays(off, pa.array(np.ascontiguousarray(x).reshape(-1)), mask=none if len(x) else None)
 
-            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(np.array(s1, U).view(np.int64)), pa.array(np.array(s2, U).view(np.int64)), arrays(t[:, :tuples]), arrays(t[:, tuples:])], names=["doc_id", "n", "s1", "s2", "ta", "tb"])
+            cols = [b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(np.array(s1, U).view(np.int64)), pa.array(np.array(s2, U).view(np.int64)), arrays(t[:, :tuples]), arrays(t[:, tuples:])]
+            yield pa.record_batch(cols, names=["doc_id", "th", "n", "s1", "s2", "ta", "tb"])
 
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataFrame:
-    """Those (a, b) whose full sets have 100 * intersection >= threshold * union."""
+#: Documents and shingles of one block.
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 18
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for t in batches:
-            ok = np.zeros(t.num_rows, bool)
-            ha = t.column(0).to_pylist()
-            b_sets = [s for w in words(t.column(3), lower=True) for s in shingle_sets(w, k)]
-            texts = t.column(2)
-            for i, b in enumerate(b_sets):
-                if ha[i] != last[0]:
-                    last = ha[i], [s for w in words(texts.slice(i, 1), lower=True) for s in shingle_sets(w, k)][0]
-                a = last[1]
-                if min(len(a), len(b)) * 100 >= threshold * max(len(a), len(b)):
-                    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(a) else 0
-                    ok[i] = 100 * both >= threshold * (len(a) + len(b) - both) and both > 0
-            yield pa.record_batch([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok))
-
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = written(docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "_cm_text"), "texts")
-    ta, tb = (texts.select(F.col("doc_id").alias(x), F.col("_cm_text").alias(f"t{x}")) for x in "ab")
-    joined = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
-    out = written(joined.mapInArrow(run, "a long, b long").distinct(), "links")
-    release(docs.sparkSession, texts)
-    return out
 
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """The written table ``rows`` (with n) and the number of blocks for all that share a key."""
+    n = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    return looked_up(rows, key, rows.groupBy(F.col(key).alias("node")).agg(n.alias("root")), "blocks")
 
-#: Documents and shingles of one block.
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 18
 
+def _texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, th, ...) with their texts."""
+    ids = rows.select("doc_id", "th").distinct()
+    one = docs.join(ids.hint("merge"), ["doc_id", "th"], "left_semi").groupBy("doc_id", "th").agg(F.min("_cm_text").alias("_cm_text"))
+    return rows.join(one.hint("merge"), ["doc_id", "th"])
 
-def _blocked(parts: DataFrame, sizes: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataFrame:
+
+def _sets(t: pa.Table, k: int) -> list[np.ndarray]:
+    return [s for w in words(t.column("_cm_text"), lower=True) for s in shingle_sets(w, k)]
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataFrame:
+    """Those (hub, rep) whose full sets have 100 * intersection >= threshold * union, as (a, b).
+
+    A hub's members are dealt into blocks by a hash and its own text goes to each block once,
+    so no task holds a hub's pairs and no pair carries two texts."""
+
+    def run(t: pa.Table) -> pa.Table:
+        own, ids = t.column("own").to_numpy(zero_copy_only=False), t.column("doc_id").to_numpy()
+        sets, found = _sets(t, k), []
+        hub = int(np.flatnonzero(own)[0])
+        a = sets[hub]
+        for i in np.flatnonzero(~own).tolist():
+            b = sets[i]
+            both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(a) else 0
+            if both and 100 * both >= threshold * (len(a) + len(b) - both):
+                found.append(int(ids[i]))
+        h = int(ids[hub])
+        return pa.table([pa.array([min(h, x) for x in found], pa.int64()), pa.array([max(h, x) for x in found], pa.int64())], names=["a", "b"])
+
+    pairs = _blocks(pairs, "hk")
+    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("rep", "th"), F.col("blocks")).cast("int"))
+    members = pairs.select("hub", "hth", "block", F.col("rep").alias("doc_id"), "th", F.lit(False).alias("own"))
+    hubs = pairs.select("hub", "hth", "block").distinct().select("hub", "hth", "block", F.col("hub").alias("doc_id"), F.col("hth").alias("th"), F.lit(True).alias("own"))
+    both = _texts(members.unionByName(hubs), docs)
+    return written(both.groupBy("hub", "hth", "block").applyInArrow(run, "a long, b long").distinct(), "links")
+
+
+def _blocked(parts: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataFrame:
     """Links between documents of one candidate cluster that are not in one part yet.
 
-    Documents that share keys form clusters; a cluster's documents are dealt into blocks,
-    and each pair of blocks is one small group whose intersections are products of
-    incidence matrices. No pair becomes a row: a group gives each document with links the
-    smallest document that these reach within the group."""
+    Documents that share keys form clusters. Sizes of linked sets differ by less than
+    a factor of 100 / threshold, so a cluster's documents are put into classes by the logarithm of
+    their size to that base, and only equal or neighbouring classes are compared: each is
+    dealt into blocks, and each pair of blocks is one small group whose intersections are
+    products of incidence matrices. No pair becomes a row: a group gives each document with
+    links the smallest document that these reach within the group."""
     cluster = components(parts.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    own = parts.groupBy("rep").agg(F.min("part").alias("part"))
-    own = own.join(cluster.withColumnRenamed("node", "rep"), "rep").join(sizes, "rep")
-    n = own.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    own = own.join(n, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "part", F.col("rep").alias("doc_id"))
-    ids = own.select("doc_id").distinct()
-    texts = docs.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("_cm_text").alias("_cm_text"))
+    own = parts.groupBy("rep", "th", "n").agg(F.min("part").alias("part"))
+    own = looked_up(written(own, "parts"), "rep", cluster, "root").withColumn("root", F.coalesce("root", "rep"))
+    own = own.withColumn("cls", F.floor(F.log(F.col("n")) / (max(np.log(100 / threshold), 0.01) + 1e-9)).cast("int"))
+    gk = lambda d: F.xxhash64("root", F.col("cls") + d)
+    own = written(own.withColumns({"gk": gk(0), "up": gk(1), "down": gk(-1)}), "parts")
+    blocks = own.groupBy(F.col("gk").alias("node")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("root"))
+    blocks = written(blocks, "blocks")
+    for key, name in (("gk", "blocks"), ("up", "above"), ("down", "below")):
+        own = written(looked_up(own, key, blocks, name), "parts")
+    own = own.withColumn("block", F.pmod(F.xxhash64("rep", "th"), F.col("blocks")).cast("int"))
+    upto = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda c1, i, c2, j: F.struct(c1.alias("c1"), i.alias("i"), c2.alias("c2"), j.alias("j"))
+    c, b = F.col("cls"), F.col("block")
+    groups = F.concat(
+        F.transform(upto("blocks"), lambda o: pair(c, F.least(b, o), c, F.greatest(b, o))),
+        F.transform(upto("above"), lambda o: pair(c, b, c + 1, o)),
+        F.transform(upto("below"), lambda o: pair(c - 1, o, c, b)),
+    )
+    own = own.withColumn("side", c.cast("long") * F.lit(1 << 32) + b)
+    own = own.select("root", F.explode(groups).alias("g"), "side", "part", F.col("rep").alias("doc_id"), "th").select("root", "g.*", "side", "part", "doc_id", "th")
 
     def run(t: pa.Table) -> pa.Table:
-        ids_, part = t.column("doc_id").to_numpy(), t.column("part").to_numpy()
-        block, i, j = t.column("block").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        sets = [s for w in words(t.column("_cm_text"), lower=True) for s in shingle_sets(w, k)]
+        ids_, part, side = (t.column(x).to_numpy() for x in ("doc_id", "part", "side"))
+        sets = _sets(t, k)
         size = np.array([len(s) for s in sets], np.float64)
         h, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         o = np.argsort(h, kind="stable")
@@ -134,8 +165,8 @@ def _blocked(parts: DataFrame, sizes: DataFrame, docs: DataFrame, threshold: int
             m[doc[a:b], term[a:b] - c * step] = 1
             both += m @ m.T
         linked = (100 * both >= threshold * (size[:, None] + size[None, :] - both)) & (both > 0) & (part[:, None] != part[None, :])
-        if i != j:
-            linked &= block[:, None] != block[None, :]
+        if (side != side[0]).any():
+            linked &= side[:, None] != side[None, :]
         label = ids_.copy()
         while True:
             now = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1))
@@ -145,11 +176,10 @@ def _blocked(parts: DataFrame, sizes: DataFrame, docs: DataFrame, threshold: int
         hit = label < ids_
         return pa.table([ids_[hit], label[hit]], names=["a", "b"])
 
-    joined = own.join(texts.hint("merge"), "doc_id")
-    return written(joined.groupBy("root", "i", "j").applyInArrow(run, "a long, b long"), "links")
+    return written(_texts(own, docs).groupBy("root", "c1", "i", "c2", "j").applyInArrow(run, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, tuples: int = 8, rows: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, tuples: int = 8, rows: int = 3, with_hash: bool = False) -> DataFrame:
     """Classes of near-duplicate documents.
 
     A-Z are lowered; a document's set has its distinct ``k``-word shingles, or its whole
@@ -162,35 +192,40 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, tuples: in
     similarity s has a key in common with probability (1 - (1 - s^rows)^tuples)^2: 0.9990 at 0.85
     and 0.9936 at 0.8 by default. Texts that are null, empty or without words are linked
     with nothing. Rows with a null doc_id are linked with nothing and kept. Rows that
-    repeat a doc_id are one document. An empty table gives an empty result.
+    repeat a doc_id are judged each by its own text; the id is one node. An empty table gives
+    an empty result. A text is held whole in a worker. With ``with_hash`` there is also
+    text_hash (xxhash64 of the text), which tells the rows of one id apart.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_cm_text"))
-    sk = docs.mapInArrow(_sketches(tuples, rows, k), "doc_id long, n long, s1 long, s2 long, ta array<long>, tb array<long>")
+    docs = docs.withColumn("th", F.xxhash64("_cm_text"))
+    sk = docs.mapInArrow(_sketches(tuples, rows, k), "doc_id long, th long, n long, s1 long, s2 long, ta array<long>, tb array<long>")
     sk = written(sk, "sketches")
     with_set = sk.where("n > 0 and doc_id is not null")
-    classes = written(with_set.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("ta").alias("ta"), F.min("tb").alias("tb")), "classes")
+    low = F.min(F.struct("doc_id", "th"))
+    classes = with_set.groupBy("n", "s1", "s2").agg(low.alias("low"), F.count("*").alias("copies"), F.min("ta").alias("ta"), F.min("tb").alias("tb"))
+    classes = written(classes.select("n", "s1", "s2", F.col("low.doc_id").alias("rep"), F.col("low.th").alias("th"), "copies", "ta", "tb"), "classes")
     release(spark)
-    keys = classes.select("rep", "copies", F.explode(F.expr(f"flatten(transform(ta, (x, i) -> transform(tb, (y, j) -> xxhash64(x, y, i * {tuples} + j))))")).alias("key"))
-    groups = keys.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("copies", (-F.col("rep")).alias("neg"))).alias("hub"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("size > 1")
-    groups = written(groups.select("key", "size", (-F.col("hub.neg")).alias("hub"), "low", "high"), "groups")
-    members = written(keys.join(groups.where("size > 2").select("key", "hub"), "key").select("key", "rep", "hub"), "members")
+    keys = classes.select("rep", "th", "n", "copies", F.explode(F.expr(f"flatten(transform(ta, (x, i) -> transform(tb, (y, j) -> xxhash64(x, y, i * {tuples} + j))))")).alias("key"))
+    member = F.struct("rep", "th", "n")
+    groups = keys.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("copies", (-F.col("rep")).alias("neg"), "th", "n")).alias("hub"), F.min(member).alias("low"), F.max(member).alias("high")).where("size > 1")
+    groups = written(groups.select("key", "size", (-F.col("hub.neg")).alias("hub"), F.col("hub.th").alias("hth"), F.col("hub.n").alias("hn"), "low", "high"), "groups")
+    members = written(keys.join(groups.where("size > 2").select("key", "hub", "hth", "hn"), "key").select("key", "rep", "th", "n", "hub", "hth", "hn"), "members")
     release(spark)
-    pair = (F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-    pairs = groups.where("size = 2 and low < high").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    pairs = written(pairs.union(members.where("rep <> hub").select(*pair)).distinct(), "pairs")
-    links = _confirm(pairs, docs, threshold, k)
+    two = groups.where("size = 2").select(F.col("low.rep").alias("hub"), F.col("low.th").alias("hth"), F.col("low.n").alias("hn"), F.col("high.rep").alias("rep"), F.col("high.th").alias("th"), F.col("high.n").alias("n"))
+    pairs = two.unionByName(members.drop("key")).where(f"rep <> hub and 100 * least(n, hn) >= {threshold} * greatest(n, hn)")
+    links = _confirm(written(pairs.distinct().withColumn("hk", F.xxhash64("hub", "hth")), "pairs"), docs, threshold, k)
     roots = components(links)
 
     # keys whose members are still in several parts: their candidate clusters, in blocks
-    parts = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("part"))
+    parts = looked_up(members.drop("hub", "hth", "hn"), "rep", roots, "part").withColumn("part", F.coalesce("part", "rep"))
     mixed = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("rep").alias("low")).where("lo < hi").select("key", "low")
-    parts = written(parts.join(mixed, "key").select("rep", "part", "low"), "parts")
+    parts = written(parts.join(mixed, "key").select("rep", "th", "n", "part", "low"), "parts")
     if not parts.isEmpty():
-        roots = components(links.union(_blocked(parts, classes.select("rep", "n"), docs, threshold, k)))
+        roots = components(links.union(_blocked(parts, docs, threshold, k)))
     reps = classes.select("n", "s1", "s2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("component"))
-    out = sk.select("doc_id", "n", "s1", "s2").join(reps, ["n", "s1", "s2"], "left")
+    out = sk.select("doc_id", "th", "n", "s1", "s2").join(reps, ["n", "s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *([F.col("th").alias("text_hash")] if with_hash else []))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

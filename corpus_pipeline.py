@@ -8,8 +8,9 @@ again between stages.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clonemesh.llm.common import table, written
+from clonemesh.llm.common import table, text_or_empty, written
 from clonemesh.llm.minhash import near_duplicates
 from clonemesh.llm.mixing import sample_mixture
 from clonemesh.llm.quality import keep_good
@@ -31,8 +32,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the smallest id."""
-    gone = near_duplicates(docs, SIMILARITY).where("not kept").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    gone = near_duplicates(docs, SIMILARITY, with_hash=True).where("not kept").select("doc_id", "text_hash").distinct()
+    mine = (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(text_or_empty()) == gone["text_hash"])
+    return docs.join(gone.hint("merge"), mine, "left_anti").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

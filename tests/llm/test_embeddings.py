@@ -45,3 +45,24 @@ def test_odd_vectors(spark):
     assert set(got) == alone | {(1, 1, 1, True), (2, 1, 1, False), (9, 1, 9, True), (10, 1, 9, False)}
     assert len(got) == len(rows)
     assert ed.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_vectors_of_several_lengths(spark, monkeypatch):
+    """Two of one length are linked however many there are of another; ties at the threshold count."""
+    rows = [(i, [float(i), 1.0, 0.5 * i]) for i in range(4)] + [(10, [1.0, 0.0]), (11, [0.9999, 0.01]), (20, [0.9, (1 - 0.81) ** 0.5, 0.0, 0.0]), (21, [1.0, 0.0, 0.0, 0.0])]
+    rows += [(100 + i, [1.0] * (5 + i)) for i in range(12)] + [(200 + i, [2.0] * (4 + i) + [2.1]) for i in range(12)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for lengths in (8, 2):
+        monkeypatch.setattr(ed, "MOST_LENGTHS", lengths)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in ed.near_vectors(d).collect()}
+        want = {}
+        for dim in {len(v) for _, v in rows}:
+            own = [(i, v) for i, v in rows if len(v) == dim]
+            n, c = brute(np.array([i for i, _ in own]), np.array([v for _, v in own]))
+            want |= {i: (int(a), int(b)) for (i, _), a, b in zip(own, n, c)}
+        assert got == want and got[10] == (1, 10) and got[111] == (1, 111)
+
+
+def test_clashing_columns(spark):
+    d = spark.createDataFrame([(1, [1.0, 0.0], "x", "y", "z"), (2, [1.0, 0.01], "x", "y", "z")], "vec_id long, embedding array<double>, rep string, home string, dim string")
+    assert {r.component_id for r in ed.near_vectors(d).collect()} == {1}

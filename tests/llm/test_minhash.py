@@ -62,6 +62,26 @@ def test_empty_and_repeated_rows(spark, docs):
     assert sorted((r.doc_id or 0, r.kept) for r in got) == [(0, True), (0, True), (5, True), (5, True)]
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    import corpus_pipeline
+
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    d = spark.createDataFrame([(1, x), (5, x), (5, y), (None, x), (9, z + " more"), (8, z)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(d, 80).collect())
+    assert got == [(0, 0, True), (1, 1, True), (5, 1, False), (5, 5, True), (8, 8, True), (9, 8, False)]
+    kept = corpus_pipeline.near_dedup(spark, d, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, x), (1, x), (5, y), (8, z)]
+
+
+def test_texts_beyond_a_block(spark):
+    r = random.Random(4)
+    w = [f"w{r.randrange(5000)}" for _ in range(300_000)]  # over 1 MB
+    near = w[:150_000] + ["new"] + w[150_001:]
+    d = spark.createDataFrame([(3, " ".join(w)), (2, " ".join(near)), (1, " ".join(w[:100_000]))], "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(d, 85).collect()}
+    assert got == {3: (len(shingles(" ".join(w))), 2), 2: (len(shingles(" ".join(near))), 2), 1: (len(shingles(" ".join(w[:100_000]))), 1)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 501), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
