@@ -55,7 +55,7 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
 
 def _parts(ts: Column, fallback: Column) -> Column:
     """Parts of the fingerprint of the sorted distinct terms ``ts``; 0 where a subset has
-    none of them. The last part stands in where no term is in the band."""
+    none of them. The last part stands in where no term is in the lexicon."""
     parts, at = [], 0
     for bits in LEVELS:
         for i in range(min(SUBSETS, 1 << bits)):
@@ -98,63 +98,82 @@ def text_of(parts: Column) -> Column:
     return F.concat_ws("", F.transform(parts, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")))
 
 
+#: What tells documents apart: id (null: the smallest number), hash and length of the text.
+KEY = ("_cm_id", "_cm_th", "n_chars")
+_PREV = tuple(f"prev_{c}" for c in KEY)
+_NO_ID = -(1 << 63)
+_FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+
+
 def in_order(ids: DataFrame) -> DataFrame:
-    """``ids`` (one row for each _cm_key, with half) and in ``prev_key`` and ``prev_half``
-    the row before it by _cm_key; the first row comes after the last."""
-    placed = written(ids.repartitionByRange("_cm_key").withColumn("part", F.spark_partition_id()), "order")
-    last = placed.groupBy("part").agg(F.max(F.struct("_cm_key", "half")).alias("tail"))  # a row for each partition
+    """``ids`` (distinct KEY) and, in prev_*, the row before by KEY; the first row comes after
+    the last."""
+    placed = written(ids.repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()), "order")
+    row = F.struct(*KEY)
+    last = placed.groupBy("part").agg(F.max(row).alias("tail"))  # a row for each partition
     before = last.select("part", F.lag("tail").over(Window.orderBy("part")).alias("tail"), F.max("tail").over(Window.partitionBy()).alias("end"))
-    w = Window.partitionBy("part").orderBy("_cm_key")
-    rows = placed.withColumn("prev", F.lag(F.struct("_cm_key", "half")).over(w)).join(F.broadcast(before), "part")
+    w = Window.partitionBy("part").orderBy(*KEY)
+    rows = placed.withColumn("prev", F.lag(row).over(w)).join(F.broadcast(before), "part")
     prev = F.coalesce("prev", "tail", "end")
-    return written(rows.select("_cm_key", prev["_cm_key"].alias("prev_key"), prev["half"].alias("prev_half")), "order")
+    return written(rows.select(*KEY, *(prev[c].alias(p) for c, p in zip(KEY, _PREV))), "order")
+
+
+def _whole(text: str, ts: str) -> Column:
+    """A hash of all terms, or of the text where it has none; of an empty text, nothing."""
+    bare = F.when(F.col(text) == "", F.lit(_NOTHING)).otherwise(F.xxhash64(text))
+    return F.when(F.size(ts) == 0, bare).otherwise(F.xxhash64(F.sort_array(ts)))
 
 
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """Fingerprints of each whole text and of its edited text, the last floor(n/2) code
     points of which are replaced by the first as many (or all) of the next document's.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
-    near_next (the likeness to the edited text's and the next document's). The next document
-    is that with the next larger doc_id; after the last comes the first.
+    Returns a row for each row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint,
+    edited_fingerprint, near_edited and near_next (the likeness to the edited text's and the
+    next document's). The next document is that with the next larger doc_id; after the last
+    comes the first.
 
     A null text is an empty one, whose fingerprint is all zeros. A text without any term in
-    the lexicon gets a fingerprint of all its terms' hash. A document without an id comes
-    first; of rows that repeat an id, the smallest text stands for the document. A document
-    alone is its own next. An empty table gives an empty result.
+    the lexicon gets a fingerprint of all its terms' hash, and one without terms of the whole
+    text's, so only equal ones are alike. Documents without an id come first. Rows that
+    repeat an id are documents of their own, ordered by a hash of their texts; rows equal in id
+    and text have equal results and count as one where the next document is looked for. A
+    document alone is its own next. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "16384")
-    low = -(1 << 63)
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("_cm_key"), text_or_empty().alias("_cm_text"))
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_cm_id"), text_or_empty().alias("_cm_text"))
+    slim = slim.withColumns({"_cm_th": F.xxhash64("_cm_text"), "n_chars": F.char_length("_cm_text")})
     words = written(lexicon(slim, band), "lexicon")
     release(spark)
-    ids = slim.groupBy("_cm_key").agg(F.max(F.floor(F.char_length("_cm_text") / 2)).cast("int").alias("half"))
-    order = in_order(ids)
+    order = in_order(slim.select(*KEY).distinct())
     release(spark)
-    one = slim.groupBy("_cm_key").agg(F.min("_cm_text").alias("_cm_text"))
-    heads = one.join(order.hint("merge"), "_cm_key").select(F.col("prev_key").alias("_cm_key"), F.expr("left(_cm_text, prev_half)").alias("head"))
-    n = F.char_length("_cm_text")
-    both = one.join(heads.hint("merge"), "_cm_key").select("_cm_key", "_cm_text", n.alias("n_chars"), F.expr("concat(left(_cm_text, cast(char_length(_cm_text) - floor(char_length(_cm_text) / 2) as int)), left(head, cast(floor(char_length(_cm_text) / 2) as int)))").alias("edited"))
-    both = both.select("_cm_key", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), terms(F.col("_cm_text")).alias("t1"), terms(F.col("edited")).alias("t2"))
+    one = slim.groupBy(*KEY).agg(F.min("_cm_text").alias("_cm_text"))
+    heads = one.join(order.hint("merge"), list(KEY)).select(*(F.col(p).alias(c) for c, p in zip(KEY, _PREV)), F.expr("left(_cm_text, cast(floor(prev_n_chars / 2) as int))").alias("head"))
+    both = one.join(heads.hint("merge"), list(KEY)).select(*KEY, "_cm_text", F.expr("concat(left(_cm_text, cast(n_chars - floor(n_chars / 2) as int)), left(head, cast(floor(n_chars / 2) as int)))").alias("edited"))
+    both = both.select(*KEY, "_cm_text", "edited", F.unhex(F.sha2(F.encode("edited", "UTF-8"), 256)).alias("sha"), terms(F.col("_cm_text")).alias("t1"), terms(F.col("edited")).alias("t2"))
     tagged = F.concat(F.array(F.struct(F.lit(None).cast("long").alias("term"), F.lit(0).alias("kind"))), _tagged("t1", 1), _tagged("t2", 2))
-    whole = [F.xxhash64(F.sort_array(c)).alias(f"w{c}") for c in ("t1", "t2")]
+    whole = [_whole("_cm_text", "t1").alias("wt1"), _whole("edited", "t2").alias("wt2")]
     # what stands beside explode() is evaluated for each of its rows, so it comes first
-    rows = both.select("_cm_key", "n_chars", "edited_sha256", *whole, tagged.alias("xs")).select("_cm_key", "n_chars", "edited_sha256", "wt1", "wt2", F.explode("xs").alias("x"))
-    rows = rows.select("_cm_key", "n_chars", "edited_sha256", "wt1", "wt2", "x.term", "x.kind")
+    rows = both.select(*KEY, "sha", *whole, tagged.alias("xs")).select(*KEY, "sha", "wt1", "wt2", F.explode("xs").alias("x"))
+    rows = rows.select(*KEY, "sha", "wt1", "wt2", "x.term", "x.kind")
     lex = words.withColumn("ok", F.lit(True))
     rows = rows.join(F.broadcast(lex) if words.count() <= MOST_BROADCAST else lex, "term", "left").where("ok or kind = 0")
-    got = rows.groupBy("_cm_key").agg(
-        *(F.max(F.when(F.col("kind") == 0, F.col(c))).alias(c) for c in ("n_chars", "edited_sha256", "wt1", "wt2")),
+    got = rows.groupBy(*KEY).agg(
+        *(F.max(F.when(F.col("kind") == 0, F.col(c))).alias(c) for c in ("sha", "wt1", "wt2")),
         *(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("term")))).alias(f"t{k}") for k in (1, 2)),
     )
-    got = got.select("_cm_key", "n_chars", "edited_sha256", _parts(F.col("t1"), F.col("wt1")).alias("fp"), _parts(F.col("t2"), F.col("wt2")).alias("ep"))
-    got = written(got, "fingerprints")
+    got = got.select(*KEY, F.lower(F.hex("sha")).alias("edited_sha256"), _parts(F.col("t1"), F.col("wt1")).alias("fp"), _parts(F.col("t2"), F.col("wt2")).alias("ep"))
+    was = spark.conf.get(_FALLBACK, None)
+    spark.conf.set(_FALLBACK, "16384")  # groups that are hashed before sorting takes over
+    try:
+        got = written(got, "fingerprints")
+    finally:
+        spark.conf.set(_FALLBACK, was) if was is not None else spark.conf.unset(_FALLBACK)
     release(spark)
-    after = got.select("_cm_key", "fp").join(order, "_cm_key").select(F.col("prev_key").alias("_cm_key"), F.col("fp").alias("np"))
-    out = got.join(after, "_cm_key")
+    after = got.select(*KEY, "fp").join(order, list(KEY)).select(*(F.col(p).alias(c) for c, p in zip(KEY, _PREV)), F.col("fp").alias("np"))
+    out = slim.select(*KEY).join(got.join(after, list(KEY)), list(KEY))
     return out.select(
-        F.when(F.col("_cm_key") != low, F.col("_cm_key")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
+        F.when(F.col("_cm_id") != _NO_ID, F.col("_cm_id")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
         text_of(F.col("fp")).alias("fingerprint"), text_of(F.col("ep")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("ep")).alias("near_edited"), likeness(F.col("fp"), F.col("np")).alias("near_next"),
     )
