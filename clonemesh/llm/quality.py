@@ -1,20 +1,21 @@
 """Quality classifier: naive Bayes support vectors over hashed n-gram indicators.
 
-Indicators are byte 1- to 3-grams and 1- to 3-grams of word shapes (case, last mark, length
-class, equal to one of the two words before), so that invented or rare words do not matter.
-Class counts come from a bounded sample of the labelled training rows; the linear model,
-over indicators scaled by the classes' log-count ratios, is fitted by dual coordinate
-descent on a part of it.
+Indicators are byte 1- to 3-grams, 1- and 2-grams of words, and 1- to 3-grams of word shapes
+(case, last mark, length class, equal to one of the two words before), so that invented or
+rare words do not matter. Class counts come from a bounded sample of the labelled training
+rows; the linear model, over indicators scaled by the classes' log-count ratios, is fitted by
+dual coordinate descent on a part of it, in one task: a row of the sample is at most a bit for
+each indicator, so the task holds SAMPLE * 2 rows of at most 32 kB, and the driver only the
+counts and the weights.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +23,9 @@ from pyspark.sql import types as T
 from .common import arrow_batches, written
 from .scan import U, Words, mix, rolling, words
 
+#: Indicators: one half for bytes and shapes, the other one for words.
 BITS = 17
-DIM = 1 << BITS
+DIM = 2 << BITS
 _SLICES = 64
 #: Bytes of texts whose n-grams are hashed at once.
 BLOCK = 1 << 18
@@ -70,6 +72,7 @@ def features(w: Words) -> Iterator[np.ndarray]:
         grams.append(((x + (n << 40)).astype(U) * U(0x9E3779B97F4A7C15) >> U(64 - BITS)).astype(np.int64))
     shape = _shapes(w)
     shapes = [(rolling(shape, n) >> U(64 - BITS)).astype(np.int64) for n in (1, 2, 3)]
+    terms = [(rolling(w.h, n) >> U(64 - BITS)).astype(np.int64) + (1 << BITS) for n in (1, 2)]
     seen = np.zeros(DIM, bool)
     edge = w.text_offsets
     for i in range(w.r1 - w.r0):
@@ -77,13 +80,47 @@ def features(w: Words) -> Iterator[np.ndarray]:
         f, g = int(w.first[i]), int(w.first[i + 1])
         for n, x in enumerate(grams, 1):
             seen[x[a : max(a, b - n + 1)]] = True
-        for n, x in enumerate(shapes, 1):
-            seen[x[f : max(f, g - n + 1)]] = True
+        for own in (shapes, terms):
+            for n, x in enumerate(own, 1):
+                seen[x[f : max(f, g - n + 1)]] = True
         idx = np.flatnonzero(seen)
         seen[idx] = False
         yield idx
 
 
+def _packed(idx: np.ndarray) -> bytes:
+    """Indices as numbers, or, where that is shorter, as a bit for each indicator."""
+    if 4 * len(idx) < DIM // 8:
+        return idx.astype(np.int32).tobytes()
+    bits = np.zeros(DIM, bool)
+    bits[idx] = True
+    return np.packbits(bits).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))) if len(raw) == DIM // 8 else np.frombuffer(raw, np.int32)
+
+
+class _Rows:
+    """Sampled rows: the indices of row i, or with ``ratio`` their values of unit length."""
+
+    def __init__(self, raw: list[bytes], ratio: np.ndarray | None = None):
+        self.raw, self.ratio = raw, ratio
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        x = _unpacked(self.raw[i])
+        if self.ratio is None:
+            return x
+        v = self.ratio[x]
+        return v / np.float32(np.sqrt((v.astype(np.float64) ** 2).sum()) or 1.0)
+
+    def some(self, at: np.ndarray) -> "_Rows":
+        return _Rows([self.raw[i] for i in at.tolist()], self.ratio)
+
+
 def _train_rows(rate: dict[int, float]):
     """Counts of each indicator by class, in slices; and the indicators of sampled rows."""
 
@@ -98,14 +135,14 @@ def _train_rows(rate: dict[int, float]):
                     count[ys[i], idx] += 1
                     if picks[i] < rate[ys[i]]:
                         out_y.append(ys[i])
-                        out_x.append(idx.astype(np.int32))
+                        out_x.append(_packed(idx))
                     i += 1
                     seen = True
             none = pa.nulls(len(out_y), pa.list_(pa.int64()))
-            yield pa.record_batch([pa.array([-1] * len(out_y), pa.int32()), pa.array(out_y, pa.int32()), pa.array(out_x, pa.list_(pa.int32())), none, none], names=names)
+            yield pa.record_batch([pa.array([-1] * len(out_y), pa.int32()), pa.array(out_y, pa.int32()), pa.array(out_x, pa.binary()), none, none], names=names)
         if seen:
             part = count.reshape(2, _SLICES, -1)
-            yield pa.record_batch([pa.array(range(_SLICES), pa.int32()), pa.nulls(_SLICES, pa.int32()), pa.nulls(_SLICES, pa.list_(pa.int32())), pa.array(list(part[0]), pa.list_(pa.int64())), pa.array(list(part[1]), pa.list_(pa.int64()))], names=names)
+            yield pa.record_batch([pa.array(range(_SLICES), pa.int32()), pa.nulls(_SLICES, pa.int32()), pa.nulls(_SLICES, pa.binary()), pa.array(list(part[0]), pa.list_(pa.int64())), pa.array(list(part[1]), pa.list_(pa.int64()))], names=names)
 
     return run
 
@@ -115,11 +152,11 @@ def _sum_slices(t: pa.Table) -> pa.Table:
     return pa.table([pa.array([t.column("slice")[0].as_py()], pa.int32()), pa.array([low], pa.list_(pa.int64())), pa.array([high], pa.list_(pa.int64()))], names=["slice", "low", "high"])
 
 
-def descend(xs: list[np.ndarray], vals: list[np.ndarray], y: np.ndarray, dim: int, c: float = 1.0, epochs: int = 15, seed: int = 7) -> np.ndarray:
+def descend(xs: Sequence[np.ndarray], vals: Sequence[np.ndarray], y: np.ndarray, dim: int, c: float = 1.0, epochs: int = 15, seed: int = 7) -> np.ndarray:
     """Hinge-loss linear model by dual coordinate descent; the last weight is the bias."""
     rng = np.random.default_rng(seed)
     w, alpha = np.zeros(dim + 1), np.zeros(len(y))
-    q = np.array([1.0 + float(v @ v) for v in vals])
+    q = np.array([1.0 + float(vals[i] @ vals[i]) for i in range(len(y))])
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(y)):
@@ -164,6 +201,36 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -35.0), 35.0))))
 
 
+def _fitted(raw: list[bytes], y01: np.ndarray, ratio: np.ndarray, n: dict[int, int]) -> tuple[np.ndarray, float, float, float]:
+    """Weights, bias and the two numbers of the calibration, from the sampled rows. Rows are
+    weighted by their class's share of all labelled rows in the calibration only."""
+    # a fixed order, whatever order the rows came in
+    order = sorted(range(len(raw)), key=lambda i: (y01[i], len(raw[i]), zlib.crc32(raw[i])))
+    raw, ys = [raw[i] for i in order], np.where(y01[order] > 0, 1.0, -1.0)
+    xs, vals = _Rows(raw), _Rows(raw, ratio)
+    have = {v: max((ys == v).sum(), 1) for v in (-1, 1)}
+    weight = np.where(ys > 0, n[1] / have[1], n[0] / have[-1])
+    margin = np.zeros(len(ys))
+    fold = np.arange(len(ys)) % 2
+    for k in (0, 1):
+        tr = np.flatnonzero(fold != k)
+        w = descend(xs.some(tr), vals.some(tr), ys[tr], DIM)
+        for i in np.flatnonzero(fold == k).tolist():
+            margin[i] = w[xs[i]] @ vals[i] + w[-1]
+    a, b = _platt(margin, ys, weight)
+    w = descend(xs, vals, ys, DIM)
+    return w[:-1] * ratio, float(w[-1]), a, b
+
+
+def log_ratio(count: np.ndarray) -> np.ndarray:
+    """The log-count ratio of each indicator from ``count`` (class, indicator), smoothed by 1;
+    0 where fewer than 3 rows have the indicator."""
+    p, q = count[1] + 1, count[0] + 1
+    ratio = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
+    ratio[(count[0] + count[1]) < 3] = 0.0
+    return ratio
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, counted: int = COUNTED) -> Model:
     """Fit on labelled rows that are not held out (crc32 of doc_id as text modulo 5 is 0).
     About ``counted`` rows of each class, chosen by a hash of doc_id, give the class counts,
@@ -178,39 +245,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     picked = ids.withColumn("pick", pick).where(" or ".join(f"(y = {k} and pick < {counted / v})" for k, v in n.items()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("text", "y", "pick")
-    both = rows.mapInArrow(_train_rows({k: sample / v for k, v in n.items()}), "slice int, y int, idx array<int>, low array<bigint>, high array<bigint>")
+    both = rows.mapInArrow(_train_rows({k: sample / v for k, v in n.items()}), "slice int, y int, idx binary, low array<bigint>, high array<bigint>")
     both = written(both, "training")
     counts = both.where("slice >= 0").select("slice", "low", "high").groupBy("slice").applyInArrow(_sum_slices, "slice int, low array<bigint>, high array<bigint>").toArrow()
     count = np.zeros((2, DIM))
     for i, k in enumerate(counts.column("slice").to_pylist()):
         at = slice(k * DIM // _SLICES, (k + 1) * DIM // _SLICES)
         count[0, at], count[1, at] = (np.asarray(counts.column(c)[i].values) for c in ("low", "high"))
-    # as Arrow: the sampled indices stay in one buffer of 4-byte numbers on the driver
-    got = both.where("slice < 0").select("y", "idx").toArrow().combine_chunks()
-    p, q = count[1] + 1, count[0] + 1
-    ratio = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
-    ratio[(count[0] + count[1]) < 3] = 0.0
-    lists = got.column("idx").chunk(0) if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    flat, cut = np.asarray(lists.flatten()), np.r_[0, np.cumsum(np.asarray(pc.list_value_length(lists)))]
-    y01 = got.column("y").to_numpy() if got.num_rows else np.zeros(0, np.int32)
-    xs = [flat[i:j] for i, j in zip(cut[:-1], cut[1:])]
-    # a fixed order, whatever order the rows came in
-    order = sorted(range(len(xs)), key=lambda i: (y01[i], len(xs[i]), zlib.crc32(xs[i].tobytes())))
-    xs, ys = [xs[i] for i in order], np.where(y01[order] > 0, 1.0, -1.0)
-    vals = [ratio[x] / (np.sqrt((ratio[x].astype(np.float64) ** 2).sum()) or 1.0) for x in xs]
-    vals = [v.astype(np.float32) for v in vals]
-    have = {v: max((ys == v).sum(), 1) for v in (-1, 1)}
-    weight = np.where(ys > 0, n[1] / have[1], n[0] / have[-1])
-    margin = np.zeros(len(ys))
-    fold = np.arange(len(ys)) % 2
-    for k in (0, 1):
-        tr = np.flatnonzero(fold != k)
-        w = descend([xs[i] for i in tr], [vals[i] for i in tr], ys[tr], DIM)
-        for i in np.flatnonzero(fold == k):
-            margin[i] = w[xs[i]] @ vals[i] + w[-1]
-    a, b = _platt(margin, ys, weight)
-    w = descend(xs, vals, ys, DIM)
-    return Model(w[:-1] * ratio, float(w[-1]), ratio.astype(np.float64) ** 2, a, b)
+    ratio = log_ratio(count)
+
+    def task(t: pa.Table) -> pa.Table:
+        w, bias, a, b = _fitted(t.column("idx").to_pylist(), t.column("y").to_numpy(), ratio, n)
+        return pa.table([[w.astype(np.float64).tobytes()], [bias], [a], [b]], schema=pa.schema([("w", pa.binary()), *((c, pa.float64()) for c in ("bias", "a", "b"))]))
+
+    got = both.where("slice < 0").select(F.lit(0).alias("g"), "y", "idx").groupBy("g").applyInArrow(task, "w binary, bias double, a double, b double").collect()
+    square = ratio.astype(np.float64) ** 2
+    if not got:  # no labelled row has a document
+        return Model(np.zeros(DIM), 0.0, square, 0.0, float(np.log(n[1] / n[0])))
+    r = got[0]
+    return Model(np.frombuffer(r["w"], np.float64), r["bias"], square, r["a"], r["b"])
 
 
 def _held_out(col: str):
@@ -239,8 +292,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
     The model is fitted on ``docs`` joined with ``labels`` as in :func:`fit`; score and label
     1 go together. Only texts are inputs of a score. Null ids count as the empty text for
     held_out and are never trained on; repeated label rows of an id count once, with the
-    larger label. Without labels of both classes every score is the share of label 1, or 0.5.
-    An empty table gives an empty result.
+    larger label; rows that repeat an id with different texts are each trained on. Without
+    labels of both classes every score is the share of label 1, or 0.5. A text is held whole
+    in a worker. An empty table gives an empty result.
     """
     model = fit(docs, labels, sample=sample)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -249,6 +303,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with their columns."""
+    """The rows of ``docs`` that the classifier does not reject, with their columns; nulls,
+    repeated ids and empty tables as in :func:`classify`."""
     model = fit(docs, labels)
     return score(docs, model, "_cm_score").where(F.col("_cm_score") >= threshold).drop("_cm_score")
