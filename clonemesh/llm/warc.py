@@ -2,8 +2,10 @@
 
 A record's payload is a series of rows (record id, chunk number, bytes). Writing a task's
 records streams these rows into one gzip member for each record; reading streams a file
-back into such rows. Digests are carried from chunk to chunk, and neither side holds more
-than a chunk of a payload besides what the input table itself holds as a row.
+back into such rows. Digests are carried from chunk to chunk: a first pass over the chunk
+rows gives each payload's digest, which its header needs; the writer and the reader carry
+their own and stop where they differ. No side holds more than a chunk of a payload
+besides what the input table itself holds as a row.
 
 Archives are in the shared folder, or another base, reached by ``pyarrow.fs`` on the
 executors. A task writes under a name of its own attempt and reports the file; only
@@ -20,13 +22,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, new_path, written
 
 CHUNK = 1 << 20
-_CHUNK_SCHEMA = "page_id long, uri string, n_bytes long, digest string, response_id long, chunk_no int, data binary"
 _RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, chunks int, verified boolean"
 
 
@@ -34,28 +35,45 @@ def _base32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def digests(pages: DataFrame) -> DataFrame:
-    """page_id, n_bytes and base32 SHA-1 of each payload. Spark's sha1 gives hex, whose 160
-    bits are rewritten in groups of five with built-in functions."""
-    hexed = F.sha1(F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8"))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))).cast("long").alias("n_bytes"), base32(hexed).alias("digest"))
-
-
-def base32(hexed: F.Column) -> F.Column:
-    """Upper-case base32 of 40 hex digits: four pieces of 10 digits make 8 letters each."""
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    parts = []
-    for i in range(4):
-        n = F.conv(F.substring(hexed, 10 * i + 1, 10), 16, 10).cast("long")
-        parts += [F.substring(F.lit(letters), (F.shiftrightunsigned(n, 35 - 5 * k).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for k in range(8)]
-    return F.concat(*parts)
+def _payloads(pages: DataFrame) -> DataFrame:
+    """page_id, uri and payload of each row, with its length and a hash that tell the rows of
+    one page_id apart."""
+    url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("uri"), html.alias("html"), F.octet_length(html).cast("long").alias("n_bytes"), F.xxhash64(html).alias("hash"))
+
+
+def chunk_rows(rows: DataFrame, keep: tuple[str, ...], size: int = CHUNK, where: Column | None = None) -> DataFrame:
+    """The columns ``keep``, chunk_no and data: a row for each chunk of each payload (an empty
+    one has one), in order; data is null unless ``where``."""
+    raw = F.encode("html", "UTF-8")
+    last = F.greatest(F.lit(0), F.floor((F.octet_length("_cm_raw") - 1) / size).cast("int"))
+    rows = rows.withColumn("_cm_raw", raw).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
+    data = F.substring(F.col("_cm_raw"), F.col("chunk_no") * size + 1, F.lit(size))
+    return rows.select(*keep, F.col("chunk_no").cast("int"), (data if where is None else F.when(where, data)).alias("data"))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of each payload from its chunk rows; the last one goes on over batches."""
+    key, sha, names = None, None, ["page_id", "n_bytes", "hash", "digest"]
+    schema = pa.schema([(c, pa.int64()) for c in names[:3]] + [("digest", pa.string())])
+    for b in batches:
+        done = []
+        for page_id, n, x, no, data in zip(*(c.to_pylist() for c in b.columns)):
+            if no == 0:
+                if sha is not None:
+                    done.append((*key, _base32(sha.digest())))
+                key, sha = (page_id, n, x), hashlib.sha1()
+            sha.update(data)
+        yield pa.record_batch([list(c) for c in zip(*done)] or [[]] * 4, schema=schema)
+    if sha is not None:
+        yield pa.record_batch([[x] for x in (*key, _base32(sha.digest()))], schema=schema)
 
 
-def chunk_rows(pages: DataFrame, size: int = CHUNK) -> DataFrame:
-    """One row for each chunk of each payload (an empty payload has one), in order."""
-    raw = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    rows = pages.withColumn("_cm_raw", raw).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.octet_length("_cm_raw") - 1) / size).cast("int")))))
-    return rows.select("page_id", "uri", "n_bytes", "digest", "response_id", F.col("chunk_no").cast("int"), F.when(F.col("response_id").isNull(), F.substring(F.col("_cm_raw"), F.col("chunk_no") * size + 1, F.lit(size))).alias("data"))
+def digests(pages: DataFrame) -> DataFrame:
+    """page_id, n_bytes, hash and base32 SHA-1 of each payload."""
+    keep = ("page_id", "n_bytes", "hash")
+    return chunk_rows(_payloads(pages), keep).mapInArrow(_digests, "page_id long, n_bytes long, hash long, digest string")
 
 
 def _header(fields: list[tuple[str, str]], length: int) -> bytes:
@@ -73,7 +91,7 @@ def _writer(base: str, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(base)
         name = f"{root}/{uuid.uuid4().hex}.warc.gz"
-        out, member, count, open_ = None, None, 0, False
+        out, member, count, open_, sha, due = None, None, 0, False, None, None
 
         def put(b: bytes) -> None:
             if z := member.compress(b):
@@ -81,6 +99,8 @@ def _writer(base: str, date: str):
 
         def end() -> None:
             if open_:
+                if due is not None and _base32(sha.digest()) != due:
+                    raise ValueError("a payload is not what its digest was made of")
                 put(b"\r\n\r\n")
                 out.write(member.flush())
 
@@ -92,6 +112,7 @@ def _writer(base: str, date: str):
                 if no == 0:
                     end()
                     member, open_, count = zlib.compressobj(1, zlib.DEFLATED, 31), True, count + 1
+                    sha, due = hashlib.sha1(), digest if response is None else None
                     fields = [("WARC-Type", "response" if response is None else "revisit"), ("WARC-Record-ID", _urn(page_id)), ("WARC-Date", date)]
                     fields += [("WARC-Target-URI", "".join((uri or f"urn:page:{page_id}").split()))]
                     fields += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Page-ID", "" if page_id is None else str(page_id)), ("Payload-Length", str(n))]
@@ -99,6 +120,7 @@ def _writer(base: str, date: str):
                         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(response)), ("Refers-To-Page-ID", str(response))]
                     put(_header(fields, len(_HTTP) + (n if response is None else 0)) + _HTTP)
                 if data is not None:
+                    sha.update(data)
                     put(data)
         end()
         if out is not None:
@@ -187,9 +209,12 @@ def _reader(base: str):
                         sha.update(data)
                         n += len(data)
                         if last:
-                            kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
-                            whole = kind == "revisit" or (_base32(sha.digest()) == digest and n == int(head["payload-length"]))
-                            rows.append((int(head["page-id"]) if head["page-id"] else None, int(head["payload-length"]), digest, kind, int(head["refers-to-page-id"]) if "refers-to-page-id" in head else None, no + 1, whole))
+                            kind, digest, size = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:"), int(head["payload-length"])
+                            if kind != "revisit":  # what was read counts
+                                if (_base32(sha.digest()), n) != (digest, size):
+                                    raise ValueError(f"a record of {name} is not what its header says")
+                                digest, size = _base32(sha.digest()), n
+                            rows.append((int(head["page-id"]) if head["page-id"] else None, size, digest, kind, int(head["refers-to-page-id"]) if "refers-to-page-id" in head else None, no + 1, True))
                             sha, n = hashlib.sha1(), 0
                         if len(rows) >= 10_000:
                             yield _records(rows)
@@ -216,19 +241,20 @@ def write_archives(pages: DataFrame, base: str, min_bytes: int = 0, date: str =
     known = written(digests(pages), "digests")
     groups = known.where(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(F.max("page_id").alias("last"), F.count("page_id").alias("copies")).where("copies > 1")
     # a page_id may repeat with another payload, so a decision holds for an id and a payload
-    again = known.join(groups, ["digest", "n_bytes"]).where("page_id < last").groupBy("page_id", "digest", "n_bytes").agg(F.max("last").alias("response_id"))
-    url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    text = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("uri"), F.col("html").cast("string").alias("html"))
-    rows = rows.withColumns({"n_bytes": F.octet_length(text).cast("long"), "digest": base32(F.sha1(F.encode(text, "UTF-8")))})
-    rows = rows.join(again, ["page_id", "digest", "n_bytes"], "left")
-    return written(chunk_rows(rows).mapInArrow(_writer(base, date), "file string, records long"), "manifest")
+    done = known.distinct().join(groups, ["digest", "n_bytes"], "left")
+    done = done.select(F.col("page_id").alias("id"), F.col("n_bytes").alias("n"), F.col("hash").alias("x"), "digest", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("response_id"))
+    rows = _payloads(pages)
+    mine = rows["page_id"].eqNullSafe(done["id"]) & (rows["n_bytes"] == done["n"]) & (rows["hash"] == done["x"])
+    rows = rows.join(done.hint("merge"), mine)
+    chunks = chunk_rows(rows, ("page_id", "uri", "n_bytes", "digest", "response_id"), where=F.col("response_id").isNull())
+    return written(chunks.mapInArrow(_writer(base, date), "file string, records long"), "manifest")
 
 
 def read_archives(files: DataFrame, base: str) -> DataFrame:
     """One row for each record of the archives in ``files`` (column file): page_id,
-    payload_bytes, payload_digest, record_type, refers_to, chunks, and verified (a response's
-    bytes have the length and digest that its header says)."""
+    payload_bytes, payload_digest (of a response as read, of a revisit as its header says),
+    record_type, refers_to, chunks, and verified (true: a response whose bytes differ in length
+    or digest from its header is a ValueError)."""
     n = max(1, files.count())
     spread = files.repartition(min(n, 4096), "file") if n > 1 else files
     return spread.select("file").mapInArrow(_reader(base), _RECORD)

@@ -63,3 +63,26 @@ def test_stream_in_small_pieces(tmp_path):
     s = warc._Stream(io.BytesIO(z), 3)
     assert s.line() == b"WARC/1.1"
     assert [d for _, _, d, _ in warc.read_chunks(io.BytesIO(z))] == [b"xy"]
+
+
+def test_damaged_archives_and_digests_stop_the_run(spark, tmp_path):
+    import pytest
+
+    pages = spark.createDataFrame([(1, "u", "abc" * 50)], "page_id long, url string, html string").coalesce(1)
+    files = warc.write_archives(pages, tmp_path.as_uri())
+    (name,) = glob.glob(f"{tmp_path}/*.warc.gz")
+    raw = gzip.open(name).read().replace(b"abcabc", b"abcabd", 1)
+    with gzip.open(name, "wb") as f:
+        f.write(raw)
+    with pytest.raises(Exception, match="not what its header says"):
+        warc.read_archives(files, tmp_path.as_uri()).collect()
+
+
+def test_digests_go_on_over_batches(spark):
+    import pyarrow as pa
+
+    rows = [(1, 5, 9, 0, b"ab"), (1, 5, 9, 1, b"cde"), (None, 0, 3, 0, b""), (2, 1, 4, 0, b"x")]
+    t = pa.table([list(c) for c in zip(*rows)], names=["page_id", "n_bytes", "hash", "chunk_no", "data"])
+    got = [tuple(r.values()) for b in warc._digests(iter(t.to_batches(max_chunksize=1))) for r in b.to_pylist()]
+    of = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    assert got == [(1, 5, 9, of(b"abcde")), (None, 0, 3, of(b"")), (2, 1, 4, of(b"x"))]
