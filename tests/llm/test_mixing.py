@@ -29,7 +29,7 @@ def brute_rake(cells, alpha, rounds):
 def test_weights_are_those_of_brute_force(spark):
     cells = {("a", "x", "p"): 100, ("a", "y", "q"): 30, ("b", "x", "q"): 50, ("b", "y", "p"): 7, ("b", "y", "q"): 3}
     t = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, tokens long").coalesce(1)
-    got = spark.sql(mixing.raking_sql("{cells}", 0.5, 0.6, 8), cells=t).collect()
+    got = mixing.raked_in_one_task(t, 0.5, 0.6, 8).collect()
     want = brute_rake(cells, 0.5, 8)
     for r in got:
         assert r.weight == pytest.approx(want[r.source, r.lang, r.topic])
@@ -66,7 +66,8 @@ def targets(rows, alpha=0.5):
 
 def test_the_reachable_share_meets_the_targets(spark):
     docs = mixing.described(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    raked, _ = mixing.raked_cells(docs, 0.5, None, mixing.ROUNDS)
+    raked, few = mixing.raked_cells(docs, 0.5, None, mixing.ROUNDS)
+    assert few
     cells = {tuple(r)[:3]: r[3] for r in docs.groupBy("_cm_source", "_cm_lang", "_cm_topic").agg({"_cm_tokens": "sum"}).collect()}
     raked = raked.collect()
     assert max(r.probability for r in raked) == pytest.approx(1) and len(raked) == len(cells)
@@ -97,3 +98,39 @@ def test_columns_nulls_and_empty(clashing, docs):
 def test_no_python_on_the_main_path(docs):
     plan = mixing.mixture(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_given_targets_are_met(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    goal = {"lang": {"en": 1, "de": 3, "xx": 5}, "topic": {"article": 0.5, "long": 0.5}}
+    rows = mixing.marginals(docs, targets=goal, rounds=40).collect()
+    got = {(r.dimension, r.value): r for r in rows}
+    assert got["lang", "en"].kept == pytest.approx(0.25, abs=1e-6) and got["lang", "de"].raked == pytest.approx(0.75, abs=1e-6)
+    assert got["topic", "article"].kept == pytest.approx(0.5, abs=1e-6) and got["topic", "table"].kept == got["lang", "fr"].kept == 0
+    kept = {(r.lang, r.topic) for r in mixing.mixture(docs, targets=goal).select("lang", "topic").distinct().collect()}
+    assert kept and kept <= {(x, y) for x in ("en", "de") for y in ("article", "long")}
+    assert mixing.mixture(docs, targets={"lang": {}}).count() == 0
+
+
+@pytest.mark.parametrize("share", [None, 0.8])
+def test_many_cells_are_raked_alike(spark, monkeypatch, share):
+    docs = mixing.described(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    few, _ = mixing.raked_cells(docs, 0.5, share, 2, {"lang": {"en": 1, "de": 2}})
+    want = {tuple(r)[:3]: r for r in few.collect()}
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 1)
+    many, is_few = mixing.raked_cells(docs, 0.5, share, 2, {"lang": {"en": 1, "de": 2}})
+    assert not is_few
+    for r in many.collect():
+        w = want.pop(tuple(r)[:3])
+        assert (r.weight, r.probability) == pytest.approx((w.weight, w.probability), rel=1e-9, abs=1e-12)
+    assert not want
+
+
+def test_ties_and_repeated_rows(spark):
+    rows = [(i, "word " * 50, "en", f"s{i % 2}") for i in range(4000)]
+    rows += [(7, "other text", "en", "s1")] * 3 + [(None, "no id", None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = mixing.mixture(docs, targets={"source": {"s0": 1, "s1": 1}}).collect()
+    p = {r.source: r.probability for r in kept if r.topic == "brief" and r.tokens > 10}
+    assert p["s0"] == pytest.approx(p["s1"], rel=0.02) and "(none)" not in p
+    assert len([r for r in kept if r.doc_id == 7 and r.tokens < 10]) in (0, 3)
