@@ -76,45 +76,41 @@ def _blocks(rows: DataFrame, key: str) -> DataFrame:
     return looked_up(rows, key, rows.groupBy(F.col(key).alias("node")).agg(n.alias("root")), "blocks")
 
 
-def _texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, th, ...) with their texts."""
-    ids = rows.select("doc_id", "th").distinct()
-    one = docs.join(ids.hint("merge"), ["doc_id", "th"], "left_semi").groupBy("doc_id", "th").agg(F.min("_cm_text").alias("_cm_text"))
-    return rows.join(one.hint("merge"), ["doc_id", "th"])
+def _texts(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` (cls, ...) with the text of each class's first document."""
+    ids = classes.join(rows.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("doc_id"), "th")
+    one = docs.join(ids.hint("merge"), ["doc_id", "th"]).groupBy("cls").agg(F.min("_cm_text").alias("_cm_text"))
+    return rows.join(one.hint("merge"), "cls")
 
 
 def _sets(t: pa.Table, k: int) -> list[np.ndarray]:
     return [s for w in words(t.column("_cm_text"), lower=True) for s in shingle_sets(w, k)]
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataFrame:
-    """Those (hub, rep) whose full sets have 100 * intersection >= threshold * union, as (a, b).
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataFrame:
+    """Those (hub, cls) whose full sets have 100 * intersection >= threshold * union, as (a, b).
 
     A hub's members are dealt into blocks by a hash and its own text goes to each block once,
     so no task holds a hub's pairs and no pair carries two texts."""
 
     def run(t: pa.Table) -> pa.Table:
-        own, ids = t.column("own").to_numpy(zero_copy_only=False), t.column("doc_id").to_numpy()
+        hub, ids = t.column("hub")[0].as_py(), t.column("cls").to_numpy()
         sets, found = _sets(t, k), []
-        hub = int(np.flatnonzero(own)[0])
-        a = sets[hub]
-        for i in np.flatnonzero(~own).tolist():
+        a = sets[int(np.flatnonzero(ids == hub)[0])]
+        for i in np.flatnonzero(ids != hub).tolist():
             b = sets[i]
             both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(a) else 0
             if both and 100 * both >= threshold * (len(a) + len(b) - both):
                 found.append(int(ids[i]))
-        h = int(ids[hub])
-        return pa.table([pa.array([min(h, x) for x in found], pa.int64()), pa.array([max(h, x) for x in found], pa.int64())], names=["a", "b"])
+        return pa.table([pa.array([min(hub, x) for x in found], pa.int64()), pa.array([max(hub, x) for x in found], pa.int64())], names=["a", "b"])
 
-    pairs = _blocks(pairs, "hk")
-    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("rep", "th"), F.col("blocks")).cast("int"))
-    members = pairs.select("hub", "hth", "block", F.col("rep").alias("doc_id"), "th", F.lit(False).alias("own"))
-    hubs = pairs.select("hub", "hth", "block").distinct().select("hub", "hth", "block", F.col("hub").alias("doc_id"), F.col("hth").alias("th"), F.lit(True).alias("own"))
-    both = _texts(members.unionByName(hubs), docs)
-    return written(both.groupBy("hub", "hth", "block").applyInArrow(run, "a long, b long").distinct(), "links")
+    pairs = _blocks(pairs, "hub").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    hubs = pairs.select("hub", "block").distinct().withColumn("cls", F.col("hub"))
+    both = _texts(pairs.select("hub", "block", "cls").unionByName(hubs), classes, docs)
+    return written(both.groupBy("hub", "block").applyInArrow(run, "a long, b long").distinct(), "links")
 
 
-def _blocked(parts: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataFrame:
+def _blocked(parts: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataFrame:
     """Links between documents of one candidate cluster that are not in one part yet.
 
     Documents that share keys form clusters. Sizes of linked sets differ by less than
@@ -123,30 +119,30 @@ def _blocked(parts: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataF
     dealt into blocks, and each pair of blocks is one small group whose intersections are
     products of incidence matrices. No pair becomes a row: a group gives each document with
     links the smallest document that these reach within the group."""
-    cluster = components(parts.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    own = parts.groupBy("rep", "th", "n").agg(F.min("part").alias("part"))
-    own = looked_up(written(own, "parts"), "rep", cluster, "root").withColumn("root", F.coalesce("root", "rep"))
-    own = own.withColumn("cls", F.floor(F.log(F.col("n")) / (max(np.log(100 / threshold), 0.01) + 1e-9)).cast("int"))
-    gk = lambda d: F.xxhash64("root", F.col("cls") + d)
+    cluster = components(parts.select(F.col("cls").alias("a"), F.col("low").alias("b")))
+    own = parts.groupBy("cls", "n").agg(F.min("part").alias("part"))
+    own = looked_up(written(own, "parts"), "cls", cluster, "root").withColumn("root", F.coalesce("root", "cls"))
+    own = own.withColumn("size", F.floor(F.log(F.col("n")) / (max(np.log(100 / threshold), 0.01) + 1e-9)).cast("int"))
+    gk = lambda d: F.xxhash64("root", F.col("size") + d)
     own = written(own.withColumns({"gk": gk(0), "up": gk(1), "down": gk(-1)}), "parts")
     blocks = own.groupBy(F.col("gk").alias("node")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("root"))
     blocks = written(blocks, "blocks")
     for key, name in (("gk", "blocks"), ("up", "above"), ("down", "below")):
         own = written(looked_up(own, key, blocks, name), "parts")
-    own = own.withColumn("block", F.pmod(F.xxhash64("rep", "th"), F.col("blocks")).cast("int"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     upto = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
     pair = lambda c1, i, c2, j: F.struct(c1.alias("c1"), i.alias("i"), c2.alias("c2"), j.alias("j"))
-    c, b = F.col("cls"), F.col("block")
+    c, b = F.col("size"), F.col("block")
     groups = F.concat(
         F.transform(upto("blocks"), lambda o: pair(c, F.least(b, o), c, F.greatest(b, o))),
         F.transform(upto("above"), lambda o: pair(c, b, c + 1, o)),
         F.transform(upto("below"), lambda o: pair(c - 1, o, c, b)),
     )
     own = own.withColumn("side", c.cast("long") * F.lit(1 << 32) + b)
-    own = own.select("root", F.explode(groups).alias("g"), "side", "part", F.col("rep").alias("doc_id"), "th").select("root", "g.*", "side", "part", "doc_id", "th")
+    own = own.select("root", F.explode(groups).alias("g"), "side", "part", "cls").select("root", "g.*", "side", "part", "cls")
 
     def run(t: pa.Table) -> pa.Table:
-        ids_, part, side = (t.column(x).to_numpy() for x in ("doc_id", "part", "side"))
+        ids_, part, side = (t.column(x).to_numpy() for x in ("cls", "part", "side"))
         sets = _sets(t, k)
         size = np.array([len(s) for s in sets], np.float64)
         h, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -176,7 +172,7 @@ def _blocked(parts: DataFrame, docs: DataFrame, threshold: int, k: int) -> DataF
         hit = label < ids_
         return pa.table([ids_[hit], label[hit]], names=["a", "b"])
 
-    return written(_texts(own, docs).groupBy("root", "c1", "i", "c2", "j").applyInArrow(run, "a long, b long"), "links")
+    return written(_texts(own, classes, docs).groupBy("root", "c1", "i", "c2", "j").applyInArrow(run, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, tuples: int = 8, rows: int = 3, with_hash: bool = False) -> DataFrame:
@@ -192,8 +188,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, tuples: in
     similarity s has a key in common with probability (1 - (1 - s^rows)^tuples)^2: 0.9990 at 0.85
     and 0.9936 at 0.8 by default. Texts that are null, empty or without words are linked
     with nothing. Rows with a null doc_id are linked with nothing and kept. Rows that
-    repeat a doc_id are judged each by its own text; the id is one node. An empty table gives
-    an empty result. A text is held whole in a worker. With ``with_hash`` there is also
+    repeat a doc_id are judged each by its own text. An empty table gives an empty result. A text is held whole in a worker. With ``with_hash`` there is also
     text_hash (xxhash64 of the text), which tells the rows of one id apart.
     """
     spark = docs.sparkSession
@@ -205,26 +200,32 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, tuples: in
     with_set = sk.where("n > 0 and doc_id is not null")
     low = F.min(F.struct("doc_id", "th"))
     classes = with_set.groupBy("n", "s1", "s2").agg(low.alias("low"), F.count("*").alias("copies"), F.min("ta").alias("ta"), F.min("tb").alias("tb"))
-    classes = written(classes.select("n", "s1", "s2", F.col("low.doc_id").alias("rep"), F.col("low.th").alias("th"), "copies", "ta", "tb"), "classes")
+    # cls numbers the classes; doc_id and th are those of the class's first document
+    classes = classes.select("n", "s1", "s2", F.col("low.doc_id").alias("doc_id"), F.col("low.th").alias("th"), "copies", "ta", "tb")
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     release(spark)
-    keys = classes.select("rep", "th", "n", "copies", F.explode(F.expr(f"flatten(transform(ta, (x, i) -> transform(tb, (y, j) -> xxhash64(x, y, i * {tuples} + j))))")).alias("key"))
-    member = F.struct("rep", "th", "n")
-    groups = keys.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("copies", (-F.col("rep")).alias("neg"), "th", "n")).alias("hub"), F.min(member).alias("low"), F.max(member).alias("high")).where("size > 1")
-    groups = written(groups.select("key", "size", (-F.col("hub.neg")).alias("hub"), F.col("hub.th").alias("hth"), F.col("hub.n").alias("hn"), "low", "high"), "groups")
-    members = written(keys.join(groups.where("size > 2").select("key", "hub", "hth", "hn"), "key").select("key", "rep", "th", "n", "hub", "hth", "hn"), "members")
+    keys = classes.select("cls", "n", "copies", F.explode(F.expr(f"flatten(transform(ta, (x, i) -> transform(tb, (y, j) -> xxhash64(x, y, i * {tuples} + j))))")).alias("key"))
+    member = F.struct("cls", "n")
+    groups = keys.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("copies", (-F.col("cls")).alias("neg"), "n")).alias("hub"), F.min(member).alias("low"), F.max(member).alias("high")).where("size > 1")
+    groups = written(groups.select("key", "size", (-F.col("hub.neg")).alias("hub"), F.col("hub.n").alias("hn"), "low", "high"), "groups")
+    members = written(keys.join(groups.where("size > 2").select("key", "hub", "hn"), "key").select("key", "cls", "n", "hub", "hn"), "members")
     release(spark)
-    two = groups.where("size = 2").select(F.col("low.rep").alias("hub"), F.col("low.th").alias("hth"), F.col("low.n").alias("hn"), F.col("high.rep").alias("rep"), F.col("high.th").alias("th"), F.col("high.n").alias("n"))
-    pairs = two.unionByName(members.drop("key")).where(f"rep <> hub and 100 * least(n, hn) >= {threshold} * greatest(n, hn)")
-    links = _confirm(written(pairs.distinct().withColumn("hk", F.xxhash64("hub", "hth")), "pairs"), docs, threshold, k)
+    two = groups.where("size = 2 and low.cls < high.cls").select(F.col("low.cls").alias("hub"), F.col("low.n").alias("hn"), F.col("high.cls").alias("cls"), F.col("high.n").alias("n"))
+    pairs = two.unionByName(members.drop("key")).where(f"cls <> hub and 100 * least(n, hn) >= {threshold} * greatest(n, hn)")
+    links = _confirm(written(pairs.distinct(), "pairs"), classes, docs, threshold, k)
     roots = components(links)
 
     # keys whose members are still in several parts: their candidate clusters, in blocks
-    parts = looked_up(members.drop("hub", "hth", "hn"), "rep", roots, "part").withColumn("part", F.coalesce("part", "rep"))
-    mixed = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("rep").alias("low")).where("lo < hi").select("key", "low")
-    parts = written(parts.join(mixed, "key").select("rep", "th", "n", "part", "low"), "parts")
+    parts = looked_up(members.drop("hub", "hn"), "cls", roots, "part").withColumn("part", F.coalesce("part", "cls"))
+    mixed = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("cls").alias("low")).where("lo < hi").select("key", "low")
+    parts = written(parts.join(mixed, "key").select("cls", "n", "part", "low"), "parts")
     if not parts.isEmpty():
-        roots = components(links.union(_blocked(parts, docs, threshold, k)))
-    reps = classes.select("n", "s1", "s2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("component"))
+        roots = components(links.union(_blocked(parts, classes, docs, threshold, k)))
+    # a component's name is its smallest doc_id
+    own = written(roots.join(classes.select(F.col("cls").alias("node"), "doc_id"), "node"), "roots")
+    own = looked_up(own, "root", own.groupBy(F.col("root").alias("node")).agg(F.min("doc_id").alias("root")), "component")
+    reps = classes.select("n", "s1", "s2", F.col("cls").alias("node"), "doc_id").join(own.select("node", "component"), "node", "left")
+    reps = reps.select("n", "s1", "s2", F.coalesce("component", "doc_id").alias("component"))
     out = sk.select("doc_id", "th", "n", "s1", "s2").join(reps, ["n", "s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *([F.col("th").alias("text_hash")] if with_hash else []))
