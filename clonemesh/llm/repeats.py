@@ -3,7 +3,7 @@
 Rows are dealt by a hash of id and text into batches of a few megabytes. Pass one sends the
 anchors of each batch (each hash once a batch) as rows, which are sorted by the shuffle so
 that equal ones are neighbours; those that stand beside another go back to their batches.
-Pass two extends: every window of ``size`` words round a repeated anchor is hashed (twice, 128
+Pass two extends: every window of ``size`` words round a repeated anchor is hashed (to 96
 bits), and the windows of each batch (each once, with its smallest and largest document)
 are sorted and compared in the same way. Pass three applies the answer to the texts. A
 hash sends at most one row from each batch however many documents hold it, so a passage
@@ -122,7 +122,7 @@ class _Batch:
     """The documents of a batch, and what both first passes find."""
 
     def __init__(self, t: pa.Table, rule: Rule):
-        self.t, self.rule, self.ids = t, rule, t.column("_cm_id").to_numpy()
+        self.rule, self.ids = rule, t.column("_cm_id").to_numpy()
         self.blocks = list(words(t.column("text")))
 
     def docs(self, w: Words, at: np.ndarray) -> np.ndarray:
@@ -153,10 +153,9 @@ class _Batch:
     def windows(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Both hashes and the document of every window that extends an anchor in
         ``repeated`` (sorted hashes of those that other documents share)."""
-        size, self.at = self.rule.size, []
+        size, out = self.rule.size, []
         for w, (h, p) in zip(self.blocks, self.found):
             ok = run_starts(w.first, size)
-            at = np.zeros(0, np.int64)
             if len(repeated) and len(ok) and len(p):
                 k = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
                 hit = p[repeated[k] == h]
@@ -164,46 +163,46 @@ class _Batch:
                 np.add.at(d, np.maximum(0, hit - self.rule.reach), 1)
                 np.add.at(d, hit + 1, -1)
                 at = np.flatnonzero(ok & (np.cumsum(d)[: len(ok)] > 0))
-            self.at.append(at)
-        own = [self._window(w, at) for w, at in zip(self.blocks, self.at)]
-        return tuple(np.concatenate([np.zeros(0, k), *(x[i] for x in own)]) for i, k in enumerate((U, U, np.int64)))
+                if len(at):
+                    out.append((rolling(w.h, size)[at], self._check(w)[at], self.docs(w, at)))
+        return tuple(np.concatenate([np.zeros(0, k), *(x[i] for x in out)]) for i, k in enumerate((U, np.int64, np.int64)))
 
-    def _window(self, w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not len(at):
-            return np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
-        size = self.rule.size
-        return rolling(w.h, size)[at], rolling(mix(w.h + U(1)), size)[at], self.docs(w, at)
+    def _check(self, w: Words) -> np.ndarray:
+        """32 more bits of each window's hash."""
+        return (rolling(mix(w.h + U(1)), self.rule.size) >> U(33)).astype(np.int64)
 
     def covered(self, h: np.ndarray, g: np.ndarray, low: np.ndarray, later: bool) -> list[np.ndarray]:
         """For each block a mask of words in windows that are among (h, g), sorted by h, which
         several documents have; with ``later`` only if one with a smaller id (low) does."""
         out = []
-        for w, at in zip(self.blocks, self.at):
-            hit = at
+        for w in self.blocks:
+            at = np.flatnonzero(run_starts(w.first, self.rule.size))
             if len(at) and len(h):
-                wh, wg, doc = self._window(w, at)
+                wh = rolling(w.h, self.rule.size)[at]
                 k = np.minimum(np.searchsorted(h, wh), len(h) - 1)
-                hit = at[(h[k] == wh) & (g[k] == wg) & ((low[k] < doc) if later else True)]
-            elif len(at):
-                hit = at[:0]
+                hit = h[k] == wh
+                at, k = at[hit], k[hit]
+                if len(at):
+                    at = at[(g[k] == self._check(w)[at]) & ((low[k] < self.docs(w, at)) if later else True)]
+            else:
+                at = at[:0]
             d = np.zeros(len(w.h) + 1, np.int32)
-            d[hit] += 1
-            d[hit + self.rule.size] -= 1
+            d[at] += 1
+            d[at + self.rule.size] -= 1
             out.append(np.cumsum(d)[:-1] > 0)
         return out
 
 
-def _reply(t: pa.Table, kind: int) -> list[np.ndarray]:
-    """h, g and low of the answers of a kind, sorted by h."""
-    own = np.flatnonzero(t.column("_cm_kind").to_numpy() == kind)
-    h = t.column("_cm_h").to_numpy()[own].view(U)
+def _reply(t: pa.Table) -> list[np.ndarray]:
+    """The other columns of the answers, sorted by their first, the hash."""
+    h = t.column("_cm_h").to_numpy().view(U)
     o = np.argsort(h, kind="stable")
-    return [h[o], *(t.column(c).to_numpy(zero_copy_only=False)[own][o].view(k) for c, k in (("_cm_g", U), ("_cm_low", np.int64)))]
+    return [h[o], *(t.column(c).to_numpy()[o].astype(np.int64) for c in t.column_names if c in ("_cm_g", "_cm_low"))]
 
 
-def repeated_runs(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, "Covered"], pa.Table], schema: T.StructType, batch_bytes: int = 4 << 20) -> DataFrame:
-    """Find the words covered by windows that occur in several documents, then give each
-    batch with its masks to ``finish``."""
+def repeated_runs(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, "Covered"], pa.Table], schema: T.StructType, later: bool, batch_bytes: int = 4 << 20) -> DataFrame:
+    """Find the words covered by windows that occur in several documents, with ``later`` only
+    those in documents after the first, then give each batch with its masks to ``finish``."""
     spark = docs.sparkSession
     docs = docs.withColumn("_cm_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))))
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -226,20 +225,19 @@ def repeated_runs(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, "Cove
         return pa.table([*(pa.array(c) for c in cols), batch(t, len(cols[0]))], names=[*lead, "h", "multi", "batch"])
 
     def second(t: pa.Table, replies: pa.Table) -> pa.Table:
+        names = ["h", "g", "low", "more", "batch"]
         if not t.num_rows:
-            return pa.table([pa.array([], x) for x in (*[pa.int64()] * 4, pa.int32())], names=["h", "g", "low", "high", "batch"])
-        h, g, doc = of(t).windows(_reply(replies, 1)[0])
+            return pa.table([pa.array([], x) for x in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())], names=names)
+        h, g, doc = of(t).windows(_reply(replies)[0])
         o = np.lexsort((g, h))
         h, g = h[o], g[o]
         st, low, high = _runs(_changes(h) | _changes(g), doc[o])
-        return pa.table([pa.array(x) for x in (h[st].view(np.int64), g[st].view(np.int64), low, high)] + [batch(t, len(st))], names=["h", "g", "low", "high", "batch"])
+        return pa.table([pa.array(h[st].view(np.int64)), pa.array(g[st], pa.int32()), pa.array(low), pa.array(high - low), batch(t, len(st))], names=names)
 
     def third(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table([[]] * len(empty), schema=empty)
-        b = of(t)
-        b.windows(_reply(replies, 1)[0])
-        return finish(t, Covered(b, *_reply(replies, 2)))
+        return finish(t, Covered(_Batch(t, rule), *_reply(replies)))
 
     empty = to_arrow_schema(schema)
     one = slim.groupBy("_cm_batch").applyInArrow(first, "".join(f"{c} long, " for c in lead) + "h long, multi boolean, batch int")
@@ -247,16 +245,17 @@ def repeated_runs(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, "Cove
         one = written(one, "suffixes").repartitionByRange(*lead, "h")
     same = Window.partitionBy(*lead, "h")
     one = one.withColumns({"n": F.count("*").over(same), "any": F.max("multi").over(same)}).where("n > 1 or any")
-    one = one.select(F.col("batch").alias("_cm_batch"), F.lit(1).alias("_cm_kind"), F.col("h").alias("_cm_h"), F.lit(0).cast("long").alias("_cm_g"), F.lit(0).cast("long").alias("_cm_low"))
-    one = written(one, "anchors")
+    one = written(one.select(F.col("batch").alias("_cm_batch"), F.col("h").alias("_cm_h")), "anchors")
     release(spark)
-    two = slim.groupBy("_cm_batch").cogroup(one.groupBy("_cm_batch")).applyInArrow(second, "h long, g long, low long, high long, batch int")
+    two = slim.groupBy("_cm_batch").cogroup(one.groupBy("_cm_batch")).applyInArrow(second, "h long, g int, low long, more long, batch int")
     same = Window.partitionBy("h", "g")
-    two = two.withColumns({"least": F.min("low").over(same), "most": F.max("high").over(same)}).where("least < most")
-    two = two.select(F.col("batch").alias("_cm_batch"), F.lit(2).alias("_cm_kind"), F.col("h").alias("_cm_h"), F.col("g").alias("_cm_g"), F.col("least").alias("_cm_low"))
-    two = written(two, "windows")
-    release(spark)
-    return docs.groupBy("_cm_batch").cogroup(one.unionByName(two).groupBy("_cm_batch")).applyInArrow(third, schema)
+    high = F.col("low") + F.col("more")
+    two = two.withColumns({"high": high, "least": F.min("low").over(same), "most": F.max(high).over(same)})
+    # where only later documents matter, a batch with just the first one needs no answer
+    two = two.where("least < high" if later else "least < most")
+    two = written(two.select(F.col("batch").alias("_cm_batch"), F.col("h").alias("_cm_h"), F.col("g").alias("_cm_g"), F.col("least").alias("_cm_low")), "windows")
+    release(spark, one)
+    return docs.groupBy("_cm_batch").cogroup(two.groupBy("_cm_batch")).applyInArrow(third, schema)
 
 
 class Covered:
@@ -321,7 +320,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep_text: bool = False) ->
             cols["n_chars"] = pa.array([a if b is None else len(b) for a, b in zip(cols["n_chars"].to_pylist(), texts)], cols["n_chars"].type)
         return pa.table(cols)
 
-    return repeated_runs(docs, Rule(size, PERIOD - 1, cover_anchors), finish, schema)
+    return repeated_runs(docs, Rule(size, PERIOD - 1, cover_anchors), finish, schema, True)
 
 
 def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
@@ -366,4 +365,4 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
                 rows.append((ids[w.r0 + i], a - f, b - f, b - a, int(per[i]), bool(seen[b] == seen[a]), hashlib.sha256(text).hexdigest()))
         return pa.table([list(x) for x in zip(*rows)] or [[]] * 7, schema=pa.schema([*((x, pa.int64()) for x in names), ("first", pa.bool_()), ("span_sha256", pa.string())]))
 
-    return repeated_runs(docs.select("doc_id", "text"), Rule(size, SPREAD - 1, minimiser_anchors, size - SPREAD + 1), finish, schema)
+    return repeated_runs(docs.select("doc_id", "text"), Rule(size, SPREAD - 1, minimiser_anchors, size - SPREAD + 1), finish, schema, False)
