@@ -104,21 +104,21 @@ def _unpacked(raw: bytes) -> np.ndarray:
 class _Rows:
     """Sampled rows: the indices of row i, or with ``ratio`` their values of unit length."""
 
-    def __init__(self, raw: list[bytes], ratio: np.ndarray | None = None):
-        self.raw, self.ratio = raw, ratio
+    def __init__(self, raw: list[bytes], ratio: np.ndarray | None = None, scale: np.ndarray | None = None):
+        self.raw, self.ratio, self.scale = raw, ratio, scale
+        if ratio is not None and scale is None:
+            square = ratio.astype(np.float64) ** 2
+            self.scale = np.array([1 / (np.sqrt(square[_unpacked(x)].sum()) or 1.0) for x in raw], np.float32)
 
     def __len__(self) -> int:
         return len(self.raw)
 
     def __getitem__(self, i: int) -> np.ndarray:
         x = _unpacked(self.raw[i])
-        if self.ratio is None:
-            return x
-        v = self.ratio[x]
-        return v / np.float32(np.sqrt((v.astype(np.float64) ** 2).sum()) or 1.0)
+        return x if self.ratio is None else self.ratio[x] * self.scale[i]
 
     def some(self, at: np.ndarray) -> "_Rows":
-        return _Rows([self.raw[i] for i in at.tolist()], self.ratio)
+        return _Rows([self.raw[i] for i in at.tolist()], self.ratio, None if self.scale is None else self.scale[at])
 
 
 def _train_rows(rate: dict[int, float]):
