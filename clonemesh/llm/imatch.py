@@ -30,7 +30,8 @@ _NOTHING = 42
 
 def terms(text: Column) -> Column:
     """Distinct hashes of the lower-case runs of letters and digits."""
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: F.xxhash64(t)))
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    return F.array_distinct(F.transform(words, lambda t: F.xxhash64(t)))
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
@@ -49,25 +50,38 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     known = of.select("text", F.explode("ts").alias("term")).join(F.broadcast(lex) if words.count() <= MOST_BROADCAST else lex, "term", "left")
     bare = known.groupBy("text").agg(F.count("*").alias("n"), F.count("ok").alias("k")).where(F.col("k") * FEW < F.col("n"))
     bare = written(bare.select("text"), "bare")
-    own = of.join(F.broadcast(bare) if bare.count() <= MOST_BROADCAST else bare, "text", "left_semi").select(F.explode("ts").alias("term")).groupBy("term").agg(F.count("*").alias("own"))
+    theirs = docs.withColumn("text", F.xxhash64("_cm_text")).join(F.broadcast(bare) if bare.count() <= MOST_BROADCAST else bare, "text", "left_semi")
+    own = theirs.select(F.explode(terms(F.col("_cm_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("own"))
     return words.union(df.where(~inside).join(own, "term").where("2 * own >= count").select("term"))
 
 
 def _parts(ts: Column, fallback: Column) -> Column:
     """Parts of the fingerprint of the sorted distinct terms ``ts``; 0 where a subset has
     none of them. The last part stands in where no term is in the lexicon."""
-    parts, at = [], 0
+    levels, at = [], 0
     for bits in LEVELS:
-        for i in range(min(SUBSETS, 1 << bits)):
-            parts.append(F.xxhash64(F.filter(ts, _in_class(at, bits, i))))
+        levels.append(_level(ts, at, bits))
         at += bits
-    parts.append(F.when(F.size(ts) == 0, fallback).otherwise(F.lit(_NOTHING)))
-    return F.transform(F.array(*parts), lambda h: F.when(h == _NOTHING, F.lit(0)).otherwise(F.greatest(h.bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(1))))
+    last = F.when(F.size(ts) == 0, fallback).otherwise(F.lit(_NOTHING))
+    parts = F.concat(*levels, F.array(last))
+    return F.transform(parts, lambda h: F.when(h == _NOTHING, F.lit(0)).otherwise(F.greatest(h.bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(1))))
+
+
+def _level(ts: Column, at: int, bits: int) -> Column:
+    """Hashes of a level's subsets; the terms of any of them are sorted out first, as each
+    subset looks through all of them."""
+    n = min(SUBSETS, 1 << bits)
+    some = F.filter(ts, lambda t: _class(t, at, bits) < n) if n < 1 << bits else ts
+    return F.transform(F.array(some), lambda own: F.array(*(F.xxhash64(F.filter(own, _in_class(at, bits, i))) for i in range(n))))[0]
+
+
+def _class(t: Column, at: int, bits: int) -> Column:
+    return F.shiftrightunsigned(t, at).bitwiseAND(F.lit((1 << bits) - 1))
 
 
 def _in_class(at: int, bits: int, i: int):
     """The subset: terms whose hash has the value i in these bits of it."""
-    return lambda t: F.shiftrightunsigned(t, at).bitwiseAND(F.lit((1 << bits) - 1)) == i
+    return lambda t: _class(t, at, bits) == i
 
 
 def _tagged(column: str, kind: int) -> Column:
