@@ -114,10 +114,12 @@ def validate_records(spark, sf_dir):
     return preprocess.validate(d).select("tcr_id", F.size("errors").alias("n_errors"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS subject_id, CASE WHEN event_id % 3 = 0 THEN 'own' ELSE event_type END AS tissue, '' AS cohort, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '' END AS cdr3_fix_good FROM events")
 def extract_json_meta(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select("event_id", preprocess.json_field(F.col("props"), "k").alias("k"))
+    meta = F.concat(F.lit('{"subject.id": "'), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")), F.lit('", "tissue": "'), "event_type", F.lit('"}'))
+    e = e.select("event_id", meta.alias("_meta"), F.when(F.col("event_id") % 2 == 0, '{"good": true}').otherwise("not json").alias("_cdr3fix"), F.when(F.col("event_id") % 3 == 0, "own").alias("tissue"))
+    return preprocess.extract_metadata(e).select("event_id", "subject_id", "tissue", "cohort", "cdr3_fix_good")
 
 
 @query(f"""{_T}, good AS (SELECT epitope FROM tcr GROUP BY epitope HAVING count(DISTINCT (cdr3_alpha, cdr3_beta)) >= 5) SELECT tcr_id, epitope FROM tcr WHERE epitope IN (SELECT epitope FROM good)""")
@@ -711,13 +713,11 @@ def louvain_communities(spark, sf_dir):
     return graph.louvain(consensus.balanced(assign(spark, sf_dir), WEIGHTS, 1.15).edges.where("final_score >= 1.15")).select("tcr_id", "cluster_id")
 
 
-@query(f"{_EDGES} SELECT CAST(t.threshold AS DOUBLE) AS threshold, count(e.tcr_id_a) AS edges FROM (VALUES (0.5), (1.0), (1.5), (2.0), (2.5)) t(threshold) LEFT JOIN edges e ON e.weighted_support >= t.threshold - 1e-9 GROUP BY 1")
+@query(f"""{_EDGES}, t(threshold) AS (VALUES (CAST(1.0 AS DOUBLE)), (CAST(1.5 AS DOUBLE))), n AS (SELECT DISTINCT threshold, tcr_id FROM (SELECT threshold, tcr_id_a AS tcr_id FROM edges, t WHERE weighted_support >= threshold UNION ALL SELECT threshold, tcr_id_b FROM edges, t WHERE weighted_support >= threshold) z)
+ SELECT threshold, round(count(*) / CAST((SELECT count(*) FROM tcr) AS DOUBLE), 6) AS retention FROM n GROUP BY 1""")
 def tradeoff_sweep(spark, sf_dir):
-    e = pairs.coassociation(assign(spark, sf_dir), WEIGHTS)
-    t = spark.createDataFrame([(x,) for x in (0.5, 1.0, 1.5, 2.0, 2.5)], "threshold double")
-    counted = e.groupBy(F.round("weighted_support", 6).alias("s")).agg(F.count("*").alias("k"))
-    j = t.join(F.broadcast(counted), F.col("s") >= F.col("threshold") - 1e-9, "left")
-    return j.groupBy("threshold").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("edges"))
+    e = written(pairs.scored_edges(assign(spark, sf_dir), WEIGHTS), "edges")
+    return benchmark.tradeoff(e, tcr(spark, sf_dir), (1.0, 1.5)).select("threshold", *r6("retention"))
 
 
 @query()
@@ -829,8 +829,7 @@ def tcrmatch_output(spark, sf_dir):
 @query(f"{_A} SELECT cluster_id, tcr_id, CASE WHEN ord % 3 = 0 THEN 'core' ELSE 'low_confidence' END AS label FROM assign WHERE method = 'vj'")
 def members_sink(spark, sf_dir):
     m = assign(spark, sf_dir).where("method = 'vj'").select("cluster_id", "tcr_id", F.when(F.col("ord") % 3 == 0, "core").alias("label"))
-    path = new_path(spark, "members")
-    sinks.write_table(m.withColumn("label", F.coalesce("label", F.lit("low_confidence"))), path)
+    path = sinks.write_members(m, sinks.ensure_run_dir(new_path(spark, "run"), "one"))
     return spark.read.csv(path, sep="\t", header=True)
 
 
@@ -896,9 +895,26 @@ def network_nodes(spark, sf_dir):
     return report.network(m, e)[0]
 
 
-@query(f"{_EDGES}, i AS (SELECT tcr_id FROM tcr WHERE ord % 2 = 0), k AS (SELECT * FROM edges WHERE tcr_id_a IN (SELECT tcr_id FROM i) AND tcr_id_b IN (SELECT tcr_id FROM i)) SELECT tcr_id_a AS row, tcr_id_b AS \"column\", round(weighted_support, 6) AS value FROM k UNION ALL SELECT tcr_id_b, tcr_id_a, round(weighted_support, 6) FROM k")
+@query(f"{_REF}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY tcr_id) AS k FROM m), node AS (SELECT tcr_id FROM r ORDER BY k, cluster_id LIMIT 300) SELECT tcr_id_a, tcr_id_b, s AS final_score FROM e WHERE tcr_id_a IN (SELECT tcr_id FROM node) AND tcr_id_b IN (SELECT tcr_id FROM node) ORDER BY s DESC, tcr_id_a, tcr_id_b LIMIT 2000")
+def network_edges(spark, sf_dir):
+    m, e = _parts(spark, sf_dir)
+    return report.network(m, e)[1].select("tcr_id_a", "tcr_id_b", "final_score")
+
+
+@query(f"WITH raw AS ({RAW}) SELECT count(*) AS files, true AS sized FROM (VALUES (1), (2), (3)) t")
+def run_folder(spark, sf_dir):
+    """Summaries and the manifest of a run folder, read back through Spark."""
+    d = sinks.ensure_run_dir(new_path(spark, "run"), "one")
+    sinks.write_json(DatasetProfile(n_tcrs=3), f"{d}/profile.json")
+    sinks.write_json(planner.select_methods(DatasetProfile()), f"{d}/plan.json")
+    sinks.write_json({"a": [1, 2]}, f"{d}/report/report.json")
+    files = spark.read.json(sinks.write_manifest(d), multiLine=True).select(F.explode("artifacts").alias("f"))
+    return files.agg(F.count("*").alias("files"), F.min(F.col("f.bytes") > 5).alias("sized"))
+
+
+@query(f"{_EDGES} SELECT tcr_id_a AS row, tcr_id_b AS \"column\", round(weighted_support, 6) AS value FROM edges UNION ALL SELECT tcr_id_b, tcr_id_a, round(weighted_support, 6) FROM edges")
 def coassociation_matrix(spark, sf_dir):
-    ids = tcr(spark, sf_dir).where("ord % 2 = 0")
+    ids = tcr(spark, sf_dir)
     return pairs.coassociation_matrix(pairs.scored_edges(assign(spark, sf_dir), WEIGHTS), ids).select("row", "column", *r6("value"))
 
 

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .motif import log_factorial
 
 
@@ -175,8 +176,9 @@ def membership_counts(memberships: DataFrame) -> DataFrame:
 
 
 def all_metrics(pairs: DataFrame) -> DataFrame:
-    """One row with every metric of (tcr_id, cluster_id, label)."""
-    t = contingency(pairs)
+    """One row with every metric of (tcr_id, cluster_id, label). The contingency table is made
+    and written once; every metric reads it."""
+    t = written(contingency(pairs), "contingency")
     out = retention(pairs).withColumn("_k", F.lit(1))
     for f in (purity, sensitivity, pair_scores, ari, ami, nmi, v_measure, bcubed):
         out = out.join(F.broadcast(f(t).withColumn("_k", F.lit(1))), "_k")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -233,3 +234,17 @@ def cdr3_list(df: DataFrame) -> DataFrame:
 def step_report(steps: list[tuple[str, DataFrame]]) -> DataFrame:
     """(step, rows) of named intermediate tables, as one plan."""
     return reduce(DataFrame.union, (d.agg(F.count("*").alias("rows")).select(F.lit(n).alias("step"), "rows") for n, d in steps))
+
+
+def to_records(df: DataFrame) -> Iterator[dict]:
+    """The canonical columns of each row as a dict, in a stream: blank texts are None, counts
+    numbers of at least the default 1, frequencies numbers or None, chain modes of the
+    enumeration. Rows come a partition at a time, so the table need not fit the driver."""
+    texts = [f.name for f in CANONICAL if f.dataType.typeName() == "string"]
+    cols = {c: blank_to_null(F.col(c), ("", "nan", "None")) if c in df.columns else F.lit(None).cast("string") for c in texts}
+    cols["chain_mode"] = F.coalesce(cols["chain_mode"], F.lit(ChainMode.BETA_ONLY.value))
+    cols["count"] = F.coalesce(F.floor(number(F.col("count"))).cast("long"), F.lit(1).cast("long")) if "count" in df.columns else F.lit(1).cast("long")
+    cols["frequency"] = number(F.col("frequency")) if "frequency" in df.columns else F.lit(None).cast("double")
+    for row in df.select(*(cols[f.name].alias(f.name) for f in CANONICAL)).toLocalIterator():
+        d = row.asDict()
+        yield d | {"tcr_id": d["tcr_id"] or "", "chain_mode": ChainMode(d["chain_mode"])}

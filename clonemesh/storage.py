@@ -48,6 +48,34 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> str:
+    """A small text file on whatever file system the path is of."""
+    fs, p = _hadoop(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return path
+
+
+def make_dirs(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.mkdirs(p)
+
+
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path below ``path``, bytes) of the files there, sorted, checksum files left out."""
+    fs, p = _hadoop(spark, path)
+    top, found, it = fs.makeQualified(p).toString().rstrip("/") + "/", [], fs.listFiles(p, True)
+    while it.hasNext():
+        f = it.next()
+        name = f.getPath().toString().removeprefix(top)
+        if not name.endswith(".crc"):
+            found.append((name, f.getLen()))
+    return sorted(found)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here, any executor
     can be lost afterwards, and the shuffle files that made the table go at once."""

@@ -385,3 +385,10 @@ def test_unknown_methods_and_objectives():
     w = weights.empirical_weights(["gliph2", "new"])
     assert w["new"] == pytest.approx(0.28 / (0.28 + 0.4 * 0.196 + 0.1 * 0.458 + 0.3 * 0.89 + 0.1 * 0.22 + 0.1 * 0.8))
     assert planner.select_methods(DatasetProfile(), "paired_chain_analysis").selected_methods
+
+
+def test_records_are_streamed(spark):
+    rows = [("a", "CASF", " ", "3", None), (None, "nan", "x", "bad", "0.5")]
+    got = list(preprocess.to_records(spark.createDataFrame(rows, "tcr_id string, cdr3_beta string, epitope string, count string, frequency string")))
+    assert [(r["tcr_id"], r["cdr3_beta"], r["epitope"], r["count"], r["frequency"], r["chain_mode"].value) for r in got] == [("a", "CASF", None, 3, None, "beta_only"), ("", None, "x", 1, 0.5, "beta_only")]
+    assert list(got[0]) == [f.name for f in preprocess.CANONICAL]
