@@ -52,15 +52,26 @@ def permutation_null(assignments: DataFrame, weights: dict[str, float] | None =
     return scores, scores.groupBy("tcr_id_a", "tcr_id_b").agg(F.count("*").alias("cnt"))
 
 
+def from_above(t: DataFrame, *columns: str) -> DataFrame:
+    """``t`` (one row for each score) with each of ``columns`` summed over the scores down to
+    the row's: sums within range partitions plus those of the partitions above, so distinct
+    scores are never in one task."""
+    placed = written(t.repartitionByRange(F.col("score").desc()).withColumn("_p", F.spark_partition_id()), "ranged")
+    parts = placed.groupBy("_p").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    before = parts.select("_p", *((F.sum(f"_{c}").over(Window.orderBy("_p")) - F.col(f"_{c}")).alias(f"_{c}") for c in columns))
+    w = Window.partitionBy("_p").orderBy(F.col("score").desc())
+    rest = [c for c in t.columns if c not in columns]
+    return placed.join(F.broadcast(before), "_p").select(*rest, *((F.sum(c).over(w) + F.col(f"_{c}")).alias(c) for c in columns))
+
+
 def fdr_table(observed: DataFrame, null: DataFrame, per_permutation: int = 1) -> DataFrame:
     """(score, n_obs, n_null, fdr) for each observed score: how many observed and null scores
     reach it. Distinct scores are counted before they are accumulated."""
     o = observed.select(F.col("score")).groupBy("score").agg(F.count("*").alias("o"))
     n = null.select(F.col("score")).groupBy("score").agg(F.count("*").alias("n"))
-    both = o.join(n, "score", "full")
-    w = Window.orderBy(F.col("score").desc())
-    acc = both.select("score", "o", F.sum(F.coalesce("o", F.lit(0))).over(w).alias("n_obs"), F.sum(F.coalesce("n", F.lit(0))).over(w).alias("n_null"))
-    return acc.where("o is not null").select("score", "n_obs", "n_null", (F.col("n_null") / per_permutation / F.col("n_obs")).alias("fdr"))
+    both = o.join(n, "score", "full").select("score", F.col("o").isNotNull().alias("seen"), F.coalesce("o", F.lit(0)).alias("n_obs"), F.coalesce("n", F.lit(0)).alias("n_null"))
+    acc = from_above(both, "n_obs", "n_null")
+    return acc.where("seen").select("score", "n_obs", "n_null", (F.col("n_null") / per_permutation / F.col("n_obs")).alias("fdr"))
 
 
 def fdr_threshold(observed: DataFrame, null: DataFrame, q: float = 0.05, per_permutation: int = 1) -> float:
@@ -107,7 +118,7 @@ def analytical_fdr_threshold(edges: DataFrame, expected: float, variance: float,
     n = edges.count()
     sd = math.sqrt(max(variance, 1e-300))
     s = edges.groupBy(F.col("final_score").alias("score")).agg(F.count("*").alias("c"))
-    ranked = s.withColumn("rank", F.sum("c").over(Window.orderBy(F.col("score").desc())))
+    ranked = from_above(s.withColumnRenamed("c", "rank"), "rank")
     tail = 0.5 * erfc((F.col("score") - expected) / sd / math.sqrt(2)) * n / F.col("rank")
     row = ranked.where(tail <= q).agg((F.min if keep_most else F.max)("score").alias("t")).first()
     return math.inf if row["t"] is None else float(row["t"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,17 +56,23 @@ def repulsion(edges: DataFrame, assignments: DataFrame, weights: dict[str, float
     """``edges`` with repulsion_support: the weight of high-purity methods that put the two
     ends into different clusters, if there are ``min_methods`` of them. Of several clusters
     of one method the last counts."""
-    spark = edges.sparkSession
     if purity is not None:
-        pure = [m for m, p in purity.items() if p >= high_purity]
-        assignments = assignments.where(F.col("method").isin(pure)) if pure else assignments.limit(0)
+        methods = sorted(m for m, p in purity.items() if p >= high_purity)
+    else:
+        methods = sorted(r[0] for r in assignments.select("method").distinct().collect())
+    if not methods:
+        return edges.withColumn("repulsion_support", F.lit(0.0))
     order = F.col("ord") if "ord" in assignments.columns else F.col("cluster_id")
-    last = assignments.groupBy("method", "tcr_id").agg(F.max_by("cluster_id", order).alias("c"))
-    a, b = last.toDF("method", "tcr_id_a", "ca"), last.toDF("method", "tcr_id_b", "cb")
-    w = weight_table(spark, weights or {}).withColumnRenamed("weight", "w")
-    apart = edges.select("tcr_id_a", "tcr_id_b").join(a, "tcr_id_a").join(b, ["method", "tcr_id_b"]).where("ca <> cb").join(F.broadcast(w), "method", "left")
-    got = apart.groupBy("tcr_id_a", "tcr_id_b").agg((F.sum(F.coalesce("w", F.lit(1.0))) * discount).alias("rep"), F.count_distinct("method").alias("m")).where(F.col("m") >= min_methods)
-    return edges.join(got.drop("m"), ["tcr_id_a", "tcr_id_b"], "left").withColumn("repulsion_support", F.coalesce("rep", F.lit(0.0))).drop("rep")
+    # a receptor's clusters side by side, a column for each method, so an edge is one row
+    of = lambda c, m: F.when(F.col("method") == m, c)
+    last = assignments.groupBy("tcr_id").agg(*(F.max_by(of(F.col("cluster_id"), m), of(order, m)).alias(f"c{i}") for i, m in enumerate(methods)))
+    a, b = (last.toDF(f"tcr_id_{x}", *(f"_{x}{i}" for i in range(len(methods)))) for x in "ab")
+    e = edges.join(a, "tcr_id_a", "left").join(b, "tcr_id_b", "left")
+    apart = [F.coalesce(F.col(f"_a{i}") != F.col(f"_b{i}"), F.lit(False)) for i in range(len(methods))]
+    rep = reduce(add, (F.when(x, F.lit(float((weights or {}).get(m, 1.0)) * discount)).otherwise(0.0) for m, x in zip(methods, apart)))
+    count = reduce(add, (x.cast("int") for x in apart))
+    e = e.withColumn("repulsion_support", F.when(count >= min_methods, rep).otherwise(0.0))
+    return e.select("tcr_id_a", "tcr_id_b", *(c for c in edges.columns if c not in ("tcr_id_a", "tcr_id_b", "repulsion_support")), "repulsion_support")
 
 
 def scored_edges(assignments: DataFrame, weights: dict[str, float] | None = None, signed: bool = False, **kw) -> DataFrame:
