@@ -20,31 +20,36 @@ def clean_stream(stream: DataFrame, watermark: str = "1 hour", time: str = "ts")
 
 
 class EdgeSink:
-    """``foreachBatch`` target: keys of all sequences so far and edges found, as Parquet by
-    batch. A batch that is run again overwrites its own files, so each edge is there once."""
+    """``foreachBatch`` target: the sequences so far, their keys and the edges found, as Parquet
+    by batch. A sequence is in one batch's files only, so no batch makes the history distinct
+    again: it is looked for among the sequences, and its keys are joined with the others'. A
+    batch that is run again overwrites its own files, so each edge is there once."""
 
     def __init__(self, base: str):
-        self.keys, self.edges = f"{base}/keys", f"{base}/edges"
+        self.seqs, self.keys, self.edges = f"{base}/seqs", f"{base}/keys", f"{base}/edges"
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         seqs = batch.select(F.col("cdr3_beta").alias("seq")).distinct()
-        old = self._before(spark, epoch)
-        fresh = seqs.join(old.select("seq").distinct(), "seq", "left_anti") if old is not None else seqs
-        keyed = fresh.select("seq", F.explode(deletions(F.col("seq"))).alias("key"))
-        keyed.write.mode("overwrite").parquet(f"{self.keys}/epoch={epoch}")
-        new = spark.read.parquet(f"{self.keys}/epoch={epoch}")
-        seen = new.unionByName(old.select("seq", "key")) if old is not None else new
+        known, keys = (self._before(spark, x, s, epoch) for x, s in ((self.seqs, "seq string"), (self.keys, "seq string, key string")))
+        if known is not None:
+            seqs = seqs.join(known, "seq", "left_anti")
+        seqs.write.mode("overwrite").parquet(f"{self.seqs}/epoch={epoch}")
+        fresh = spark.read.schema("seq string").parquet(f"{self.seqs}/epoch={epoch}")
+        fresh.select("seq", F.explode(deletions(F.col("seq"))).alias("key")).write.mode("overwrite").parquet(f"{self.keys}/epoch={epoch}")
+        new = spark.read.schema("seq string, key string").parquet(f"{self.keys}/epoch={epoch}")
+        seen = new.unionByName(keys) if keys is not None else new
         pairs = new.select("key", F.col("seq").alias("x")).join(seen.select("key", F.col("seq").alias("y")), "key").where("x <> y")
         out = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().withColumn("dist", F.levenshtein("a", "b", 1)).where("dist >= 0")
         out.write.mode("overwrite").parquet(f"{self.edges}/epoch={epoch}")
 
-    def _before(self, spark: SparkSession, epoch: int) -> DataFrame | None:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.keys)
+    def _before(self, spark: SparkSession, path: str, schema: str, epoch: int) -> DataFrame | None:
+        """What earlier batches wrote below ``path``."""
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(p):
             return None
-        old = spark.read.option("basePath", self.keys).schema("seq string, key string, epoch int").parquet(self.keys).where(F.col("epoch") < epoch)
+        old = spark.read.option("basePath", path).schema(f"{schema}, epoch int").parquet(path).where(F.col("epoch") < epoch).drop("epoch")
         return None if old.isEmpty() else old
 
     def read(self, spark: SparkSession) -> DataFrame:
