@@ -303,11 +303,6 @@ def levenshtein_clusters(spark, sf_dir):
     return clusterers.levenshtein_clusters(tcr(spark, sf_dir)).select("tcr_id", "cluster_id")
 
 
-@query()
-def hamming_leader_clusters(spark, sf_dir):
-    return clusterers.hamming_clusters(tcr(spark, sf_dir)).select("tcr_id", "cluster_id")
-
-
 @query(f"""{_T}, h AS (SELECT tcr_id, regexp_replace(regexp_replace(cdr3_beta, '^C', ''), '[FWY]$', '') AS q, substr(v_beta, 1, 5) || substr(cdr3_beta, 4, 2) AS g FROM tcr), e AS (SELECT DISTINCT 'q:' || q AS a, 'g:' || g AS b FROM h), {_components('e')},
  m AS (SELECT tcr_id, root AS cluster_id FROM h JOIN roots ON node = 'q:' || q) SELECT tcr_id, cluster_id FROM m WHERE cluster_id IN (SELECT cluster_id FROM m GROUP BY 1 HAVING count(*) >= 2)""")
 def receptor_group_clusters(spark, sf_dir):
@@ -745,12 +740,6 @@ def distance_table(spark, sf_dir):
     return report.distance_table(tcr(spark, sf_dir)).select("a", "b", *r6("dist"))
 
 
-@query()
-def loo_accuracy(spark, sf_dir):
-    acc = stability.leave_one_out(assign(spark, sf_dir), WEIGHTS, 1.0)
-    return spark.createDataFrame(sorted((m, round(v, 6)) for m, v in acc.items()), "method string, nmi double")
-
-
 @query()
 def reweighted_methods(spark, sf_dir):
     w, _ = stability.iterative_reweight(written(assign(spark, sf_dir), "assign"), WEIGHTS, rounds=2, threshold=1.0)
@@ -931,27 +920,12 @@ def labeled_pairs(spark, sf_dir):
     return got.groupBy("same").agg(F.count("*").alias("n"))
 
 
-@query()
-def calibrated_confidence(spark, sf_dir):
-    m, e = _parts(spark, sf_dir)
-    e = written(e, "edges")
-    c = calibrate.fit_calibration(m, e, tcr(spark, sf_dir).select("tcr_id", "epitope"))
-    return c.predict(calibrate.raw_confidence(calibrate.cluster_features(m, e))).select("cluster_id", *r6("raw_confidence", "calibrated"))
-
-
 @query()
 def motif_splits(spark, sf_dir):
     m, t = _by_gene(spark, sf_dir)
     return refine.motif_split(m, t, kl=0.5, gain=0.02)
 
 
-@query()
-def analytical_fdr(spark, sf_dir):
-    a = assign(spark, sf_dir)
-    e = nulls.expected_vote(a, WEIGHTS).first()
-    return spark.createDataFrame([(nulls.analytical_fdr_threshold(pairs.scored_edges(a, WEIGHTS), e["expected"], e["variance"]),)], "threshold double")
-
-
 @query()
 def fused_consensus(spark, sf_dir):
     """Signals fused, permutation null, threshold at a false discovery rate."""
@@ -970,3 +944,6 @@ def flagship_clusters(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
+
+
+from . import catalog_runs  # noqa: E402, F401  registers its queries
