@@ -293,6 +293,9 @@ def test_engine_benchmark_and_run_folder(spark, tcr, tmp_path):
     outside = {"giana": tcr.selectExpr("tcr_id", "substr(cdr3_beta, 1, 3) as cluster_id"), "tcrdist3": tcr.selectExpr("tcr_id", "v_beta as cluster_id")}
     t = Engine(spark).fit_predict(tcr, methods=["hd_baseline", "giana", "tcrdist3"], outside=outside)
     assert len(t.runs) == 3 and "subset" in t.stats
+    pair, both = ["hd_baseline", "giana"], {"giana": outside["giana"]}
+    cut = [Engine(spark, mode="conservative", config={"consensus": {"conservative": c}}).fit_predict(tcr, methods=pair, outside=both) for c in ({"min_method_support": 1}, {"min_method_support": 3, "threshold": 0.2}, {"min_method_support": 1, "enforce_high_purity": True, "high_purity_methods": ["tcrmatch"]})]
+    assert [x.members.count() > 0 for x in cut] == [True, False, False] and cut[1].threshold == 0.2
     bad = clusterers.run_method("nothing", tcr)
     assert bad.status == "failed" and bad.assignments.count() == 0
 
