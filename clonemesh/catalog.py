@@ -946,4 +946,4 @@ def flagship_clusters(spark, sf_dir):
 
 
 
-from . import catalog_runs  # noqa: E402, F401  registers its queries
+from . import catalog_clusterers, catalog_runs  # noqa: E402, F401  register their queries

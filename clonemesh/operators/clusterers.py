@@ -15,6 +15,9 @@ from ..functions.sequences import trim_cdr3, with_allele
 from ..schema import ASSIGNMENTS, MethodStatus
 from ..storage import written
 from .graph import components
+from .kmotifs import enriched_motifs, motif_members
+from .markov import two_step
+from .receptor_distance import receptor_clusters
 from .simjoin import hamming_pairs, levenshtein_pairs
 
 
@@ -222,6 +225,35 @@ def hierarchical_clusters(distances: DataFrame, min_size: int = 2, most: int = 5
     return assigned(_sized(rows.groupBy("g").applyInArrow(run, "tcr_id string, cluster_id string"), min_size), "tcrdist3")
 
 
+# Clusterers that are told apart by what they compare.
+
+
+def two_step_clusters(tcr: DataFrame, min_size: int = 2, **kw) -> DataFrame:
+    """Markov clusters of neighbouring junctions (beta + alpha) within pre-clusters by
+    composition; receptors of a junction without neighbours are in none."""
+    j = written(junctions(tcr), "junctions")
+    got = two_step(j.select(F.col("junction").alias("seq")), **kw)
+    rows = j.join(got, j["junction"] == got["seq"]).select(F.explode("tcr_ids").alias("tcr_id"), F.col("cluster").alias("cluster_id"))
+    return assigned(_sized(rows, min_size), "clustcr")
+
+
+def motif_clusters(tcr: DataFrame, background: DataFrame | None = None, chain: str = "beta", min_size: int = 2, by: str | None = None, **kw) -> DataFrame:
+    """Overlapping clusters by enriched motif, against the CDR3s in column seq of
+    ``background``; without one every subject is held against the whole table."""
+    s = written(tcr.select("tcr_id", F.col(f"cdr3_{chain}").alias("seq"), F.col("subject_id").cast("string").alias("subject_id")).where("seq is not null and seq <> ''"), "sequences")
+    by = by or (None if background is not None else "subject_id")
+    found = written(enriched_motifs(s, s if background is None else background, by, **kw), "motifs")
+    m = motif_members(s, found, by)
+    key = (s["seq"] == m["seq"]) & ((s["subject_id"] == m["by"]) if by else F.lit(True))
+    rows = s.join(m, key).select("tcr_id", (F.concat_ws("|", "by", "cluster") if by else F.col("cluster")).alias("cluster_id")).distinct()
+    return assigned(_sized(rows, min_size), "gliph2")
+
+
+def distance_clusters(tcr: DataFrame, radius: float = 20.0, min_size: int = 2, **kw) -> DataFrame:
+    """Receptors linked by steps of at most ``radius`` in receptor distance."""
+    return assigned(_sized(receptor_clusters(tcr, radius, **kw), min_size), "tcrdist3")
+
+
 # Supervised prediction of labels.
 
 
@@ -257,9 +289,9 @@ class LabelPredictor:
 
 
 #: Clusterers that run here; others come in as assignments of outside tools.
-BUILT_IN: dict[str, Callable[..., DataFrame]] = {"hd_baseline": hamming_clusters, "levenshtein": levenshtein_clusters}
-EXTERNAL = ("clustcr", "gliph2", "tcrdist3", "giana", "tcrmatch", "deeptcr")
-ALL_METHODS = ("hd_baseline", "levenshtein", *EXTERNAL)
+BUILT_IN: dict[str, Callable[..., DataFrame]] = {"hd_baseline": hamming_clusters, "levenshtein": levenshtein_clusters, "clustcr": two_step_clusters, "gliph2": motif_clusters, "tcrdist3": distance_clusters}
+EXTERNAL = ("giana", "tcrmatch", "deeptcr")
+ALL_METHODS = ("hd_baseline", "levenshtein", "clustcr", "gliph2", "tcrdist3", *EXTERNAL)
 
 
 def available_methods(outside: dict[str, DataFrame] | None = None) -> list[str]:

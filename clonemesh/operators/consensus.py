@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..storage import written
 from .fusion import SIGNALS, fuse, null_fused
 from .graph import cluster_members, louvain, threshold_edges
+from .leiden import leiden
 from .nulls import analytical_fdr_threshold, edge_significance, expected_vote, fdr_threshold, permutation_null
 from .pairs import scored_edges
 
@@ -38,7 +39,7 @@ def conservative(assignments: DataFrame, weights: dict | None = None, min_suppor
 
 def by_threshold(assignments: DataFrame, weights: dict | None = None, threshold: float = 0.3, signed: bool = False, tcr: DataFrame | None = None, signals: tuple[str, ...] | None = None, distances: DataFrame | None = None, betas: dict | None = None, intercept: float = 0.0, fdr_q: float | None = None, rounds: int = 100, seed: int = 0, analytical: bool = False, per_permutation: bool = False, algorithm: str = "components", resolution: float = 1.0, **kw) -> Consensus:
     """Edges, optionally fused with signals and cut at a false discovery rate instead of a
-    fixed threshold, then components (or Louvain communities)."""
+    fixed threshold, then components (or Leiden or Louvain communities)."""
     edges = scored_edges(assignments, weights, signed, **kw)
     null = counts = None
     need_null = fdr_q is not None and not analytical or signals is not None and "noise" in signals
@@ -59,7 +60,12 @@ def by_threshold(assignments: DataFrame, weights: dict | None = None, threshold:
             scores = null_fused(null, tcr, betas, intercept, signals) if tcr is not None and signals is not None else null
             threshold = fdr_threshold(edges.select(F.col("final_score").alias("score")), scores.select("score"), fdr_q, rounds if per_permutation else 1)
     kept = threshold_edges(edges, threshold) if math.isfinite(threshold) else edges.limit(0)
-    members = louvain(kept, resolution=resolution) if algorithm in ("louvain", "leiden") else cluster_members(kept)
+    if algorithm == "leiden":
+        members = leiden(kept, resolution=resolution, seed=seed)
+    elif algorithm == "louvain":
+        members = louvain(kept, resolution=resolution)
+    else:
+        members = cluster_members(kept)
     return Consensus(members, edges, threshold)
 
 
