@@ -2,16 +2,15 @@
 
 The index is dealt out over tasks by the rarest grams of each word (those that one edit cannot
 all destroy), so two words one edit apart meet in a block. Each block has its part of the index,
-lists of words by length, place and gram; a word's lists under the limits of length and place are
-merged by a heap, the words that come up often enough for one edit are kept, and these are
-verified letter by letter.
+lists of words by length, place and gram. Of a word's lists under the limits of length and place
+one edit leaves T at least; the T - 1 longest are set aside, the others are merged, and the words
+that come up are verified letter by letter. Lists of many words are merged by one sort: a heap for
+each word, in Python, took six times as long.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +20,12 @@ from pyspark.sql import functions as F
 from ..storage import drop
 from .common import shuffle_partitions, written
 from .importance import lower_ascii
+from .scan import U, mix
 
 #: Letters of a gram.
 Q = 3
 #: Words of a block, unless more blocks than SHARE would be beyond it.
-BLOCK, SHARE = 4096, 65536
+BLOCK, SHARE = 1 << 15, 65536
 #: Distinct grams that are broadcast with their counts (some 40 bytes each); three letters
 #: of an alphabet of 90 make 729,000.
 MOST_GRAMS = 1 << 20
@@ -62,101 +62,145 @@ def _signature(words: DataFrame, q: int) -> DataFrame:
     return written(out.select("word", "n", "len", "b.at", "b.gram"), "signatures")
 
 
-def _split(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """(key, parts): the keys of more than ``most`` rows; at most SHARE of them, as ``most`` is
-    at least that share of all rows."""
-    return written(rows.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > most).select(key, F.ceil(F.col("c") / most).cast("int").alias("parts")), "hot")
+def _split(rows: DataFrame, most: int) -> DataFrame:
+    """(block, parts): the blocks of more than ``most`` rows; at most SHARE of them, as ``most``
+    is at least that share of all rows."""
+    return written(rows.groupBy("block").agg(F.count("*").alias("c")).where(F.col("c") > most).select("block", F.ceil(F.col("c") / most).cast("int").alias("parts")), "hot")
 
 
 def _blocks(sig: DataFrame) -> DataFrame:
-    """(block, word, n, indexed, asks): every word once for each gram of its signature. A gram
-    of many words is split by length and place, where a word also asks the blocks of words one
+    """(block, word, n, indexed, asks): every word for each gram of its signature. A gram that
+    many words have is split by length and place, where a word also asks the blocks of words one
     letter longer with the gram at its place or at the next; what is still large is split by a
-    hash of the words indexed, and each part is asked."""
+    hash of the words indexed, and each part is asked. A word may be in a block twice, if grams
+    repeat."""
     most = max(BLOCK, sig.count() // SHARE)
-    hot = _split(sig, "gram", most)
-    whole = sig.join(F.broadcast(hot.select("gram")), "gram", "left_anti").select(F.xxhash64("gram").alias("block"), "word", "n", F.lit(True).alias("indexed"), F.lit(True).alias("asks"))
+    keyed = sig.withColumn("block", F.xxhash64("gram"))
+    hot = _split(keyed, most)
+    yes, no = F.lit(True), F.lit(False)
     if hot.isEmpty():
-        return whole.dropDuplicates(["block", "word"])
-    fine = sig.join(F.broadcast(hot.select("gram")), "gram").select("word", "n", F.xxhash64("gram", "len", "at").alias("block"), F.xxhash64("gram", F.col("len") + 1, "at").alias("up"), F.xxhash64("gram", F.col("len") + 1, F.col("at") + 1).alias("next"))
-    fine = written(fine, "fine")
-    own = fine.select("block", "word", "n", F.lit(True).alias("indexed"))
-    parts = _split(own, "block", most)
-    asks = fine.select(F.explode(F.array("block", "up", "next")).alias("block"), "word", "n")
+        return keyed.select("block", "word", "n", yes.alias("indexed"), yes.alias("asks"))
+    whole = keyed.join(F.broadcast(hot.select("block")), "block", "left_anti").select("block", "word", "n", yes.alias("indexed"), yes.alias("asks"))
+    place = lambda d, a: F.xxhash64("gram", F.col("len") + d, F.col("at") + a)
+    near = F.array(place(0, 0), place(1, 0), place(1, 1))
+    fine = written(keyed.join(F.broadcast(hot.select("block")), "block").select("word", "n", near.alias("near")), "fine")
+    own = fine.select(F.col("near")[0].alias("block"), "word", "n")
+    parts = F.broadcast(_split(own, most))
+    asks = fine.select(F.explode("near").alias("block"), "word", "n").join(parts, "block", "left")
     part = F.pmod(F.xxhash64("word"), F.coalesce("parts", F.lit(1))).cast("int")
-    b = F.broadcast(parts)
-    own = own.join(b, "block", "left").select("block", part.alias("part"), "word", "n", "indexed", F.lit(False).alias("asks"))
-    asks = asks.join(b, "block", "left").select("block", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "word", "n", F.lit(False).alias("indexed"), F.lit(True).alias("asks"))
+    own = own.join(parts, "block", "left").select("block", part.alias("part"), "word", "n", yes.alias("indexed"), no.alias("asks"))
+    asks = asks.select("block", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "word", "n", no.alias("indexed"), yes.alias("asks"))
     fine = own.unionByName(asks).groupBy("block", "part", "word").agg(F.max("n").alias("n"), F.max("indexed").alias("indexed"), F.max("asks").alias("asks"))
-    return whole.dropDuplicates(["block", "word"]).unionByName(fine.select(F.xxhash64("block", "part").alias("block"), "word", "n", "indexed", "asks"))
-
-
-def one_edit(a: str, b: str) -> bool:
-    """Whether a and b, as long or one letter longer, differ by exactly one edit."""
-    n, i = len(a), 0
-    while i < n and a[i] == b[i]:
-        i += 1
-    if n == len(b):
-        return i < n and a[i + 1 :] == b[i + 1 :]
-    return a[i:] == b[i + 1 :]
-
-
-def _block_pairs(words: list, n: list, indexed: list, asks: list, q: int) -> list[tuple]:
-    """(a, b, na, nb) of one block."""
-    found = []
-    index: dict[tuple, list[int]] = {}
-    for j, w in enumerate(words):
-        if indexed[j]:
-            size = len(w)
-            for p in range(size - q + 1):
-                index.setdefault((size, p, w[p : p + q]), []).append(j)
-    for i, w in enumerate(words):
-        if not asks[i]:
-            continue
-        size, lists = len(w), []
-        for p in range(size - q + 1):
-            g = w[p : p + q]
-            for key in ((size, p, g), (size + 1, p, g), (size + 1, p + 1, g)):
-                if (x := index.get(key)) is not None:
-                    lists.append(x)
-        same = size - 2 * q + 1  # grams that one edit leaves of words of this length
-        for j, times in groupby(heapq.merge(*lists)):
-            other = words[j]
-            longer = len(other) > size
-            if not longer and other <= w:
-                continue  # found from the other word
-            if sum(1 for _ in times) >= same + longer and one_edit(w, other):
-                found.append((w, other, n[i], n[j]))
-    return found
+    return whole.unionByName(fine.select(F.xxhash64("block", "part").alias("block"), "word", "n", "indexed", "asks"))
+
+
+#: Rows of whole blocks that a task looks at together, and pairs of a word and a posting at once.
+CHUNK_ROWS, PAIRS = 1 << 15, 1 << 20
+
+
+def _codes(chars: np.ndarray, block: np.ndarray, q: int, shift: int) -> np.ndarray:
+    """A 64-bit code of (block, place + shift, gram) for each place of words of one length.
+    Codes that collide only make a pair more to verify."""
+    size = chars.shape[1]
+    out = np.zeros((len(chars), size - q + 1), U)
+    for k in range(q):
+        out = mix(out + chars[:, k : size - q + 1 + k].astype(U))
+    place = np.arange(shift, shift + size - q + 1).astype(U)
+    return mix(out + mix(mix(block.astype(U))[:, None] + place[None, :]))
+
+
+def _merged(lists: tuple[np.ndarray, np.ndarray], rows: np.ndarray, many: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, posting) pairs that come up in any of the ``many`` shortest lists of each word:
+    ``lists`` has the start and the length of its lists in ``rows``, the postings by code. One sort of
+    a slice of words merges their lists."""
+    start, size = lists
+    keep = np.argpartition(size, many - 1, axis=1)[:, :many] if many < size.shape[1] else np.broadcast_to(np.arange(size.shape[1]), size.shape)
+    start, size = np.take_along_axis(start, keep, 1), np.take_along_axis(size, keep, 1)
+    total = np.cumsum(size.sum(axis=1))
+    a = 0
+    while a < len(total):
+        done = total[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        s, n = start[a:b].ravel(), size[a:b].ravel()
+        if n.sum():
+            at = np.repeat(s - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            i = np.repeat(np.repeat(np.arange(a, b), size.shape[1]), n)
+            both = np.sort(i * len(rows) + rows[at])
+            both = both[np.r_[True, both[1:] != both[:-1]]]
+            yield both // len(rows), both % len(rows)
+        a = b
+
+
+def _chunk_pairs(words: list[str], block: np.ndarray, indexed: np.ndarray, asks: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) in ``words`` of those one edit apart within their block."""
+    sizes = np.array([len(w) for w in words])
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    of = {int(size): np.flatnonzero(sizes == size) for size in np.unique(sizes)}
+    chars = {size: np.array([words[k] for k in at], dtype=f"U{size}").view(np.uint32).reshape(len(at), size) for size, at in of.items()}
+    for size, at in of.items():
+        need = size - 2 * q + 1  # grams that one edit leaves of words of this length
+        ask = np.flatnonzero(asks[at])
+        mine = chars[size][ask]
+        for longer in (False, True):
+            there = of.get(size + longer, np.zeros(0, np.int64))
+            post = np.flatnonzero(indexed[there])
+            if not len(ask) or not len(post):
+                continue
+            text = chars[size + longer][post]
+            code = _codes(text, block[there[post]], q, 0)
+            rows = np.repeat(np.arange(len(post)), code.shape[1])
+            order = np.argsort(code, axis=None, kind="stable")
+            code, rows = code.ravel()[order], rows[order]
+            look = _codes(mine, block[at[ask]], q, 0)
+            if longer:
+                look = np.hstack([look, _codes(mine, block[at[ask]], q, 1)])
+            first = np.searchsorted(code, look)
+            lists = first, np.searchsorted(code, look, "right") - first
+            # need - 1 of the lists are too few alone, so the longest are left out
+            for i, j in _merged(lists, rows, look.shape[1] - (need + longer) + 1):
+                a, b = mine[i], text[j]
+                if longer:
+                    head, tail = a == b[:, :size], (a == b[:, 1:])[:, ::-1]
+                    whole = lambda e: np.where(e.all(axis=1), size, e.argmin(axis=1))
+                    good = whole(head) + whole(tail) >= size
+                else:
+                    good = (a != b).sum(axis=1) == 1
+                    k = (a != b).argmax(axis=1)
+                    at_k = np.arange(len(a))
+                    good &= a[at_k, k] < b[at_k, k]  # the other way round it is found from the other word
+                found_a.append(at[ask[i[good]]])
+                found_b.append(there[post[j[good]]])
+    return np.concatenate(found_a), np.concatenate(found_b)
 
 
 def _matches(q: int):
-    """For mapInArrow over (block, word, n, indexed, asks) sorted by block: one block at a time."""
-    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("na", pa.int64()), ("nb", pa.int64())])
-
-    def table(found: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(list(x), f.type) for x, f in zip(zip(*found), schema)], schema=schema)
+    """For mapInArrow over (block, word, n, indexed, asks) sorted by block: whole blocks, some
+    at a time; of those of one row nothing is looked at."""
+    names = ["a", "b", "na", "nb"]
+
+    def pairs(t: pa.Table) -> list[pa.RecordBatch]:
+        block = t.column("block").to_numpy()
+        edge = np.r_[True, block[1:] != block[:-1]]
+        several = ~(edge & np.r_[edge[1:], True])
+        t, number = t.filter(pa.array(several)), np.cumsum(edge)[several]
+        a, b = _chunk_pairs(t.column("word").to_pylist(), number, t.column("indexed").to_numpy(), t.column("asks").to_numpy(), q)
+        w, n = t.column("word").combine_chunks(), t.column("n").combine_chunks()
+        cols = [w.take(pa.array(a)), w.take(pa.array(b)), n.take(pa.array(a)), n.take(pa.array(b))]
+        return pa.table(cols, names=names).combine_chunks().to_batches(max_chunksize=1 << 20)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, cols, found = None, [[], [], [], []], []
+        kept: list[pa.RecordBatch] = []
         for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(blocks)) + 1
-            rows = [batch.column(k).to_pylist() for k in range(1, 5)]
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)]):
-                if a == b:
-                    continue
-                if blocks[a] != block:
-                    if len(cols[0]) > 1:
-                        found += _block_pairs(*cols, q)
-                    block, cols = blocks[a], [[], [], [], []]
-                for c, r in zip(cols, rows):
-                    c += r[a:b]
-            if found:
-                yield table(found)
-                found = []
-        if len(cols[0]) > 1 and (found := _block_pairs(*cols, q)):
-            yield table(found)
+            kept.append(batch)
+            if sum(b.num_rows for b in kept) >= CHUNK_ROWS:
+                t = pa.Table.from_batches(kept)
+                block = t.column("block").to_numpy()
+                cut = int(np.flatnonzero(block != block[-1])[-1]) + 1 if block[0] != block[-1] else 0
+                if cut:
+                    yield from pairs(t.slice(0, cut))
+                    kept = t.slice(cut).to_batches()
+        if kept and sum(b.num_rows for b in kept):
+            yield from pairs(pa.Table.from_batches(kept))
 
     return run
 
