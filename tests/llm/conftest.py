@@ -36,3 +36,15 @@ def clashing(docs):
     from pyspark.sql import functions as F
 
     return docs.withColumns({c: F.lit("x") for c in CLASHING})
+
+
+@pytest.fixture(scope="session")
+def alike():
+    """Pairs of texts that sums of powers modulo 2**64 cannot tell apart: Thue-Morse texts of
+    1,024 to 8,192 letters and their complements."""
+    out, t = [], "a"
+    while len(t) < 8192:
+        t += t.translate({97: 98, 98: 97})
+        if len(t) >= 1024:
+            out.append((t, t.translate({97: 98, 98: 97})))
+    return out
