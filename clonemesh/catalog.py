@@ -233,33 +233,57 @@ def profile_summary(spark, sf_dir):
 
 # --- weights and plans -----------------------------------------------------------------------
 
-_PRIOR_ROWS = ", ".join(f"('{m}', {', '.join(f'CAST({p[k]} AS DOUBLE)' for k in weights.COEFFICIENTS)})" for m, p in weights.PRIORS.items())
-_PRIOR_SUM = " + ".join(f"{v} * {k}" for k, v in weights.COEFFICIENTS.items())
+#: Quality of each method as measured on the table's labels.
+_MEASURED = f"""{_A}, own AS (SELECT method, cluster_id, epitope, count(*) AS n FROM assign JOIN (SELECT tcr_id, epitope FROM tcr WHERE epitope IS NOT NULL) t USING (tcr_id) GROUP BY ALL),
+ cl AS (SELECT method, cluster_id, sum(n) AS n, max(n) AS top FROM own GROUP BY ALL),
+ q AS (SELECT method, sum(top) / CAST(sum(n) AS DOUBLE) AS purity, sum(CASE WHEN n >= 2 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE) AS sensitivity, CAST(avg(CASE WHEN n >= 2 THEN 1 ELSE 0 END) AS DOUBLE) AS noise_robust FROM cl GROUP BY 1),
+ prior AS (SELECT *, {weights.COEFFICIENTS["ari"] * weights.UNKNOWN["ari"] + weights.COEFFICIENTS["ami"] * weights.UNKNOWN["ami"]} + {" + ".join(f"{weights.COEFFICIENTS[k]} * {k}" for k in ("purity", "sensitivity", "noise_robust"))} AS prior FROM q)"""
 
 
-@query(f"WITH p(method, {', '.join(weights.COEFFICIENTS)}) AS (VALUES {_PRIOR_ROWS}), s AS (SELECT method, greatest({_PRIOR_SUM}, 0.05) AS s FROM p) SELECT method, round(s / sum(s) OVER (), 6) AS weight FROM s")
+def measured(spark, sf_dir) -> dict[str, dict[str, float]]:
+    return weights.measured_priors(assign(spark, sf_dir), tcr(spark, sf_dir))
+
+
+@query(f"{_MEASURED} SELECT method, round(greatest(prior, 0.05) / sum(greatest(prior, 0.05)) OVER (), 6) AS weight FROM prior")
 def method_weights_empirical(spark, sf_dir):
-    return weights.as_table(spark, weights.empirical_weights(list(weights.PRIORS))).select("method", *r6("weight"))
+    p = measured(spark, sf_dir)
+    return weights.as_table(spark, weights.empirical_weights(sorted(p), p)).select("method", *r6("weight"))
 
 
-def _config_rows() -> str:
-    from .plans.config import DEFAULT
+@query(f"{_MEASURED}, s AS (SELECT method, 0.5 * purity + 0.1 * sensitivity + 0.2 * noise_robust + 0.2 * 0.5 AS s FROM q WHERE method <> 'vj') SELECT method, round(s * (SELECT count(*) FROM q) / sum(s) OVER (), 6) AS weight FROM s UNION ALL SELECT 'vj', 0.0")
+def method_weights_config(spark, sf_dir):
+    """The configuration's coefficients on measured quality, where one method has failed."""
+    from .plans.config import DEFAULT, merged
 
-    p = DEFAULT["consensus"]["weights"]["global_priors"]
-    return ", ".join(f"('{m}', {', '.join(f'CAST({v[k]} AS DOUBLE)' for k in ('purity', 'sensitivity', 'noise_robust', 'speed'))})" for m, v in p.items())
+    p = measured(spark, sf_dir)
+    config = merged(DEFAULT, {"consensus": {"weights": {"global_priors": p}}})
+    return weights.as_table(spark, weights.method_weights(sorted(p), "high_purity", config, {"vj": "failed"})).select("method", *r6("weight"))
 
 
-@query(f"WITH p(method, a, b, c, d) AS (VALUES {_config_rows()}), s AS (SELECT method, 0.5 * a + 0.1 * b + 0.2 * c + 0.2 * d AS s FROM p) SELECT method, round(s * count(*) OVER () / sum(s) OVER (), 6) AS weight FROM s")
-def method_weights_config(spark, sf_dir):
-    from .plans.config import DEFAULT
+#: Receptors of each V gene: share of those whose CDR3 no other has, chains and kind.
+_GENES = f"""{_T}, alone AS (SELECT cdr3_beta, count(*) AS c FROM tcr GROUP BY 1),
+ g AS (SELECT v_beta, CAST(avg(CASE WHEN c = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS noise, CASE WHEN avg(CASE WHEN cdr3_alpha IS NOT NULL THEN 1.0 ELSE 0 END) > 1.0 / 3 THEN 'paired_ab' ELSE 'beta_only' END AS mode,
+  CASE WHEN NOT bool_or(epitope IS NOT NULL) THEN 'bulk' WHEN count(*) < 5000 THEN 'curated_db' ELSE 'antigen_enriched' END AS kind, count(*) AS n FROM tcr JOIN alone USING (cdr3_beta) GROUP BY 1),
+ sc AS (SELECT *, CASE WHEN noise > 0.5 AND mode = 'beta_only' THEN 'bulk_noisy_beta' WHEN kind IN ('antigen_enriched', 'curated_db') THEN 'antigen_enriched' ELSE 'balanced' END AS scenario FROM g)"""
+
 
-    return weights.as_table(spark, weights.method_weights(list(DEFAULT["consensus"]["weights"]["global_priors"]), "high_purity", DEFAULT)).select("method", *r6("weight"))
+def gene_profiles(spark, sf_dir) -> dict[str, DatasetProfile]:
+    """A profile of the receptors of each V gene; there are as many as genes."""
+    t = tcr(spark, sf_dir)
+    alone = t.groupBy("cdr3_beta").agg(F.count("*").alias("c"))
+    g = t.join(alone, "cdr3_beta").groupBy("v_beta").agg(F.avg((F.col("c") == 1).cast("int")).alias("noise"), F.avg(F.col("cdr3_alpha").isNotNull().cast("int")).alias("paired"), F.bool_or(F.col("epitope").isNotNull()).alias("labels"), F.count("*").alias("n"))
+    made = lambda r: DatasetProfile(n_tcrs=r.n, background_noise_score=r.noise, chain_mode="paired_ab" if r.paired > 1 / 3 else "beta_only", repertoire_type=profile.repertoire_type(r.n, r.labels))
+    return {r.v_beta: made(r) for r in g.collect()}
 
 
-@query("SELECT * FROM (VALUES (0, 'hd_baseline'), (1, 'levenshtein'), (2, 'giana'), (3, 'tcrdist3'), (4, 'gliph2'), (5, 'tcrmatch')) t(pos, method)")
+@query(f"""{_GENES}, r(scenario, pos, method) AS (VALUES ('bulk_noisy_beta', 0, 'tcrdist3'), ('bulk_noisy_beta', 1, 'gliph2'), ('bulk_noisy_beta', 2, 'hd_baseline'),
+ ('antigen_enriched', 0, 'clustcr'), ('antigen_enriched', 1, 'giana'), ('antigen_enriched', 2, 'gliph2'), ('antigen_enriched', 3, 'tcrdist3'), ('antigen_enriched', 4, 'hd_baseline')) SELECT v_beta, pos, method FROM sc JOIN r USING (scenario)""")
 def select_methods(spark, sf_dir):
-    plan = planner.select_methods(DatasetProfile(background_noise_score=0.1))
-    return spark.createDataFrame(list(enumerate(plan.selected_methods)), "pos int, method string")
+    """Methods for the receptors of each V gene, from their profile."""
+    from .plans.config import DEFAULT
+
+    plans = {v: planner.select_methods(p, config=DEFAULT) for v, p in gene_profiles(spark, sf_dir).items()}
+    return spark.createDataFrame([(v, k, m) for v, plan in plans.items() for k, m in enumerate(plan.selected_methods)], "v_beta string, pos int, method string")
 
 
 _FRACTION = f"{_EDGES}, f AS (SELECT *, weighted_support / CAST({sum(WEIGHTS.values())} AS DOUBLE) AS fraction FROM edges)"
@@ -890,15 +914,19 @@ def network_edges(spark, sf_dir):
     return report.network(m, e)[1].select("tcr_id_a", "tcr_id_b", "final_score")
 
 
-@query(f"WITH raw AS ({RAW}) SELECT count(*) AS files, true AS sized FROM (VALUES (1), (2), (3)) t")
+@query(f"{_T} SELECT CAST(4 AS BIGINT) AS files, true AS sized, count(*) AS n_tcrs, count(*) AS members FROM tcr")
 def run_folder(spark, sf_dir):
-    """Summaries and the manifest of a run folder, read back through Spark."""
-    d = sinks.ensure_run_dir(new_path(spark, "run"), "one")
-    sinks.write_json(DatasetProfile(n_tcrs=3), f"{d}/profile.json")
-    sinks.write_json(planner.select_methods(DatasetProfile()), f"{d}/plan.json")
+    """Summaries, members and the manifest of a run folder, read back through Spark."""
+    d, t = sinks.ensure_run_dir(new_path(spark, "run"), "one"), tcr(spark, sf_dir)
+    own = DatasetProfile(n_tcrs=t.count())
+    sinks.write_json(own, f"{d}/profile.json")
+    sinks.write_json(planner.select_methods(own), f"{d}/plan.json")
     sinks.write_json({"a": [1, 2]}, f"{d}/report/report.json")
-    files = spark.read.json(sinks.write_manifest(d), multiLine=True).select(F.explode("artifacts").alias("f"))
-    return files.agg(F.count("*").alias("files"), F.min(F.col("f.bytes") > 5).alias("sized"))
+    t.select("tcr_id", "cdr3_beta").coalesce(1).write.parquet(f"{d}/members")
+    files = spark.read.json(sinks.write_manifest(d), multiLine=True).select(F.explode("artifacts").alias("f")).where("f.path not like '%SUCCESS'")
+    got = files.agg(F.count("*").alias("files"), F.min(F.col("f.bytes") > 5).alias("sized"))
+    n = spark.read.json(f"{d}/profile.json", multiLine=True).select(F.col("n_tcrs").cast("long").alias("n_tcrs"))
+    return got.crossJoin(n).crossJoin(spark.read.parquet(f"{d}/members").agg(F.count("*").alias("members")))
 
 
 @query(f"{_EDGES} SELECT tcr_id_a AS row, tcr_id_b AS \"column\", round(weighted_support, 6) AS value FROM edges UNION ALL SELECT tcr_id_b, tcr_id_a, round(weighted_support, 6) FROM edges")

@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import _A, _BLOSUM, _EDGES, _F, _FEAT, _GOOD, _LEV, _P, _POOLED, _PRIOR_ROWS, _PRIOR_SUM, _T
-from .catalog import _components, _file, _parts, assign, query, r6, tcr, view
+from .catalog import _A, _BLOSUM, _EDGES, _F, _FEAT, _GOOD, _LEV, _P, _GENES, _MEASURED, _POOLED, _T
+from .catalog import _components, _file, _parts, assign, gene_profiles, measured, query, r6, tcr, view
 from .functions.sequences import BETAS
-from .operators import calibrate, clusterers, consensus, fusion, graph, nulls, pairs, preprocess, profile, refine
+from .operators import calibrate, clusterers, consensus, fusion, graph, metrics, nulls, pairs, preprocess, profile, refine
 from .plans import benchmark, engine, planner, report, stability, weights
 from .schema import DatasetProfile
 from .sources import readers, sinks
@@ -104,38 +104,33 @@ def gliph_input(spark, sf_dir):
 
 # --- profiles, plans, weights ----------------------------------------------------------------
 
-_TYPES = ("bulk", "single_cell", "antigen_enriched", "curated_db")
 
-
-@query("""SELECT noise, mode, kind, CASE WHEN noise > 0.5 AND mode = 'beta_only' THEN 'bulk_noisy_beta' WHEN kind IN ('antigen_enriched', 'curated_db') THEN 'antigen_enriched' ELSE 'balanced' END AS scenario
- FROM (VALUES (CAST(0.2 AS DOUBLE)), (0.5), (0.8)) a(noise), (VALUES ('beta_only'), ('paired_ab')) b(mode), (VALUES ('bulk'), ('single_cell'), ('antigen_enriched'), ('curated_db')) c(kind)""")
+@query(f"{_GENES} SELECT v_beta, round(noise, 6) AS noise, mode, scenario FROM sc")
 def scenarios(spark, sf_dir):
-    grid = [(n, m, k) for n in (0.2, 0.5, 0.8) for m in ("beta_only", "paired_ab") for k in _TYPES]
-    rows = [(n, m, k, planner.scenario(DatasetProfile(background_noise_score=n, chain_mode=m, repertoire_type=k))) for n, m, k in grid]
-    return spark.createDataFrame(rows, "noise double, mode string, kind string, scenario string")
+    """The scenario that the receptors of each V gene are taken for."""
+    rows = [(v, round(p.background_noise_score, 6), str(p.chain_mode), planner.scenario(p)) for v, p in gene_profiles(spark, sf_dir).items()]
+    return spark.createDataFrame(rows, "v_beta string, noise double, mode string, scenario string")
 
 
-@query("SELECT n, labels, CASE WHEN NOT labels THEN 'bulk' WHEN n < 5000 THEN 'curated_db' ELSE 'antigen_enriched' END AS kind FROM (VALUES (0), (4999), (5000), (9000)) a(n), (VALUES (true), (false)) b(labels)")
+@query(f"{_GENES} SELECT v_beta, n, kind FROM g")
 def repertoire_types(spark, sf_dir):
-    rows = [(n, b, profile.repertoire_type(n, b)) for n in (0, 4999, 5000, 9000) for b in (True, False)]
-    return spark.createDataFrame(rows, "n int, labels boolean, kind string")
-
-
-_PRIOR = f"p(method, {', '.join(weights.COEFFICIENTS)}) AS (VALUES {_PRIOR_ROWS}), prior AS (SELECT method, {_PRIOR_SUM} AS prior FROM p)"
+    rows = [(v, p.n_tcrs, str(p.repertoire_type)) for v, p in gene_profiles(spark, sf_dir).items()]
+    return spark.createDataFrame(rows, "v_beta string, n long, kind string")
 
 
-@query(f"""WITH {_PRIOR} SELECT method, CASE WHEN method IN ('tcrdist3', 'deeptcr') THEN 'costly' ELSE 'cheap' END AS tier FROM prior WHERE prior >= 0.36""")
+@query(f"{_MEASURED} SELECT method, 'cheap' AS tier FROM prior WHERE prior >= 0.36")
 def active_methods(spark, sf_dir):
-    """Methods whose prior is high enough, by tier."""
-    cheap, costly = planner.tiers(weights.active_methods(list(weights.PRIORS), least=0.36))
+    """Methods whose quality on the labels is high enough, by tier."""
+    p = measured(spark, sf_dir)
+    cheap, costly = planner.tiers(weights.active_methods(sorted(p), p, least=0.36))
     return spark.createDataFrame([(m, "cheap") for m in cheap] + [(m, "costly") for m in costly], "method string, tier string")
 
 
-@query(f"""WITH {_PRIOR}, k AS (SELECT method, prior, CAST(row_number() OVER (ORDER BY method) AS DOUBLE) AS r FROM prior),
- w AS (SELECT method, greatest(r / 10 * (1 - r / 20) * sqrt(prior), 0.03) AS w FROM k) SELECT method, round(w / sum(w) OVER (), 6) AS weight FROM w""")
+@query(f"""{_MEASURED}, w AS (SELECT method, greatest(purity * sensitivity * sqrt({" + ".join(f"{v} * 0.5" for v in weights.COEFFICIENTS.values())}), 0.03) AS w FROM q) SELECT method, round(w / sum(w) OVER (), 6) AS weight FROM w""")
 def stability_weights(spark, sf_dir):
-    names = sorted(weights.PRIORS)
-    got = stability.stability_weights({m: (i + 1) / 10 for i, m in enumerate(names)}, {m: 1 - (i + 1) / 20 for i, m in enumerate(names)})
+    """Weights from measured purity as accuracy and sensitivity as stability."""
+    p = measured(spark, sf_dir)
+    got = stability.stability_weights({m: x["purity"] for m, x in p.items()}, {m: x["sensitivity"] for m, x in p.items()})
     return weights.as_table(spark, got).select("method", *r6("weight"))
 
 
@@ -277,9 +272,20 @@ def null_fused_scores(spark, sf_dir):
     return fusion.null_fused(null, t).select("b", "tcr_id_a", "tcr_id_b", *r6("score"))
 
 
-@query("SELECT noise, CASE WHEN noise >= 0.4 THEN 'vote,seq,vj,noise' ELSE 'vote,seq,vj' END AS signals FROM (VALUES (CAST(0 AS DOUBLE)), (0.39), (0.4), (0.9)) t(noise)")
+@query(f"{_GENES} SELECT v_beta, CASE WHEN noise >= 0.4 THEN 'vote,seq,vj,noise' ELSE 'vote,seq,vj' END AS signals FROM g")
 def gated_signals(spark, sf_dir):
-    return spark.createDataFrame([(n, ",".join(fusion.use_signals(n))) for n in (0.0, 0.39, 0.4, 0.9)], "noise double, signals string")
+    """Signals that are fused for the receptors of each V gene, by their noise."""
+    rows = [(v, ",".join(fusion.use_signals(p.background_noise_score))) for v, p in gene_profiles(spark, sf_dir).items()]
+    return spark.createDataFrame(rows, "v_beta string, signals string")
+
+
+@query(f"""{_T}, d AS (SELECT CAST(ord % 13 - (ord * 7 + 3) % 13 AS DOUBLE) AS d FROM tcr), z AS (SELECT d, abs(d) AS m FROM d WHERE d <> 0), k AS (SELECT *, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0 AS r FROM z),
+ s AS (SELECT CAST(least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)) AS DOUBLE) AS statistic, CAST(count(*) AS DOUBLE) AS n FROM k), t AS (SELECT CAST(sum(t * t * t - t) AS DOUBLE) AS ties FROM (SELECT count(*) AS t FROM z GROUP BY m) q),
+ v AS (SELECT statistic, abs(statistic - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) / sqrt(2.0) AS x FROM s, t) SELECT statistic, round({_erfc("x")}, 5) AS p_value FROM v""")
+def signed_rank_test(spark, sf_dir):
+    """The signed-rank test with its chance, over paired scores of all receptors."""
+    t = tcr(spark, sf_dir).select((F.col("ord") % 13).cast("double").alias("a"), ((F.col("ord") * 7 + 3) % 13).cast("double").alias("b"))
+    return metrics.wilcoxon(t).select("statistic", F.round("p_value", 5).alias("p_value"))
 
 
 # --- refinement, calibration, overlaps -------------------------------------------------------

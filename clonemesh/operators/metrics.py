@@ -7,13 +7,16 @@ Every metric is a few aggregates over n_ij = count(cluster i, label j).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
 from .motif import log_factorial
+from .nulls import from_above
 
 
 def contingency(pairs: DataFrame) -> DataFrame:
@@ -188,20 +191,32 @@ def all_metrics(pairs: DataFrame) -> DataFrame:
 # Scores of experiments: a value for each item.
 
 
+#: Rows whose weights for all rounds a task has at once.
+_BOOT_ROWS = 1024
+
+
 def bootstrap_means(values: DataFrame, column: str = "value", rounds: int = 1000, seed: int = 42, key: str = "id") -> DataFrame:
     """(b, mean) of Poisson-weighted resamples, drawn by hash: each row's weight in each round
-    depends on its key only, so nothing is collected and no row is indexed."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("b"), F.col(key)), F.lit(1 << 40)) / float(1 << 40)
-    cum, w, p = 0.0, F.lit(8), math.exp(-1)
-    steps = []
-    for k in range(8):
-        cum += p
-        steps.append((cum, k))
-        p /= k + 1
-    for c, k in reversed(steps):
-        w = F.when(u < c, k).otherwise(w)
-    r = values.select(F.col(key), F.col(column), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b")).withColumn("w", w)
-    return r.groupBy("b").agg((F.sum(F.col("w") * F.col(column)) / F.sum("w")).alias("mean"))
+    depends on its key only, so the draws are the same however rows lie. A task adds up its
+    rows for all rounds and sends a row for each round; rows without a value are left out."""
+    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    salt = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, total = np.zeros(rounds), np.zeros(rounds)
+        for b in batches:
+            h, v = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            for i in range(0, len(h), _BOOT_ROWS):
+                x = h[i : i + _BOOT_ROWS, None] ^ salt
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(cdf, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53, "right").astype(float)
+                weight += w.sum(axis=0)
+                total += v[i : i + _BOOT_ROWS] @ w
+        yield pa.record_batch([pa.array(np.arange(rounds), pa.int32()), pa.array(weight), pa.array(total)], names=["b", "w", "t"])
+
+    rows = values.select(F.xxhash64(F.lit(seed), key).alias("h"), F.col(column).cast("double").alias("v")).where("v is not null")
+    return rows.mapInArrow(run, "b int, w double, t double").groupBy("b").agg(F.try_divide(F.sum("t"), F.sum("w")).alias("mean"))
 
 
 def bootstrap_ci(values: DataFrame, column: str = "value", rounds: int = 1000, level: float = 0.95, seed: int = 42, key: str = "id") -> DataFrame:
@@ -221,12 +236,11 @@ def wilcoxon(values: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """One row: statistic and two-sided p of the signed-rank test. Zero differences are left
     out; none left: (0, 1). Up to 50 without ties: exact, else the normal approximation.
     Ranks are averages over ties, from counts of distinct sizes."""
-    from pyspark.sql import Window
-
     d = values.select((F.col(a) - F.col(b)).alias("d")).where("d is not null and d <> 0")
     per = d.groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
-    rank = F.sum("t").over(Window.orderBy("m")) - (F.col("t") - 1) / 2
-    s = per.withColumn("rank", rank).agg(F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * (F.col("t") - F.col("up"))).alias("minus"), F.sum("t").alias("n"), F.sum(F.col("t") ** 3 - F.col("t")).alias("ties")).first()
+    # sizes are added up from the smallest, in ranges
+    per = from_above(per.select((-F.col("m")).alias("score"), "t", "up", F.col("t").alias("upto")), "upto")
+    s = per.withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2).agg(F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * (F.col("t") - F.col("up"))).alias("minus"), F.sum("t").alias("n"), F.sum(F.col("t") ** 3 - F.col("t")).alias("ties")).first()
     if not s["n"]:
         stat, p = 0.0, 1.0
     else:

@@ -31,15 +31,24 @@ def expected_vote(assignments: DataFrame, weights: dict[str, float] | None = Non
 def permuted(assignments: DataFrame, rounds: int, seed: int = 0) -> DataFrame:
     """(b, method, tcr_id, cluster_id): cluster labels shuffled within each method ``rounds``
     times; sizes stay. Receptors and labels are both ranked, by hashes, and joined on rank."""
-    a = assignments.select("method", "tcr_id", "cluster_id").distinct()
-    b = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    rep = a.withColumn("b", b)
-    w = Window.partitionBy("b", "method")
-    ids = rep.select("b", "method", "tcr_id", F.row_number().over(w.orderBy("tcr_id", "cluster_id")).alias("r"))
-    labels = rep.select("b", "method", "cluster_id", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "b", "method", "tcr_id", "cluster_id"), "tcr_id", "cluster_id")).alias("r"))
+    a = written(assignments.select("method", "tcr_id", "cluster_id").distinct(), "assignments")
+    b = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b")
+    ids = ranked(a, ["method"], ["tcr_id", "cluster_id"], "r").select("method", "tcr_id", "r", b)
+    h = F.xxhash64(F.lit(seed), "b", "method", "tcr_id", "cluster_id")
+    labels = ranked(a.select("*", b).withColumn("h", h), ["b", "method"], ["h", "tcr_id", "cluster_id"], "r").select("b", "method", "cluster_id", "r")
     return ids.join(labels, ["b", "method", "r"]).select("b", "method", "tcr_id", "cluster_id")
 
 
+def ranked(t: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+    """``t`` with the place (from 1) of each row in its group by ``order``: rows are sorted by
+    range and the counts of the ranges are added up, so a group of any size is in many tasks."""
+    placed = written(t.repartitionByRange(*groups, *order).withColumn("_p", F.spark_partition_id()), "ranged")
+    parts = placed.groupBy("_p", *groups).agg(F.count("*").alias("_c"))
+    before = parts.select("_p", *groups, (F.sum("_c").over(Window.partitionBy(*groups).orderBy("_p")) - F.col("_c")).alias("_c"))
+    n = F.row_number().over(Window.partitionBy("_p", *groups).orderBy(*order)) + F.col("_c")
+    return placed.join(before, ["_p", *groups]).withColumn(name, n).drop("_p", "_c")
+
+
 def permutation_null(assignments: DataFrame, weights: dict[str, float] | None = None, rounds: int = 100, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Null scores (b, tcr_id_a, tcr_id_b, score) of all rounds, and for each pair the rounds
     in which it co-clustered (tcr_id_a, tcr_id_b, cnt)."""
