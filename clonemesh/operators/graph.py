@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import drop, written
+from . import soft
 
 #: Edges up to which components are found on the driver in one pass.
 SMALL = 100_000
-#: Nodes of a graph that dense algebra takes.
+#: Nodes of a graph up to which dense algebra is used.
 DENSE = 5_000
 
 
@@ -187,8 +190,11 @@ def _louvain(n: int, x: np.ndarray, y: np.ndarray, w: np.ndarray, resolution: fl
 
 
 def bigclam(edges: DataFrame, k: int, weight: str = "final_score", rounds: int = 500, rate: float = 0.005, seed: int = 0) -> DataFrame:
-    """(tcr_id, f array<double>): affiliation strengths by projected gradient ascent. The
-    whole graph is one group, as its sums couple all nodes; at most DENSE nodes."""
+    """(tcr_id, f array<double>): affiliation strengths by projected gradient ascent. Up to
+    DENSE nodes are one group; larger graphs go in rounds of joins (:mod:`.soft`), from the same
+    start."""
+    if _many(edges):
+        return soft.affiliations(soft.both_ways(edges, weight), k, rounds, rate, seed).withColumnRenamed("node", "tcr_id")
 
     def run(t: pa.Table) -> pa.Table:
         nodes, x, y, _ = _index(t)
@@ -196,7 +202,7 @@ def bigclam(edges: DataFrame, k: int, weight: str = "final_score", rounds: int =
         adj = np.zeros((n, n), bool)
         adj[x, y] = adj[y, x] = True
         np.fill_diagonal(adj, False)
-        f = np.random.default_rng(seed).random((n, k)) * 0.1 + 0.1
+        f = 0.1 + 0.1 * np.array([[int(hashlib.md5(f"{x}:{j}:{seed}".encode()).hexdigest()[:8], 16) / 2**32 for j in range(k)] for x in nodes])
         before = -np.inf
         for _ in range(rounds):
             p = np.clip(f @ f.T, 1e-10, 50)
@@ -214,7 +220,10 @@ def bigclam(edges: DataFrame, k: int, weight: str = "final_score", rounds: int =
 
 def spectral_soft(edges: DataFrame, k: int, weight: str = "final_score") -> DataFrame:
     """(tcr_id, f array<double>): sizes of the 2nd to (k+1)th eigenvectors of the normalised
-    Laplacian, padded with zeros; at most DENSE nodes."""
+    Laplacian, padded with zeros. Up to DENSE nodes are one group; larger graphs go by subspace
+    iteration (:mod:`.soft`)."""
+    if _many(edges):
+        return soft.spectral_rows(soft.both_ways(edges, weight), k).withColumnRenamed("node", "tcr_id")
 
     def run(t: pa.Table) -> pa.Table:
         nodes, x, y, w = _index(t)
@@ -231,10 +240,11 @@ def spectral_soft(edges: DataFrame, k: int, weight: str = "final_score") -> Data
     return _dense(edges, weight, run)
 
 
+def _many(edges: DataFrame) -> bool:
+    return edges.select(F.col("tcr_id_a").alias("x")).union(edges.select("tcr_id_b")).distinct().limit(DENSE + 1).count() > DENSE
+
+
 def _dense(edges: DataFrame, weight: str, run) -> DataFrame:
-    n = edges.select(F.col("tcr_id_a").alias("x")).union(edges.select("tcr_id_b")).distinct().limit(DENSE + 1).count()
-    if n > DENSE:
-        raise ValueError(f"dense algebra takes up to {DENSE} nodes")
     rows = edges.select(F.lit(0).alias("g"), "tcr_id_a", "tcr_id_b", F.col(weight).cast("double").alias("w"))
     return rows.groupBy("g").applyInArrow(run, "tcr_id string, f array<double>")
 
