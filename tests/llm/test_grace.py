@@ -62,3 +62,13 @@ def test_table_compares_whole_contents():
         assert t.add(7, b"%d" % k) == k
     assert [t.find(7, b"%d" % k) for k in range(200)] == list(range(200))
     assert t.full
+
+
+def test_what_does_not_fit_is_spilled_to_further_levels(spark, monkeypatch):
+    levels = []
+    real = grace.written
+    monkeypatch.setattr(grace, "written", lambda df, name: levels.append(name) or real(df, name))
+    rows = [(i, "x" * 900 + str(i % 240)) for i in range(360)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert got(grace.exact_groups(df, 6_000)) == brute(rows)
+    assert "level1" in levels
