@@ -129,7 +129,11 @@ def _assigned(b: pa.RecordBatch, centroids: np.ndarray, probes: int) -> pa.Recor
     return pa.record_batch([*b.columns, dim, pa.array(top[:, 0]), lists], names=["embedding", "rep", "copies", "dim", "home", "probes"])
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, probes: int = 4, sample: int = SAMPLE) -> DataFrame:
+#: Cells that a vector visits at least.
+LEAST_PROBES = 4
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, probes: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id (the smallest vec_id
     reachable over links) and kept (vec_id = component_id) for each row of ``vectors``.
 
@@ -138,7 +142,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, probes: int = 4, sa
     root of their number of cells. Every class is indexed in its nearest cell and looks for
     neighbours in its ``probes`` nearest cells, so a pair is found if either one visits the
     other's cell; the cosine of every link is computed in double precision and at least
-    ``threshold``. On the check tables four probes find all links (one probe: 0.9997).
+    ``threshold``. By default probes are the root of the number of cells, four at least, as
+    with more cells a pair is more often parted.
 
     A cell's vectors and visitors are dealt into blocks by a hash, so a cell with a third of
     all vectors is many small products. No pair becomes a row. Vectors that are null, empty
@@ -165,7 +170,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, probes: int = 4, sa
                 dims = pc.list_value_length(b.column(0)).to_numpy()
                 for dim in np.unique(dims).tolist():
                     part = b.filter(pa.array(dims == dim))
-                    yield _assigned(part, cells.value.get(dim, np.zeros((1, dim))), probes)
+                    own = cells.value.get(dim, np.zeros((1, dim)))
+                    yield _assigned(part, own, probes or max(LEAST_PROBES, int(np.ceil(np.sqrt(len(own))))))
 
         placed = written(classes.select("embedding", "rep", "copies").mapInArrow(assign, "embedding array<double>, rep long, copies long, dim int, home int, probes array<int>"), "cells")
         cell = ["dim", "cell"]

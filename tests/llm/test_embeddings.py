@@ -66,3 +66,21 @@ def test_vectors_of_several_lengths(spark, monkeypatch):
 def test_clashing_columns(spark):
     d = spark.createDataFrame([(1, [1.0, 0.0], "x", "y", "z"), (2, [1.0, 0.01], "x", "y", "z")], "vec_id long, embedding array<double>, rep string, home string, dim string")
     assert {r.component_id for r in ed.near_vectors(d).collect()} == {1}
+
+
+def test_recall_on_vectors_without_structure(spark):
+    """Pairs at a cosine of 0.90 to 0.93 among vectors that form no clusters, against brute force."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.normal(size=x.shape)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    c = rng.uniform(0.9001, 0.93, (4000, 1))
+    both = np.concatenate([x, c * x + np.sqrt(1 - c**2) * other])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in ed.near_vectors(df).collect()}
+    near = both @ both.T >= 0.9
+    want = near.sum(axis=1) - 1
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.99 * want.sum()
