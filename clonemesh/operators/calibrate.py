@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pairs import weight_of
 from .refine import inner_edges
 
 
 def cluster_features(members: DataFrame, edges: DataFrame) -> DataFrame:
     """Size and statistics of the edges inside each cluster; zeros without any."""
     size = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    e = inner_edges(members, edges).groupBy("cluster_id").agg(F.avg("final_score").alias("mean_edge"), F.min("final_score").alias("min_edge"), F.percentile("final_score", F.lit(0.5)).alias("median_edge"), F.avg("method_support_count").alias("mean_support"), F.count("*").alias("n_edges"))
+    n = weight_of(edges)
+    mean = lambda c: F.sum(F.col(c) * n) / F.sum(n)
+    e = inner_edges(members, edges).groupBy("cluster_id").agg(mean("final_score").alias("mean_edge"), F.min("final_score").alias("min_edge"), F.percentile("final_score", F.lit(0.5), n).alias("median_edge"), mean("method_support_count").alias("mean_support"), F.sum(n).alias("n_edges"))
     z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return size.join(e, "cluster_id", "left").select("cluster_id", "size", *(z(c) for c in ("mean_edge", "min_edge", "median_edge", "mean_support", "n_edges")))
 
