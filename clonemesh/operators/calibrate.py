@@ -9,12 +9,13 @@ from .pairs import weight_of
 from .refine import inner_edges
 
 
-def cluster_features(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Size and statistics of the edges inside each cluster; zeros without any."""
+def cluster_features(members: DataFrame, edges: DataFrame, inner: bool = False) -> DataFrame:
+    """Size and statistics of the edges inside each cluster; zeros without any. ``inner``: edges
+    have the cluster_id that they are inside of already."""
     size = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
     n = weight_of(edges)
     mean = lambda c: F.sum(F.col(c) * n) / F.sum(n)
-    e = inner_edges(members, edges).groupBy("cluster_id").agg(mean("final_score").alias("mean_edge"), F.min("final_score").alias("min_edge"), F.percentile("final_score", F.lit(0.5), n).alias("median_edge"), mean("method_support_count").alias("mean_support"), F.sum(n).alias("n_edges"))
+    e = (edges if inner else inner_edges(members, edges)).groupBy("cluster_id").agg(mean("final_score").alias("mean_edge"), F.min("final_score").alias("min_edge"), F.percentile("final_score", F.lit(0.5), n).alias("median_edge"), mean("method_support_count").alias("mean_support"), F.sum(n).alias("n_edges"))
     z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return size.join(e, "cluster_id", "left").select("cluster_id", "size", *(z(c) for c in ("mean_edge", "min_edge", "median_edge", "mean_support", "n_edges")))
 
@@ -64,8 +65,8 @@ def cluster_purity(members: DataFrame, labels: DataFrame) -> DataFrame:
     return k.groupBy("cluster_id").agg((F.max("n") / F.sum("n")).alias("purity"))
 
 
-def fit_calibration(members: DataFrame, edges: DataFrame, labels: DataFrame) -> Calibrator:
-    raw = raw_confidence(cluster_features(members, edges))
+def fit_calibration(members: DataFrame, edges: DataFrame, labels: DataFrame, inner: bool = False) -> Calibrator:
+    raw = raw_confidence(cluster_features(members, edges, inner))
     return Calibrator().fit(raw.join(cluster_purity(members, labels), "cluster_id"))
 
 

@@ -8,7 +8,7 @@ from test_catalog import _rows
 from clonemesh import catalog
 
 duckdb = pytest.importorskip("duckdb")
-NAMES = ("numbered_clusters", "predicted_clusters", "retention", "made_ids", "vj_support", "overlap_memberships", "community_members", "pwm_information", "vj_enrichment", "expanded_clusters", "receptor_group_clusters", "method_agreement_jaccard")
+NAMES = ("numbered_clusters", "predicted_clusters", "retention", "made_ids", "vj_support", "overlap_memberships", "community_members", "pwm_information", "vj_enrichment", "expanded_clusters", "receptor_group_clusters", "method_agreement_jaccard", "cluster_features", "raw_confidence", "calibrated_confidence", "analytical_fdr", "divergent_tcrs", "divergence_stats")
 
 
 @pytest.fixture(scope="module")
