@@ -42,3 +42,23 @@ def test_thinned_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "COLLECTED", 3 * 50)
     monkeypatch.setattr(graph, "contract", lambda e: pytest.fail("rounds for a small graph"))
     assert {r.root for r in graph.components(e).collect()} == {r.root for r in graph.components(e.distinct()).collect()}
+
+
+@pytest.fixture(scope="module")
+def larger(tmp_path_factory):
+    """2,000 receptors, most of them eleven to an id, so that pairs share several clusters."""
+    d = str(tmp_path_factory.mktemp("larger"))
+    duckdb.sql(f"COPY (SELECT * REPLACE (CASE WHEN p_partkey < 600 THEN 100000 + p_partkey ELSE 1000000 + p_partkey - 600 END AS p_partkey) FROM '/root/testdata/sf0.01/part.parquet') TO '{d}/part.parquet'")
+    return d
+
+
+@pytest.mark.parametrize("name", ("cluster_split", "cross_cluster_scores", "component_modularity", "edges_sink", "coassociation_matrix", "coassociation_heatmap"))
+def test_blocks(spark, larger, monkeypatch, name):
+    """From several blocks of classes, with no pairs made by a join."""
+    from clonemesh.operators import votes
+
+    monkeypatch.setattr(votes, "BLOCK", 300)
+    monkeypatch.setattr(pairs, "class_edges", lambda *a, **k: pytest.fail("pairs were joined"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW part AS SELECT * FROM '{larger}/part.parquet'")
+    assert _rows(catalog.queries()[name](spark, larger).toArrow()) == _rows(c.sql(catalog.oracle_sql()[name]).to_arrow_table())
