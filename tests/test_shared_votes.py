@@ -62,3 +62,15 @@ def test_blocks(spark, larger, monkeypatch, name):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW part AS SELECT * FROM '{larger}/part.parquet'")
     assert _rows(catalog.queries()[name](spark, larger).toArrow()) == _rows(c.sql(catalog.oracle_sql()[name]).to_arrow_table())
+
+
+def test_merge_by_votes(spark, larger):
+    """Sums between clusters from blocks give the merges of all pairs."""
+    from clonemesh.operators import refine, votes
+    from clonemesh.testviews import WEIGHTS, assign
+
+    a = assign(spark, larger).where("ord < 1000600")
+    m = a.where("method = 'vj'").select("cluster_id", "tcr_id")
+    e = pairs.scored_edges(a, WEIGHTS, every=True).withColumn("final_score", F.round(F.col("weighted_support") / 3, 6))
+    got = refine.merge_quotient(m, votes.Votes(a, WEIGHTS, every=True).crossed("vj", 3), 0.4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, refine.merge_clusters(m, e, 0.4).collect()))
