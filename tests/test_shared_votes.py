@@ -44,6 +44,16 @@ def test_thinned_edges(spark, monkeypatch):
     assert {r.root for r in graph.components(e).collect()} == {r.root for r in graph.components(e.distinct()).collect()}
 
 
+def test_coarse_communities_without_pairs(spark, large, monkeypatch):  # noqa: F811
+    from clonemesh.operators import consensus, leiden
+
+    for m, f in ((consensus, "scored_edges"), (leiden, "_in_rounds"), (leiden, "_in_task")):
+        monkeypatch.setattr(m, f, lambda *a, **k: pytest.fail("pairs were made"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW part AS SELECT * FROM '{large}/part.parquet'")
+    assert _rows(catalog.queries()["leiden_coarse"](spark, large).toArrow()) == _rows(c.sql(catalog.oracle_sql()["leiden_coarse"]).to_arrow_table())
+
+
 @pytest.fixture(scope="module")
 def larger(tmp_path_factory):
     """2,000 receptors, most of them eleven to an id, so that pairs share several clusters."""
