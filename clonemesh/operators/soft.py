@@ -44,23 +44,34 @@ def _dot(a: Column, b: Column, k: int) -> Column:
     return out
 
 
-def affiliation_round(both: DataFrame, f: DataFrame, k: int, rate: float = 0.005) -> tuple[DataFrame, float]:
-    """One step up the likelihood of an edge being there by shared affiliations, and the
-    likelihood before it. ``both`` has (node, nbr), ``f`` is a written table."""
+def pulls(both: DataFrame, f: DataFrame, k: int) -> DataFrame:
+    """(node, s0, s1, ..., fit): sums over the neighbours in ``both`` (node, nbr) of their rows in ``f``,
+    each times what shared affiliations leave to explain, and the likelihood of the edges."""
     f, g = f.select("node", "f"), F.col("g")
-    sums = f.agg(*_summed(k, F.col("f")), F.sum(_dot(F.col("f"), F.col("f"), k)).alias("squares")).first()
-    total = [float(sums[f"s{j}"]) for j in range(k)]
     ends = both.select("node", "nbr").join(f, "node").join(f.toDF("nbr", "g"), "nbr")
     p = F.least(F.greatest(_dot(F.col("f"), g, k), F.lit(1e-10)), F.lit(50.0))
     ends = ends.select("node", "g", p.alias("p")).withColumn("q", F.greatest(1 - F.exp(-F.col("p")), F.lit(1e-10)))
     pull = 1 + F.exp(-F.col("p")) / F.col("q")
-    near = ends.groupBy("node").agg(*(F.sum(pull * g[j]).alias(f"s{j}") for j in range(k)), F.sum(F.log("q") + F.col("p")).alias("fit"))
+    return ends.groupBy("node").agg(*(F.sum(pull * g[j]).alias(f"s{j}") for j in range(k)), F.sum(F.log("q") + F.col("p")).alias("fit"))
+
+
+def stepped(f: DataFrame, near: DataFrame, k: int, rate: float = 0.005) -> tuple[DataFrame, float]:
+    """One step up the likelihood of an edge being there by shared affiliations, and the
+    likelihood before it. ``near`` has what :func:`pulls` gives for ``f``, a written table."""
+    f = f.select("node", "f")
+    sums = f.agg(*_summed(k, F.col("f")), F.sum(_dot(F.col("f"), F.col("f"), k)).alias("squares")).first()
+    total = [float(sums[f"s{j}"] or 0.0) for j in range(k)]
     new = [F.least(F.greatest(F.col("f")[j] + rate * (F.col(f"s{j}") - F.lit(total[j]) + F.col("f")[j]), F.lit(0.0)), F.lit(1e3)) for j in range(k)]
     out = written(f.join(near, "node").select("node", F.array(*new).alias("f"), "fit"), "affiliations")
-    fit = out.agg(F.sum("fit")).first()[0] / 2 - (sum(t * t for t in total) - sums["squares"]) / 2
+    fit = (out.agg(F.sum("fit")).first()[0] or 0.0) / 2 - (sum(t * t for t in total) - (sums["squares"] or 0.0)) / 2
     return out, float(fit)
 
 
+def affiliation_round(both: DataFrame, f: DataFrame, k: int, rate: float = 0.005) -> tuple[DataFrame, float]:
+    """:func:`stepped` over the edges ``both`` (node, nbr)."""
+    return stepped(f, pulls(both, f, k), k, rate)
+
+
 def affiliations(both: DataFrame, k: int, rounds: int = 500, rate: float = 0.005, seed: int = 0) -> DataFrame:
     """(node, f): affiliation strengths by projected gradient ascent, until the likelihood
     changes by less than a millionth."""

@@ -84,3 +84,29 @@ def test_merge_by_votes(spark, larger):
     e = pairs.scored_edges(a, WEIGHTS, every=True).withColumn("final_score", F.round(F.col("weighted_support") / 3, 6))
     got = refine.merge_quotient(m, votes.Votes(a, WEIGHTS, every=True).crossed("vj", 3), 0.4)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, refine.merge_clusters(m, e, 0.4).collect()))
+
+
+@pytest.mark.parametrize("chunk", [50, 1 << 20])
+def test_affiliation_step_without_pairs(spark, larger, monkeypatch, chunk):
+    """Of several blocks and chunks, with receptors whose rows repeat, the step is that of the SQL."""
+    from clonemesh.operators import votes
+
+    monkeypatch.setattr(votes, "BLOCK", 600)
+    monkeypatch.setattr(votes, "CHUNK", chunk)
+    monkeypatch.setattr(pairs, "coassociation", lambda *a, **k: pytest.fail("pairs were joined"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW part AS SELECT * FROM '{larger}/part.parquet'")
+    assert _rows(catalog.queries()["affiliation_round"](spark, larger).toArrow()) == _rows(c.sql(catalog.oracle_sql()["affiliation_round"]).to_arrow_table())
+
+
+def test_pulls_from_blocks(spark):
+    """Sums and likelihood over blocks are those over all pairs, with copies in a class."""
+    from clonemesh.operators import soft, votes
+
+    r = random.Random(8)
+    rows = [(m, f"t{i:03d}", f"{m}{r.randrange(4)}") for i in range(90) for m in "xy"]
+    a = spark.createDataFrame(rows, "method string, tcr_id string, cluster_id string")
+    both = soft.both_ways(pairs.scored_edges(a, {"x": 0.4, "y": 0.7}).where("final_score >= 0.7"))
+    f = soft.begun(both, 3)
+    got = votes.Votes(a, {"x": 0.4, "y": 0.7}).pulled(f, 3, 0.7)
+    assert _rows(got.toArrow()) == _rows(soft.pulls(both, f, 3).toArrow())
