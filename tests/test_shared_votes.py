@@ -110,3 +110,33 @@ def test_pulls_from_blocks(spark):
     f = soft.begun(both, 3)
     got = votes.Votes(a, {"x": 0.4, "y": 0.7}).pulled(f, 3, 0.7)
     assert _rows(got.toArrow()) == _rows(soft.pulls(both, f, 3).toArrow())
+
+
+@pytest.mark.parametrize("size", [40, 1 << 21])
+@pytest.mark.parametrize("name", ["odd", "shared"])
+def test_fused_scores_without_pairs(spark, large, monkeypatch, name, size):  # noqa: F811
+    """Threshold and members are those of all pairs and rounds; of odd texts, blank genes, receptors
+    that have several rows or none, and several blocks."""
+    from clonemesh.operators import consensus, fused, fusion
+    from clonemesh.testviews import WEIGHTS, assign, tcr
+
+    if name == "shared":
+        a, t = assign(spark, large), tcr(spark, large)
+    else:
+        r = random.Random(4)
+        ids = [f"t{i:02d}" for i in range(80)]
+        a = spark.createDataFrame([(m, x, f"{m}{r.randrange(9)}") for x in ids for m in WEIGHTS for _ in range(r.choice((1, 1, 2)))], "method string, tcr_id string, cluster_id string")
+        texts = ("CASSF", "CAS", "", None, "CXz\u00e9", "CASSLGQYF")
+        t = spark.createDataFrame([(x, r.choice(texts), r.choice(("V1", "V2", "", None)), r.choice(("J1", ""))) for x in ids[2:] for _ in range(r.choice((1, 1, 2)))], "tcr_id string, cdr3_beta string, v_beta string, j_beta string")
+    kw = {"tcr": t, "signals": fusion.SIGNALS, "rounds": 3}
+    monkeypatch.setattr(consensus, "MOST", 0)
+    want = [consensus.balanced(a, WEIGHTS, fdr_q=q, **kw) for q in (0.3, 2.0)]
+    monkeypatch.setattr(consensus, "MOST", 4)
+    monkeypatch.setattr(fused, "SHARED", size)
+    monkeypatch.setattr(fused, "FEW", 30)
+    monkeypatch.setattr(fused, "TABLE", 2 if size == 40 else 2048)
+    monkeypatch.setattr(consensus, "scored_edges", lambda *a, **k: pytest.fail("pairs were joined"))
+    for q, w in zip((0.3, 2.0), want):
+        got = consensus.balanced(a, WEIGHTS, fdr_q=q, **kw)
+        assert got.threshold == pytest.approx(w.threshold, rel=1e-12)
+        assert sorted(map(tuple, got.members.collect())) == sorted(map(tuple, w.members.collect()))
