@@ -8,12 +8,17 @@ of k * k products, which is all that comes to the driver.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import drop, written
 
+if TYPE_CHECKING:
+    from .votes import Votes
+
 
 def both_ways(edges: DataFrame, weight: str = "final_score") -> DataFrame:
     """(node, nbr, w) of edges (tcr_id_a, tcr_id_b), each both ways; loops are left out and
@@ -101,6 +106,20 @@ def damped_step(both: DataFrame, degree: DataFrame, x: DataFrame, k: int) -> Dat
     return out.select("node", F.array(*(STAY * F.col("f")[j] + (1 - STAY) * F.col(f"s{j}") / F.sqrt("d") for j in range(k))).alias("f"))
 
 
+def damped_step_of_votes(votes: Votes, least: float, seed: int = 0) -> DataFrame:
+    """(node, x): :func:`damped_step` of one drawn number for each node, over all pairs of receptors with
+    votes of at least ``least``. Receptors of a class have the same edges, so products are of sums
+    over classes, less each one's own part."""
+    degree = written(votes.strengths(least).join(votes.classes.select("class_id", "n"), "class_id").select("class_id", (F.col("k") / F.col("n")).alias("d")), "degree")
+    own = votes.within().select("class_id", F.when(F.col("weighted_support") >= least, F.col("weighted_support")).otherwise(0.0).alias("w"))
+    x = -0.5 + 1.0 * drawn(F.col("tcr_id"), 0, seed)
+    x = written(votes.ids.join(degree, "class_id").select("class_id", "tcr_id", "d", x.alias("x")), "vectors")
+    near = votes.product(x.groupBy("class_id").agg(F.sum(F.col("x") / F.sqrt("d")).alias("v")), least)
+    out = x.join(near, "class_id").join(own, "class_id", "left")
+    rest = F.col("s") - F.coalesce("w", F.lit(0.0)) * F.col("x") / F.sqrt("d")
+    return out.select(F.col("tcr_id").alias("node"), (STAY * F.col("x") + (1 - STAY) * rest / F.sqrt("d")).alias("x"))
+
+
 def _gram(x: DataFrame, y: Column, k: int) -> np.ndarray:
     r = x.agg(*(F.sum(F.col("f")[i] * y[j]).alias(f"p{i}_{j}") for i in range(k) for j in range(k))).first()
     return np.array([[float(r[f"p{i}_{j}"]) for j in range(k)] for i in range(k)])
