@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics
 from ..operators.calibrate import cluster_features, raw_confidence
-from ..operators.consensus import balanced
+from ..operators.consensus import Consensus, balanced
+from ..operators.votes import MOST, Votes
 from ..storage import written
 from .weights import COEFFICIENTS, PRIORS, scaled
 
@@ -86,7 +87,11 @@ def iterative_reweight(assignments: DataFrame, weights: dict[str, float], rounds
     history.append(w)
     for _ in range(rounds):
         c = balanced(assignments, scaled(w, scale), threshold)
-        conf = raw_confidence(cluster_features(c.members, c.edges))
+        if len(w) <= MOST:  # pairs inside clusters are counted in blocks, none is a row
+            members = written(c.members, "members")
+            inner = written(Votes(assignments, scaled(w, scale), groups=members).counted(Votes.GROUP), "inner")
+            c = Consensus(members, inner, threshold)
+        conf = raw_confidence(cluster_features(c.members, c.edges, inner=len(w) <= MOST))
         r = method_reliability(assignments, c.members, conf)
         target = scaled({m: max(r.get(m, least), least) for m in w}, "sum1")
         new = scaled({m: max(alpha * target[m] + (1 - alpha) * w[m], least) for m in w}, "sum1")
