@@ -22,3 +22,31 @@ def test_without_pairs(spark, larger, monkeypatch, name):  # noqa: F811
     c = duckdb.connect()
     c.sql(f"CREATE VIEW part AS SELECT * FROM '{larger}/part.parquet'")
     assert _rows(catalog.queries()[name](spark, larger).toArrow()) == _rows(c.sql(catalog.oracle_sql()[name]).to_arrow_table())
+
+
+@pytest.mark.parametrize("config", [None, {"split": {"min_consensus_score": 0.3}, "merge": {"min_cross_association": 0.45}, "filter": {"min_member_confidence": 0.26}}])
+def test_refined_without_edges(spark, larger, monkeypatch, config):  # noqa: F811
+    """Clusters, labels and scores are those of a refinement over all pairs."""
+    from pyspark.sql import functions as F
+
+    from clonemesh.operators import refine
+    from clonemesh.testviews import WEIGHTS, assign
+
+    a = assign(spark, larger).where("ord < 1000000")
+    m = a.where("method = 'vj'").select("cluster_id", "tcr_id")
+    e = pairs.scored_edges(a, WEIGHTS).withColumn("final_score", F.round(F.col("weighted_support") / 3, 6))
+    want = refine.refine(m, e, config)
+    monkeypatch.setattr(votes, "BLOCK", 200)
+    got = refine.refine_votes(a, m, WEIGHTS, config, 3)
+    six = lambda d: _rows(d.select("cluster_id", "tcr_id", "label", F.round("member_score", 6).alias("s"), F.round("cluster_confidence", 6).alias("c")).toArrow())
+    assert six(got) == six(want)
+
+
+def test_reweighted_without_edges(spark, monkeypatch):
+    from clonemesh.plans import stability
+    from clonemesh.testviews import WEIGHTS, assign
+
+    a = assign(spark, "/root/testdata/sf0.001")
+    got = stability.iterative_reweight(a, WEIGHTS, rounds=2, threshold=1.0)[0]
+    monkeypatch.setattr(stability, "MOST", 0)
+    assert got == pytest.approx(stability.iterative_reweight(a, WEIGHTS, rounds=2, threshold=1.0)[0], abs=1e-9)
