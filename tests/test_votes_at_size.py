@@ -50,3 +50,12 @@ def test_reweighted_without_edges(spark, monkeypatch):
     got = stability.iterative_reweight(a, WEIGHTS, rounds=2, threshold=1.0)[0]
     monkeypatch.setattr(stability, "MOST", 0)
     assert got == pytest.approx(stability.iterative_reweight(a, WEIGHTS, rounds=2, threshold=1.0)[0], abs=1e-9)
+
+
+def test_permuted_rows_are_not_broadcast(spark):
+    """The driver holds counts of ranges, neither receptors nor labels of the rounds."""
+    from clonemesh.operators import nulls
+
+    a = spark.range(500).selectExpr("explode(array('x', 'y')) as method", "concat('t', id) as tcr_id", "concat('c', id % 7) as cluster_id")
+    plan = nulls.permuted(a, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastExchange") == 2
